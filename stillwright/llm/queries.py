@@ -1,0 +1,17 @@
+"""The registered queries of the training-data operators, with production parameters."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from stillwright.llm.common import table
+from stillwright.llm.token_counts import token_counts
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+QUERIES = {f.__name__: f for f in (op8_token_counts,)}
+ORACLES: dict[str, str] = {}
