@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
         if not batch.num_rows:
             continue
         sizes = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(sizes).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

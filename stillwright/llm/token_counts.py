@@ -7,17 +7,17 @@ arrays. What is left of a row is its token count.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from stillwright.llm.array_bpe import ArrayBPE
 from stillwright.llm.common import column, steps, texts
 
-NONE = np.int32(2**31 - 1)
 #: Unicode white space as the tokenizer's pattern takes it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pattern that splits text before the merges of this vocabulary.
@@ -26,75 +26,6 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 MEMORY = 500_000
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class ArrayBPE:
-    """Counts of tokens per byte string, from the merges of a tokenizer file."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab, letters = spec["model"]["vocab"], _byte_letters()
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        self.first = np.zeros(256, np.int64)
-        for letter, byte in letters.items():
-            self.first[byte] = vocab[letter]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(key)
-        self.keys = np.append(key[order], np.int64(2**62))
-        self.ranks = np.append(order.astype(np.int32), NONE)
-        self.made = np.append(np.array([vocab[a + b] for a, b in pairs], np.int64)[order], 0)
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and product of each pair; NONE where it does not merge."""
-        key = left << 20 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.made[at]
-
-    def count(self, pieces: list[bytes]) -> np.ndarray:
-        """Tokens of each (non-empty) byte string."""
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        out, row = lens.copy(), np.arange(len(lens))
-        if not len(lens):
-            return out
-        symbols = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        rank, made = self._pairs(symbols, np.append(symbols[1:], 0))
-        rank[np.cumsum(lens) - 1] = NONE
-        while len(row):
-            least = np.minimum.reduceat(rank, np.cumsum(lens) - lens)
-            live = least < NONE
-            if not live.all():
-                out[row[~live]] = lens[~live]
-                keep = np.repeat(live, lens)
-                symbols, rank, made = symbols[keep], rank[keep], made[keep]
-                row, lens, least = row[live], lens[live], least[live]
-                if not len(row):
-                    break
-            hit = rank == np.repeat(least, lens)
-            if (hit[1:] & hit[:-1]).any():  # in a run of touching pairs every second one merges, from the left
-                n = np.arange(len(hit))
-                run = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), n, 0))
-                hit &= (n - run) % 2 == 0
-            at = np.flatnonzero(hit)
-            symbols[at] = made[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            lens = lens - np.add.reduceat(hit, np.cumsum(lens) - lens, dtype=np.int64)
-            symbols, rank, made = symbols[keep], rank[keep], made[keep]
-            ends = np.cumsum(lens) - 1
-            at -= np.arange(len(at))
-            changed = np.concatenate([at, at[at > 0] - 1])
-            rank[changed], made[changed] = self._pairs(symbols[changed], symbols[np.minimum(changed + 1, len(symbols) - 1)])
-            rank[ends] = NONE
-        return out
-
-
 class Counter:
     """Token counts of whole texts; words seen before are looked up."""
 
@@ -151,7 +82,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, memory: int = ME
         for part in steps(batches):
             block = column(part, "text").to_pylist()
             n = np.array(counter.count(block), np.int64)
-            size = pa.compute.binary_length(column(part, "text")).cast(pa.int64())
+            size = pc.binary_length(column(part, "text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
