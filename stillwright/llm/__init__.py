@@ -2,12 +2,12 @@
 
 
 def queries() -> dict:
-    from stillwright.llm.queries import QUERIES
+    from stillwright.llm.registry import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    from stillwright.llm.queries import ORACLES
+    from stillwright.llm.registry import ORACLES
 
     return dict(ORACLES)
