@@ -9,6 +9,7 @@ from stillwright.llm.common import table
 from stillwright.llm.fingerprints import fingerprints
 from stillwright.llm.main_text import extract_main_text
 from stillwright.llm.packing import pack
+from stillwright.llm.substring_dedup import remove_repeats
 from stillwright.llm.token_counts import token_counts
 
 
@@ -20,6 +21,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=13, block=7)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -28,5 +33,5 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_fingerprints, op8_token_counts, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_fingerprints, op6_substring_dedup, op8_token_counts, op9_html_extraction)}
 ORACLES: dict[str, str] = {}
