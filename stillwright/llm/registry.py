@@ -9,6 +9,7 @@ from stillwright.llm.common import table
 from stillwright.llm.fingerprints import fingerprints
 from stillwright.llm.main_text import extract_main_text
 from stillwright.llm.packing import pack
+from stillwright.llm.quality import quality_scores
 from stillwright.llm.substring_dedup import remove_repeats
 from stillwright.llm.token_counts import token_counts
 
@@ -17,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_fingerprints, op6_substring_dedup, op8_token_counts, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_classifier, op5_fingerprints, op6_substring_dedup, op8_token_counts, op9_html_extraction)}
 ORACLES: dict[str, str] = {}
