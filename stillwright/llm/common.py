@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,15 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and lost
-    executors cost a read instead of a recomputation. The files go when the application ends."""
-    spark = df.sparkSession
+    executors cost a read instead of a recomputation. The files go when the application ends. A
+    caller that keeps no other reference to df lets its shuffle files go, too."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    del df
+    gc.collect()
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished job
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

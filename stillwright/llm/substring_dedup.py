@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwright.llm.common import column, materialize, shuffle_partitions, steps, texts
-from stillwright.llm.wordhash import Words, byte_class
+from stillwright.llm.wordhash import Words, byte_class, mix
 
 #: What separates words.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -29,6 +29,7 @@ INSIDE = byte_class(SPACES)
 #: Characters of text whose windows one bucket compares.
 BUCKET_CHARS = 16_000_000
 PROBES = "bucket int, hashes binary, docs binary, counts binary, places binary"
+FOUND = "grp int, docs binary, counts binary, places binary"
 HITS = "doc_id long, places binary"
 
 
@@ -69,10 +70,21 @@ def _unpacked(rows: pd.DataFrame, widths: list[int]) -> tuple[list[np.ndarray],
     return hashes, docs, np.concatenate(places) if places else np.empty(0, "<u4")
 
 
-def _by_doc(docs: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+def _by_group(docs: np.ndarray, places: np.ndarray, groups: int) -> pd.DataFrame:
+    """What a bucket has found, one row for each group of documents."""
+    order = np.argsort(docs, kind="stable")
+    docs, places = docs[order], places[order]
+    grp = (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    rows = list(_packed(grp, [np.zeros(len(docs), np.uint64)], [0], docs, places)) if len(docs) else []
+    return pd.DataFrame([(g, *rest) for g, _, *rest in rows], columns=["grp", "docs", "counts", "places"])
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a group: all places that any bucket has found."""
+    docs, places = _docs_places(rows)
     order = np.argsort(docs, kind="stable")
     docs, places = docs[order], places[order].astype("<u4")
-    new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, np.int64)
+    new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     ends = np.append(new[1:], len(docs))
     return pd.DataFrame({"doc_id": docs[new], "places": [places[a:b].tobytes() for a, b in zip(new.tolist(), ends.tolist(), strict=True)]})
 
@@ -99,6 +111,11 @@ class Dedup:
             raise ValueError("a window must be long enough to contain a whole block: window >= 2 * block - 1")
         self.window, self.block, self.buckets = window, block, buckets
 
+    @staticmethod
+    def exchanged(rows: DataFrame, send, compare) -> DataFrame:
+        """Hashes to their buckets, and what is found there back to one row a document."""
+        return rows.mapInArrow(send, PROBES).groupBy("bucket").applyInPandas(lambda found: compare(found), FOUND).groupBy("grp").applyInPandas(_merged, HITS)
+
     def probes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rolling hashes of documents with at least one window, each once a document; aligned blocks are marked by the low bit of a place."""
         for number, part in enumerate(steps(batches)):
@@ -132,8 +149,7 @@ class Dedup:
             bucket = ((h[order] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
             yield _batch(rows + list(_packed(bucket, [h[order]], [5], docs[order], coded[order])))
 
-    @staticmethod
-    def hits(rows: pd.DataFrame) -> pd.DataFrame:
+    def hits(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Places whose block hash is that of an aligned block elsewhere, or of one that others probe."""
         local = rows["hashes"].str.len() == 0
         docs, places = _docs_places(rows[local])
@@ -145,7 +161,7 @@ class Dedup:
         mark = (coded & 1).astype(np.int64)
         marked = np.repeat(np.add.reduceat(mark, new), times) if len(h) else mark
         hit = (marked - mark > 0) | (mark > 0) & (np.repeat(times, times) > 1)
-        return _by_doc(np.concatenate([docs, own[hit]]), np.concatenate([places, coded[hit]]) >> 1)
+        return _by_group(np.concatenate([docs, own[hit]]), np.concatenate([places, coded[hit]]) >> 1, self.buckets)
 
     def stage(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without hits are done; the others go on with the windows around their hits."""
@@ -159,7 +175,7 @@ class Dedup:
                 n = int(words.counts[i])
                 mine = h[begin : begin + max(n - self.block + 1, 0)]
                 begin += len(mine)
-                starts = self._around(mine, n, found or [])
+                starts = self._around(mine, n, found or b"")
                 if len(starts):
                     rows.append((doc, n, None, block[i].decode(), starts.astype("<u4").tobytes()))
                 else:
@@ -167,9 +183,9 @@ class Dedup:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "kept_sha256", "text", "starts"])
 
-    def _around(self, hashes: np.ndarray, n: int, found: list[bytes]) -> np.ndarray:
+    def _around(self, hashes: np.ndarray, n: int, found: bytes) -> np.ndarray:
         """First words of the windows that contain a block like one of those found."""
-        places = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+        places = np.frombuffer(found, "<u4").astype(np.int64)
         places = places[places < len(hashes)]
         if not len(places):
             return places
@@ -211,8 +227,7 @@ class Dedup:
             bucket = ((h[keep] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
             yield _batch(rows + list(_packed(bucket, [h[keep], check[keep]], [8, 4], docs[keep], place[keep])))
 
-    @staticmethod
-    def removed(rows: pd.DataFrame) -> pd.DataFrame:
+    def removed(self, rows: pd.DataFrame) -> pd.DataFrame:
         """First words of the windows that a smaller document also has."""
         local = rows["hashes"].str.len() == 0
         docs, places = _docs_places(rows[local])
@@ -221,7 +236,7 @@ class Dedup:
         h, check, own, at = h[order], check[order], own[order], at[order]
         new = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])) if len(h) else np.empty(0, bool)
         gone = own > own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else new
-        return _by_doc(np.concatenate([docs, own[gone]]), np.concatenate([places, at[gone]]))
+        return _by_group(np.concatenate([docs, own[gone]]), np.concatenate([places, at[gone]]), self.buckets)
 
     def finish(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -229,7 +244,7 @@ class Dedup:
             rows = []
             for i, (doc, found) in enumerate(zip(column(part, "doc_id").to_pylist(), column(part, "hits").to_pylist(), strict=True)):
                 n = int(words.counts[i])
-                places = np.frombuffer(b"".join(found or []), "<u4").astype(np.int64)
+                places = np.frombuffer(found or b"", "<u4").astype(np.int64)
                 places = places[places + self.window <= n]
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, places, 1)
@@ -264,12 +279,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, bucket_cha
     buckets = max(shuffle_partitions(spark), int(chars // bucket_chars) + 1)
     job = Dedup(window, block, buckets)
     known = rows.where("doc_id is not null")
-    hits = known.mapInArrow(job.probes, PROBES).groupBy("bucket").applyInPandas(job.hits, HITS)
-    hits = materialize(hits, "hits").groupBy("doc_id").agg(F.collect_list("places").alias("hits"))
+    hits = materialize(job.exchanged(known, job.probes, job.hits), "hits").withColumnRenamed("places", "hits")
     staged = materialize(rows.join(hits, "doc_id", "left").mapInArrow(job.stage, "doc_id long, n_words long, kept_sha256 string, text string, starts binary"), "staged")
     done = staged.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     pending = staged.where("text is not null").select("doc_id", "text", "starts")
-    gone = pending.mapInArrow(job.windows, PROBES).groupBy("bucket").applyInPandas(job.removed, HITS)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("places").alias("hits"))
+    gone = materialize(job.exchanged(pending, job.windows, job.removed), "gone").withColumnRenamed("places", "hits")
     rest = pending.drop("starts").join(gone, "doc_id", "left").mapInArrow(job.finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return done.unionByName(rest)
