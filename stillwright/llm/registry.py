@@ -6,14 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stillwright.llm.common import table
+from stillwright.llm.decontamination import contaminations
 from stillwright.llm.fingerprints import fingerprints
+from stillwright.llm.jaccard_join import near_duplicates
 from stillwright.llm.main_text import extract_main_text
 from stillwright.llm.packing import pack
+from stillwright.llm.pii import pseudonymise
 from stillwright.llm.quality import quality_scores
+from stillwright.llm.sharding import shards
 from stillwright.llm.substring_dedup import remove_repeats
 from stillwright.llm.token_counts import token_counts
 
 
+#: The key of the registered queries; a deployment passes its own secret.
+KEY = "registered-query-key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), KEY)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
 
@@ -22,6 +34,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"), limit_bytes=4_000_000)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -30,6 +46,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=13, block=7)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -38,5 +58,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_classifier, op5_fingerprints, op6_substring_dedup, op8_token_counts, op9_html_extraction)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_quality_classifier, op4_sharding, op5_fingerprints, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_html_extraction, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}

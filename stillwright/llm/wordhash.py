@@ -18,7 +18,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def constants(n: int, seed: int = 0) -> np.ndarray:
     """n odd 64-bit constants made from a seed."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(seed * 0x5851F42D4C957F2D & MASK)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.full(n, seed * 0x5851F42D4C957F2D & MASK, np.uint64)) | np.uint64(1)
 
 
 class _Powers:
