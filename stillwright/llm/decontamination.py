@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import texts
+from stillwright.llm.common import bound, texts
 
 #: Masks of equal span; a mark compares the word at its place.
 MASKS = ("1101001011", "1011010011")
@@ -40,9 +40,9 @@ def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
 
 def _seeded(rows: DataFrame, key: str, span: int) -> DataFrame:
     """key, seed, place of every seed."""
-    hashed = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    found = hashed.select(key, F.size("h").alias("n"), seeds(F.col("h")).alias("s")).where(F.size("s") > 0)
-    return found.select(key, "n", F.posexplode("s").alias("k", "seed")).select(key, "seed", (F.col("k") % (F.col("n") - span + 1)).alias("place"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    found = rows.select(key, bound(hashes, lambda h: F.struct(F.size(h).alias("n"), seeds(h).alias("s"))).alias("f"))
+    return found.select(key, "f.n", F.posexplode("f.s").alias("k", "seed")).select(key, "seed", (F.col("k") % (F.col("n") - span + 1)).alias("place"))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, equal: int = EQUAL, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -70,11 +70,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
     item_words = items.withColumnRenamed("words", "item")
     hits = hits.join(F.broadcast(item_words) if n <= broadcast_seeds else item_words, "item_id")
-    both = hits.join(rows, "doc_id").select("doc_id", "item_id", "shift", "item", words(F.col("text")).alias("words"))
-    same = F.transform("item", lambda w, k: F.when(F.get(F.col("words"), F.col("shift") + k) == w, 1).otherwise(0))
-    checked = both.select("doc_id", "item_id", F.size("item").alias("item_words"), same.alias("same"))
-    width = F.least(F.lit(window), F.col("item_words"))
-    sums = F.transform(F.sequence(F.lit(1), F.col("item_words") - width + 1), lambda i: F.aggregate(F.slice("same", i, width), F.lit(0), lambda a, x: a + x))
-    checked = checked.select("doc_id", "item_id", "item_words", F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"), F.array_max(sums).alias("window_matched"))
+
+    def verified(item: Column, text: Column, shift: Column) -> Column:
+        width = F.least(F.lit(window), F.size(item))
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+        best = lambda same: F.array_max(F.transform(F.sequence(F.lit(1), F.size(item) - width + 1), lambda i: total(F.slice(same, i, width))))
+        same = bound(words(text), lambda mine: F.transform(item, lambda w, k: F.when(F.get(mine, shift + k) == w, 1).otherwise(0)))
+        return bound(same, lambda x: F.struct(F.size(item).alias("item_words"), total(x).alias("matched"), best(x).alias("window_matched")))
+
+    checked = hits.join(rows, "doc_id").select("doc_id", "item_id", verified(F.col("item"), F.col("text"), F.col("shift")).alias("v")).select("doc_id", "item_id", "v.*")
     enough = F.col("window_matched") * window >= F.least(F.lit(window), F.col("item_words")) * equal
     return checked.where(enough).groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("item_words", "matched", "window_matched")])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import texts
+from stillwright.llm.common import bound, texts
 
 ROUNDS = 10
 #: Days that dates are permuted among: FIRST_DAY and the MOD_A * MOD_B - 1 days after it.
@@ -43,11 +43,6 @@ def feistel(a: Column, b: Column, mod_a: Column, mod_b: Column, key: str, tweak:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A string of 2 to 18 digits as another one of the same length."""
     n = F.length(digits)
@@ -55,7 +50,7 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
     tweak = F.concat(F.lit(kind + "/"), n.cast("string"))
     new = feistel(F.substr(digits, F.lit(1), u).cast("long"), F.substr(digits, u + 1, n - u).cast("long"), power(u), power(n - u), key, tweak)
-    return _bound(new, lambda x: F.concat(F.lpad(x["a"].cast("string"), u, F.lit("0")), F.lpad(x["b"].cast("string"), n - u, F.lit("0"))))
+    return bound(new, lambda x: F.concat(F.lpad(x["a"].cast("string"), u, F.lit("0")), F.lpad(x["b"].cast("string"), n - u, F.lit("0"))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,23 +81,23 @@ def refilled(value: Column, digits: Column) -> Column:
 def _card(value: Column, key: str) -> Column:
     def new(digits: Column) -> Column:
         body = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
-        return _bound(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+        return bound(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return _bound(_only_digits(value), lambda d: F.when((_luhn(d) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), refilled(value, new(d))).otherwise(value))
+    return bound(_only_digits(value), lambda d: F.when((_luhn(d) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), refilled(value, new(d))).otherwise(value))
 
 
 def _plain(value: Column, key: str, kind: str, skip: int = 0) -> Column:
     """All digits but the first `skip` permuted."""
-    return _bound(_only_digits(value), lambda d: refilled(value, F.concat(F.substr(d, F.lit(1), F.lit(skip)), permuted_digits(F.substr(d, F.lit(skip + 1), F.length(d) - skip), key, kind))))
+    return bound(_only_digits(value), lambda d: refilled(value, F.concat(F.substr(d, F.lit(1), F.lit(skip)), permuted_digits(F.substr(d, F.lit(skip + 1), F.length(d) - skip), key, kind))))
 
 
 def _address(value: Column, key: str) -> Column:
     def new(o: Column) -> Column:
         x = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))
-        return _bound(x, lambda y: F.concat_ws(".", *[z.cast("string") for z in ((y["a"] / 256).cast("int"), (y["a"] % 256).cast("int"), (y["b"] / 256).cast("int"), (y["b"] % 256).cast("int"))]))
+        return bound(x, lambda y: F.concat_ws(".", *[z.cast("string") for z in ((y["a"] / 256).cast("int"), (y["a"] % 256).cast("int"), (y["b"] / 256).cast("int"), (y["b"] % 256).cast("int"))]))
 
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
-    return _bound(octets, lambda o: F.when(F.forall(o, lambda x: x < 256), new(o)).otherwise(value))
+    return bound(octets, lambda o: F.when(F.forall(o, lambda x: x < 256), new(o)).otherwise(value))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -117,14 +112,14 @@ def _date(value: Column, key: str) -> Column:
     def new(day: Column) -> Column:
         k = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         moved = feistel(F.floor(k / MOD_B), k % MOD_B, F.lit(MOD_A), F.lit(MOD_B), key, F.lit("date"))
-        date = _bound(moved, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * MOD_B + x["b"]).cast("int")))
-        return _bound(date, lambda x: F.when(is_iso, F.date_format(x, "yyyy-MM-dd")).when(sep == ".", F.date_format(x, "dd.MM.yyyy")).when(month_first, F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
+        date = bound(moved, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * MOD_B + x["b"]).cast("int")))
+        return bound(date, lambda x: F.when(is_iso, F.date_format(x, "yyyy-MM-dd")).when(sep == ".", F.date_format(x, "dd.MM.yyyy")).when(month_first, F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
 
     def checked(day: Column) -> Column:
         k = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         return F.when(day.isNotNull() & k.between(0, MOD_A * MOD_B - 1), new(day)).otherwise(value)
 
-    return _bound(day, checked)
+    return bound(day, checked)
 
 
 def _mail(value: Column, key: str) -> Column:
@@ -165,7 +160,7 @@ def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
         return F.struct(F.array_join(parts, "").alias("text"), changed.alias("n"))
 
     # texts without a digit or an at sign hold none of the kinds and are not searched
-    out = F.when(text.rlike("[0-9@]"), _bound(named, woven)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+    out = F.when(text.rlike("[0-9@]"), bound(named, woven)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
     return out["text"], out["n"]
 
 
