@@ -1,12 +1,55 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept.
+
+Quality classifier (rejected documents go), n-gram Jaccard join (the least id of each class stays),
+benchmark decontamination (documents that hold an item go), pseudonyms in the texts, packing.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stillwright.llm.common import materialize, table
+from stillwright.llm.decontamination import contaminations
+from stillwright.llm.jaccard_join import near_duplicates
+from stillwright.llm.packing import pack
+from stillwright.llm.pii import pseudonymise
+from stillwright.llm.quality import quality_scores
+from stillwright.llm.registry import KEY
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of low quality go."""
+    rejected = quality_scores(docs, table(spark, sf_dir, "labels"), threshold=0.3).where("predicted = 0").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays; rows without an id stay."""
+    gone = near_duplicates(docs, shingle=5, threshold=0.8).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contaminations(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers and dates in the texts become pseudonyms; null texts become empty."""
+    return pseudonymise(docs, KEY, keep=("lang", "source")).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pseudonyms", pseudonyms), ("packing", packing)]
 #: The stages fit models and hash texts, which SQL does not express.
 ORACLE_SQL = None
 

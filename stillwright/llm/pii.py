@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import bound, texts
+from stillwright.llm.common import bound
 
 ROUNDS = 10
 #: Days that dates are permuted among: FIRST_DAY and the MOD_A * MOD_B - 1 days after it.
@@ -164,12 +164,13 @@ def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
     return out["text"], out["n"]
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, text, n_replaced of every row: one map, no shuffle and no Python.
+def pseudonymise(docs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_replaced and the columns to keep of every row: one map, no shuffle and no Python.
 
     Null text is empty. Equal values get equal pseudonyms in whatever document; repeated rows stay
     equal. Ids, null ones too, pass through. An empty table gives an empty result. Other columns are
     not read.
     """
     text, n = pseudonymised(F.col("text"), key)
-    return texts(docs).select("doc_id", F.struct(text.alias("text"), n.alias("n")).alias("r")).select("doc_id", "r.text", F.col("r.n").cast("long").alias("n_replaced"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *[docs[c] for c in keep])
+    return rows.select("doc_id", F.struct(text.alias("text"), n.alias("n")).alias("r"), *keep).select("doc_id", "r.text", F.col("r.n").cast("long").alias("n_replaced"), *keep)
