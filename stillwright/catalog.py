@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stillwright.plans import frames, identities, texts  # noqa: F401  they enter their queries
+from stillwright.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
