@@ -78,8 +78,8 @@ def band_join_moments(spark, sf_dir):
     return band_join(others, moments, "sec", "at", 120).select("moment", "frame", F.abs(F.col("sec") - F.col("at")).alias("distance"))
 
 
-@query(f"""WITH b AS (SELECT min({SEC}) AS lo FROM events), p AS (SELECT i::BIGINT AS pin, lo + i * 12611 AS at FROM b, range(0, 200) t(i)), e AS (SELECT event_id, {SEC} AS sec FROM events),
-j AS (SELECT pin, event_id, abs(sec - at)::BIGINT AS distance, row_number() OVER (PARTITION BY pin ORDER BY abs(sec - at), event_id) AS r FROM p, e)
+@query(f"""WITH b AS (SELECT min({SEC}) AS lo FROM events), p AS (SELECT i::BIGINT AS pin, lo + i * 12611 AS pin_at FROM b, range(0, 200) t(i)), e AS (SELECT event_id, {SEC} AS sec FROM events),
+j AS (SELECT pin, event_id, abs(sec - pin_at)::BIGINT AS distance, row_number() OVER (PARTITION BY pin ORDER BY abs(sec - pin_at), event_id) AS r FROM p, e)
 SELECT pin, event_id, distance, distance > 3 AS far FROM j WHERE r = 1""")
 def nearest_pin(spark, sf_dir):
     """The event nearest to each of 200 instants, and whether it is more than three seconds away."""

@@ -182,7 +182,7 @@ def hash_near_pairs(spark, sf_dir):
 
 
 @query(r"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents), k AS (SELECT word FROM w WHERE regexp_full_match(word, '[A-Za-zÀ-ÖØ-öø-ÿ]+'))
-SELECT word, upper(substr(strip_accents(word), 1, 1)) || substr(strip_accents(word), 2) AS folded FROM k""")
+SELECT word, replace(upper(substr(strip_accents(word), 1, 1)), 'ẞ', 'SS') || substr(strip_accents(word), 2) AS folded FROM k""")
 def accent_fold(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).where(F.col("word").rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]+$")).distinct()
     return words.select("word", folded_name(F.col("word")).alias("folded"))
