@@ -51,7 +51,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished job
+    # Spark's cleaner drops the shuffle files of jobs that nothing refers to any more; the session
+    # itself refers to its latest one, hence an empty job before
+    spark.range(0).write.format("noop").mode("overwrite").save()
+    jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
