@@ -26,23 +26,21 @@ def words(text: Column) -> Column:
 
 
 def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Of an array of word hashes the seed hashes at every place, mask after mask."""
-    span = len(masks[0])
-    count = F.greatest(F.size(hashes) - span + 1, F.lit(0))
+    """Of an array of word hashes the seed hashes of all masks at the first place, at the second, and so on."""
+    count = F.size(hashes) - len(masks[0]) + 1
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
-    def at(number: int, mask: str) -> Column:
-        marked = [k for k, c in enumerate(mask) if c == "1"]
-        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(F.lit(number), *[F.get(hashes, i + k) for k in marked]))
+    def at(i: Column) -> Column:
+        return F.array(*[F.xxhash64(F.lit(n), *[F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1"]) for n, mask in enumerate(masks)])
 
-    return F.concat(*[at(n, m) for n, m in enumerate(masks)])
+    return F.flatten(F.transform(places, at))
 
 
-def _seeded(rows: DataFrame, key: str, span: int) -> DataFrame:
-    """key, seed, place of every seed."""
+def _seeded(rows: DataFrame, key: str) -> DataFrame:
+    """key, seed, place of every seed; what is exploded is the key and the hashes alone."""
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    found = rows.select(key, bound(hashes, lambda h: F.struct(F.size(h).alias("n"), seeds(h).alias("s"))).alias("f"))
-    return found.select(key, "f.n", F.posexplode("f.s").alias("k", "seed")).select(key, "seed", (F.col("k") % (F.col("n") - span + 1)).alias("place"))
+    found = rows.select(key, F.posexplode(bound(hashes, seeds)).alias("k", "seed"))
+    return found.select(key, "seed", F.floor(F.col("k") / len(MASKS)).cast("int").alias("place"))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, equal: int = EQUAL, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -61,12 +59,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     span = len(MASKS[0])
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words(F.col("text")).alias("words"))
-    item_seeds = _seeded(items, "item_id", span).withColumnRenamed("place", "item_place")
+    item_seeds = _seeded(items, "item_id").withColumnRenamed("place", "item_place")
     rows = texts(docs).where("doc_id is not null")
     n = items.agg(F.sum(F.greatest(F.size("words") - span + 1, F.lit(0)) * len(MASKS))).first()[0] or 0
     if n <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
-    hits = _seeded(rows.select("doc_id", words(F.col("text")).alias("words")), "doc_id", span).join(item_seeds, "seed")
+    hits = _seeded(rows.select("doc_id", words(F.col("text")).alias("words")), "doc_id").join(item_seeds, "seed")
     hits = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
     item_words = items.withColumnRenamed("words", "item")
     hits = hits.join(F.broadcast(item_words) if n <= broadcast_seeds else item_words, "item_id")
