@@ -39,7 +39,7 @@ def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
 def _seeded(rows: DataFrame, key: str) -> DataFrame:
     """key, seed, place of every seed; what is exploded is the key and the hashes alone."""
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    found = rows.select(key, F.posexplode(bound(hashes, seeds)).alias("k", "seed"))
+    found = rows.select(key, F.posexplode(bound(hashes, lambda h: seeds(h))).alias("k", "seed"))
     return found.select(key, "seed", F.floor(F.col("k") / len(MASKS)).cast("int").alias("place"))
 
 
