@@ -39,7 +39,7 @@ def tile_count(n: Column, tile: Column, overlap: int = 32) -> Column:
     return ((padded(n, tile, overlap) - tile) / (tile - overlap)).cast("int") + 1
 
 
-def tile_choice(images: DataFrame, key: str, h: str, w: str, sizes: tuple[int, ...] = (128, 256, 384)) -> DataFrame:
+def tile_choice(images: DataFrame, key: str, h: str, w: str, sizes: tuple[int, ...] = (128, 192, 256, 384)) -> DataFrame:
     """key, tile, tiles, pixels: the tile size with the fewest computed pixels, the smallest of equals."""
     def cost(c: int) -> Column:
         n = (tile_count(F.col(h), F.lit(c)) * tile_count(F.col(w), F.lit(c))).cast("bigint")

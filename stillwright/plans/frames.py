@@ -177,7 +177,7 @@ def _tiles(n: str, c: str) -> str:
     return f"((greatest(0, {n} - {c}) + ({c} - 32) - 1) // ({c} - 32) + 1)"
 
 
-@query(f"""WITH {TILES_SQL}, c(c) AS (VALUES (128), (256), (384)), k AS (SELECT p_partkey, c, {_tiles("h", "c")} * {_tiles("w", "c")} AS tiles FROM p, c), r AS (SELECT *, tiles * c * c AS pixels, row_number() OVER (PARTITION BY p_partkey ORDER BY tiles * c * c, c) AS r FROM k)
+@query(f"""WITH {TILES_SQL}, c(c) AS (VALUES (128), (192), (256), (384)), k AS (SELECT p_partkey, c, {_tiles("h", "c")} * {_tiles("w", "c")} AS tiles FROM p, c), r AS (SELECT *, tiles * c * c AS pixels, row_number() OVER (PARTITION BY p_partkey ORDER BY tiles * c * c, c) AS r FROM k)
 SELECT p_partkey, c::BIGINT AS tile, tiles::BIGINT AS tiles, pixels::BIGINT AS pixels FROM r WHERE r = 1""")
 def tile_choice(spark, sf_dir):
     return frames.tile_choice(images(spark, sf_dir), "p_partkey", "h", "w").withColumn("tile", F.col("tile").cast("bigint"))
