@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stillwright.llm import oracles
 from stillwright.llm.common import table
-from stillwright.llm.decontamination import contaminations
+from stillwright.llm.decontamination import EQUAL, MASKS, WINDOW, contaminations
 from stillwright.llm.fingerprints import fingerprints
 from stillwright.llm.jaccard_join import near_duplicates
 from stillwright.llm.main_text import extract_main_text
@@ -20,6 +21,8 @@ from stillwright.llm.token_counts import token_counts
 
 #: The key of the registered queries; a deployment passes its own secret.
 KEY = "registered-query-key"
+#: Bytes of text that a shard holds at most.
+SHARD_BYTES = 64_000_000
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents"), limit_bytes=4_000_000)
+    return shards(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +66,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_quality_classifier, op4_sharding, op5_fingerprints, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_html_extraction, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+#: What SQL cannot express (kernels, digests, merges, trees) is tested against plain Python in tests/llm.
+ORACLES: dict[str, str] = {
+    "op4_sharding": oracles.SHARDING.format(limit=SHARD_BYTES),
+    "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op7_decontamination": oracles.decontamination(MASKS, WINDOW, EQUAL),
+    "op10_jaccard_join": oracles.JACCARD_JOIN,
+}
