@@ -36,8 +36,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 class WordIds:
     """Token ids of texts for a tokenizer whose pre-tokens never reach across white space.
 
-    What stands between white space is encoded once and remembered as the bytes of its ids. Plain
-    Latin words are merged in arrays, all new ones of a step together; others go to the library.
+    What stands between white space is encoded once and remembered as the bytes of its ids, and so are
+    the pre-tokens it consists of. Plain Latin ones are merged in arrays, all new ones of a step together; others go to the library.
     """
 
     #: White space of the tokenizer's pattern; str.split() also takes \\x1c-\\x1f.
@@ -54,13 +54,15 @@ class WordIds:
 
         self.tokenizer, self.bpe, self.memory = Tokenizer.from_file(path), ArrayBPE(path), memory
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         simple = [w for w in words if self.plain.fullmatch(w) and "<|" not in w]
         parts = [self.pattern.findall(w.lower()) for w in simple]
-        distinct = list({p for ps in parts for p in ps})
-        ids = dict(zip(distinct, self.bpe.encode([p.encode() for p in distinct]), strict=True))
-        self.known.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(simple, parts, strict=True))
+        fresh = list({p for ps in parts for p in ps} - self.parts.keys())
+        self.parts.update(zip(fresh, self.bpe.encode([p.encode() for p in fresh]), strict=True))
+        get = self.parts.__getitem__
+        self.known.update((w, b"".join(map(get, ps))) for w, ps in zip(simple, parts, strict=True))
         if others := list(words.difference(simple)):
             found = self.tokenizer.encode_batch(others, add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found, strict=True))
@@ -68,8 +70,9 @@ class WordIds:
     def encode(self, block: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [[w for w in self.space.split(t) if w] if self.odd.search(t) else t.split() for t in block]
-        if len(self.known) > self.memory:
-            self.known.clear()
+        for held in (self.known, self.parts):
+            if len(held) > self.memory:
+                held.clear()
         self._learn(set().union(*split) - self.known.keys())
         get = self.known.__getitem__
         return (b"".join(map(get, words)) for words in split)
