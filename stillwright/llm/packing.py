@@ -100,7 +100,9 @@ def pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int, memory: int
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """min |a x - b| over x >= 0, by the active-set method."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    slope = a.T @ b
+    gram, slope = a.T @ a, a.T @ b
+    target = slope.copy()
+    gram[np.diag_indices_from(gram)] += 1e-10
     least = 1e-9 * max(1.0, float(np.abs(slope).max(initial=0)))
     for _ in range(rounds):
         slope[free] = -np.inf
@@ -110,7 +112,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         free[j] = True
         while True:
             at = np.flatnonzero(free)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            s = np.linalg.solve(gram[np.ix_(at, at)], target[at])
             if s.min(initial=1) > 0:
                 x[:] = 0
                 x[at] = s
@@ -121,7 +123,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
             gone = at[low & (x[at] <= 1e-9)]
             gone = gone if len(gone) else at[low][:1]
             x[gone], free[gone] = 0, False
-        slope = a.T @ (b - a @ x)
+        slope = target - gram @ x
     return x
 
 
