@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwright.operators.ranking import checkpointed
+
 #: Rows of the small side of a similarity join that go to every task at most.
 BROADCAST_ROWS = 200_000
 
@@ -20,20 +22,39 @@ def band_join(left: DataFrame, right: DataFrame, left_sec: str, right_sec: str,
     return pairs.where(F.abs(F.col(left_sec) - F.col(right_sec)) <= width).drop("_bucket")
 
 
-def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str, item_sec: str, width: int) -> DataFrame:
-    """pin, item, distance: the item nearest in time, the least item of equals. Within `width` seconds by a band
-    join; a pin with none there is compared with the last item before and the first after it."""
+def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str, item_sec: str, width: int, widen: int = 16) -> DataFrame:
+    """pin, item, distance: the item nearest in time, the least item of equals.
+
+    A band join of `width` seconds; pins without an item there try again with a band `widen` times as
+    wide, against the first and last item of each bucket of `width` only: an item nearest to a pin more
+    than `width` away is one of them. Every step is an equi-join, and there are as many as the
+    logarithm of the span.
+    """
     def best(pairs: DataFrame) -> DataFrame:
         far = F.abs(F.col(item_sec) - F.col(pin_sec))
         return pairs.groupBy(pin).agg(F.min(F.struct(far.alias("distance"), F.col(item).alias(item))).alias("m")).select(pin, "m." + item, "m.distance")
 
-    found = best(band_join(items, pins, item_sec, pin_sec, width))
+    items = items.select(item, item_sec)
+    found = checkpointed(best(band_join(items, pins, item_sec, pin_sec, width)))
     left = pins.join(found.select(pin), pin, "left_anti")
-    # occupied buckets are a summary of the items: a pin beyond `width` of all of them needs only the ends of the buckets around it
-    ends = items.groupBy(F.floor(F.col(item_sec) / width).alias("_b")).agg(F.min(F.struct(item_sec, item)).alias("lo"), F.min(F.struct((-F.col(item_sec)).alias("s"), F.col(item).alias("i"))).alias("hi"))
-    lo = left.join(ends, F.col("lo." + item_sec) >= F.col(pin_sec)).groupBy(pin, pin_sec).agg(F.min("lo").alias("m")).select(pin, pin_sec, "m.*")
-    hi = left.join(ends, -F.col("hi.s") <= F.col(pin_sec)).groupBy(pin, pin_sec).agg(F.min("hi").alias("m")).select(pin, pin_sec, (-F.col("m.s")).alias(item_sec), F.col("m.i").alias(item))
-    return found.unionByName(best(lo.unionByName(hi)))
+    ends = None
+    while not left.isEmpty():
+        if ends is None:
+            lo, hi = items.agg(F.min(item_sec), F.max(item_sec)).first()
+            if lo is None:
+                break
+            a, b = left.agg(F.min(pin_sec), F.max(pin_sec)).first()
+            span = max(hi, b) - min(lo, a)
+            sides = [F.min(F.struct((sign * F.col(item_sec)).alias("s"), item)).alias("m") for sign in (1, -1)]
+            by = items.groupBy(F.floor(F.col(item_sec) / width).alias("_b"))
+            first, last = (by.agg(side).select(F.col("m." + item), (sign * F.col("m.s")).alias(item_sec)) for side, sign in zip(sides, (1, -1), strict=True))
+            ends = checkpointed(first.unionByName(last))
+        if width >= span:  # what is left has no time
+            break
+        width = min(width * widen, span)
+        found = checkpointed(found.unionByName(best(band_join(ends, left, item_sec, pin_sec, width))))
+        left = pins.join(found.select(pin), pin, "left_anti")
+    return found
 
 
 def best_centroid(items: DataFrame, centroids: DataFrame, item: str, vector: str, threshold: float, most: int = BROADCAST_ROWS) -> DataFrame:
