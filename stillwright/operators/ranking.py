@@ -42,3 +42,11 @@ def cast_size(scores: DataFrame, group: str, score: str, cap: int = 4, drop: flo
     top = scores.withColumn("i", F.row_number().over(w) - 1).where(F.col("i") < cap).withColumn("before", F.lag(score).over(w))
     cut = F.min(F.when(F.col(score) < drop * F.col("before"), F.col("i")))
     return top.groupBy(group).agg(F.greatest(F.lit(least), F.coalesce(cut, F.count(F.lit(1)).cast("int"))).cast("long").alias("cast_size"))
+
+
+def numbered_extras(extras: DataFrame, chosen: DataFrame) -> DataFrame:
+    """number of each extra (doc, pos, kind): counted by kind; those of kind 'chung' go on after the automatic group stills in chosen (doc, role)."""
+    w = Window.partitionBy("doc", "kind").orderBy("pos")
+    taken = chosen.where("role = 'chung'").groupBy("doc").agg(F.count(F.lit(1)).alias("_taken"))
+    out = extras.withColumn("_n", F.row_number().over(w)).join(taken, "doc", "left")
+    return out.withColumn("number", F.col("_n") + F.when(F.col("kind") == "chung", F.coalesce("_taken", F.lit(0))).otherwise(0)).drop("_n", "_taken")

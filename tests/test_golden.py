@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillwright.functions import text as t
-from stillwright.functions import timing, vectors
+from stillwright.functions import layout, timing, vectors
 from stillwright.operators import buckets, frames
 from stillwright.operators.greedy import exclusive_matches, greedy_clusters, suppressed
 from stillwright.operators.matching import band_join, best_centroid, by_prefix, nearest
-from stillwright.operators.ranking import cast_size, global_rank
+from stillwright.operators.ranking import cast_size, global_rank, numbered_extras
 from stillwright.sources import annotations as a
 from stillwright.sources import sinks
 
@@ -232,3 +232,51 @@ def test_streams(spark, tmp_path):
     assert {(r["stem"], r["suffix"]) for r in spark.read.parquet(out).collect()} == {("a", ".mp4"), ("b", ".srt")} and spark.read.parquet(out).count() == 2
     events = spark.createDataFrame([("2024-01-01 00:10:00", "u"), ("2024-01-01 00:50:00", "u")], "ts string, k string").select(F.col("ts").cast("timestamp").alias("ts"), "k")
     assert windowed_tally(events, "ts", "k").first()["n"] == 2
+
+
+def _wrap(text, width, most):
+    lines, cur = [], ""
+    for w in text.split():
+        longer = f"{cur} {w}".strip()
+        if width(longer) <= most or not cur:
+            cur = longer
+        else:
+            lines.append(cur)
+            cur = w
+        if not lines and cur.endswith(","):
+            lines, cur = [cur], ""
+    return [*lines, *([cur] if cur else [])]
+
+
+@pytest.mark.parametrize("text", ["", "one", "a few words, and then some more, which go on", "averyverylongwordindeed, x", "no comma at all in these words here"])
+def test_titles_wrap_and_fit(spark, text):
+    widths = F.create_map(F.lit("a"), F.lit(0.5), F.lit(" "), F.lit(0.25))
+    width = lambda s, size: size * sum({"a": 0.5, " ": 0.25}.get(c, 0.6) for c in s)
+    assert one(spark, layout.wrapped(F.lit(text), widths, F.lit(20), F.lit(150))) == _wrap(text, lambda s: width(s, 20), 150)
+    got = one(spark, layout.fitted(F.lit(text), widths, F.lit(300.0), F.lit(120.0), 60))
+    for size in range(60, 18, -2):
+        lines = _wrap(text, lambda s: width(s, size), 300)
+        if len(lines) * int(size * 1.18) <= 120 and all(width(x, size) <= 300 for x in lines):
+            assert tuple(got) == (size, lines, int(size * 1.18))
+            break
+    else:
+        assert (got["size"], got["line_height"]) == (20, 24)
+
+
+def test_pixel_arithmetic(spark):
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 256, (9, 11)).astype(float)
+    p = np.pad(g, 1, mode="reflect")
+    lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
+    rows = spark.createDataFrame([(g.tolist(),), (g[:7].tolist(),), (None,)], "r array<array<double>>")
+    got = [r["x"] for r in rows.select(layout.sharpness(F.col("r")).alias("x")).collect()]
+    assert got[0] == pytest.approx(lap.var()) and got[1:] == [0.0, 0.0]
+    assert [one(spark, layout.on_white(F.lit(v), F.lit(a))) for v, a in ((10, 255), (10, 0), (0, 127))] == [10, 255, 128]
+    size = lambda *x: one(spark, layout.target_size(*[F.lit(v) for v in x]))
+    assert tuple(size(720, 1280, 640, 4.0)) == (360, 640) and tuple(size(5, 5, 0, 0.5)) == (2, 2) and size(720, 1280, 0, 4.0) is None and size(720, 1280, 5120, 4.0) is None
+
+
+def test_extras_continue_the_group_numbers(spark):
+    extras = spark.createDataFrame([("d", 1, "vat"), ("d", 2, "chung"), ("d", 5, "vat"), ("e", 1, "chung")], "doc string, pos int, kind string")
+    chosen = spark.createDataFrame([("d", "chung"), ("d", "chung"), ("d", "nam")], "doc string, role string")
+    assert {(r["doc"], r["pos"]): r["number"] for r in numbered_extras(extras, chosen).collect()} == {("d", 1): 1, ("d", 2): 3, ("d", 5): 2, ("e", 1): 1}
