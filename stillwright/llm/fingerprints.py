@@ -181,8 +181,9 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
+    ranges = 4 * n  # several to a partition, so that where they fall by hash evens out
     rows = texts(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST)))
-    cuts = np.array(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10000).alias("c")).first()["c"] or [], np.int64)
+    cuts = np.array(rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("c")).first()["c"] or [], np.int64)
     cuts = np.unique(cuts)
 
     @F.pandas_udf("int")
