@@ -91,6 +91,20 @@ def _plain(value: Column, key: str, kind: str, skip: int = 0) -> Column:
     return bound(_only_digits(value), lambda d: refilled(value, F.concat(F.substr(d, F.lit(1), F.lit(skip)), permuted_digits(F.substr(d, F.lit(skip + 1), F.length(d) - skip), key, kind))))
 
 
+def _social(value: Column, key: str) -> Column:
+    """Areas 1 to 899 but 666, groups from 1, serials from 1: permuted among the numbers that can be issued."""
+    part = lambda a, n: F.substr(value, F.lit(a), F.lit(n)).cast("int")
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+
+    def new(x: Column) -> Column:
+        i = F.floor(x["a"] / 99).cast("int")
+        return F.format_string("%03d-%02d-%04d", i + F.when(i >= 665, 2).otherwise(1), (x["a"] % 99 + 1).cast("int"), (x["b"] + 1).cast("int"))
+
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(valid, bound(feistel(place, serial - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("social")), new)).otherwise(value)
+
+
 def _address(value: Column, key: str) -> Column:
     def new(o: Column) -> Column:
         x = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))
@@ -143,7 +157,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(full(ADDRESS), _address(value, key))
         .when(full(DATE), _date(value, key))
         .when(value.startswith("+"), _plain(value, key, "phone", 1))
-        .when(full(SOCIAL), _plain(value, key, "social"))
+        .when(full(SOCIAL), _social(value, key))
         .when(full(CARD), _card(value, key))
         .otherwise(_secret(value, key))
     )

@@ -251,7 +251,7 @@ def _luhn(s):
 def test_pseudonyms(spark, empty):
     cards = ["4417744280351547", "4417 7442 8035 1547"]
     values = [*cards, "+1 (017) 555-7713", "152.143.123.131", "1984-02-29", "31.12.1999", "12/31/1999", "123-45-6789", "die.55@mail4.example.com", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
-    stay = ["9807915762804490", "999.1.1.1", "1984-02-30", "1.2.3.4.5", "version 2.0", "12345678901234567890123", "0000000000000000", "deadbeef"]
+    stay = ["9807915762804490", "999.1.1.1", "1984-02-30", "1.2.3.4.5", "version 2.0", "12345678901234567890123", "0000000000000000", "deadbeef", "000-12-3456", "666-12-3456", "123-00-4567"]
     rows = [(i, f"x {v}, and {v}! ") for i, v in enumerate(values)] + [(100 + i, f"y {v} z") for i, v in enumerate(stay)] + [(200, None), (201, ""), (None, f"<{cards[0]}>"), (202, " ".join(values))]
     got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, rows), "k").collect()}
     new = {}
@@ -271,6 +271,8 @@ def test_pseudonyms(spark, empty):
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii.permuted_digits(F.col("d"), "k", "t").alias("x"))
     assert {r["x"] for r in n.collect()} == {f"{i:03d}" for i in range(1000)}
+    social = spark.sql("select format_string('%03d-%02d-%04d', id % 898 + if(id % 898 >= 665, 2, 1), id % 99 + 1, id * 7 % 9999 + 1) d from range(3000)").select("d", pii._social(F.col("d"), "k").alias("x")).collect()
+    assert len({r["x"] for r in social}) == len({r["d"] for r in social}) == 3000 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", r["x"]) for r in social)
     dates = spark.sql("select date_format(date_add(date'1900-01-01', cast(id as int)), 'yyyy-MM-dd') d from range(0, 73000, 7)")
     moved = dates.select(pii._date(F.col("d"), "k").alias("x")).collect()
     assert len({r["x"] for r in moved}) == len(moved) and all("1900-01-01" <= r["x"] <= "2099-11-13" for r in moved)
