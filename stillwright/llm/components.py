@@ -11,11 +11,13 @@ from stillwright.llm.common import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b) with a > b. Large: neighbours above a node join the least of its neighbourhood.
     Small: a node and its neighbours below join the least of them."""
+    # the minima are written first: the join then has nothing but shuffles below it, so Spark can split
+    # a node that a third of all edges meet at, or send the minima to every task where they are few
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -33,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-        now = materialize(_star(_star(now, True), False), "edges")
+        now = materialize(_star(materialize(_star(now, True), "edges"), False), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
