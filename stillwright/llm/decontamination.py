@@ -50,8 +50,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     (all of a shorter item) has at least `equal` equal ones (the same share of a shorter item).
     matched: equal words of the best alignment. Items with fewer words than a mask spans can't be
     told from chance and match nothing; so do null and empty texts. Rows with a null doc_id or item_id
-    are left out. Repeated rows of an id are taken as one by their least text. Empty tables give an
-    empty result. Other columns are not read.
+    are left out. Of repeated items the least text counts, of repeated documents the best match. Empty
+    tables give an empty result. Other columns are not read.
 
     Seeds leave the documents' rows without their words, and each alignment is counted before it is
     shuffled, so a passage that many documents share is no hot key: rows are keyed by document.

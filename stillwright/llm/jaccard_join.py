@@ -164,8 +164,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     `threshold`. class_id: the least doc_id that a chain of links reaches. n_links: linked documents,
     equal ones among them (n_copies of those). Texts of fewer words are one shingle; texts without
     words, null ones too, are equal to each other. Repeated rows are copies of each other. A row
-    without an id gets its class and links, but names no class unless all of it have none (then null).
-    An empty table gives an empty result. Other columns are not read.
+    without an id has the class and links of the rows with an id that hold the same set; where there
+    is none, it is linked to its equals only and its class is null. Ids name documents: rows of one id
+    with different texts share a class, and their links are those of either. An empty table gives an
+    empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     prefix = prefix_length(threshold, trees, depth, recall)

@@ -203,6 +203,12 @@ def test_rows_without_an_id_have_classes(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in got if r["class_id"]) == [(0, 4, 2), (4, 4, 2), (9, 4, 2)]
 
 
+def test_rows_of_one_id_share_a_class(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    got = jaccard_join.near_duplicates(spark.createDataFrame([(1, a), (1, b), (2, b), (3, a + " z")], "doc_id bigint, text string")).collect()
+    assert len(got) == 4 and {r["class_id"] for r in got} == {1}
+
+
 def test_prefixes_shorten_until_the_recall():
     assert jaccard_join.prefix_length(0.8, 24, 8, 0.5) == 8
     r = jaccard_join.prefix_length(0.8, 24, 8, 0.9999)
