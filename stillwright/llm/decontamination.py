@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A seed is a fixed mask over consecutive words: the hash of the words at its marked places ignores
-the others, so a substitution there does not hide a match. Seeds of documents meet seeds of
-benchmark items; each alignment that any seed suggests is verified word by word.
+the others, so a substitution there does not hide a match. The masks are chosen so that every
+alignment that satisfies the rule shares a seed. Seeds of documents meet seeds of benchmark items;
+each alignment that any seed suggests is verified word by word.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from stillwright.llm.common import bound, texts
 
-#: Masks of equal span; a mark compares the word at its place.
-MASKS = ("1101001011", "1011010011")
+#: Masks for items from 10 words on; a mark compares the word at its place. Wherever 3 words of 13, or 2
+#: of 10 to 12, differ, one of them has a place without any (a test tries all).
+MASKS = ("111011", "1100001011", "11010011")
+LEAST_MASKED = max(map(len, MASKS))
 #: Words of the window that is verified, and those of it that must be equal.
 WINDOW, EQUAL = 13, 10
 #: Benchmark seeds that are broadcast at most; beyond it the join is a shuffled one.
@@ -25,46 +28,61 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Of an array of word hashes the seed hashes of all masks at the first place, at the second, and so on."""
-    count = F.size(hashes) - len(masks[0]) + 1
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+def masks_of(n: int, window: int = WINDOW, equal: int = EQUAL) -> tuple[str, ...]:
+    """Masks that every alignment of an item of n words meets if it satisfies the rule: those above, or
+    the run of equal words that is left between so many differing ones."""
+    width = min(n, window)
+    if width >= LEAST_MASKED and (window, equal) == (WINDOW, EQUAL):
+        return MASKS
+    least = -(-width * equal // window)
+    return ("1" * max(1, -(-least // (width - least + 1))),)
+
+
+def seeds(hashes: Column, masks: dict[str, Column | None]) -> Column:
+    """Of an array of word hashes the seed hashes of all masks at the first place, at the second, and so
+    on; null where a mask does not fit or its condition does not hold."""
+    places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
 
     def at(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(n), *[F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1"]) for n, mask in enumerate(masks)])
+        return F.array(*[F.when((i + len(mask) <= F.size(hashes)) & (F.lit(True) if only is None else only), F.xxhash64(F.lit(mask), *[F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1"])) for mask, only in masks.items()])
 
     return F.flatten(F.transform(places, at))
 
 
-def _seeded(rows: DataFrame, key: str) -> DataFrame:
+def _seeded(rows: DataFrame, key: str, masks: dict[str, Column | None]) -> DataFrame:
     """key, seed, place of every seed; what is exploded is the key and the hashes alone."""
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    found = rows.select(key, F.posexplode(bound(hashes, lambda h: seeds(h))).alias("k", "seed"))
-    return found.select(key, "seed", F.floor(F.col("k") / len(MASKS)).cast("int").alias("place"))
+    found = rows.select(key, F.posexplode(bound(hashes, lambda h: seeds(h, masks))).alias("k", "seed")).where("seed is not null")
+    return found.select(key, "seed", F.floor(F.col("k") / len(masks)).cast("int").alias("place"))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, equal: int = EQUAL, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, item_id, item_words, matched, window_matched of each document that holds an item's words.
 
-    A pair counts if, in an alignment that shares a seed, a window of `window` aligned words of the item
-    (all of a shorter item) has at least `equal` equal ones (the same share of a shorter item).
-    matched: equal words of the best alignment. Items with fewer words than a mask spans can't be
-    told from chance and match nothing; so do null and empty texts. Rows with a null doc_id or item_id
-    are left out. Of repeated items the least text counts, of repeated documents the best match. Empty
+    A pair counts if, in any alignment, a window of `window` aligned words of the item (all of a shorter
+    item) has at least `equal` equal ones (the same share of a shorter item, so of up to 4 words of 13
+    with 10 equal ones all). matched: equal words of the best such alignment. Items of a few common
+    words are found wherever these stand; null and empty texts match nothing. Rows with a null doc_id
+    or item_id are left out. Of repeated items the least text counts, of repeated documents the best match. Empty
     tables give an empty result. Other columns are not read.
 
     Seeds leave the documents' rows without their words, and each alignment is counted before it is
     shuffled, so a passage that many documents share is no hot key: rows are keyed by document.
     """
-    span = len(MASKS[0])
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words(F.col("text")).alias("words"))
-    item_seeds = _seeded(items, "item_id").withColumnRenamed("place", "item_place")
+    widths = {r["width"]: r["n"] for r in items.where(F.size("words") > 0).groupBy(F.least(F.size("words"), F.lit(window)).alias("width")).agg(F.sum(F.size("words")).alias("n")).collect()}
+    by_mask: dict[str, list[int]] = {mask: [] for mask in MASKS[:1]} if not widths else {}
+    for width in sorted(widths):
+        for mask in masks_of(width, window, equal):
+            by_mask.setdefault(mask, []).append(width)
+    width = F.least(F.size("words"), F.lit(window))
+    item_seeds = _seeded(items, "item_id", {mask: width.isin(found) for mask, found in by_mask.items()}).withColumnRenamed("place", "item_place")
     rows = texts(docs).where("doc_id is not null")
-    n = items.agg(F.sum(F.greatest(F.size("words") - span + 1, F.lit(0)) * len(MASKS))).first()[0] or 0
+    n = sum(words_in * len(masks_of(width, window, equal)) for width, words_in in widths.items())
     if n <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
-    hits = _seeded(rows.select("doc_id", words(F.col("text")).alias("words")), "doc_id").join(item_seeds, "seed")
+    hits = _seeded(rows.select("doc_id", words(F.col("text")).alias("words")), "doc_id", dict.fromkeys(by_mask)).join(item_seeds, "seed")
     hits = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
     item_words = items.withColumnRenamed("words", "item")
     hits = hits.join(F.broadcast(item_words) if n <= broadcast_seeds else item_words, "item_id")

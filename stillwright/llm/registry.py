@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stillwright.llm import oracles
 from stillwright.llm.common import table
-from stillwright.llm.decontamination import EQUAL, MASKS, WINDOW, contaminations
+from stillwright.llm.decontamination import EQUAL, WINDOW, contaminations
 from stillwright.llm.fingerprints import fingerprints
 from stillwright.llm.jaccard_join import near_duplicates
 from stillwright.llm.main_text import extract_main_text
@@ -66,10 +66,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_quality_classifier, op4_sharding, op5_fingerprints, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_html_extraction, op10_jaccard_join)}
+#: The seeds of op7's SQL, which finds a part only of what the query finds: tests/llm tries all alignments.
+SQL_MASKS = ("1101001011", "1011010011")
 #: What SQL cannot express (kernels, digests, merges, trees) is tested against plain Python in tests/llm.
 ORACLES: dict[str, str] = {
     "op4_sharding": oracles.SHARDING.format(limit=SHARD_BYTES),
     "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
-    "op7_decontamination": oracles.decontamination(MASKS, WINDOW, EQUAL),
+    "op7_decontamination": oracles.decontamination(SQL_MASKS, WINDOW, EQUAL),
     "op10_jaccard_join": oracles.JACCARD_JOIN,
 }

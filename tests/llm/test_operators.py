@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -247,6 +248,51 @@ def test_contaminations(spark, empty):
     assert decontamination.contaminations(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def _aligned(doc, item, window=13, equal=10):
+    """Every alignment tried, without seeds: (item words, matched, window_matched) or None."""
+    d, i = (re.findall(r"[^\W_]+", t.lower()) for t in (doc, item))
+    width, found = min(window, len(i)), []
+    for shift in range(-len(i) + 1, len(d)) if i else ():
+        same = [0 <= shift + k < len(d) and d[shift + k] == w for k, w in enumerate(i)]
+        best = max(sum(same[k : k + width]) for k in range(len(i) - width + 1))
+        if best * window >= width * equal:
+            found.append((sum(same), best))
+    return (len(i), max(m for m, _ in found), max(b for _, b in found)) if found else None
+
+
+def test_contaminations_equal_all_alignments(spark):
+    rnd = random.Random(8)
+    items = {n: " ".join(f"i{n}x{k % 9}" for k in range(n)) for n in range(1, 15)} | {40: " ".join(f"p{k}" for k in range(40))}
+    docs = {}
+
+    def add(n, gone, low=0, high=None):
+        ws = [f"z{k}" if k in gone else w for k, w in enumerate(items[n].split())][low:high]
+        docs[len(docs)] = " ".join(["a b", *ws, "c"])
+
+    for n in range(1, 15):
+        for k in range(5):
+            for gone in [c for c in itertools.combinations(range(n), k)] if n == 13 and k < 4 else [rnd.sample(range(n), min(k, n)) for _ in range(6)]:
+                add(n, gone)
+    add(40, range(0, 40, 4))
+    add(40, range(2, 40, 4), 5, 30)
+    for low in range(0, 13):
+        add(14, (), low)
+        add(14, (), 0, 14 - low)
+    docs[len(docs)] = items[14].split(" ", 3)[3]  # the item hangs over the text's begin
+    want = {(i, k, *v) for i, d in docs.items() for k, t in items.items() if (v := _aligned(d, t))}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    for most in (1_000_000, 1):
+        got = decontamination.contaminations(frame(spark, list(docs.items())), bench, broadcast_seeds=most).collect()
+        assert {(r["doc_id"], r["item_id"], r["item_words"], r["matched"], r["window_matched"]) for r in got} == want and len(got) == len(want)
+
+
+def test_masks_meet_every_alignment_of_the_rule():
+    for n in range(1, 14):
+        most = n - -(-n * 10 // 13)
+        for gone in itertools.combinations(range(n), most):
+            assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1") for m in decontamination.masks_of(n) for at in range(n - len(m) + 1))
+
+
 # 1 pseudonyms
 
 
