@@ -20,11 +20,16 @@ FIRST_DAY, MOD_A, MOD_B = "1900-01-01", 250, 292
 MAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*?\.[A-Za-z]{2,}+"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![.]?\d)"
 DATE = r"\d{4}-\d{2}-\d{2}(?!\d)|\d{2}[/.]\d{2}[/.]\d{4}(?!\d)"
-PHONE = r"\+1[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)|\+1[ -]\d{3}[ -]\d{3}[ -]\d{4}(?!\d)"
+LOCAL = r"(?:\(\d{3}\)[ -]?\d{3}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![.-]?\d)"
+PHONE = r"\+1[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)|\+1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?![-\d])"
 CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
+#: Groups of digits that one or more cards and short numbers beside them can make up; what has a shape of its own ends them.
+GROUPS = rf"(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{ADDRESS}|{DATE}|{SOCIAL}|{LOCAL})\d++)*+"
+#: How cards are usually written: lengths of their groups, the likeliest first; unbroken ones have 13 to 19 digits.
+SHAPES = ("4-4-4-4", "4-6-5", "4-4-4-4-3", "4-6-4", "4-4-5", "6-13")
 SECRET = r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-ANY = rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{MAIL})|(?<![\d.])(?:{ADDRESS}|{DATE}|{SOCIAL}|{CARD})|{PHONE}|(?<![0-9A-Za-z]){SECRET}"
+ANY = rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{MAIL})|(?<![\d.])(?:{ADDRESS}|{DATE}|{SOCIAL})|{PHONE}|(?<!\d)(?:1[ .-]?)?(?=\(){LOCAL}|(?<![\p{{L}}\p{{N}}+._-])(?:1[ .-])?{LOCAL}|(?<![\d.]){GROUPS}|(?<![0-9A-Za-z]){SECRET}"
 
 
 def _prf(key: str, tweak: Column, *parts: Column) -> Column:
@@ -83,7 +88,45 @@ def _card(value: Column, key: str) -> Column:
         body = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
         return bound(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return bound(_only_digits(value), lambda d: F.when((_luhn(d) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), refilled(value, new(d))).otherwise(value))
+    return bound(_only_digits(value), lambda d: F.when(_valid_card(d), refilled(value, new(d))).otherwise(value))
+
+
+def _valid_card(digits: Column) -> Column:
+    return (_luhn(digits) % 10 == 0) & (F.regexp_replace(digits, "0", "") != "")
+
+
+def _cards(value: Column, key: str) -> Column:
+    """Groups of digits with all cards among them replaced: first those that validate in a usual shape,
+    so that a short number beside a card is no part of it, then the longest runs of what is left. Each new
+    card stands between < and >, which no kind of value has."""
+
+    def step(acc: Column, k: Column, groups: Column) -> Column:
+        sizes = F.concat(F.array_join(F.transform(F.slice(groups, k, 5), lambda g: F.length(g).cast("string")), "-"), F.lit("-"))
+        digits = lambda n: F.array_join(F.slice(groups, k, n), "")
+        one = F.get(groups, k - 1)
+        used = F.when(F.length(one).between(13, 19) & _valid_card(one), 1)
+        for shape in SHAPES:
+            n = shape.count("-") + 1
+            used = used.when(sizes.startswith(shape + "-") & _valid_card(digits(n)), n)
+        return F.when(k < acc["next"], acc).otherwise(bound(used.otherwise(0), lambda n: F.struct((k + F.greatest(n, F.lit(1))).alias("next"), F.when(n > 0, F.concat(acc["found"], F.array(F.struct(k.alias("k"), n.alias("n"))))).otherwise(acc["found"]).alias("found"))))
+
+    def marked(groups: Column) -> Column:
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<k:int,n:int>>").alias("found"))
+        found = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, lambda acc, k: step(acc, k, groups))["found"]
+        separators = F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))
+
+        def text(found: Column) -> Column:
+            begins, ends = (lambda k: F.exists(found, lambda f: f["k"] == k)), (lambda k: F.exists(found, lambda f: f["k"] + f["n"] - 1 == k))
+            return F.array_join(F.transform(groups, lambda g, i: F.concat(F.when(begins(i + 1), "<").otherwise(""), g, F.when(ends(i + 1), ">").otherwise(""), F.coalesce(F.get(separators, i), F.lit("")))), "")
+
+        return bound(found, text)
+
+    def renamed(text: Column) -> Column:
+        each = rf"<[^>]*>|(?<!\d){CARD}"
+        new = F.transform(F.regexp_extract_all(text, F.lit(each), F.lit(0)), lambda v: bound(F.regexp_replace(v, "[<>]", ""), lambda old: bound(_card(old, key), lambda new: F.when(old == new, old).otherwise(F.concat(F.lit("<"), new, F.lit(">"))))))
+        return F.array_join(F.zip_with(F.split(text, each, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return bound(bound(F.split(value, "[ -]"), marked), renamed)
 
 
 def _plain(value: Column, key: str, kind: str, skip: int = 0) -> Column:
@@ -150,15 +193,16 @@ def _secret(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of a value that ANY has found."""
+    """The pseudonym of a value that ANY has found; cards in it stand between < and >."""
     full = lambda p: value.rlike(rf"^(?:{p})$")
     return (
         F.when(value.contains("@"), _mail(value, key))
         .when(full(ADDRESS), _address(value, key))
         .when(full(DATE), _date(value, key))
-        .when(value.startswith("+"), _plain(value, key, "phone", 1))
+        .when(value.startswith("+") | full(rf"1[ .-]?{LOCAL}"), _plain(value, key, "phone", 1))
+        .when(full(LOCAL), _plain(value, key, "phone"))
         .when(full(SOCIAL), _social(value, key))
-        .when(full(CARD), _card(value, key))
+        .when(full(GROUPS), _cards(value, key))
         .otherwise(_secret(value, key))
     )
 
@@ -169,8 +213,8 @@ def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
     named = F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
 
     def woven(pairs: Column) -> Column:
-        parts = F.zip_with(F.split(text, ANY, -1), F.transform(pairs, lambda p: p["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        changed = F.size(F.filter(pairs, lambda p: p["old"] != p["new"]))
+        parts = F.zip_with(F.split(text, ANY, -1), F.transform(pairs, lambda p: F.regexp_replace(p["new"], "[<>]", "")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        changed = F.aggregate(pairs, F.lit(0), lambda n, p: n + F.when(p["old"] != p["new"], F.greatest(F.size(F.split(p["new"], "<")) - 1, F.lit(1))).otherwise(0))
         return F.struct(F.array_join(parts, "").alias("text"), changed.alias("n"))
 
     # texts without a digit or an at sign hold none of the kinds and are not searched

@@ -320,6 +320,34 @@ def test_pseudonyms(spark, empty):
     assert pii.pseudonymise(frame(spark, rows[:1]), "other").first()["text"] != got[0]["text"]
 
 
+def test_cards_beside_short_numbers_and_phones_without_a_country(spark):
+    cards = ["4417744280351547", "4417 7442 8035 1547", "4417-7442-8035-1547", "3782 822463 10005", "4222222222222"]
+    phones = ["(017) 555-7713", "017-555-7713", "017 555 7713", "017.555.7713", "1-017-555-7713", "+1 (017) 555-7713"]
+    beside = ["{} 123", "{} 05/27", "12 {}", "12 1234 {}", "1234 {} 123 7", "{} {}", "{} 7 {}", "on 1984-02-29 {} 05", "5 {}-123"]
+    rows = [(f"{c}#{b}", b.replace("{}", c)) for c in cards for b in [*beside, "{}"]] + [(p, f"call {p}, or {p}.") for p in phones]
+    rows += [("date", "4417 7442 8035 1547 1984-02-29"), ("social", "4417 7442 8035 1547 123-45-6789"), ("phone", "017-555-7713 4417 7442 8035 1547"), ("both", "4417 7442 8035 1547 017-555-7713"), ("odd", "44177442 80351547")]
+    stay = ["12-017-555-77135", "1234 5678 9012 3456 123", "id-017-555-7713", "10 20 30 40 50 60"]
+    rows += [(v, v) for v in stay]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
+    got = {name: got[i] for i, (name, _) in enumerate(rows)}
+    new = {c: got[f"{c}#{{}}"]["text"] for c in cards}
+    assert all(new[c] != c and _luhn(re.sub(r"\D", "", new[c])) for c in cards)
+    date = pii.pseudonymise(spark.createDataFrame([(0, "1984-02-29")], "doc_id bigint, text string"), "k").first()["text"]
+    for c in cards:
+        for b in beside:
+            r = got[f"{c}#{b}"]
+            assert r["text"] == b.replace("{}", new[c]).replace("1984-02-29", date) and r["n_replaced"] == b.count("{}") + b.count("1984"), (c, b, r["text"])
+    number = re.sub(r"\D", "", got["(017) 555-7713"]["text"])[:10]
+    for p in phones:
+        a, b = re.fullmatch(r"call (.*), or (.*)\.", got[p]["text"]).groups()
+        assert a == b != p and re.sub(r"\D", "", a)[-10:] == number and re.sub(r"\d", "9", a) == re.sub(r"\d", "9", p)
+    c, local = new[cards[1]], got["017-555-7713"]["text"][5:17]
+    assert got["date"]["text"] == f"{c} {date}" and got["phone"]["text"] == f"{local} {c}" and got["both"]["text"] == f"{c} {local}"
+    assert got["social"]["text"].startswith(c) and "123-45-6789" not in got["social"]["text"] and got["odd"]["text"].replace(" ", "") == new[cards[0]]
+    assert all(got[v]["text"] == v and got[v]["n_replaced"] == 0 for v in stay)
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii.permuted_digits(F.col("d"), "k", "t").alias("x"))
     assert {r["x"] for r in n.collect()} == {f"{i:03d}" for i in range(1000)}
