@@ -3,7 +3,8 @@
 Every block of text is a paragraph whose points (length and commas) go to its ancestors, less the
 farther they are; a container's points are discounted by its share of link text. The best
 container is kept with those siblings that score like it, without what the markup itself names
-as menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments.
+as menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments. A class or id
+alone does not drop what holds most of the page.
 """
 
 from __future__ import annotations
@@ -28,8 +29,14 @@ ENDS_P = frozenset("address article aside blockquote center details dir div dl f
 #: Words in class and id that name what is not the article; the second set counts outside an article only.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended paywall sidebar".split())
 OUTER = frozenset("header footer nav navbar navigation menu breadcrumb breadcrumbs masthead toolbar login search pagination pager copyright widget tags".split())
+COMMENT = frozenset("comment comments reply replies".split())
+#: After the first and before the second a word is no name but a state of the element.
+STATES_BEFORE, STATES_AFTER = frozenset("has have no not with without hide show open".split()), frozenset("open closed enabled disabled on off".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
+#: Characters without which a named element is not spared for its size.
+LEAST_SPARED = 200
+
 TOKEN = regex.compile(
     r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*+>(?:.*?</(?P=raw)\s*+>|.*)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     regex.S | regex.I,
@@ -38,16 +45,33 @@ NAMES = regex.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 PARTS = regex.compile(r"[^a-z]+")
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+def _names(words: list[str]) -> set[str]:
+    """The words of a class or id that name its element: 'has-sidebar', 'comments-open' tell a state of it."""
+    return {w for k, w in enumerate(words) if not (k and words[k - 1] in STATES_BEFORE or k + 1 < len(words) and words[k + 1] in STATES_AFTER)}
+
+
+def _unwanted(tag: str, attrs: str, in_article: bool) -> int:
+    """2: dropped whatever it holds, by element, role or as hidden; 1: named so by class or id only; 0: not."""
     if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attrs.lower() or not attrs:
-        return False
+        return 2
+    if tag in ("html", "body", "main") or not attrs:
+        return 0
+    named = 0
     for name, *values in NAMES.findall(attrs):
-        words = PARTS.split("".join(values).lower())
-        if name.lower() == "role" and ROLES.intersection(words) or name.lower() != "role" and (BOILERPLATE.intersection(words) or not in_article and OUTER.intersection(words)):
-            return True
-    return " hidden" in attrs.lower() and regex.search(r"\shidden(\s|=|$)", attrs.lower()) is not None
+        value = "".join(values).lower()
+        if name.lower() == "role":
+            if tag != "article" and ROLES.intersection(PARTS.split(value)):
+                return 2
+            continue
+        words = set().union(*(_names(PARTS.split(x)) for x in value.split()))
+        if tag == "article":  # an article is one unless it is a comment itself
+            named |= bool(COMMENT.intersection(words))
+            continue
+        if BOILERPLATE.intersection(words) or not in_article and OUTER.intersection(words):
+            named = 1
+    if tag != "article" and " hidden" in attrs.lower() and regex.search(r"\shidden(\s|=|$)", attrs.lower()) is not None:
+        return 2
+    return int(named)
 
 
 class Tree:
@@ -55,7 +79,9 @@ class Tree:
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.ends, self.dropped, self.article = ["html"], [-1], [0], [False], [-1]
+        self.named: list[int] = [-1]  # the nearest element that is named as no part of the article, itself maybe
         self.links: list[bool] = [False]
+        self.comments: set[int] = set()  # of these, those that are named as comments
         self.runs: list[tuple[int, str]] = []  # element, text
         stack, at = [0], 0
         for m in TOKEN.finditer(source):
@@ -68,6 +94,7 @@ class Tree:
             self.runs.append((stack[-1], source[at:]))
         self._close(stack, 0)
         self.ends[0] = len(self.tags)
+        self._rescue()
 
     def _close(self, stack: list[int], upto: int) -> None:
         """Close all above place `upto` of the stack; the root stays."""
@@ -98,12 +125,41 @@ class Tree:
         self.ends.append(n + 1)
         self.article.append(n if tag == "article" else self.article[up])
         self.links.append(self.links[up] or tag == "a")
-        self.dropped.append(self.dropped[up] or _unwanted(tag, attrs, self.article[up] >= 0))
+        unwanted = _unwanted(tag, attrs, self.article[up] >= 0)
+        self.dropped.append(self.dropped[up] or unwanted == 2)
+        self.named.append(n if unwanted == 1 else self.named[up])
+        if unwanted == 1 and (self.named[up] in self.comments or "comment" in attrs.lower() or "repl" in attrs.lower()):
+            self.comments.add(n)
         if tag == "br":
             self.runs.append((up, " "))
         if tag not in VOID and not attrs.endswith("/"):
             stack.append(n)
 
+    def _rescue(self) -> None:
+        """Drop what class or id name, but not around <main>, nor where most of the text without links
+        is: as much as outside if an article or title is in it, thrice as much if not."""
+        own: dict[int, int] = {}
+        for n, text in self.runs:
+            if not (self.dropped[n] or self.links[n]):
+                own[self.named[n]] = own.get(self.named[n], 0) + len("".join(text.split()))
+        marked = {self.named[n] for n, tag in enumerate(self.tags) if tag in ("article", "h1") and not self.dropped[n]}
+        free: set[int] = {-1}
+
+        def spare(n: int) -> None:
+            while n not in free:
+                free.add(n)
+                n = self.named[self.parents[n]]
+
+        for n, tag in enumerate(self.tags):
+            if tag == "main" and not self.dropped[n]:
+                spare(self.named[n])
+        outside = sum(own.get(n, 0) for n in free)
+        for n in sorted(own.keys() - free, key=lambda n: (-own[n], n)):
+            if n not in free and (n in marked and own[n] >= outside or n not in self.comments and own[n] >= max(LEAST_SPARED, 3 * outside)):
+                spare(n)
+                outside = sum(own.get(k, 0) for k in free)
+        self.dropped = [gone or k not in free for gone, k in zip(self.dropped, self.named, strict=True)]
+
     def blocks(self) -> list[int]:
         """The nearest element of each that isn't inline."""
         out: list[int] = []

@@ -444,6 +444,18 @@ def test_main_text(spark, html, want):
     assert main_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "begin, end",
+    [(f"<div {a}>", "</div>") for a in ("class='content has-sidebar'", "class=no-sidebar", "class='page with-banner'", "id='share-price-report'", "class=promo")]
+    + [("<article class='post comments-open'>", "</article>"), ("<body class='comments-enabled'>", "</body>"), ("<div class=banner><div id=share-x>", "</div></div>"), ("<div class=related><main>", "</main></div>")],
+)
+def test_wrappers_with_boilerplate_words_keep_their_article(begin, end):
+    aside = "<div class='sidebar'><p>Other news, not of this page.</p></div>"
+    assert main_text.main_text(f"{begin}<h1>T</h1><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p>{aside}<div class=comments><p>no</p></div>{end}") == f"T {PARA} {PARA} {PARA}"
+    long = f"<div id=comments>{f'<div class=comment><p>{PARA}</p></div>' * 40}</div>"
+    assert main_text.main_text(f"<div><p>{PARA}</p></div>{long}{aside}") == PARA
+
+
 # 3 quality
 
 
