@@ -117,21 +117,23 @@ def moment_pick(spark, sf_dir):
 @query()
 def coverage_topn(spark, sf_dir):
     """Five stills of each user by greedy selection; where a main role is missing the last spare still gives
-    way to the best one that has it. A fold with repair, checked against plain Python."""
+    way to the best one that has it and keeps an hour from the others, or else the spare before. A fold with
+    repair, checked against plain Python; it holds the events of one user."""
     def step(state: dict, row: dict) -> list[tuple]:
         picked = state.setdefault("picked", [])
         if row["last"]:
-            for role in sorted(state["best"]):
-                if role not in {r for _, r in picked}:
-                    roles = [r for _, r in picked]
-                    spare = next((i for i in range(len(picked) - 1, -1, -1) if roles.count(roles[i]) > 1), None)
-                    if spare is not None:
-                        picked[spare] = (state["best"][role], role)
-            return [(row["user_id"], i, e) for i, (e, _) in enumerate(picked)]
-        state.setdefault("best", {}).setdefault(row["event_type"], row["event_id"])
-        if len(picked) < 5 and all(abs(s - row["sec"]) >= 3600 for s in state.setdefault("secs", [])):
-            picked.append((row["event_id"], row["event_type"]))
-            state["secs"].append(row["sec"])
+            for role, others in sorted(state.get("others", {}).items()):
+                roles = [p[1] for p in picked]
+                if role not in roles:
+                    spares = [i for i in range(len(picked) - 1, -1, -1) if roles.count(roles[i]) > 1]
+                    fits = ((i, e, sec) for i in spares for e, sec in others if all(abs(p[2] - sec) >= 3600 for k, p in enumerate(picked) if k != i))
+                    if found := next(fits, None):
+                        picked[found[0]] = (found[1], role, found[2])
+            return [(row["user_id"], i, p[0]) for i, p in enumerate(picked)]
+        if len(picked) < 5 and all(abs(p[2] - row["sec"]) >= 3600 for p in picked):
+            picked.append((row["event_id"], row["event_type"], row["sec"]))
+        else:
+            state.setdefault("others", {}).setdefault(row["event_type"], []).append((row["event_id"], row["sec"]))
         return []
 
     e = events(spark, sf_dir).select("user_id", "event_id", "event_type", "sec", "value", F.lit(False).alias("last"))
