@@ -29,35 +29,52 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where none is set and
+    all tasks run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and lost
-    executors cost a read instead of a recomputation. The files go when the application ends. A
-    caller that keeps no other reference to df lets its shuffle files go, too."""
+    executors cost a read instead of a recomputation. The files go with `discard`, at the latest when
+    the application ends. A caller that keeps no other reference to df lets its shuffle files go, too
+    (free; small tables don't need it)."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    gc.collect()
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    # Spark's cleaner drops the shuffle files of jobs that nothing refers to any more; the session
-    # itself refers to its latest one, hence an empty job before
-    spark.range(0).write.format("noop").mode("overwrite").save()
-    jvm.System.gc()
+    at, files = _file(spark, path)
+    files.deleteOnExit(at)
+    if free:
+        gc.collect()
+        # Spark's cleaner drops the shuffle files of jobs that nothing refers to any more; the session
+        # itself refers to its latest one, hence an empty job before
+        spark.range(0).write.format("noop").mode("overwrite").save()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        at, files = _file(df.sparkSession, folder)
+        files.delete(at, True)
+
+
 def bound(value: Column, use) -> Column:
     """use(value) with value computed once a row: the optimizer does not write it out again inside."""
     return F.transform(F.array(value), use)[0]

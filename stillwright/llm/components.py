@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import materialize
+from stillwright.llm.common import discard, materialize
+
+
+def labels(linked: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric 0/1 matrix the least row that a chain of ones reaches."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:  # labels fall to the least linked one until they stay
+        new = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1, initial=n))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,27 +28,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     # a node that a third of all edges meet at, or send the minima to every task where they are few
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", free=False)
+        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    else:
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least", free=False)
+        moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = moved.unionByName(least.select("a", F.col("m").alias("b")))
+    out = materialize(out.distinct(), "edges", free=False)
+    discard(least)
+    discard(edges)
+    return out
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges (a, b) are stars around b: no node has two such, or is one and has one."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) of every node that has an edge; edges: a, b (long).
 
-    Ends when a round changes nothing: each component is then a star around its least node. Each round
-    is written to the shared folder, so a lost executor costs one round at most.
+    Ends when each component is a star around its least node. Each round is written to the shared
+    folder, so a lost executor costs one round at most; the round before is deleted.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", free=False)
     for _ in range(most_rounds):
-        seen = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-        now = materialize(_star(materialize(_star(now, True), "edges"), False), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        now = _star(_star(now, True), False)
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

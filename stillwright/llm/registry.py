@@ -62,7 +62,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_quality_classifier, op4_sharding, op5_fingerprints, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_html_extraction, op10_jaccard_join)}

@@ -199,21 +199,61 @@ def test_near_duplicates(spark, docs, rows, empty, block):
 
 
 def test_rows_without_an_id_have_classes(spark):
-    t = " ".join(f"w{i}" for i in range(30))
-    got = jaccard_join.near_duplicates(spark.createDataFrame([(None, t), (None, "only here, nowhere else at all"), (4, t), (9, t)], "doc_id bigint, text string")).collect()
-    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in got if r["class_id"]) == [(0, 4, 2), (4, 4, 2), (9, 4, 2)]
-
-
-def test_rows_of_one_id_share_a_class(spark):
-    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
-    got = jaccard_join.near_duplicates(spark.createDataFrame([(1, a), (1, b), (2, b), (3, a + " z")], "doc_id bigint, text string")).collect()
-    assert len(got) == 4 and {r["class_id"] for r in got} == {1}
+    t, u = (" ".join(f"{x}{i}" for i in range(30)) for x in "wu")
+    rows = [(None, t), (None, "only here, nowhere else at all"), (4, t), (9, t), (None, t + " z"), (None, u), (None, u), (None, u + " z")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"], r["n_copies"]) for r in got if r["class_id"]) == [(0, 4, 3, 0), (0, 4, 3, 2), (4, 4, 3, 2), (9, 4, 3, 2)]
+    assert sorted((r["n_links"], r["n_copies"]) for r in got if not r["class_id"]) == [(0, 0), (2, 0), (2, 1), (2, 1)]
+    assert sorted(r["doc_id"] or 0 for r in got if r["first"])[-1] == 4 and sum(r["first"] for r in got) in (3, 4)  # u twice, if its hash is the least
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_rows_of_one_id_are_judged_by_their_texts(spark, turn):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (5, b), (2, b + " z"), (3, a + " z"), (1, a), (1, b), (15, c), (15, d), (12, d + " z"), (13, c + " z")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows[::turn], "doc_id bigint, text string").coalesce(1)).collect()
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["first"]) for r in got)
+    assert got[:6] == [(1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (3, 1, 2, False), (5, 1, 2, False), (5, 1, 2, False)]
+    assert got[6:] == [(12, 12, 1, True), (13, 13, 1, True), (15, 12, 1, False), (15, 13, 1, False)]
+
+
+def test_strangers_are_screened_and_pairs_about_the_threshold_found(spark, monkeypatch):
+    half = " ".join(f"legal{i}" for i in range(104))
+    rows = [(i, half + " " + " ".join(f"w{i}x{k}" for k in range(100))) for i in range(600)] + [(i, " ".join(f"w{i % 5}x{k}" for k in range(100)) + f" {i} " + half) for i in range(900, 905)]
+    rnd = random.Random(3)
+    for i in range(1000, 1250):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
+        changed = list(words)
+        for k in rnd.sample(range(0, 160, 8), rnd.randrange(1, 5)):
+            changed[k] = "z"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    seen, components = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    got = table(jaccard_join.near_duplicates(frame(spark, rows)))
+    assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == _classes(rows)
+    assert sum(r["n_links"] for i, r in got.items() if i < 1000) == 10 and 150 < sum(r["n_links"] for r in got.values()) / 2 < 260
+    assert seen[0] < 800  # of 180,000 pairs of strangers and the 250 others, each some times
 
 
 def test_prefixes_shorten_until_the_recall():
-    assert jaccard_join.prefix_length(0.8, 24, 8, 0.5) == 8
-    r = jaccard_join.prefix_length(0.8, 24, 8, 0.9999)
-    assert 1 - (1 - 0.8**r) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (r + 1)) ** 24
+    r = jaccard_join.least_prefix(0.8, 24, 8, 0.9999)
+    assert jaccard_join.recall_at(0.8, 24, r) >= 0.9999 > jaccard_join.recall_at(0.8, 24, r + 1)
+    assert jaccard_join.least_prefix(0.8, 24, 8, 0.5) == 8
+    length = lambda found: jaccard_join.prefix_length(found, 192, 0.8, 24, 8, 4, 0.9999)
+    assert length({}) == 4 and length({192: 50.0}) == 8 and length({154: 50.0}) == 5 and length({185: 500.0, 160: 20.0}) == 7
+
+
+def test_sorted_paths_tell_the_longest_common_prefixes():
+    import pyarrow as pa
+
+    rnd, depth = random.Random(9), 8
+    rows = sorted((t, int.from_bytes(bytes(rnd.choice([1, 2, 200]) for _ in range(depth)), "big", signed=True), k) for k in range(300) for t in range(2))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("tree", "path", "node"), r, strict=True)) for r in rows[i : i + 37]]) for i in range(0, len(rows), 37)]
+    got = {(r["tree"], r["node"]): r["deep"] for b in jaccard_join._matched(depth, 1)(iter(batches)) for r in b.to_pylist()}
+    levels = lambda p: (p % 2**64).to_bytes(depth, "big")
+    for t, p, k in rows[1:-1]:
+        want = max(len(os.path.commonprefix([levels(p), levels(q)])) for u, q, m in rows if u == t and m != k)
+        assert got.get((t, k), 0) == want
 
 
 def test_components(spark):
