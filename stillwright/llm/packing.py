@@ -3,9 +3,11 @@
 The plan is made from the histogram alone (at most max_tokens numbers, however many documents
 there are), so the driver's work and what is sent to the tasks are bounded by parameters:
 
-1. lengths fall into classes; patterns are the few-document multisets of classes that fill a
-   sequence; NNLS fits how often to use each; rounded down, they are filled with real lengths;
-2. what is left, and the gaps inside patterns, are packed best-fit on counts of equal lengths.
+1. lengths fall into classes of equal token mass; patterns are the few-document multisets of classes
+   whose mean lengths fill a sequence; NNLS fits how often to use each; rounded down, they are filled
+   with real lengths that leave (almost) no room; what is left is fitted once more;
+2. the rest, and the shortest documents, which were held back for it, are packed best-fit on counts
+   of equal lengths.
 
 A document finds its place by its rank among the pieces of its length; the ranks come from
 counts per task, so one frequent length never meets in one task.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,12 @@ from stillwright.llm.array_bpe import ArrayBPE
 from stillwright.llm.common import column, materialize, steps, texts
 
 MEMORY = 400_000
-#: Shapes of plans that are tried, (tokens of a length class, documents of a pattern at most); the one with fewest sequences is used.
-SHAPES = ((8, 2), (16, 2), (64, 3))
+#: Shapes of plans: length classes, documents of a pattern at most, tokens that a pattern's sequence may leave
+#: empty. The first whose plan needs no more sequences than the tokens do is used, or the one with fewest.
+SHAPES = ((24, 6, 8), (24, 6, 0), (16, 6, 0), (12, 4, 0))
+#: Share of all tokens that is held back for the gaps, shortest documents first; share of a sequence that the
+#: means of a pattern may fall short of it; fits of what earlier ones have left.
+HELD_BACK, SHORT, FITS = 0.01, 0.01, 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int"
 
 
@@ -124,34 +130,40 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     return x
 
 
-def patterns(classes: int, most: int) -> list[tuple[int, ...]]:
-    """Multisets of at most `most` classes (1..classes) that sum to `classes`: full sequences."""
+def patterns(means: list[float], size: int, most: int, short: float) -> list[tuple[int, ...]]:
+    """Multisets of 2 to `most` classes, in descending order, whose means sum to `size` or up to `short` less."""
     out: list[tuple[int, ...]] = []
 
-    def grow(left: int, top: int, got: tuple[int, ...]) -> None:
-        if left == 0:
+    def grow(left: float, top: int, got: tuple[int, ...]) -> None:
+        if len(got) > 1 and left <= short:
             out.append(got)
-        elif len(got) < most:
-            for c in range(min(left, top), 0, -1):
-                if c * (most - len(got)) < left:
+        if len(got) < most:
+            for c in range(min(top, bisect_right(means, left) - 1), -1, -1):
+                if left - means[c] * (most - len(got)) > short:
                     break
-                grow(left - c, c, (*got, c))
+                grow(left - means[c], c, (*got, c))
 
-    grow(classes, classes, ())
+    grow(float(size), len(means) - 1, ())
     return out
 
 
 class Plan:
     """Groups of equal sequences: their contents as (length, copies) runs, and how many of them."""
 
-    def __init__(self, histogram: dict[int, int], max_tokens: int, width: int, most: int) -> None:
-        """width: tokens of a length class; most: documents of a pattern at most."""
+    def __init__(self, histogram: dict[int, int], max_tokens: int, classes: int, most: int, gap: int) -> None:
+        """classes: of lengths; most: documents of a pattern at most; gap: tokens that its sequences may leave empty."""
         self.size = max_tokens
         self.left = {n: c for n, c in histogram.items() if c}
         self.open: list[tuple[int, int]] = []  # (room, group), sorted
         self.content: list[list[tuple[int, int]]] = []
         self.times: list[int] = []
-        self._fit(width, most)
+        self.patterned = 0  # pieces that patterns have placed
+        short = sum(n * c for n, c in self.left.items()) * HELD_BACK
+        for _ in range(FITS):
+            before = self.patterned
+            self._fit(classes, most, gap, short)
+            if self.patterned == before:
+                break
         self._best_fit()
 
     def _add(self, content: list[tuple[int, int]], times: int) -> None:
@@ -161,42 +173,78 @@ class Plan:
         if room:
             insort(self.open, (room, len(self.content) - 1))
 
-    def _fit(self, width: int, most: int) -> None:
-        classes = self.size // width
-        of = lambda n: -(-n // width)
-        held = np.zeros(classes)
-        for n, c in self.left.items():
-            held[of(n) - 1] += c
-        kinds = patterns(classes, most)
-        a = np.zeros((classes, len(kinds)))
+    def _fit(self, classes: int, most: int, gap: int, held_back: float) -> None:
+        """Fit patterns to the lengths that are left, without full sequences and the shortest documents of
+        `held_back` tokens together, and fill them."""
+        lengths = np.array(sorted(n for n, c in self.left.items() if c and n < self.size), np.int64)
+        counts = np.array([self.left[n] for n in lengths.tolist()], np.int64)
+        used = np.cumsum(lengths * counts) > held_back
+        lengths, counts = lengths[used], counts[used]
+        if not len(lengths):
+            return
+        mass = np.cumsum(lengths * counts) - lengths * counts / 2
+        classes = max(2, min(classes, int(counts.sum()) // 32))  # a fit to a few documents has few classes
+        of = (mass * classes / (lengths * counts).sum()).astype(np.int64)
+        parts = [of == c for c in np.unique(of)]
+        stock = [lengths[x].tolist() for x in parts]
+        held = np.array([counts[x].sum() for x in parts], float)
+        means = [float((lengths[x] * counts[x]).sum() / counts[x].sum()) for x in parts]
+        kinds = patterns(means, self.size, most, SHORT * self.size)
+        if not kinds:
+            return
+        a = np.zeros((len(parts), len(kinds)))
         for j, kind in enumerate(kinds):
             for c in kind:
-                a[c - 1, j] += 1
-        stock: dict[int, list[int]] = {}
-        for n in sorted(self.left):
-            stock.setdefault(of(n), []).append(n)
-        repeats = np.floor(nnls(a, held) + 1e-6).astype(np.int64)
-        for j in np.flatnonzero(repeats):
-            self._fill(kinds[j], int(repeats[j]), stock)
-
-    def _fill(self, kind: tuple[int, ...], repeat: int, stock: dict[int, list[int]]) -> None:
-        """Use a pattern `repeat` times or until a class is used up, longest lengths first."""
-        while repeat:
-            taken: list[int] = []
-            for c in kind:
-                n = next((n for n in reversed(stock.get(c, [])) if self.left[n] > taken.count(n)), None)
-                if n is None:
-                    return
-                taken.append(n)
+                a[c, j] += 1
+        weight = np.array(means) / self.size  # what is left over counts by its tokens
+        repeats = np.floor(nnls(a * weight[:, None], held * weight) + 1e-6).astype(np.int64)
+        for j in np.argsort(-repeats, kind="stable"):
+            if repeats[j]:
+                self._fill(kinds[j], int(repeats[j]), stock, means, gap)
+
+    def _fill(self, kind: tuple[int, ...], repeat: int, stock: list[list[int]], means: list[float], gap: int) -> None:
+        """Use a pattern `repeat` times or as long as lengths of its classes fill a sequence but for `gap`."""
+        while repeat and (taken := self._filling(kind, stock, means, gap)):
             times = min(repeat, *(self.left[n] // taken.count(n) for n in taken))
             for n in taken:
                 self.left[n] -= times
-            for c in kind:
-                while stock[c] and not self.left[stock[c][-1]]:
-                    stock[c].pop()
+            for c in set(kind):
+                stock[c] = [n for n in stock[c] if self.left[n]]
             self._add([(n, 1) for n in taken], times)
+            self.patterned += len(taken) * times
             repeat -= times
 
+    def _free(self, lengths: list[int], k: int, step: int, taken: list[int]) -> int | None:
+        """The length at k, or the next one in steps, of which some are left beyond those taken."""
+        while 0 <= k < len(lengths):
+            if self.left[lengths[k]] > taken.count(lengths[k]):
+                return lengths[k]
+            k += step
+        return None
+
+    def _filling(self, kind: tuple[int, ...], stock: list[list[int]], means: list[float], gap: int) -> list[int]:
+        """Lengths of a pattern's classes: the longest one, then what leaves the others about their means;
+        the last two are chosen together so that least room is left. Empty if that is more than `gap`."""
+        taken: list[int] = []
+        room, rest = self.size, sum(means[c] for c in kind)
+        for c in kind[:-2]:
+            rest -= means[c]
+            at = bisect_right(stock[c], room - rest) if taken else len(stock[c])
+            n = self._free(stock[c], at - 1, -1, taken) or self._free(stock[c], at, 1, taken)
+            if n is None:
+                return []
+            taken.append(n)
+            room -= n
+        best = (gap + 1, 0, 0)
+        for n in reversed(stock[kind[-2]]):
+            if self.left[n] > taken.count(n) and n < room:
+                m = self._free(stock[kind[-1]], bisect_right(stock[kind[-1]], room - n) - 1, -1, [*taken, n])
+                if m and room - n - m < best[0]:
+                    best = (room - n - m, n, m)
+                    if not best[0]:
+                        break
+        return [*taken, *best[1:]] if best[0] <= gap else []
+
     def _best_fit(self) -> None:
         """Longest first, each where the least room that holds it is left; equal ones at once."""
         for n in sorted(self.left, reverse=True):
@@ -244,6 +292,19 @@ class Plan:
         return dict(zip(names, np.array(rows, np.int64).reshape(-1, 5).T, strict=True))
 
 
+def best_plan(histogram: dict[int, int], max_tokens: int, shapes: tuple = SHAPES) -> Plan:
+    """The first plan that needs as few sequences as the tokens need at least, or the one with fewest."""
+    least = -(-sum(n * c for n, c in histogram.items()) // max_tokens)
+    best: Plan | None = None
+    for shape in shapes:
+        plan = Plan(histogram, max_tokens, *shape)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= least:
+            break
+    return best
+
+
 def ranked(df: DataFrame) -> DataFrame:
     """rank: from 0 among the rows of a length. First within (length, task), then by the tasks' counts."""
     inside = Window.partitionBy("length", "task").orderBy("doc_id", "piece", "ids_crc32")
@@ -262,7 +323,7 @@ def pack(docs: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 1, sh
     """
     parts = materialize(pieces(docs, path, max_tokens, end_id), "pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
-    plan = min((Plan(histogram, max_tokens, *shape) for shape in shapes), key=lambda p: p.sequences).slots()
+    plan = best_plan(histogram, max_tokens, shapes).slots()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = plan["length"] << 40 | plan["rank"]

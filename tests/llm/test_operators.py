@@ -96,7 +96,7 @@ def test_packing(spark, docs, rows, empty):
         for p, at in enumerate(range(0, len(ids), 256)):
             part = ids[at : at + 256]
             want[i, p] = (at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
-    got = packing.pack(docs, WORDS, max_tokens=256, shapes=((8, 2), (16, 3))).collect()
+    got = packing.pack(docs, WORDS, max_tokens=256).collect()
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
     by = collections.defaultdict(list)
     for r in got:
@@ -109,22 +109,34 @@ def test_packing(spark, docs, rows, empty):
         assert at <= 256
     total = sum(n for _, n, _ in want.values())
     assert len(by) <= -(-total // 256) * 1.03 + 1
-    assert packing.pack(empty, WORDS, max_tokens=256, shapes=((8, 2),)).count() == 0
+    assert packing.pack(empty, WORDS, max_tokens=256).count() == 0
 
 
 def test_plans_are_complete_and_tight():
     rnd = random.Random(1)
-    for size in (256, 512):  # most lengths are far below the size, so the volume is a tight bound
-        h = collections.Counter(min(size, max(1, int(rnd.lognormvariate(3.5, 1)))) for _ in range(3000))
-        for shape in ((8, 2), (16, 3)):
+    for size in (256, 512, 4096):  # most lengths are far below the size, so the volume is a tight bound
+        h = collections.Counter(min(size, max(1, int(rnd.lognormvariate(np.log(size) - 2, 1)))) for _ in range(4000))
+        least = -(-sum(n * c for n, c in h.items()) // size)
+        for shape in packing.SHAPES:
             plan = packing.Plan(dict(h), size, *shape)
             used = collections.Counter()
             for content, times in zip(plan.content, plan.times, strict=True):
                 assert sum(n * k for n, k in content) <= size
                 for n, k in content:
                     used[n] += k * times
-            assert used == h
-            assert plan.sequences <= -(-sum(n * c for n, c in h.items()) // size) * 1.03 + 1
+            assert used == h and plan.sequences <= least * 1.01 + 1
+        best = packing.best_plan(dict(h), size)
+        alone = packing.Plan(dict(h), size, 1, 1, 0)  # no pattern has one document: best fit only
+        assert alone.patterned == 0 and best.sequences <= alone.sequences
+        assert best.patterned >= 0.3 * sum(h.values())
+    for h in ({}, {256: 3}, {1: 5}, {129: 4}, {255: 2, 1: 1}):
+        assert packing.best_plan(h, 256).sequences == (4 if 129 in h else 2 if 255 in h else sum(n * c for n, c in h.items()) // 256 + (1 in h))
+
+
+def test_patterns_fill_a_sequence():
+    got = packing.patterns([10.0, 30.0, 45.0], 100, 4, 5.0)
+    want = {c for k in range(2, 5) for c in itertools.combinations_with_replacement((2, 1, 0), k) if 95 <= sum((10, 30, 45)[i] for i in c) <= 100}
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_nnls_finds_the_nonnegative_fit():
