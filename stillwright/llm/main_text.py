@@ -1,10 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Every block of text is a paragraph whose points (length and commas) go to its ancestors, less the
-farther they are; a container's points are discounted by its share of link text. The best
-container is kept with those siblings that score like it, without what the markup itself names
-as menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments. A class or id
-alone does not drop what holds most of the page.
+farther they are; a container's points are discounted by its share of link text. What element, role,
+class or id name as header, footer, sidebar, notice, advert, form or comments gives fewer points, but
+whatever holds the best container stays, whatever its name. The best container is kept with those
+siblings that score or are made like it and the headline before it, without what is named otherwise in it.
 """
 
 from __future__ import annotations
@@ -22,26 +22,31 @@ from stillwright.llm.common import column, steps
 #: Element names of HTML, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav header footer aside form button select textarea option iframe object svg canvas audio video dialog menu math noscript template".split())
+DROPPED = frozenset("head title nav button select textarea option iframe object svg canvas audio video dialog menu math noscript template".split())
+NAMED = frozenset("header footer aside form".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 CLOSES_ITSELF = {x: frozenset(ys.split()) for x, ys in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}.items()}
 SCOPES = frozenset("ul ol dl table article section main div body td th".split())
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words in class and id that name what is not the article; the second set counts outside an article only.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended paywall sidebar".split())
 OUTER = frozenset("header footer nav navbar navigation menu breadcrumb breadcrumbs masthead toolbar login search pagination pager copyright widget tags".split())
-COMMENT = frozenset("comment comments reply replies".split())
+COMMENT = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: After the first and before the second a word is no name but a state of the element.
 STATES_BEFORE, STATES_AFTER = frozenset("has have no not with without hide show open".split()), frozenset("open closed enabled disabled on off".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-#: Characters without which a named element is not spared for its size.
-LEAST_SPARED = 200
+#: Points for a paragraph's ancestors from its parent on; share of them that what is named gives, and comments.
+SHARES, OF_NAMED, OF_COMMENTS = (1, 1 / 2, 1 / 6, 1 / 9), 0.2, 0.02
+#: Points of an element that says it is the article; characters that may stand between a headline and it.
+SAYS_SO, BEFORE = 25.0, 300
 
 TOKEN = regex.compile(
     r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*+>(?:.*?</(?P=raw)\s*+>|.*)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     regex.S | regex.I,
 )
 NAMES = regex.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
+HIDDEN = regex.compile(r"\shidden(?:\s|=|$)|\bstyle\s*=[^>]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)", regex.I)
 PARTS = regex.compile(r"[^a-z]+")
 
 
@@ -50,115 +55,92 @@ def _names(words: list[str]) -> set[str]:
     return {w for k, w in enumerate(words) if not (k and words[k - 1] in STATES_BEFORE or k + 1 < len(words) and words[k + 1] in STATES_AFTER)}
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> int:
-    """2: dropped whatever it holds, by element, role or as hidden; 1: named so by class or id only; 0: not."""
-    if tag in DROPPED:
-        return 2
+def _weight(tag: str, attrs: str, in_article: bool) -> tuple[float, str]:
+    """What a text counts for in an element: 0 where it never does, 1 where it is nothing but text; and the class."""
+    if tag in DROPPED or attrs and tag not in ("html", "body") and HIDDEN.search(" " + attrs):
+        return 0.0, ""
+    weight = OF_NAMED if tag in NAMED and not (tag == "header" and in_article) else 1.0
     if tag in ("html", "body", "main") or not attrs:
-        return 0
-    named = 0
+        return weight, ""
+    kind = ""
     for name, *values in NAMES.findall(attrs):
-        value = "".join(values).lower()
-        if name.lower() == "role":
+        name, value = name.lower(), "".join(values).lower()
+        if name == "role":
             if tag != "article" and ROLES.intersection(PARTS.split(value)):
-                return 2
+                weight = min(weight, OF_NAMED)
             continue
+        if name == "class":
+            kind = value
         words = set().union(*(_names(PARTS.split(x)) for x in value.split()))
-        if tag == "article":  # an article is one unless it is a comment itself
-            named |= bool(COMMENT.intersection(words))
-            continue
-        if BOILERPLATE.intersection(words) or not in_article and OUTER.intersection(words):
-            named = 1
-    if tag != "article" and " hidden" in attrs.lower() and regex.search(r"\shidden(\s|=|$)", attrs.lower()) is not None:
-        return 2
-    return int(named)
+        if COMMENT.intersection(words):
+            weight = OF_COMMENTS
+        elif tag != "article" and (BOILERPLATE.intersection(words) or not in_article and OUTER.intersection(words)):
+            weight = min(weight, OF_NAMED)
+    return weight, kind
 
 
 class Tree:
     """Elements in page order, each with its subtree's end, and the runs of text below them."""
 
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.ends, self.dropped, self.article = ["html"], [-1], [0], [False], [-1]
-        self.named: list[int] = [-1]  # the nearest element that is named as no part of the article, itself maybe
-        self.links: list[bool] = [False]
-        self.comments: set[int] = set()  # of these, those that are named as comments
+        self.tags, self.parents, self.ends, self.article, self.links = ["html"], [-1], [0], [-1], [False]
+        #: Weight of an element by itself, and with its ancestors; its class.
+        self.own, self.weights, self.kinds = [1.0], [1.0], [""]
         self.runs: list[tuple[int, str]] = []  # element, text
-        stack, at = [0], 0
+        self._stack, self._blocks = [0], [0]
+        self._open: dict[str, list[int]] = {}  # places in the stack, by tag; of all but inline ones
+        at = 0
         for m in TOKEN.finditer(source):
             if at < m.start():
-                self.runs.append((stack[-1], source[at : m.start()]))
+                self.runs.append((self._stack[-1], source[at : m.start()]))
             at = m.end()
             if m["tag"]:
-                self._tag(stack, m["tag"].lower(), bool(m["end"]), m["attrs"])
+                (self._end if m["end"] else self._begin)(m["tag"].lower(), m["attrs"])
         if at < len(source):
-            self.runs.append((stack[-1], source[at:]))
-        self._close(stack, 0)
+            self.runs.append((self._stack[-1], source[at:]))
+        self._close(1)
         self.ends[0] = len(self.tags)
-        self._rescue()
-
-    def _close(self, stack: list[int], upto: int) -> None:
-        """Close all above place `upto` of the stack; the root stays."""
-        while len(stack) > max(upto, 1):
-            self.ends[stack.pop()] = len(self.tags)
-
-    def _tag(self, stack: list[int], tag: str, end: bool, attrs: str) -> None:
-        tags = self.tags
-        if end:
-            if tag == "p" and not any(tags[i] == "p" for i in stack):
-                return
-            place = next((k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag), 0)
-            if place and not (tag in INLINE and any(tags[i] not in INLINE for i in stack[place + 1 :])):
-                self._close(stack, place)
-            return
+
+    def _close(self, upto: int) -> None:
+        """Close all from place `upto` of the stack on; the root stays."""
+        while len(self._stack) > max(upto, 1):
+            n = self._stack.pop()
+            self.ends[n] = len(self.tags)
+            self._open[self.tags[n]].pop()
+            if self.tags[n] not in INLINE:
+                self._blocks.pop()
+
+    def _last(self, tags: frozenset) -> int:
+        """The highest place in the stack of any of the tags; 0 without."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+
+    def _end(self, tag: str, attrs: str) -> None:
+        place = self._open[tag][-1] if self._open.get(tag) else 0
+        if place and not (tag in INLINE and self._blocks[-1] > place):
+            self._close(place)
+
+    def _begin(self, tag: str, attrs: str) -> None:
         if tag in ENDS_P or tag in CLOSES_ITSELF:
-            closes = CLOSES_ITSELF.get(tag, frozenset(("p",)))
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in closes:
-                    self._close(stack, k)
-                    break
-                if tags[stack[k]] in SCOPES:
-                    break
-        up = stack[-1]
-        n = len(tags)
-        tags.append(tag)
+            place = self._last(CLOSES_ITSELF.get(tag, frozenset(("p",))))
+            if place and place >= self._last(SCOPES):
+                self._close(place)
+        up, n = self._stack[-1], len(self.tags)
+        weight, kind = _weight(tag, attrs, self.article[up] >= 0)
+        self.tags.append(tag)
         self.parents.append(up)
         self.ends.append(n + 1)
         self.article.append(n if tag == "article" else self.article[up])
         self.links.append(self.links[up] or tag == "a")
-        unwanted = _unwanted(tag, attrs, self.article[up] >= 0)
-        self.dropped.append(self.dropped[up] or unwanted == 2)
-        self.named.append(n if unwanted == 1 else self.named[up])
-        if unwanted == 1 and (self.named[up] in self.comments or "comment" in attrs.lower() or "repl" in attrs.lower()):
-            self.comments.add(n)
+        self.own.append(weight)
+        self.weights.append(self.weights[up] * weight)
+        self.kinds.append(kind)
         if tag == "br":
             self.runs.append((up, " "))
         if tag not in VOID and not attrs.endswith("/"):
-            stack.append(n)
-
-    def _rescue(self) -> None:
-        """Drop what class or id name, but not around <main>, nor where most of the text without links
-        is: as much as outside if an article or title is in it, thrice as much if not."""
-        own: dict[int, int] = {}
-        for n, text in self.runs:
-            if not (self.dropped[n] or self.links[n]):
-                own[self.named[n]] = own.get(self.named[n], 0) + len("".join(text.split()))
-        marked = {self.named[n] for n, tag in enumerate(self.tags) if tag in ("article", "h1") and not self.dropped[n]}
-        free: set[int] = {-1}
-
-        def spare(n: int) -> None:
-            while n not in free:
-                free.add(n)
-                n = self.named[self.parents[n]]
-
-        for n, tag in enumerate(self.tags):
-            if tag == "main" and not self.dropped[n]:
-                spare(self.named[n])
-        outside = sum(own.get(n, 0) for n in free)
-        for n in sorted(own.keys() - free, key=lambda n: (-own[n], n)):
-            if n not in free and (n in marked and own[n] >= outside or n not in self.comments and own[n] >= max(LEAST_SPARED, 3 * outside)):
-                spare(n)
-                outside = sum(own.get(k, 0) for k in free)
-        self.dropped = [gone or k not in free for gone, k in zip(self.dropped, self.named, strict=True)]
+            self._open.setdefault(tag, []).append(len(self._stack))
+            if tag not in INLINE:
+                self._blocks.append(len(self._stack))
+            self._stack.append(n)
 
     def blocks(self) -> list[int]:
         """The nearest element of each that isn't inline."""
@@ -167,24 +149,37 @@ class Tree:
             out.append(out[self.parents[n]] if tag in INLINE or tag == "br" else n)
         return out
 
+    def above(self, n: int) -> list[int]:
+        """An element and its ancestors."""
+        out = []
+        while n >= 0:
+            out.append(n)
+            n = self.parents[n]
+        return out
 
-def main_text(source: str) -> str:
-    """The article of a page: character references decoded, white space one space, blocks joined by one."""
-    tree = Tree(source)
-    block = tree.blocks()
-    kept = [(n, block[n], entities.unescape(text)) for n, text in tree.runs if not tree.dropped[n]]
-    size, linked, commas = ([0] * len(tree.tags) for _ in range(3))
+    def gone(self, best: int) -> list[bool]:
+        """Elements that are never text, or named otherwise, with all in them; those that hold `best` are not."""
+        spared, out = set(self.above(best)), []
+        for n, weight in enumerate(self.own):
+            out.append(n > 0 and (out[self.parents[n]] or weight < 1 and n not in spared))
+        return out
+
+
+def _scores(tree: Tree, block: list[int], kept: list[tuple[int, int, str]]) -> tuple[list[float], list[float], list[float]]:
+    """Score, weighted characters, and those of them in links, of each element with all in it; -1: no container."""
+    size, linked, commas = ([0.0] * len(tree.tags) for _ in range(3))
     for n, b, text in kept:
-        chars = len("".join(text.split()))
+        chars = len("".join(text.split())) * tree.weights[n]
         size[b] += chars
         linked[b] += chars * tree.links[n]
         commas[b] += text.count(",")
-    points = [25.0 * (tag in ("article", "main")) for tag in tree.tags]
+    points = [SAYS_SO * (tag in ("article", "main")) * weight for tag, weight in zip(tree.tags, tree.weights, strict=True)]
     for n, chars in enumerate(size):
         if chars:
-            gain = (1 + commas[n] + min(chars / 100, 3)) * (1 - linked[n] / chars)
+            whole = chars / tree.weights[n] if tree.weights[n] else 0.0
+            gain = (1 + commas[n] + min(whole / 100, 3)) * (1 - linked[n] / chars) * tree.weights[n]
             up = tree.parents[n] if n else 0
-            for share in (1, 1 / 2, 1 / 6, 1 / 9):
+            for share in SHARES:
                 points[up] += gain * share
                 if up == 0:
                     break
@@ -192,24 +187,55 @@ def main_text(source: str) -> str:
     for n in range(len(tree.tags) - 1, 0, -1):
         size[tree.parents[n]] += size[n]
         linked[tree.parents[n]] += linked[n]
+    return [p * (1 - linked[n] / size[n]) if size[n] and block[n] == n else -1.0 for n, p in enumerate(points)], size, linked
+
+
+def _headline(tree: Tree, best: int, gone: list[bool], kept: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The h1 shortly before a container that does not begin with a heading itself and has no h1."""
+    inside = [b for n, b, text in kept if best <= n < tree.ends[best] and not gone[n] and not text.isspace()]
+    if not inside or tree.tags[inside[0]] in HEADINGS or "h1" in tree.tags[best : tree.ends[best]]:
+        return []
+    heads = [n for n in range(best) if tree.tags[n] == "h1" and not gone[n] and tree.ends[n] <= best]
+    between = sum(len(text) for n, b, text in kept if heads and tree.ends[heads[-1]] <= n < best and not gone[n])
+    return [(heads[-1], tree.ends[heads[-1]])] if heads and between <= BEFORE else []
+
+
+def main_text(source: str) -> str:
+    """The article of a page: character references decoded, white space one space, blocks joined by one."""
+    tree = Tree(source)
+    block = tree.blocks()
+    kept = [(n, block[n], entities.unescape(text)) for n, text in tree.runs if tree.weights[n]]
+    score, size, linked = _scores(tree, block, kept)
     if not size[0]:
         return ""
-    score = [p * (1 - linked[n] / size[n]) if size[n] and not tree.dropped[n] and block[n] == n else -1.0 for n, p in enumerate(points)]
     best = max(range(len(score)), key=score.__getitem__)
     if tree.article[best] >= 0:
         best = tree.article[best]
-    spans = [(best, tree.ends[best])]
+    gone = tree.gone(best)
+    spans = [(best, tree.ends[best]), *_headline(tree, best, gone, kept)]
     if best:
         enough = max(10.0, 0.2 * score[best])
-        for n in range(tree.parents[best] + 1, tree.ends[tree.parents[best]]):
-            if tree.parents[n] == tree.parents[best] and n != best and size[n]:
+        up = tree.parents[best]
+        n = up + 1
+        while n < tree.ends[up]:  # children of the parent
+            if n != best and size[n] and not gone[n]:
                 density = linked[n] / size[n]
-                if score[n] >= enough or tree.tags[n] == "p" and (size[n] >= 80 and density < 0.25 or size[n] < 80 and density == 0):
+                alike = tree.tags[n] == tree.tags[best] and tree.kinds[n] == tree.kinds[best] and (tree.tags[n] == "section" or tree.kinds[n] != "")
+                if score[n] >= enough or alike and density < 0.25 or tree.tags[n] == "p" and (size[n] >= 80 and density < 0.25 or size[n] < 80 and density == 0):
                     spans.append((n, tree.ends[n]))
+            n = tree.ends[n]
+    edge = [0] * (len(tree.tags) + 1)
+    for begin, end in spans:
+        edge[begin] += 1
+        edge[end] -= 1
+    held, inside = 0, []
+    for step in edge[:-1]:
+        held += step
+        inside.append(held > 0)
     out: list[str] = []
     last = -1
     for n, b, text in kept:
-        if any(begin <= n < end for begin, end in spans):
+        if inside[n] and not gone[n]:
             if b != last:
                 out.append(" ")
             out.append(text)
@@ -220,10 +246,11 @@ def main_text(source: str) -> str:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    One map over the rows, without a shuffle; memory is bounded by a page. Null or empty html
-    gives an empty text, markup without text too; null ids and urls stay null; repeated rows stay.
+    One map over the rows, without a shuffle; memory is bounded by a page, time by its length however
+    deep or wide its tree is. Null or empty html gives an empty text, markup without text too; null ids
+    and urls stay null; repeated rows stay; an empty table gives an empty result; other columns, those
+    named text or n_chars too, are not read. Of containers that score alike the first one is taken.
     """
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "html"):
             found = [main_text(x) for x in column(part, "html").to_pylist()]

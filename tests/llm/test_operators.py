@@ -508,6 +508,83 @@ def test_wrappers_with_boilerplate_words_keep_their_article(begin, end):
     assert main_text.main_text(f"<div><p>{PARA}</p></div>{long}{aside}") == PARA
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<body><form action=x><div class=menu><a href=a>m</a></div><div id=main><h1>T</h1><p>{PARA}</p><p>{PARA}</p></div><input type=hidden></form></body>", f"T {PARA} {PARA}"),
+        (f"<div id=main><section><h2>A</h2><p>{PARA}</p><p>{PARA}</p></section><section><h2>B</h2><p>short.</p></section></div>", f"A {PARA} {PARA} B short."),
+        (f"<header><a href=x>Site</a></header><article><header><h1>Title</h1></header><p>{PARA}</p><footer>f</footer></article>", f"Title {PARA}"),
+        (f"<body><nav><a href=x>m</a></nav><h1>Title</h1><article><p>{PARA}</p></article></body>", f"Title {PARA}"),
+        (f"<title>Not this</title><div><p>{PARA}</p><p style='display: none'>{PARA}</p><p hidden>no</p></div>", PARA),
+        (f"<body><h1>Site</h1><div class=x><h2>Head</h2><p>{PARA}</p><p>{PARA}</p></div></body>", f"Head {PARA} {PARA}"),
+        (f"<div class=post><p>{PARA}</p></div><div class=post><p>{PARA}</p><p>{PARA}</p></div><div class=links><p><a href=x>{PARA}</a></p></div>", f"{PARA} {PARA} {PARA}"),
+    ],
+)
+def test_main_text_of_usual_layouts(html, want):
+    assert main_text.main_text(html) == want
+
+
+def _page(rnd, k):
+    """A page without <article>, and its text."""
+    words = lambda n: " ".join(rnd.choice(["stone", "river", "light", "old", "house", "walks,", "a", "the", "of", "and", "grows"]) for _ in range(n))
+    para = lambda: words(rnd.randrange(15, 90)) + "."
+    head, blocks = f"Head {k}", []
+    for _ in range(rnd.randrange(2, 12)):
+        kind = rnd.random()
+        if kind < 0.7:
+            blocks.append(("<p>{}" + rnd.choice(["", "</p>"]), [para()]))
+        elif kind < 0.8:
+            blocks.append(("<h2>{}</h2>", [words(3)]))
+        elif kind < 0.9:
+            items = [words(5) for _ in range(3)]
+            blocks.append(("<ul>" + "<li>{}" * 3 + "</ul>", items))
+        else:
+            blocks.append(("<blockquote><p>{}</p></blockquote>", [para()]))
+    blocks += [("<p>{}</p>", [para()]), ("<p>{}</p>", [para()])]
+    notice = lambda: rnd.choice([f"<div class='ad'>{words(20)}</div>", f"<aside><p>{para()}</p></aside>", f"<div class='share-buttons'><a href=s>Share</a> {words(2)}</div>", "<script>var x = '<p>no</p>';</script>", f"<form><label>{words(3)}</label><input></form>", f"<div id=newsletter><p>{words(12)}</p></div>", ""])
+    body = f"<h1>{head}</h1>" + "".join(t.format(*x) + (notice() if rnd.random() < 0.2 and "{}</p>" in t else "") for t, x in blocks)
+    body = rnd.choice(["<div id=content>{}</div>", "<div class='post-body wide'>{}</div>", "<main>{}</main>", "<div class='layout has-sidebar'><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "<div class='page-with-banner'><section>{}</section></div>"]).replace("{}", body)
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>{words(1)}</a></li>" for i in range(rnd.randrange(3, 12))) + "</ul>"
+    before = rnd.choice([f"<div class=menu>{menu}</div>", f"<nav>{menu}</nav>", f"<header><p>{words(6)}</p>{menu}</header>", f"<div id=header>{menu}</div>"]) + rnd.choice(["", f"<div class='cookie-notice'><p>{para()}</p></div>", f"<div role=dialog>{words(20)}</div>"])
+    side = rnd.choice(["", f"<div class=sidebar><p>{para()}</p>{menu}</div>", f"<aside>{menu}<p>{para()}</p></aside>"])
+    comments = rnd.choice(["", "<div id=comments>" + "".join(f"<div class=comment><p>{para()}</p></div>" for _ in range(rnd.randrange(1, 30))) + "</div>"])
+    foot = rnd.choice([f"<footer>{words(9)}</footer>", f"<div class=footer><p>{words(15)}</p></div>"])
+    page = f"<html><head><title>{head} | Site</title><style>p{{}}</style></head><body>{before}{side}{body}{comments}{foot}</body></html>"
+    if rnd.random() < 0.2:
+        page = page.replace("<body>", "<body class='comments-enabled'><form action=/ method=post>").replace("</body>", "</form></body>")
+    return page, " ".join([head, *(x for _, xs in blocks for x in xs)])
+
+
+def test_main_text_of_made_pages_without_an_article():
+    rnd = random.Random(12)
+    wrong = []
+    for k in range(400):
+        page, want = _page(rnd, k)
+        if main_text.main_text(page) != want:
+            wrong.append((page, want, main_text.main_text(page)))
+    assert len(wrong) <= 4, wrong[0]
+
+
+def test_main_text_takes_time_by_length():
+    import time
+
+    def seconds(source):
+        t = time.process_time()
+        main_text.main_text(source)
+        return time.process_time() - t
+
+    for unit in ("<div></p>", "<li><div>", "<div><p>a", "<p>a, b", "<b><div></b>", "<td>x"):
+        assert seconds(unit * 40_000) < 12 * max(seconds(unit * 8_000), 0.05)
+
+
+def test_pages_with_repeats_long_ones_and_clashing_columns(spark):
+    long = "<div>" + f"<p>{PARA}</p>" * 20_000 + "</div>"
+    rows = [(1, "u", f"<p>{PARA}</p>"), (1, "u", f"<p>{PARA}</p>"), (2, None, long), (None, "v", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("x")).withColumn("tags", F.lit(0))
+    got = main_text.extract_main_text(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 1), (1, len(PARA)), (1, len(PARA)), (2, 20_000 * (len(PARA) + 1) - 1)]
+
+
 # 3 quality
 
 
