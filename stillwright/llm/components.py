@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from stillwright.llm.common import discard, materialize
 
 
+#: Rows of a matrix that are looked at together.
+ROWS = 256
+
+
 def labels(linked: np.ndarray) -> np.ndarray:
     """Of each row of a symmetric 0/1 matrix the least row that a chain of ones reaches."""
     n = len(linked)
     root = np.arange(n)
     while True:  # labels fall to the least linked one until they stay
-        new = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1, initial=n))
+        low = [np.where(linked[k : k + ROWS], root[None, :], n).min(axis=1, initial=n) for k in range(0, n, ROWS)]
+        new = np.minimum(root, np.concatenate(low)) if low else root
         new = new[new]
         if (new == root).all():
             return root

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwright.llm.common import column, discard, materialize, shuffle_partitions, steps, texts
-from stillwright.llm.components import components, labels
+from stillwright.llm.components import ROWS, components, labels
 from stillwright.llm.wordhash import Words, byte_class, constants, mix
 
 TREES, DEPTH, RECALL = 24, 8, 0.9999
@@ -160,12 +160,16 @@ def _ended(batches: Iterator) -> Iterator:
     yield None
 
 
-def _agreement(signatures: np.ndarray) -> np.ndarray:
-    """How many bytes each two signatures have in common: counted for a few, from products of signs for many."""
-    if len(signatures) <= 64:
-        return (signatures[:, None, :] == signatures[None, :, :]).sum(axis=2).astype(np.float32)
-    signs = SIGNS[signatures].reshape(len(signatures), -1)
-    return signs @ signs.T / 4
+def _agreement(signatures: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """How many bytes signatures have in common with all others, some rows at a time: counted for a few,
+    from products of signs for many."""
+    n = len(signatures)
+    if n <= 64:
+        yield slice(0, n), (signatures[:, None, :] == signatures[None, :, :]).sum(axis=2).astype(np.float32)
+        return
+    signs = SIGNS[signatures].reshape(n, -1)
+    for k in range(0, n, ROWS):
+        yield slice(k, k + ROWS), signs[k : k + ROWS] @ signs.T / 4
 
 
 def _runs(keys: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
@@ -194,13 +198,14 @@ def _screen(threshold: float):
         spread = np.sqrt(size * threshold * (1 - threshold) + size * (1 - threshold) / 4)
         met = np.zeros(size + 1)
         for at in _runs(pdf["grp"].to_numpy(), node):
-            pairs = _apart(side[at])
-            agree = _agreement(signatures[at])
-            root = labels(pairs & (agree >= size * threshold - SPARED * spread))
+            linked = _apart(side[at])
+            for rows, agree in _agreement(signatures[at]):
+                near = np.rint(agree[linked[rows] & (agree >= size * threshold - spread)]).astype(np.int32).clip(0, size)
+                met += np.bincount(near, minlength=size + 1) * (times[at[0]] / 2)
+                linked[rows] &= agree >= size * threshold - SPARED * spread
+            root = labels(linked)
             moved = np.flatnonzero(root != np.arange(len(at)))
             edges += zip(node[at[moved]].tolist(), node[at[root[moved]]].tolist(), strict=True)
-            near = np.rint(agree[pairs & (agree >= size * threshold - spread)]).astype(np.int64).clip(0, size)
-            met += np.bincount(near, minlength=size + 1) * (times[at[0]] / 2)
         seen = np.flatnonzero(met)
         return pd.DataFrame({"a": [a for a, _ in edges] + [0] * len(seen), "b": [b for _, b in edges] + [0] * len(seen), "level": [-1] * len(edges) + seen.tolist(), "n": [0.0] * len(edges) + met[seen].tolist()})
 
