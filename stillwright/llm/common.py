@@ -28,6 +28,23 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(text: Column) -> Column:
+    """What names a text where decisions on texts are carried back to rows; null is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+#: Hashes that go to every task at most.
+BROADCAST_HASHES = 1_000_000
+
+
+def without_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs but those whose text has a text_hash in gone: whole rows, whatever their id. A few
+    hashes (counted) go to every task, so texts move only where there are more."""
+    gone = materialize(gone.select("text_hash").distinct(), "gone", free=False)
+    few = gone.count() <= BROADCAST_HASHES
+    return docs.join(F.broadcast(gone) if few else gone, text_hash(docs["text"]) == gone["text_hash"], "left_anti")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one of our own where none is set and
     all tasks run on this machine (tests)."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import bound, texts
+from stillwright.llm.common import bound, materialize, text_hash, texts
 
 #: Masks for items from 10 words on; a mark compares the word at its place. Wherever 3 words of 13, or 2
 #: of 10 to 12, differ, one of them has a place without any (a test tries all).
@@ -19,8 +19,8 @@ MASKS = ("111011", "1100001011", "11010011")
 LEAST_MASKED = max(map(len, MASKS))
 #: Words of the window that is verified, and those of it that must be equal.
 WINDOW, EQUAL = 13, 10
-#: Benchmark seeds that are broadcast at most; beyond it the join is a shuffled one.
-BROADCAST_SEEDS = 1_000_000
+#: Benchmark seeds, bytes of benchmark texts, and hashes of texts that are broadcast at most; beyond it joins shuffle.
+BROADCAST_SEEDS, BROADCAST_BYTES, BROADCAST_TEXTS = 1_000_000, 32_000_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -56,44 +56,62 @@ def _seeded(rows: DataFrame, key: str, masks: dict[str, Column | None]) -> DataF
     return found.select(key, "seed", F.floor(F.col("k") / len(masks)).cast("int").alias("place"))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, equal: int = EQUAL, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, item_id, item_words, matched, window_matched of each document that holds an item's words.
-
-    A pair counts if, in any alignment, a window of `window` aligned words of the item (all of a shorter
-    item) has at least `equal` equal ones (the same share of a shorter item, so of up to 4 words of 13
-    with 10 equal ones all). matched: equal words of the best such alignment. Items of a few common
-    words are found wherever these stand; null and empty texts match nothing. Rows with a null doc_id
-    or item_id are left out. Of repeated items the least text counts, of repeated documents the best match. Empty
-    tables give an empty result. Other columns are not read.
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, equal: int = EQUAL, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """text_hash, item_id, item_words, matched, window_matched of each distinct text that holds an item's words.
 
-    Seeds leave the documents' rows without their words, and each alignment is counted before it is
-    shuffled, so a passage that many documents share is no hot key: rows are keyed by document.
+    See `contaminations`. Equal texts are verified once, whatever rows they stand in. Only texts that a
+    seed has hit are read again, and each is split into words once, before it meets its alignments.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words(F.col("text")).alias("words"))
-    widths = {r["width"]: r["n"] for r in items.where(F.size("words") > 0).groupBy(F.least(F.size("words"), F.lit(window)).alias("width")).agg(F.sum(F.size("words")).alias("n")).collect()}
+    length = F.length(F.array_join("words", " "))
+    found = items.where(F.size("words") > 0).groupBy(F.least(F.size("words"), F.lit(window)).alias("width")).agg(F.sum(F.size("words")).alias("n"), F.sum(length).alias("bytes")).collect()
+    widths = {r["width"]: r["n"] for r in found}
     by_mask: dict[str, list[int]] = {mask: [] for mask in MASKS[:1]} if not widths else {}
     for width in sorted(widths):
         for mask in masks_of(width, window, equal):
             by_mask.setdefault(mask, []).append(width)
     width = F.least(F.size("words"), F.lit(window))
-    item_seeds = _seeded(items, "item_id", {mask: width.isin(found) for mask, found in by_mask.items()}).withColumnRenamed("place", "item_place")
-    rows = texts(docs).where("doc_id is not null")
-    n = sum(words_in * len(masks_of(width, window, equal)) for width, words_in in widths.items())
-    if n <= broadcast_seeds:
-        item_seeds = F.broadcast(item_seeds)
-    hits = _seeded(rows.select("doc_id", words(F.col("text")).alias("words")), "doc_id", dict.fromkeys(by_mask)).join(item_seeds, "seed")
-    hits = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
+    item_seeds = _seeded(items, "item_id", {mask: width.isin(held) for mask, held in by_mask.items()}).withColumnRenamed("place", "item_place")
+    rows = texts(docs).select("text").withColumn("text_hash", text_hash(F.col("text")))
+    few = sum(n * len(masks_of(width, window, equal)) for width, n in widths.items()) <= broadcast_seeds
+    small = few and 4 * sum(r["bytes"] for r in found) <= BROADCAST_BYTES
+    seeded = _seeded(rows.select("text_hash", words(F.col("text")).alias("words")), "text_hash", dict.fromkeys(by_mask))
+    hits = seeded.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
+    hits = hits.groupBy("text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
+    hits = materialize(hits, "alignments")
+    hit = hits.select("text_hash").distinct()
+    read = rows.join(F.broadcast(hit) if hit.count() <= BROADCAST_TEXTS else hit, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    read = read.select("text_hash", words(F.col("text")).alias("mine"))
     item_words = items.withColumnRenamed("words", "item")
-    hits = hits.join(F.broadcast(item_words) if n <= broadcast_seeds else item_words, "item_id")
+    hits = hits.join(F.broadcast(item_words) if small else item_words, "item_id")
 
-    def verified(item: Column, text: Column, shift: Column) -> Column:
+    def verified(item: Column, mine: Column, shift: Column) -> Column:
         width = F.least(F.lit(window), F.size(item))
         total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
         best = lambda same: F.array_max(F.transform(F.sequence(F.lit(1), F.size(item) - width + 1), lambda i: total(F.slice(same, i, width))))
-        same = bound(words(text), lambda mine: F.transform(item, lambda w, k: F.when(F.get(mine, shift + k) == w, 1).otherwise(0)))
+        same = F.transform(item, lambda w, k: F.when(F.get(mine, shift + k) == w, 1).otherwise(0))
         return bound(same, lambda x: F.struct(F.size(item).alias("item_words"), total(x).alias("matched"), best(x).alias("window_matched")))
 
-    checked = hits.join(rows, "doc_id").select("doc_id", "item_id", verified(F.col("item"), F.col("text"), F.col("shift")).alias("v")).select("doc_id", "item_id", "v.*")
+    checked = hits.join(read, "text_hash").select("text_hash", "item_id", verified(F.col("item"), F.col("mine"), F.col("shift")).alias("v")).select("text_hash", "item_id", "v.*")
     enough = F.col("window_matched") * window >= F.least(F.lit(window), F.col("item_words")) * equal
-    return checked.where(enough).groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("item_words", "matched", "window_matched")])
+    return checked.where(enough).groupBy("text_hash", "item_id").agg(*[F.max(c).alias(c) for c in ("item_words", "matched", "window_matched")])
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, equal: int = EQUAL, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, item_id, item_words, matched, window_matched of each document that holds an item's words.
+
+    A pair counts if, in any alignment, a window of `window` aligned words of the item (all of a shorter
+    item) has at least `equal` equal ones (the same share of a shorter item, so of up to 4 words of 13
+    with 10 equal ones all). matched: equal words of the best such alignment. Items of a few common
+    words are found wherever these stand; null and empty texts match nothing. Rows with a null doc_id
+    or item_id are left out. Of repeated items the least text counts, of rows of one doc_id the best match.
+    Empty tables give an empty result. Other columns are not read.
+
+    Seeds leave the documents' rows without their words, and each alignment is counted before it is
+    shuffled, so a passage that many documents share is no hot key: rows are keyed by their text.
+    """
+    found = materialize(contaminated_texts(docs, benchmark, window, equal, broadcast_seeds), "contaminated")
+    n = found.count()
+    rows = texts(docs).where("doc_id is not null").select("doc_id", text_hash(F.col("text")).alias("text_hash"))
+    return rows.join(F.broadcast(found) if n <= BROADCAST_TEXTS else found, "text_hash").groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("item_words", "matched", "window_matched")])

@@ -23,6 +23,8 @@ from stillwright.llm.wordhash import constants, mix
 
 #: Bytes of a window, windows of a neighbourhood, neighbourhoods that must choose a window.
 WIDTH, NEIGHBOURS, POPULAR = 16, 24, 3
+#: Texts of so many windows at most have smaller neighbourhoods, so that they too have some features.
+SHORT, SHORT_NEIGHBOURS = 192, 6
 #: Entropy in bits that text has as a rule in such a window, and the least a feature may have.
 TYPICAL, LEAST = 3.2, 1.2
 #: Bits and hashes of a filter, and the features it takes.
@@ -30,6 +32,11 @@ BITS, HASHES, FILL = 2048, 5, 160
 LEVELS = 1000
 
 
+def neighbours(windows: int) -> int:
+    """Windows of a neighbourhood in a text of so many windows."""
+    return SHORT_NEIGHBOURS if windows <= SHORT else NEIGHBOURS
+
+
 class Digests:
     """Bloom filters of a block of byte strings; filters[bounds[i]:bounds[i + 1]] are of the i-th."""
 
@@ -44,7 +51,11 @@ class Digests:
         at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(windows) - windows), windows)
         level = np.full(len(raw), LEVELS + 1, np.int64)
         level[at] = self._levels(raw)[at]
-        chosen, who = self._popular(level, at, owner, windows)
+        short = windows <= SHORT
+        found = [self._popular(level, at[mine[owner]], owner[mine[owner]], np.where(mine, windows, 0), span) for mine, span in ((short, SHORT_NEIGHBOURS), (~short, NEIGHBOURS))]
+        chosen, who = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(chosen, kind="stable")
+        chosen, who = chosen[order], who[order]
         data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, WIDTH)[chosen]).view(np.uint64)
         h = mix((mix(data) * constants(WIDTH // 8, 7)).sum(axis=1, dtype=np.uint64))
         self.counts = np.bincount(who, minlength=len(block))
@@ -81,16 +92,19 @@ class Digests:
         return out
 
     @staticmethod
-    def _popular(level: np.ndarray, at: np.ndarray, owner: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _popular(level: np.ndarray, at: np.ndarray, owner: np.ndarray, windows: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows that are the rarest (then first) of enough neighbourhoods, and their owners."""
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         least = level << 40 | np.arange(len(level))
         span = 1
-        while span < NEIGHBOURS:
-            least[:-span] = np.minimum(least[:-span], least[span:])
-            span *= 2
+        while span < neighbours:
+            step = min(span, neighbours - span)
+            least[:-step] = np.minimum(least[:-step], least[step:])
+            span += step
         # a text has at least one neighbourhood, and none reaches beyond its last window
         number = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
-        many = np.maximum(windows - NEIGHBOURS + 1, np.minimum(windows, 1))
+        many = np.maximum(windows - neighbours + 1, np.minimum(windows, 1))
         starts = number < np.repeat(many, windows)
         best, who = least[at[starts]] & ((1 << 40) - 1), owner[starts]
         new = np.flatnonzero(np.diff(best, prepend=-1))

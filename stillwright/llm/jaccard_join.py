@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import column, discard, materialize, shuffle_partitions, steps, texts
+from stillwright.llm.common import column, discard, materialize, shuffle_partitions, steps, text_hash, texts
 from stillwright.llm.components import ROWS, components, labels
 from stillwright.llm.wordhash import Words, byte_class, constants, mix
 
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     """
     spark = docs.sparkSession
     floor = least_prefix(threshold, trees, depth, 1 - (1 - recall) / 10)
-    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    rows = texts(docs).withColumn("text_hash", text_hash(F.col("text")))
     nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth), "doc_id long, text_hash long, node long, check long, n_shingles long, paths array<long>"), "signatures")
     # one node for each distinct set
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))

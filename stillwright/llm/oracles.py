@@ -22,25 +22,17 @@ SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT
 )
 
 
-def _seed(mask: str, key: str) -> str:
-    marked = [f"lead(w, {k}) OVER (PARTITION BY {key} ORDER BY pos)" if k else "w" for k, c in enumerate(mask) if c == "1"]
-    return f"concat_ws(' ', {', '.join(marked)})"
+def decontamination(window: int, equal: int) -> str:
+    """Every alignment with enough equal words is tried: pairs of equal words, counted by how far they are apart."""
 
-
-def _seeds(source: str, key: str, masks: tuple[str, ...]) -> str:
-    return " UNION ALL ".join(f"SELECT {key}, pos, {n} AS mask, {_seed(m, key)} AS seed, lead(w, {len(m) - 1}) OVER (PARTITION BY {key} ORDER BY pos) IS NOT NULL AS whole FROM {source}" for n, m in enumerate(masks))
-
-
-def decontamination(masks: tuple[str, ...], window: int, equal: int) -> str:
     def words(name: str, key: str) -> str:
         ws = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
         return f"(SELECT {key}, unnest({ws}) AS w, unnest(range(0, len({ws}))) AS pos FROM {name})"
 
     return f"""
 WITH d AS {words("documents", "doc_id")}, i AS {words("benchmark", "item_id")}, n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-ds AS ({_seeds("d", "doc_id", masks)}), bs AS ({_seeds("i", "item_id", masks)}),
-h AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed AND ds.whole AND bs.whole),
-e AS (SELECT h.doc_id, h.item_id, h.shift, n.n, i.pos, CASE WHEN d.w = i.w THEN 1 ELSE 0 END AS eq FROM h JOIN n USING (item_id) JOIN i USING (item_id) LEFT JOIN d ON d.doc_id = h.doc_id AND d.pos = h.shift + i.pos),
+h AS (SELECT doc_id, item_id, d.pos - i.pos AS shift, n.n FROM d JOIN i USING (w) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) * {window} >= least({window}, n.n) * {equal}),
+e AS (SELECT h.doc_id, h.item_id, h.shift, h.n, i.pos, CASE WHEN d.w = i.w THEN 1 ELSE 0 END AS eq FROM h JOIN i USING (item_id) LEFT JOIN d ON d.doc_id = h.doc_id AND d.pos = h.shift + i.pos),
 s AS (SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS inside FROM e),
 a AS (SELECT doc_id, item_id, shift, n, sum(eq) AS matched, max(inside) FILTER (pos <= n - least({window}, n)) AS best FROM s GROUP BY ALL)
 SELECT doc_id, item_id, max(n)::BIGINT AS item_words, max(matched)::BIGINT AS matched, max(best)::BIGINT AS window_matched FROM a WHERE best * {window} >= least({window}, n) * {equal} GROUP BY doc_id, item_id"""

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from stillwright.llm.common import bound
 
 ROUNDS = 10
-#: Days that dates are permuted among: FIRST_DAY and the MOD_A * MOD_B - 1 days after it.
+#: Days that dates are permuted among: FIRST_DAY and the MOD_A * MOD_B - 1 days after it (to 2099-11-13), and
+#: blocks of as many days before and after these, each for itself, as far as all their years have four digits.
 FIRST_DAY, MOD_A, MOD_B = "1900-01-01", 250, 292
+FIRST_BLOCK, LAST_BLOCK = -9, 39
+#: Hexadecimal digits of the digest that a mail address becomes.
+MAIL_DIGITS = 24
 #: What each kind looks like. Java regular expressions, none of which backtracks beyond a value.
-MAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*?\.[A-Za-z]{2,}+"
+MAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}+"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![.]?\d)"
 DATE = r"\d{4}-\d{2}-\d{2}(?!\d)|\d{2}[/.]\d{2}[/.]\d{4}(?!\d)"
 LOCAL = r"(?:\(\d{3}\)[ -]?\d{3}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![.-]?\d)"
@@ -166,21 +170,20 @@ def _date(value: Column, key: str) -> Column:
     is_iso, month_first = value.contains("-"), (sep == "/") & first.try_cast("date").isNotNull()
     day = F.when(is_iso, value.try_cast("date")).when(month_first, first.try_cast("date")).otherwise(second.try_cast("date"))
 
-    def new(day: Column) -> Column:
-        k = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        moved = feistel(F.floor(k / MOD_B), k % MOD_B, F.lit(MOD_A), F.lit(MOD_B), key, F.lit("date"))
-        date = bound(moved, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * MOD_B + x["b"]).cast("int")))
-        return bound(date, lambda x: F.when(is_iso, F.date_format(x, "yyyy-MM-dd")).when(sep == ".", F.date_format(x, "dd.MM.yyyy")).when(month_first, F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
+    def new(k: Column) -> Column:
+        block = F.floor(k / (MOD_A * MOD_B)).cast("int")
+        tweak = F.when(block == 0, "date").otherwise(F.concat(F.lit("date/"), block.cast("string")))
+        inside = k - block * (MOD_A * MOD_B)
+        moved = feistel(F.floor(inside / MOD_B), inside % MOD_B, F.lit(MOD_A), F.lit(MOD_B), key, tweak)
+        date = bound(moved, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (block * (MOD_A * MOD_B) + x["a"] * MOD_B + x["b"]).cast("int")))
+        date = bound(date, lambda x: F.when(is_iso, F.date_format(x, "yyyy-MM-dd")).when(sep == ".", F.date_format(x, "dd.MM.yyyy")).when(month_first, F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
+        return F.when(block.between(FIRST_BLOCK, LAST_BLOCK), date).otherwise(value)
 
-    def checked(day: Column) -> Column:
-        k = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        return F.when(day.isNotNull() & k.between(0, MOD_A * MOD_B - 1), new(day)).otherwise(value)
-
-    return bound(day, checked)
+    return F.when(day.isNotNull(), bound(F.datediff(day, F.lit(FIRST_DAY).cast("date")), new)).otherwise(value)
 
 
 def _mail(value: Column, key: str) -> Column:
-    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(value)).cast("binary"), 256), 1, 12)
+    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(value)).cast("binary"), 256), 1, MAIL_DIGITS)
     return F.concat(F.lit("u"), digest, F.regexp_extract(value, "@.*$", 0))
 
 
@@ -225,9 +228,12 @@ def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
 def pseudonymise(docs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_replaced and the columns to keep of every row: one map, no shuffle and no Python.
 
-    Null text is empty. Equal values get equal pseudonyms in whatever document; repeated rows stay
-    equal. Ids, null ones too, pass through. An empty table gives an empty result. Other columns are
-    not read.
+    Null text is empty; texts of any length are one pass of a regular expression. Equal values get equal
+    pseudonyms in whatever document, different ones different (mail addresses and secrets by digests of 96
+    bits and more); repeated rows stay equal. A value that its permutation maps to itself stays and is not
+    counted. Dates before 0101-03-13 and after 9894-09-08 stay as they are. Ids, null ones too, pass through. An
+    empty table gives an empty result. Other columns are not read. The key is a literal of the plan, so
+    plans and event logs show it: pass one that is derived for this corpus.
     """
     text, n = pseudonymised(F.col("text"), key)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *[docs[c] for c in keep])

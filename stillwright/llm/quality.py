@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import column, materialize, steps, texts
+from stillwright.llm.common import column, materialize, steps, text_hash, texts
 
 #: Labelled rows that a model is fitted on at most (those with the smallest hash of the id), tasks
 #: that sum the normal equations, cosines, seed, width of the kernel, ridge penalty a row, bins.
@@ -62,14 +62,14 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x (array of the statistics of the whole text)."""
+    """doc_id, text_hash, x (array of the statistics of the whole text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             x = [statistics(t) for t in column(part, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "text_hash"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "text_hash", "x"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, x array<double>")
 
 
 def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -122,7 +122,11 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     null or of unknown documents are left out; without any label every score is 0.5.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
-    y = y.groupBy("doc_id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    y = y.groupBy("doc_id").agg(F.avg("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    known = y.count()
+    if known > fit_rows:  # a bound on the hash first, so that few more rows than are taken come together
+        share = min(1.0, 1.1 * fit_rows / known + 1000 / known)
+        y = y.where(F.col("h") <= F.lit(min(int((share - 0.5) * 2**64), 2**63 - 1))).orderBy("h", "doc_id").limit(fit_rows)
     rows = materialize(stats.join(y, "doc_id").repartition(FIT_TASKS, "doc_id"), "labelled")
     moments = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
     if not moments:
@@ -165,9 +169,9 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def scored(stats: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": model.score(_matrix(pdf["x"]))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "score": model.score(_matrix(pdf["x"]))})
 
-    return stats.mapInPandas(run, "doc_id long, score double")
+    return stats.mapInPandas(run, "doc_id long, text_hash long, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -176,12 +180,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, scored by its whole text alone.
+    """doc_id, text_hash, held_out, score, predicted of every document, scored by its whole text alone.
 
     Held-out ids teach nothing. Null text is empty; empty texts are scored by all-zero statistics. A
-    null doc_id is scored and not held out; repeated rows stay; an empty table gives an empty
-    result; without labels every score is 0.5. Other columns are not read.
+    null doc_id is scored and not held out; repeated rows stay, and equal texts have equal scores; a label
+    of rows that share an id teaches all their texts; an empty table gives an empty result; without
+    labels every score is 0.5. text_hash (xxhash64) names the text. Other columns are not read.
     """
     stats = materialize(with_statistics(docs), "statistics")
     model = fit(stats, labels.where(~held_out()))
-    return scored(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(stats, model).select("doc_id", "text_hash", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

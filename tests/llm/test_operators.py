@@ -408,6 +408,74 @@ def test_feistel_is_a_permutation(spark):
     dates = spark.sql("select date_format(date_add(date'1900-01-01', cast(id as int)), 'yyyy-MM-dd') d from range(0, 73000, 7)")
     moved = dates.select(pii._date(F.col("d"), "k").alias("x")).collect()
     assert len({r["x"] for r in moved}) == len(moved) and all("1900-01-01" <= r["x"] <= "2099-11-13" for r in moved)
+    ends = spark.createDataFrame([("0101-03-12",), ("9894-09-09",), ("0101-03-13",), ("9894-09-08",)], "d string").select("d", pii._date(F.col("d"), "k").alias("x")).collect()
+    assert [r["d"] == r["x"] for r in ends] == [True, True, False, False]
+
+
+def _prf(tweak, *parts):
+    return int(hashlib.sha256("|".join(["k", tweak, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def _feistel(a, b, mod_a, mod_b, tweak):
+    for i in range(10):
+        mod = mod_b if i % 2 else mod_a
+        a, b = b, (a + _prf(tweak, i, b) % mod) % mod
+    return a, b
+
+
+def _digits(d, kind):
+    n, u = len(d), len(d) // 2
+    a, b = _feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (n - u), f"{kind}/{n}")
+    return f"{a:0{u}d}{b:0{n - u}d}"
+
+
+def _plain_pseudonym(kind, v):
+    """The pseudonym of a value by plain Python."""
+    import datetime
+
+    d = re.sub(r"\D", "", v)
+    if kind == "card":
+        new = _digits(d[:-1], "card")
+        new += next(c for c in "0123456789" if _luhn(new + c))
+    elif kind == "phone":
+        new = d[:-10] + _digits(d[-10:], "phone")
+    elif kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        return ".".join(str(x) for y in _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip") for x in divmod(y, 256))
+    elif kind == "social":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        a, b = _feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "social")
+        new = f"{a // 99 + 1 + (a // 99 >= 665):03d}{a % 99 + 1:02d}{b + 1:04d}"
+    elif kind == "date":
+        first = datetime.date(1900, 1, 1)
+        block, k = divmod((datetime.date.fromisoformat(v) - first).days, 73000)
+        a, b = _feistel(*divmod(k, 292), 250, 292, f"date/{block}" if block else "date")
+        return (first + datetime.timedelta(days=block * 73000 + a * 292 + b)).isoformat()
+    elif kind == "mail":
+        return "u" + hashlib.sha256(f"k|mail|{v.lower()}".encode()).hexdigest()[:24] + v[v.index("@") :]
+    elif kind == "hex":
+        new = hashlib.sha256(f"k|hex|{v.lower()}".encode()).hexdigest()[: len(v)]
+        return new if v == v.lower() else new.upper()
+    digits = iter(new)
+    return re.sub(r"\d", lambda m: next(digits), v)
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    rnd, values = random.Random(5), []
+    for _ in range(40):
+        d = "".join(rnd.choice("0123456789") for _ in range(15))
+        d = "4" + d[1:] + next(c for c in "0123456789" if _luhn("4" + d[1:] + c))
+        values += [("card", d), ("card", "-".join(d[i : i + 4] for i in range(0, 16, 4)))]
+        t = [f"{rnd.randrange(1000):03d}", f"{rnd.randrange(1000):03d}", f"{rnd.randrange(10000):04d}"]
+        values += [("phone", "-".join(t)), ("phone", f"+1 ({t[0]}) {t[1]}-{t[2]}"), ("ip", ".".join(str(rnd.randrange(256)) for _ in range(4)))]
+        values += [("social", f"{rnd.choice([1, 665, 667, 899, rnd.randrange(1, 666)]):03d}-{rnd.randrange(1, 100):02d}-{rnd.randrange(1, 10000):04d}")]
+        values += [("date", f"{rnd.choice([1815, 1899, 1900, 1984, 2099, 2100, 2250]):04d}-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}")]
+        values += [("mail", f"A.b{rnd.randrange(99)}@mail{rnd.randrange(9)}.example.org"), ("hex", f"{rnd.getrandbits(160):040x}a1"), ("hex", f"{rnd.getrandbits(128):032X}A1")]
+    rows = [(i, f"see {v}, or {v} and more") for i, (_, v) in enumerate(values)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    for i, (kind, v) in enumerate(values):
+        new = _plain_pseudonym(kind, v)
+        assert got[i] == f"see {new}, or {new} and more", (kind, v)
 
 
 # 4 sharding
@@ -468,6 +536,67 @@ def test_entropies_are_those_of_the_windows():
     assert fingerprints.likeness(a.of(0), a.of(0)) == 1 and fingerprints.likeness(a.of(1), a.of(1)) == 1 and fingerprints.likeness(a.of(0), a.of(1)) == 0
 
 
+def _plain_digest(raw):
+    """Features and bits of a text by plain Python, a window at a time."""
+    from math import log2
+
+    w = fingerprints.WIDTH
+    mask = 2**64 - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    raw = raw.ljust(w, b"\0") if raw else raw
+    windows = [raw[i : i + w] for i in range(len(raw) - w + 1)]
+    if not windows:
+        return []
+
+    def level(x):
+        h = log2(w) - sum(c * log2(c) for c in collections.Counter(x).values()) / w
+        far = abs(h - fingerprints.TYPICAL) / max(fingerprints.TYPICAL, log2(w) - fingerprints.TYPICAL)
+        return fingerprints.LEVELS if h < fingerprints.LEAST else round((1 - far) * (fingerprints.LEVELS - 1), 9)
+
+    levels = {x: level(x) for x in set(windows)}
+    span = fingerprints.neighbours(len(windows))
+    many = max(len(windows) - span + 1, 1)
+    rare = collections.Counter(min(range(i, min(i + span, len(windows))), key=lambda k: (round(levels[windows[k]]), k)) for i in range(many))
+    popular = [k for k in sorted(rare) if rare[k] >= min(fingerprints.POPULAR, many)] or sorted(rare)
+    c = [int(x) for x in fingerprints.constants(w // 8, 7)]
+    hashes = [mix(sum(mix(int.from_bytes(windows[k][8 * j : 8 * j + 8], "little")) * c[j] for j in range(w // 8)) & mask) for k in popular]
+    filters = [hashes[i : i + fingerprints.FILL] for i in range(0, len(hashes), fingerprints.FILL)]
+    return [{h >> 11 * k & fingerprints.BITS - 1 for h in part for k in range(fingerprints.HASHES)} for part in filters]
+
+
+def _plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+
+    def score(x, y):
+        n, m = len(x) / fingerprints.BITS, len(y) / fingerprints.BITS
+        chance = n * m * fingerprints.BITS
+        chance += 2 * (chance * (1 - n) * (1 - m)) ** 0.5
+        return min(1, max(0, (len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9)))
+
+    one = lambda p, q: sum(len(x) * max(score(x, y) for y in q) for x in p) / sum(map(len, p))
+    return (one(a, b) + one(b, a)) / 2
+
+
+def test_digests_equal_plain_python():
+    rnd = random.Random(7)
+    texts = ["", "tiny", "sixteen bytes ok", prose(rnd, 12), prose(rnd, 30), prose(rnd, 60), prose(rnd, 3000), "x" * 400, "日本語 " * 50 + prose(rnd, 40), prose(rnd, 200)]
+    texts += [fingerprints.edited(t, texts[k - 1]) for k, t in enumerate(texts)]
+    d = fingerprints.Digests([t.encode() for t in texts])
+    plain = [_plain_digest(t.encode()) for t in texts]
+    bits = lambda f: set(np.flatnonzero(np.unpackbits(f)).tolist())
+    for i, p in enumerate(plain):
+        assert [bits(f) for f in d.of(i)] == p, texts[i][:40]
+    for i in range(len(texts)):
+        for j in range(i, len(texts)):
+            assert abs(fingerprints.likeness(d.of(i), d.of(j)) - _plain_likeness(plain[i], plain[j])) < 1e-9
+
+
 # 9 main text
 
 
@@ -609,12 +738,69 @@ def test_quality_on_held_out_rows(spark, empty):
     assert quality.quality_scores(empty, lab).count() == 0
 
 
+def test_scores_equal_plain_ridge_and_isotonic(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(f"w{rnd.randrange(30)}" + "!" * (rnd.random() < i % 7 / 9) for _ in range(rnd.randrange(5, 60)))) for i in range(300)]
+    labels = {i: int(rnd.random() < 0.2 + 0.1 * (i % 7)) for i in range(0, 300, 2)}
+    got = table(quality.quality_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")))
+    x = np.array([quality.statistics(t) for _, t in rows])
+    known = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([labels[i] for i in known], float)
+    scale = x[known].std(axis=0)
+    model = quality.Model(x[known].mean(axis=0), np.where(scale > 0, scale, 1.0))
+    f = model.features(x)
+    # the same ridge as one weighted least-squares problem with the penalty as further rows
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    a = np.vstack([f[known] * np.sqrt(share)[:, None], np.sqrt(quality.PENALTY) * np.eye(f.shape[1])])
+    raw = f @ np.linalg.lstsq(a, np.append(y * np.sqrt(share), np.zeros(f.shape[1])), rcond=None)[0]
+    bins = np.rint(raw[known] * quality.BINS)
+    grid = np.unique(bins)
+    n, total = np.array([(bins == b).sum() for b in grid], float), np.array([y[bins == b].sum() for b in grid])
+    # isotonic regression by its min-max formula
+    level = [max(min(total[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(grid))) for i in range(k + 1)) for k in range(len(grid))]
+    want = np.interp(raw, grid / quality.BINS, level)
+    assert sum(abs(got[i]["score"] - want[i]) < 1e-6 for i in range(300)) >= 297  # a raw score may round to the next bin
+
+
 def test_isotonic_pooling():
     y, w = np.array([0.1, 0.5, 0.3, 0.3, 0.9, 0.2]), np.array([1, 1, 1, 2, 1, 3.0])
     p = quality.pool(np.arange(6), y, w)
     assert (np.diff(p) >= 0).all() and np.isclose(p @ w, y @ w)
 
 
+# all that read documents
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark, monkeypatch):
+    rnd = random.Random(14)
+    long = prose(rnd, 60_000, 30_000)  # longer than a step
+    card = "4417744280351547"
+    rows = [(1, "one " + card), (1, "one " + card), (1, "other text"), (None, "one " + card), (None, None), (None, None), (2, long), (3, long + " x"), (4, ""), (4, None)]
+    docs = frame(spark, rows, 3)
+    known = lambda df: sorted(((r["doc_id"] or 0) for r in df.collect()))
+    ids = sorted(i or 0 for i, _ in rows)
+    named = pii.pseudonymise(docs, "k").collect()
+    assert sorted(r["doc_id"] or 0 for r in named) == ids and len({r["text"] for r in named if r["n_replaced"]}) == 1 and sum(r["n_replaced"] for r in named) == 3
+    packed = packing.pack(docs, WORDS, max_tokens=4096).collect()
+    assert sorted(r["doc_id"] or 0 for r in packed if r["piece"] == 0) == ids and len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+    n = len(Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in packed if r["doc_id"] == 2) == n and sum(r["doc_id"] == 2 for r in packed) == -(-n // 4096)
+    counted = token_counts.token_counts(docs, BYTES).collect()
+    assert sorted(r["doc_id"] or 0 for r in counted) == ids and next(r["n_tokens"] for r in counted if r["doc_id"] == 2) == len(Tokenizer.from_file(BYTES).encode(long, add_special_tokens=False).ids)
+    scored = quality.quality_scores(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (6, 1)], "doc_id bigint, quality int")).collect()
+    assert sorted(r["doc_id"] or 0 for r in scored) == ids and len({r["score"] for r in scored if r["text_hash"] == next(x["text_hash"] for x in scored if x["doc_id"] is None)}) == 1
+    prints = fingerprints.fingerprints(docs, partitions=3).collect()
+    assert sorted(r["doc_id"] or 0 for r in prints) == ids and len({r["fingerprint"] for r in prints}) in (4, 5)  # one more word need not change a long text's
+    assert max(r["near_next"] for r in prints if r["doc_id"] == 3) > 0.95
+    assert known(sharding.shards(docs, 100_000)) == ids
+    removed = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in removed if r["n_removed"]) == [(3, 60_000)]
+    found = decontamination.contaminations(docs, spark.createDataFrame([(9, " ".join(long.split()[500:530]))], "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_words"], r["matched"]) for r in found) == [(2, 30, 30), (3, 30, 30)]
+    classes = jaccard_join.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in classes) == [(0, 1, 2), (0, 4, 3), (0, 4, 3), (1, 1, 0), (1, 1, 2), (1, 1, 2), (2, 2, 1), (3, 2, 1), (4, 4, 3), (4, 4, 3)]
+
+
 # pipeline
 
 
@@ -636,3 +822,59 @@ def test_pipeline_stages(spark):
             assert ids == {i for i, (root, _) in _classes(texts).items() if i == root}
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_pipeline_of_odd_tables_against_plain_python(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "KEY", "k")
+    rnd = random.Random(21)
+    item, card = prose(rnd, 20), "4417744280351547"
+    good = [prose(rnd, rnd.randrange(30, 90)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good)]
+    rows += [(100 + i, " ".join(w.upper() + "!!" for w in prose(rnd, 40).split())) for i in range(40)]  # of low quality
+    rows += [(200, good[0] + " z"), (201, good[1] + " z"), (3, good[3]), (None, good[4]), (None, good[5] + " z"), (None, "only without an id " + good[6]), (None, "only without an id " + good[6]), (7, "another text of seven " + prose(rnd, 30))]
+    rows += [(210, prose(rnd, 20) + " " + item), (None, prose(rnd, 25) + " " + item), (8, prose(rnd, 30) + " " + item), (211, f"{good[9]} {card} {good[10]}"), (220, None), (221, ""), (222, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit("n"))
+    docs.withColumn("text_hash", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i < 60)) for i in range(140) if i < 60 or i >= 100]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = collections.Counter(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == list(corpus_pipeline.COLUMNS)
+        got = collections.Counter((r["doc_id"], r["text"]) for r in now.collect())
+        if name == "quality":
+            assert got == collections.Counter({k: n for k, n in left.items() if (k, n) in got.items()}) and len([k for k in got if "!!" in (k[1] or "")]) <= 4 and len(left) - len(got) < 45
+        elif name == "near_dedup":
+            sets = {k: _shingles(k[1]) for k in left}
+            root = {k: k for k in left}
+            find = lambda k: k if root[k] == k else find(root[k])
+            for a, b in itertools.combinations(left, 2):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                    root[find(b)] = find(a)
+            classes = collections.defaultdict(list)
+            for k in left:
+                classes[find(k)].append(k)
+            assert set(got.values()) == {1} and len(got) == len(classes)
+            for held in classes.values():
+                (one,) = [k for k in held if k in got]
+                assert one[0] == min((k[0] for k in held if k[0] is not None), default=None)
+        elif name == "decontaminate":
+            assert got == collections.Counter({k: n for k, n in left.items() if not _aligned(k[1] or "", item)})
+        else:
+            new = _plain_pseudonym("card", card)
+            assert got == collections.Counter({(i, (t or "").replace(card, new)): n for (i, t), n in left.items()}) and any(new in k[1] for k in got)
+            assert all(r["n_chars"] == len(r["text"]) for r in now.collect())
+        left = got
+    tokenizer = Tokenizer.from_file(WORDS)
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["length"]) for r in packed) == collections.Counter((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for i, t in left)
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
