@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,10 +75,29 @@ def shared_id(link: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
 
+#: What begins an entry of a list, what counts stand behind it, and which lines are no titles.
+ENTRY, COUNT = r"^\s*(?:\d+[.)]|[-*•👉])\s*", r"\s*[(\[]\s*\d+\s*[)\]]\s*$"
+NOISE = r"(?iu)^\s*(?:\[[^\]]*\]\s*$|```|#{1,6}\s|(?:CHỌN|Vì sao|Rủi ro|Á quân)\s*:)"
+
+
 def clean_title(line: Column) -> Column:
-    """Without numbering, bullets and a trailing count in parentheses."""
-    x = F.regexp_replace(line, r"^\s*(?:\d+\s*[.)]|[-*•]|\p{So})\s*", "")
-    return trimmed(F.regexp_replace(x, r"\s*\(\d+\)\s*$", ""))
+    """Without numbering, bullets and a trailing count in parentheses or brackets."""
+    return trimmed(F.regexp_replace(F.regexp_replace(line, ENTRY, ""), COUNT, ""))
+
+
+def is_noise(line: Column) -> Column:
+    """Whether a line is a bracket, heading, code fence or verdict."""
+    return line.rlike(NOISE)
+
+
+def composed(x: Column) -> Column:
+    """Letters and their accents as one character where there is one (NFC)."""
+
+    @F.pandas_udf("string")
+    def nfc(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+    return nfc(x)
 
 
 def word_count(x: Column) -> Column:
@@ -103,3 +124,50 @@ def role_file_name(name: Column) -> Column:
     number = F.get(parts, F.lit(1)).try_cast("int")
     fits = number.isNotNull() & ((F.size(parts) == 3) | (F.get(parts, F.lit(0)) == "group"))
     return F.struct(F.when(fits, parts[0]).alias("role"), F.when(fits, number).alias("number"), F.when(fits, F.get(parts, F.lit(2))).alias("label"))
+
+
+#: Shape of a title, characters and words, and of its first clause; turns, consequences, and a phrase that is banned.
+TITLE_CHARS, TITLE_WORDS, CLAUSE_CHARS = (91, 100), (21, 25), (30, 45)
+TURN, CONSEQUENCE, BANNED = r"(?iu)^[^,]*,\s*(?:Nào Ngờ|Ai Ngờ|Không Ngờ)", r"(?iu)Khiến", r"(?iu)Và Cái Kết"
+
+
+def title_faults(x: Column) -> Column:
+    """What a title lacks of its shape: length, words, commas, clause, turn, consequence, banned."""
+    clause = F.length(trimmed(F.split(x, ",")[0]))
+    checks = {
+        "length": F.length(x).between(*TITLE_CHARS), "words": word_count(x).between(*TITLE_WORDS), "commas": F.regexp_count(x, F.lit(",")) == 1, "clause": clause.between(*CLAUSE_CHARS),
+        "turn": x.rlike(TURN), "consequence": x.rlike(CONSEQUENCE), "banned": ~x.rlike(BANNED),
+    }
+    return F.array_compact(F.array(*[F.when(~ok, name) for name, ok in checks.items()]))
+
+
+#: How reference images are listed, by the role that their file name begins with.
+LISTED = {"chinh": " — NHÂN VẬT CHÍNH ", "phu": " — nhân vật phụ ", "vat": " — con vật / vật thể trung tâm "}
+NAMED, FOREMOST = ", tên trong phim: ", "  **<- cả phim xoay quanh người này, bắt buộc có trong khung**"
+KEEP, TOGETHER = ". Giữ đúng loài, màu, cỡ như trong ảnh", " — ảnh chung, chỉ để tham khảo cách họ đứng cạnh nhau và tỉ lệ to nhỏ giữa các nhân vật"
+
+
+def listed_image(file: Column) -> Column:
+    """The line of a list of reference images for a file <role>_<number>_<name>_..., null for other names; a
+    name is said only where there is one, and the first main role is marked."""
+    base = F.regexp_extract(file, r"([^/\\]*)$", 1)
+    parts = F.split(base, "_")
+    role, number, name = (F.get(parts, F.lit(i)) for i in range(3))
+    begin = F.concat(F.lit("- `"), base, F.lit("`"))
+    line = None
+    for kind, what in LISTED.items():
+        tail = F.lit(KEEP) if kind == "vat" else F.when((F.lit(kind) == "chinh") & (number == "1"), FOREMOST).otherwise("")
+        told = F.when(name != "", F.concat(F.lit(": " if kind == "vat" else NAMED), name)).otherwise("")
+        text = F.concat(begin, F.lit(what), number, told, tail)
+        fits = (role == kind) & (F.size(parts) >= 3)
+        line = F.when(fits, text) if line is None else line.when(fits, text)
+    return F.when(base.startswith("canh_chung_"), F.concat(begin, F.lit(TOGETHER))).otherwise(line)
+
+
+def is_folder_link(link: Column) -> Column:
+    return link.contains("/folders/") | link.contains("folderview")
+
+
+def first_available(preferred: list[str], available: Column) -> Column:
+    """The first of a list of preferences that is in an array; null if none is."""
+    return F.get(F.filter(F.array(*[F.lit(x) for x in preferred]), lambda x: F.array_contains(available, x)), F.lit(0))

@@ -23,8 +23,8 @@ def minutes_mark(sec: Column) -> Column:
 
 
 def clock_seconds(text: Column) -> Column:
-    """Seconds of [H:]MM:SS; null for anything else."""
-    pattern = r"^(?:(\d{1,2}):)?(\d{1,2}):(\d{2})$"
+    """Seconds of [H:]MM:SS, hours of any number of digits; null for anything else."""
+    pattern = r"^(?:(\d+):)?(\d{1,2}):(\d{2})$"
     part = lambda i: F.coalesce(F.regexp_extract(text, pattern, i).try_cast("int"), F.lit(0))
     return F.when(text.rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3))
 

@@ -1,4 +1,4 @@
-"""Order-dependent selection: greedy clustering, non-maximum suppression, coverage.
+"""Order-dependent selection: greedy clustering, non-maximum suppression, exclusive matching.
 
 Each group is a sorted run of rows inside a partition, folded as it streams by: a task holds what
 has been chosen so far, never a whole group.
@@ -6,14 +6,26 @@ has been chosen so far, never a whole group.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _columns(batch: pa.RecordBatch) -> list:
+    """Values of each column; arrays of numbers as the rows of a matrix where all are equally long."""
+    out = []
+    for c in batch.columns:
+        if pa.types.is_list(c.type) and not c.null_count and len(c) and c.flatten().null_count == 0 and len(c.flatten()) % len(c) == 0:
+            out.append(c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1))
+        else:
+            out.append(c.to_pylist())
+    return out
+
+
 def fold(df: DataFrame, keys: list[str], order: list, new_state: Callable, step: Callable, result: str) -> DataFrame:
     """step(state, row dict) -> result tuples, over the rows of each group in the given order."""
     schema = _arrow(result)
@@ -22,7 +34,8 @@ def fold(df: DataFrame, keys: list[str], order: list, new_state: Callable, step:
         key, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for values in zip(*_columns(batch), strict=True):
+                row = dict(zip(batch.schema.names, values, strict=True))
                 mine = tuple(row[k] for k in keys)
                 if state is None or mine != key:
                     key, state = mine, new_state()
@@ -75,41 +88,78 @@ def greedy_clusters(df: DataFrame, group: str, order: str, vector: str, threshol
     return fold(narrow, [group], [F.col(order)], _Clusters, step, f"{group} long, {order} long, cid int")
 
 
+class Accepted:
+    """What a group has accepted so far: times in order, hashes in one growing array."""
+
+    def __init__(self) -> None:
+        self.n, self.secs, self.hashes = 0, [], np.zeros(16, np.uint64)
+
+    def fits(self, sec: float, gap: float, code: int | None = None, distance: int = 12) -> bool:
+        """Whether something is at least `gap` seconds and, if it has a hash, `distance` bits from all accepted."""
+        at = bisect_left(self.secs, sec)
+        if any(abs(s - sec) < gap for s in self.secs[max(at - 1, 0) : at + 1]):
+            return False
+        return code is None or not (np.bitwise_count(self.hashes[: self.n] ^ np.uint64(code % 2**64)) < distance).any()
+
+    def add(self, sec: float, code: int | None = None) -> None:
+        insort(self.secs, sec)
+        if self.n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[self.n] = (code or 0) % 2**64
+        self.n += 1
+
+
 def suppressed(df: DataFrame, group: str, item: str, score: str, sec: str, gap: float, bits: str | None = None, distance: int = 12, most: int | None = None) -> DataFrame:
     """group, item, pick of the items that are accepted: best score first (then least item), at least `gap`
     seconds and, with hashes, `distance` bits from all accepted ones. gap 0 turns the time test off."""
 
-    def step(state: list, row: dict) -> list[tuple]:
-        if most is not None and len(state) >= most:
+    def step(state: Accepted, row: dict) -> list[tuple]:
+        code = row[bits] if bits else None
+        if most is not None and state.n >= most or not state.fits(row[sec], gap, code, distance):
             return []
-        for s, h in state:
-            if abs(row[sec] - s) < gap or bits and ((row[bits] ^ h) & (2**64 - 1)).bit_count() < distance:
-                return []
-        state.append((row[sec], row[bits] if bits else 0))
-        return [(row[group], row[item], len(state) - 1)]
+        state.add(row[sec], code)
+        return [(row[group], row[item], state.n - 1)]
 
     narrow = df.select(F.col(group).cast("long").alias(group), F.col(item).cast("long").alias(item), score, sec, *([bits] if bits else []))
-    return fold(narrow, [group], [F.desc(score), F.col(item)], list, step, f"{group} long, {item} long, pick int")
+    return fold(narrow, [group], [F.desc(score), F.col(item)], Accepted, step, f"{group} long, {item} long, pick int")
 
 
-def exclusive_matches(specs: DataFrame, candidates: DataFrame, tolerance: int = 10, tier: int = 5) -> DataFrame:
-    """pos, cid, status: specs (pos, sex, age) take, in order, the best candidate (cid, sex, age, rank) not yet taken.
+def exclusive_matches(specs: DataFrame, candidates: DataFrame, tolerance: int = 10, tier: int = 5, used: DataFrame | None = None) -> DataFrame:
+    """work, pos, cid, status: the specs of a work (work, pos, sex, age) take, in order, its best candidate
+    (work, cid, sex, age, rank) that is not yet taken, nor in `used` (work, cid).
 
     Best: the same sex within `tolerance` years, least (years div tier, rank): 'matched'. Else the best
-    ranked of the same sex: 'fallback'. Else nothing: 'missing'. Candidates are ranked identities of one
-    work, a table of tens of rows, so both sides fold in one row.
+    ranked of the same sex: 'fallback'. Else nothing: 'missing'. A work with k specs needs the k best
+    candidates of each only, since the others take k - 1 at most; these are all that comes together.
     """
-    cast = specs.agg(F.array_sort(F.collect_list(F.struct("pos", "sex", "age"))).alias("specs"))
-    pool = candidates.agg(F.array_sort(F.collect_list(F.struct("rank", "cid", "sex", "age"))).alias("pool"))
-
-    def take(acc: Column, s: Column, pool: Column) -> Column:
-        free = F.filter(pool, lambda c: (c["sex"] == s["sex"]) & ~F.exists(acc, lambda a: F.coalesce(a["cid"] == c["cid"], F.lit(False))))
-        near = F.filter(free, lambda c: F.abs(c["age"] - s["age"]) <= tolerance)
-        ranked = F.array_sort(F.transform(near, lambda c: F.struct(F.floor(F.abs(c["age"] - s["age"]) / tier).cast("int").alias("t"), c["rank"].alias("rank"), c["cid"].alias("cid"))))
-        best, other = F.get(ranked, F.lit(0)), F.get(free, F.lit(0))
-        status = F.when(best.isNotNull(), "matched").when(other.isNotNull(), "fallback").otherwise("missing")
-        return F.concat(acc, F.array(F.struct(s["pos"].alias("pos"), F.coalesce(best["cid"], other["cid"]).alias("cid"), status.alias("status"))))
+    if used is not None:
+        candidates = candidates.join(used.select("work", "cid"), ["work", "cid"], "left_anti")
+    n = Window.partitionBy("work")
+    asked = specs.withColumn("_k", F.count(F.lit(1)).over(n))
+    years = F.abs(F.col("_age") - F.col("age"))
+    far = years > tolerance
+    pairs = asked.join(candidates.select("work", "sex", "cid", F.col("age").alias("_age"), "rank"), ["work", "sex"])
+    pairs = pairs.select("work", "pos", "_k", far.alias("far"), F.when(far, 0).otherwise(F.floor(years / tier)).cast("int").alias("tier"), "rank", "cid")
+    best = Window.partitionBy("work", "pos").orderBy("far", "tier", "rank", "cid")
+    pool = pairs.withColumn("_n", F.row_number().over(best)).where("_n <= _k")
+    pool = pool.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("pos", "far", "tier", "rank", "cid"))).alias("pool"))
+    cast = specs.groupBy("work").agg(F.array_sort(F.collect_list("pos")).alias("asked"))
+
+    def take(acc: Column, pos: Column) -> Column:
+        free = F.filter("pool", lambda c: (c["pos"] == pos) & ~F.exists(acc, lambda a: F.coalesce(a["cid"] == c["cid"], F.lit(False))))
+        best = F.get(free, F.lit(0))
+        status = F.when(best.isNull(), "missing").when(best["far"], "fallback").otherwise("matched")
+        return F.concat(acc, F.array(F.struct(pos.cast("int").alias("pos"), best["cid"].alias("cid"), status.alias("status"))))
 
     empty = F.array().cast("array<struct<pos:int,cid:bigint,status:string>>")
-    both = cast.crossJoin(pool)  # one row each
-    return both.select(F.explode(F.aggregate("specs", empty, lambda acc, s: take(acc, s, F.col("pool")))).alias("m")).select("m.*")
+    both = cast.join(pool, "work", "left")
+    return both.select("work", F.explode(F.aggregate("asked", empty, take)).alias("m")).select("work", "m.*")
+
+
+def pinned(pins: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+    """pos, wanted, key, status of pins (pos, wanted): they name places of the original ranking; what is out
+    of range or taken by an earlier pin is reported and gets nothing."""
+    first = pins.groupBy("wanted").agg(F.min("pos").alias("_first"))
+    j = pins.join(first, "wanted").join(ranked, F.col("wanted") == F.col("rank"), "left")
+    status = F.when(F.col(key).isNull(), "out of range").when(F.col("pos") > F.col("_first"), "taken").otherwise("matched")
+    return j.select("pos", "wanted", F.when(status == "matched", F.col(key)).alias(key), status.alias("status"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwright.functions.vectors import hamming
 from stillwright.operators.ranking import checkpointed
 
-#: Rows of the small side of a similarity join that go to every task at most.
-BROADCAST_ROWS = 200_000
+#: Bytes of centroids that go to every task at most, and that a block has beyond it; items of a chunk.
+BROADCAST_BYTES, CHUNK = 32_000_000, 20_000
 
 
 def band_join(left: DataFrame, right: DataFrame, left_sec: str, right_sec: str, width: int) -> DataFrame:
@@ -57,39 +60,50 @@ def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str
     return found
 
 
-def best_centroid(items: DataFrame, centroids: DataFrame, item: str, vector: str, threshold: float, most: int = BROADCAST_ROWS) -> DataFrame:
+def _nearest_of(vectors: np.ndarray, cids: np.ndarray, matrix: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector the best centroid (the first of equals), its similarity, and whether it is near enough."""
+    sims = np.round(vectors @ matrix.T, 12) if len(cids) else np.full((len(vectors), 1), -np.inf)
+    best = sims.argmax(axis=1)
+    top = sims[np.arange(len(best)), best]
+    return cids[best] if len(cids) else np.zeros(len(best), np.int64), top, top >= threshold
+
+
+def best_centroid(items: DataFrame, centroids: DataFrame, item: str, vector: str, threshold: float, most: int = BROADCAST_BYTES, chunk: int = CHUNK) -> DataFrame:
     """item, cid, sim: the most similar centroid (least cid of equals) at or above the threshold, null otherwise.
 
-    A few centroids (checked) go to every task and are compared as one matrix product a batch; more
-    of them are dealt in blocks to which every item is compared, and the best of the blocks is taken.
+    Centroids of `most` bytes together (measured) go to every task and are compared as one matrix product
+    a batch. More of them are dealt to blocks of that size, items to chunks, and every chunk meets every
+    block in a task of its own, which keeps the best of each item; the best of the blocks is taken.
     """
-    rows = centroids.select("cid", "centroid")
-    n = rows.count()
+    rows = centroids.select(F.col("cid").cast("long").alias("cid"), F.col("centroid").cast("array<double>").alias("centroid"))
+    held = rows.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0)) * 8).first()[0]
+    narrow = items.select(F.col(item).cast("long").alias(item), F.col(vector).cast("array<double>").alias("v"))
     result = f"{item} long, cid long, sim double"
+    if held <= most:
+        got = sorted((r["cid"], r["centroid"]) for r in rows.collect())  # `most` bytes
+        cids, matrix = np.array([c for c, _ in got], np.int64), np.array([v for _, v in got], float)
 
-    def matcher(cids: np.ndarray, matrix: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                sims = np.round(np.array(batch.column(1).to_pylist(), float) @ matrix.T, 12) if len(cids) else np.full((batch.num_rows, 1), -np.inf)
-                best = sims.argmax(axis=1)
-                top = sims[np.arange(len(best)), best]
-                ok = top >= threshold
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids[best] if len(cids) else np.zeros(len(best), np.int64), mask=~ok), pa.array(top, mask=~ok)], names=[item, "cid", "sim"])
-
-        return run
-
-    narrow = items.select(F.col(item).cast("long").alias(item), F.col(vector).cast("array<double>"))
-    found = None
-    for begin in range(0, max(n, 1), most):
-        part = rows if n <= most else rows.orderBy("cid").offset(begin).limit(most)
-        got = sorted((r["cid"], r["centroid"]) for r in part.collect())  # `most` rows at a time
-        block = narrow.mapInArrow(matcher(np.array([c for c, _ in got], np.int64), np.array([v for _, v in got], float)), result)
-        found = block if found is None else found.unionByName(block)
-    if n <= most:
-        return found
-    return found.groupBy(item).agg(F.max(F.struct("sim", (-F.col("cid")).alias("c"))).alias("m")).select(item, (-F.col("m.c")).alias("cid"), "m.sim")
+                if batch.num_rows:
+                    cid, sim, ok = _nearest_of(np.array(batch.column(1).to_pylist(), float), cids, matrix, threshold)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid, mask=~ok), pa.array(sim, mask=~ok)], names=[item, "cid", "sim"])
+
+        return narrow.mapInArrow(run, result)
+    blocks, chunks = int(held // most) + 1, int(narrow.count() // chunk) + 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = narrow.withColumn("chunk", deal(item, chunks)).withColumn("block", every(blocks))
+    right = rows.withColumn("block", deal("cid", blocks)).withColumn("chunk", every(chunks))
+
+    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        theirs = theirs.sort_values("cid")
+        matrix = np.array(theirs["centroid"].tolist(), float)
+        cid, sim, ok = _nearest_of(np.array(mine["v"].tolist(), float).reshape(len(mine), -1), theirs["cid"].to_numpy(), matrix, threshold)
+        return pd.DataFrame({item: mine[item].to_numpy(), "cid": pd.array(np.where(ok, cid, 0), "Int64").copy(), "sim": sim}).assign(cid=lambda d: d["cid"].where(ok), sim=np.where(ok, sim, np.nan))
+
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(compare, result)
+    return found.where("cid is not null").groupBy(item).agg(F.max(F.struct("sim", (-F.col("cid")).alias("c"))).alias("m")).join(narrow.select(item), item, "right").select(item, (-F.col("m.c")).alias("cid"), "m.sim")
 
 
 def by_prefix(items: DataFrame, prefixes: DataFrame, text: str, override: Column, default: str) -> DataFrame:
@@ -112,3 +126,24 @@ def preferred(left: DataFrame, right: DataFrame, key: str, order: list) -> DataF
     """Left outer join with the one preferred row of the right side."""
     first = right.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
     return left.join(first, key, "left")
+
+
+def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int = 4) -> DataFrame:
+    """a, b, distance of the pairs of 64-bit hashes that differ in fewer than `distance` bits, a < b.
+
+    Of two such hashes one of `parts` equal parts differs in at most (distance - 1) div parts bits. So each
+    hash is indexed by its parts, and one side of the join asks for all values that near: with 4 parts of 16
+    bits and less than 16 bits of distance 697 each, which 1 in 94 other hashes have by chance. A pair counts in its
+    first such part. What comes out is as many rows as there are near pairs, which grows with the square of near-equal hashes.
+    """
+    width = 64 // parts
+    flips = [0]
+    for k in range(1, (distance - 1) // parts + 1):
+        flips += [sum(1 << i for i in bits) for bits in combinations(range(width), k)]
+    part = lambda c, i: F.call_function("shiftrightunsigned", c, F.lit(width * i)).bitwiseAND(F.lit((1 << width) - 1))
+    parted = rows.select(F.col(key).alias("k"), F.col(code).alias("h"), F.posexplode(F.array(*[part(F.col(code), i) for i in range(parts)])).alias("i", "v"))
+    asked = parted.select(F.col("k").alias("a"), F.col("h").alias("ha"), "i", F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
+    pairs = asked.join(parted.select(F.col("k").alias("b"), F.col("h").alias("hb"), "i", "v"), ["i", "v"]).where("a < b")
+    near = [hamming(part(F.col("ha"), i), part(F.col("hb"), i)) <= (distance - 1) // parts for i in range(parts)]
+    first = F.array_position(F.array(*near), F.lit(True)) - 1
+    return pairs.withColumn("distance", hamming(F.col("ha"), F.col("hb")).cast("bigint")).where((F.col("distance") < distance) & (first == F.col("i"))).select("a", "b", "distance")

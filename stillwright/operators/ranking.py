@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Picks that go to every task at most.
+BROADCAST_PICKS = 100_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names, or in one of our own where none is set."""
+    """A reliable checkpoint in the folder that the session names, or in one of our own where none is set and
+    all tasks run on this machine (tests)."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
@@ -32,7 +39,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 
 def moved_to_front(ranked: DataFrame, picks: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """new_rank: picks (key, tier, pos) come first by tier and position, the rest keep their order."""
-    both = ranked.join(F.broadcast(picks), key, "left")
+    few = picks.count() <= BROADCAST_PICKS
+    both = ranked.join(F.broadcast(picks) if few else picks, key, "left")
     return global_rank(both, [F.coalesce("tier", F.lit(2**31 - 1)), F.coalesce("pos", F.lit(2**31 - 1)), F.col(rank)], "new_rank")
 
 
@@ -50,3 +58,9 @@ def numbered_extras(extras: DataFrame, chosen: DataFrame) -> DataFrame:
     taken = chosen.where("role = 'chung'").groupBy("doc").agg(F.count(F.lit(1)).alias("_taken"))
     out = extras.withColumn("_n", F.row_number().over(w)).join(taken, "doc", "left")
     return out.withColumn("number", F.col("_n") + F.when(F.col("kind") == "chung", F.coalesce("_taken", F.lit(0))).otherwise(0)).drop("_n", "_taken")
+
+
+def author_numbers(matched: DataFrame, pinned: DataFrame, work: str, pos: str) -> DataFrame:
+    """work, pos, number: from 1 in the author's order over matched and pinned roles together."""
+    both = matched.select(work, pos).unionByName(pinned.select(work, pos)).distinct()
+    return both.withColumn("number", F.row_number().over(Window.partitionBy(work).orderBy(pos)).cast("bigint"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stillwright.functions.timing import clock_seconds, hms, minutes_mark, seconds_of
 from stillwright.functions.vectors import sign_hash
-from stillwright.operators import frames
-from stillwright.operators.greedy import fold, suppressed
+from stillwright.operators import frames, selection
+from stillwright.operators.greedy import suppressed
 from stillwright.operators.matching import band_join, nearest
 from stillwright.plans.registry import query, table
 
@@ -35,9 +36,8 @@ def weakest_role_score(spark, sf_dir):
 @query("""SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey DESC) AS r FROM lineitem) WHERE r = 1""")
 def anchor_pick(spark, sf_dir):
     """The widest line of each order, the first of equals (the largest part of repeated line numbers)."""
-    li = table(spark, sf_dir, "lineitem")
-    best = F.max(F.struct("l_quantity", (-F.col("l_linenumber")).alias("p"), "l_partkey"))
-    return li.groupBy("l_orderkey").agg(best.alias("m")).select("l_orderkey", "m.l_partkey", "m.l_quantity")
+    li = table(spark, sf_dir, "lineitem").withColumn("pos", F.col("l_linenumber").cast("bigint") * 10**12 - F.col("l_partkey"))
+    return frames.anchors(li, "l_orderkey", "l_quantity", "pos", "l_partkey")
 
 
 def _nms_sql(where: str, columns: str = "") -> str:
@@ -88,57 +88,116 @@ def nearest_pin(spark, sf_dir):
     return nearest(pins, e.select("event_id", "sec"), "pin", "at", "event_id", "sec", 600).withColumn("far", F.col("distance") > 3)
 
 
-def _moment_candidates(spark, sf_dir):
-    e = events(spark, sf_dir)
-    moments = e.where("event_type = 'purchase' and event_id % 50 = 3").select(F.col("event_id").alias("moment"), F.col("sec").alias("at"), F.lit(0).cast("bigint").alias("video"))
-    return band_join(e.where("event_type <> 'purchase'").select("event_id", "sec", "value"), moments, "sec", "at", 3600)
+MOMENTS_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value AS score, {SEC} AS sec, event_id * 2654435761 AS hash, event_id % 3 = 0 AS duo FROM events),
+f AS (SELECT * FROM e WHERE event_type <> 'purchase'), mo AS (SELECT user_id, event_id AS moment, sec AS at FROM e WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 10),
+p AS (SELECT f.*, moment FROM f JOIN mo USING (user_id) WHERE abs(f.sec - mo.at) <= 43200),
+l AS (SELECT *, NOT coalesce(duo AND max(score) FILTER (duo) OVER w >= 0.75::DOUBLE * max(score) OVER w, false) AS late FROM p WINDOW w AS (PARTITION BY user_id, moment)),
+r AS (SELECT user_id, event_id, sec, hash, score, moment, late, 0 AS phase FROM l UNION ALL SELECT user_id, event_id, sec, hash, score, NULL, false, 1 FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY phase, moment, late, score DESC, event_id) AS i FROM r),
+s(user_id, i, event_id, moment, n, done, picked, hashes) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0, -1::BIGINT, []::BIGINT[], []::BIGINT[] FROM f
+UNION ALL SELECT i.user_id, i.i, CASE WHEN ok THEN i.event_id END, i.moment, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok AND phase = 0 THEN i.moment ELSE done END, CASE WHEN ok THEN list_append(picked, i.sec) ELSE picked END, CASE WHEN ok THEN list_append(hashes, i.hash) ELSE hashes END
+FROM s JOIN i ON i.user_id = s.user_id AND i.i = s.i + 1, LATERAL (SELECT n < 10 AND (phase = 1 OR done <> i.moment) AND len(list_filter(picked, lambda p: abs(p - i.sec) < CASE WHEN phase = 0 THEN 20 ELSE 3600 END)) = 0 AND len(list_filter(hashes, lambda h: bit_count(xor(h, i.hash)) < 12)) = 0 AS ok) q),
+picks AS (SELECT user_id, event_id, moment FROM s WHERE event_id IS NOT NULL)"""
+
+
+def _moment_picks(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", "event_id", "event_type", "sec", F.col("value").alias("score"), (F.col("event_id") * 2654435761).alias("hash"), (F.col("event_id") % 3 == 0).alias("duo"))
+    moments = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("moment"), F.col("sec").alias("at"))
+    return moments, selection.moment_stills(e.where("event_type <> 'purchase'"), moments, "user_id", "event_id", 10, 3600, 43200)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT event_id, event_type, value, {SEC} AS sec FROM events), c AS (SELECT m.event_id AS moment, f.event_id, f.sec, row_number() OVER (ORDER BY m.event_id, f.value DESC, f.event_id) AS i FROM e m JOIN e f ON m.event_type = 'purchase' AND m.event_id % 50 = 3 AND f.event_type <> 'purchase' AND abs(f.sec - m.sec) <= 3600),
-s(i, moment, event_id, done, picked) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, -1::BIGINT, []::BIGINT[]
-UNION ALL SELECT c.i, c.moment, CASE WHEN ok THEN c.event_id END, CASE WHEN ok THEN c.moment ELSE done END, CASE WHEN ok THEN list_append(picked, c.sec) ELSE picked END
-FROM s JOIN c ON c.i = s.i + 1, LATERAL (SELECT done <> c.moment AND len(list_filter(picked, lambda p: abs(p - c.sec) < 20)) = 0 AS ok) q)
-SELECT moment, event_id FROM s WHERE event_id IS NOT NULL""")
+@query(MOMENTS_SQL + " SELECT * FROM picks")
 def moment_pick(spark, sf_dir):
-    """One event for each moment, the best within an hour that keeps 20 seconds from those of earlier moments.
+    """Ten stills of each user: one near each moment, those of two roles first if they are nearly as good, then the best others."""
+    return _moment_picks(spark, sf_dir)[1]
+
+
+@query(MOMENTS_SQL + " SELECT user_id, moment FROM mo ANTI JOIN picks USING (user_id, moment)")
+def moment_missed(spark, sf_dir):
+    """The moments that got no still."""
+    moments, picks = _moment_picks(spark, sf_dir)
+    first = moments.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("moment"))).where("n <= 10")
+    return first.join(picks.where("moment is not null"), ["user_id", "moment"], "left_anti").select("user_id", "moment")
 
-    Each choice depends on all earlier ones of its video: a sorted run that one task folds as it streams.
-    """
-    def step(state: dict, row: dict) -> list[tuple]:
-        if state.get("done") == row["moment"] or any(abs(s - row["sec"]) < 20 for s in state.get("picked", [])):
-            return []
-        state["done"] = row["moment"]
-        state.setdefault("picked", []).append(row["sec"])
-        return [(row["moment"], row["event_id"])]
 
-    return fold(_moment_candidates(spark, sf_dir), ["video"], [F.col("moment"), F.desc("value"), F.col("event_id")], dict, step, "moment long, event_id long")
+ROLES = ("click", "error", "purchase", "signup", "view")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS role, value, {SEC} AS sec, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i FROM events),
+s(user_id, i, picks) AS (SELECT DISTINCT user_id, 0::BIGINT, []::STRUCT(event_id BIGINT, role VARCHAR, sec BIGINT, value DOUBLE)[] FROM e
+UNION ALL SELECT e.user_id, e.i, CASE WHEN len(picks) < 5 AND len(list_filter(picks, lambda p: abs(p.sec - e.sec) < 3600)) = 0 THEN list_append(picks, {{'event_id': e.event_id, 'role': e.role, 'sec': e.sec, 'value': e.value}}) ELSE picks END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1),
+w(k, role) AS (VALUES {", ".join(f"({k + 1}, '{r}')" for k, r in enumerate(ROLES))}),
+c(user_id, k, picks) AS (SELECT user_id, 0, picks FROM s WHERE (user_id, i) IN (SELECT user_id, max(i) FROM e GROUP BY user_id)
+UNION ALL SELECT c.user_id, w.k, CASE WHEN b.event_id IS NULL OR list_contains(list_transform(picks, lambda p: p.role), w.role) THEN picks ELSE list_append(picks[:len(picks) - 1], {{'event_id': b.event_id, 'role': w.role, 'sec': b.sec, 'value': b.value}}) END
+FROM c JOIN w ON w.k = c.k + 1 LEFT JOIN LATERAL (SELECT e.event_id, e.sec, e.value FROM e WHERE e.user_id = c.user_id AND e.role = w.role AND NOT list_contains(list_transform(c.picks, lambda p: p.event_id), e.event_id)
+  AND len(list_filter(c.picks[:len(c.picks) - 1], lambda p: abs(p.sec - e.sec) < 3600)) = 0 ORDER BY e.value DESC, e.event_id LIMIT 1) b ON true),
+x AS (SELECT user_id, unnest(picks) AS p FROM c WHERE k = 5)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY p.value DESC, p.event_id) - 1)::BIGINT AS idx, p.event_id AS event_id FROM x""")
 def coverage_topn(spark, sf_dir):
-    """Five stills of each user by greedy selection; where a main role is missing the last spare still gives
-    way to the best one that has it and keeps an hour from the others, or else the spare before. A fold with
-    repair, checked against plain Python; it holds the events of one user."""
-    def step(state: dict, row: dict) -> list[tuple]:
-        picked = state.setdefault("picked", [])
-        if row["last"]:
-            for role, others in sorted(state.get("others", {}).items()):
-                roles = [p[1] for p in picked]
-                if role not in roles:
-                    spares = [i for i in range(len(picked) - 1, -1, -1) if roles.count(roles[i]) > 1]
-                    fits = ((i, e, sec) for i in spares for e, sec in others if all(abs(p[2] - sec) >= 3600 for k, p in enumerate(picked) if k != i))
-                    if found := next(fits, None):
-                        picked[found[0]] = (found[1], role, found[2])
-            return [(row["user_id"], i, p[0]) for i, p in enumerate(picked)]
-        if len(picked) < 5 and all(abs(p[2] - row["sec"]) >= 3600 for p in picked):
-            picked.append((row["event_id"], row["event_type"], row["sec"]))
-        else:
-            state.setdefault("others", {}).setdefault(row["event_type"], []).append((row["event_id"], row["sec"]))
-        return []
-
-    e = events(spark, sf_dir).select("user_id", "event_id", "event_type", "sec", "value", F.lit(False).alias("last"))
-    ends = e.select("user_id").distinct().select("user_id", F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("bigint").alias("sec"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("last"))
-    return fold(e.unionByName(ends), ["user_id"], [F.col("last"), F.desc("value"), F.col("event_id")], dict, step, "user_id long, idx long, event_id long")
+    """Five stills of each user by greedy selection, an hour apart; for each role that is missing the last one gives way."""
+    e = events(spark, sf_dir).select("user_id", "event_id", "event_type", "sec", F.col("value").alias("score"))
+    return selection.covering(e, "user_id", "event_id", "event_type", list(ROLES), 5, 3600).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+FACES_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS video, o_orderkey AS frame, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS sec, o_orderkey * 2654435761 AS hash FROM orders),
+f AS (SELECT video, frame, CASE WHEN l_linenumber <= 5 THEN l_linenumber - 1 END AS rank, l_discount < 0.07::DOUBLE AS strict, 1.0::DOUBLE - l_discount AS det, l_quantity / 100 AS w, l_extendedprice / 200 AS sharp, l_tax * 250 AS yaw, l_discount * 8 AS mouth,
+  sqrt(l_quantity * l_quantity + l_tax * l_tax * 250000 + l_discount * l_discount * 160000) AS z, l_quantity, l_tax, l_discount, l_linenumber::BIGINT * 1000000000000 + l_partkey AS pos FROM lineitem JOIN o ON frame = l_orderkey),
+g AS (SELECT *, coalesce(rank, 99) AS r, [l_quantity / z, l_tax * 500 / z, l_discount * 400 / z] AS emb, least(sharp / 250, 1) AS crisp, greatest(0, 1 - yaw / 25) AS straight, greatest(0, 1 - greatest(0, mouth - 0.4::DOUBLE) / 0.4::DOUBLE) AS shut FROM f),
+k AS (SELECT video, frame, r, count(*) FILTER (strict OR rank IS NOT NULL) AS n, max(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * CASE WHEN r < 3 THEN 1.6::DOUBLE ELSE 1 END) FILTER (strict) AS face,
+  max(det * least(w / 0.25::DOUBLE, 1) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + 0.4::DOUBLE * straight)) FILTER (strict) AS q, max(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + straight) * (0.55::DOUBLE + 0.45::DOUBLE * shut)) FILTER (strict) AS solo FROM g GROUP BY ALL),
+s AS (SELECT video, frame, round(max(face) * (1 + greatest(0, count(*) FILTER (r < 2) - 1)), 9) AS score, list_sort(list(r) FILTER (r < 3)) AS roles, sum(n)::BIGINT AS n_faces, count(*) FILTER (r < 2) AS n_main,
+  CASE WHEN count(*) FILTER (r < 2 AND q IS NOT NULL) = 2 THEN round(min(q) FILTER (r < 2), 9) ELSE 0 END AS grp FROM k GROUP BY video, frame HAVING max(face) IS NOT NULL)"""
+
+
+def _faces(spark, sf_dir):
+    """Orders as frames of their customer's work, lines as faces; what a face's identity is comes from its line number."""
+    c = F.col
+    days = F.datediff(c("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("bigint")
+    frame = table(spark, sf_dir, "orders").select(c("o_custkey").alias("video"), c("o_orderkey").alias("frame"), days.alias("sec"), (c("o_orderkey") * 2654435761).alias("hash"))
+    z = F.sqrt(c("l_quantity") * c("l_quantity") + c("l_tax") * c("l_tax") * 250000 + c("l_discount") * c("l_discount") * 160000)
+    face = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("frame"), F.when(c("l_linenumber") <= 5, c("l_linenumber") - 1).alias("rank"), (c("l_discount") < 0.07).alias("strict"), (F.lit(1.0) - c("l_discount")).alias("det"), (c("l_quantity") / 100).alias("w"),
+        (c("l_extendedprice") / 200).alias("sharp"), (c("l_tax") * 250).alias("yaw"), (c("l_discount") * 8).alias("mouth"), F.array(c("l_quantity") / z, c("l_tax") * 500 / z, c("l_discount") * 400 / z).alias("emb"),
+        (c("l_linenumber").cast("bigint") * 10**12 + c("l_partkey")).alias("pos"),
+    )
+    return frame, face.join(frame.select("frame", "video"), "frame")
+
+
+@query(FACES_SQL + " SELECT video, frame, score, coalesce(array_to_string(roles, ','), '') AS roles, n_faces, n_main::BIGINT AS n_main, grp::DOUBLE AS group_score FROM s")
+def frame_roles(spark, sf_dir):
+    """Each frame's score, roles, faces and group score; an unknown identity has no role."""
+    out = selection.scored_frames(_faces(spark, sf_dir)[1], ["video", "frame"], 2, 3)
+    return out.select("video", "frame", "score", F.array_join("roles", ",").alias("roles"), "n_faces", "n_main", "group_score")
+
+
+@query(FACES_SQL + " SELECT video, count(*) FILTER (grp > 0)::BIGINT AS n_group, max(n_main)::BIGINT AS most_main FROM s GROUP BY video")
+def group_counts(spark, sf_dir):
+    """How many frames of a work show all main roles, and how many of them a frame shows at most."""
+    return selection.frames_with_group(selection.scored_frames(_faces(spark, sf_dir)[1], ["video", "frame"], 2, 3), "video")
+
+
+@query(FACES_SQL + """,
+m AS (SELECT video, min(sec) + 200 AS at FROM o WHERE video % 5 <> 0 GROUP BY video),
+t AS (SELECT s.*, o.hash, grp > 0 AND coalesce(abs(o.sec - m.at) <= 120, false) AS near FROM s JOIN o USING (video, frame) LEFT JOIN m USING (video)),
+b AS (SELECT *, bool_or(grp > 0) OVER v AS any_all, bool_or(near) OVER v AS any_near, max(n_main) OVER v AS most FROM t WINDOW v AS (PARTITION BY video)),
+p AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY CASE WHEN any_all THEN -grp END, score DESC, frame) AS place FROM b WHERE CASE WHEN any_all THEN grp > 0 AND near = any_near ELSE n_main = most END),
+gs AS (SELECT video, frame, hash, place, grp AS q FROM p WHERE place <= CASE WHEN any_all THEN 2 ELSE 1 END),
+an AS (SELECT g.video, g.r, g.emb FROM g JOIN gs USING (video, frame) WHERE place = 1 AND r < 2 QUALIFY row_number() OVER (PARTITION BY g.video, r ORDER BY w DESC, pos) = 1),
+li AS (SELECT g.video, g.frame, g.r, max(list_dot_product(g.emb, an.emb)) AS sim FROM g JOIN an USING (video, r) WHERE strict GROUP BY ALL),
+c AS (SELECT k.video, k.frame, k.r AS who, t.hash, t.score, round(round(solo, 9) * CASE WHEN t.n_faces = 1 THEN 1.35::DOUBLE ELSE 1 END * CASE WHEN an.emb IS NOT NULL THEN 0.4::DOUBLE + greatest(0, coalesce(sim, 0)) ELSE 1 END, 9) AS q
+  FROM k JOIN t USING (video, frame) JOIN gs h ON h.video = k.video AND h.place = 1 AND h.frame <> k.frame LEFT JOIN an ON an.video = k.video AND an.r = k.r LEFT JOIN li ON li.video = k.video AND li.frame = k.frame AND li.r = k.r WHERE k.r < 3 AND solo > 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY who, CASE WHEN who < 0 THEN place ELSE -q END, score DESC, frame) AS i FROM (SELECT video, frame, -1 AS who, hash, 0 AS score, q, place FROM gs UNION ALL SELECT video, frame, who, hash, score, q, 0 FROM c)),
+x(video, i, frame, who, q, n, done, hashes) AS (SELECT DISTINCT video, 0::BIGINT, NULL::BIGINT, -2, 0::DOUBLE, 0, -2, []::BIGINT[] FROM e
+UNION ALL SELECT e.video, e.i, CASE WHEN ok THEN e.frame END, e.who, e.q, CASE WHEN ok AND e.who < 0 THEN n + 1 ELSE n END, CASE WHEN ok AND e.who >= 0 THEN e.who ELSE done END, CASE WHEN ok THEN list_append(hashes, e.hash) ELSE hashes END
+FROM x JOIN e ON e.video = x.video AND e.i = x.i + 1, LATERAL (SELECT (e.who < 0 OR done <> e.who) AND len(list_filter(hashes, lambda h: bit_count(xor(h, e.hash)) < 12)) = 0 AS ok) y)
+SELECT video, CASE WHEN who < 0 THEN 'group' ELSE 'solo' END AS role, (CASE WHEN who < 0 THEN n ELSE who + 1 END)::BIGINT AS idx, frame, round(q, 6) AS q FROM x WHERE frame IS NOT NULL""")
+def thumbnail_set(spark, sf_dir):
+    """The stills that a thumbnail needs: up to two of all main roles, near the first moment if there are such, and
+    one of each role, like the first group still and unlike all others."""
+    frame, face = _faces(spark, sf_dir)
+    scored = selection.scored_frames(face, ["video", "frame"], 2, 3).join(frame, ["video", "frame"])
+    moments = frame.where("video % 5 <> 0").groupBy("video").agg((F.min("sec") + 200).alias("at"))
+    return selection.stills(face, scored, moments, "video", "frame", 2, 3).select("video", "role", F.col("idx").cast("bigint").alias("idx"), "frame", F.round("q", 6).alias("q"))
 
 
 @query("""WITH q AS (SELECT l_orderkey, l_returnflag, max(l_extendedprice) AS q FROM lineitem GROUP BY ALL), g AS (SELECT o_custkey, l_orderkey, CASE WHEN count(*) = 3 THEN min(q) ELSE 0 END AS group_score FROM q JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
@@ -150,15 +209,16 @@ def group_and_solo(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     q = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max("l_extendedprice").alias("q")).join(orders, "l_orderkey")
     g = q.groupBy("o_custkey", "l_orderkey").agg(F.when(F.count(F.lit(1)) == 3, F.min("q")).otherwise(0.0).alias("score"))
-    # the best two of each work as a bounded aggregate: no group is sorted or held
-    best = lambda skip: F.min(F.struct((-F.col("score")).alias("s"), "l_orderkey"))
-    first = g.groupBy("o_custkey").agg(best(0).alias("m")).select("o_custkey", F.lit("group").alias("role"), F.lit(0).cast("bigint").alias("idx"), "m.l_orderkey", (-F.col("m.s")).alias("score"))
-    rest = g.join(first.select("l_orderkey"), "l_orderkey", "left_anti")
-    second = rest.groupBy("o_custkey").agg(best(1).alias("m")).select("o_custkey", F.lit("group").alias("role"), F.lit(1).cast("bigint").alias("idx"), "m.l_orderkey", (-F.col("m.s")).alias("score"))
-    free = q.join(first.select("l_orderkey"), "l_orderkey", "left_anti")
-    solo = free.groupBy("o_custkey", "l_returnflag").agg(F.min(F.struct((-F.col("q")).alias("s"), "l_orderkey")).alias("m"))
-    solo = solo.select("o_custkey", F.concat(F.lit("solo "), "l_returnflag").alias("role"), F.lit(0).cast("bigint").alias("idx"), "m.l_orderkey", (-F.col("m.s")).alias("score"))
-    return first.unionByName(second).unionByName(solo)
+    # the two best of each work and role: limits are applied before the shuffle, so no group is held
+    best = Window.partitionBy("o_custkey").orderBy(F.desc("score"), "l_orderkey")
+    groups = g.withColumn("n", F.row_number().over(best)).where("n <= 2")
+    first = groups.where("n = 1").select("o_custkey", F.col("l_orderkey").alias("taken"))
+    each = Window.partitionBy("o_custkey", "l_returnflag").orderBy(F.desc("q"), "l_orderkey")
+    # one of a role's two best orders at most is the first group still
+    solo = q.withColumn("n", F.row_number().over(each)).where("n <= 2").join(first, "o_custkey").where("l_orderkey <> taken")
+    solo = solo.groupBy("o_custkey", "l_returnflag").agg(F.min(F.struct("n", "l_orderkey", "q")).alias("m"))
+    groups = groups.select("o_custkey", F.lit("group").alias("role"), (F.col("n") - 1).cast("bigint").alias("idx"), "l_orderkey", "score")
+    return groups.unionByName(solo.select("o_custkey", F.concat(F.lit("solo "), "l_returnflag").alias("role"), F.lit(0).cast("bigint").alias("idx"), "m.l_orderkey", F.col("m.q").alias("score")))
 
 
 @query(f"""WITH e AS (SELECT event_id, {SEC} % 200000 AS sec FROM events)

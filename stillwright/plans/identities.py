@@ -2,54 +2,61 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stillwright.functions.text import folded_name
 from stillwright.functions.timing import seconds_of
-from stillwright.functions.vectors import hamming, sign_hash
+from stillwright.functions.vectors import dot, hamming, norm, sign_hash
 from stillwright.operators import buckets
-from stillwright.operators.greedy import exclusive_matches, greedy_clusters
-from stillwright.operators.matching import best_centroid
-from stillwright.operators.ranking import cast_size, global_rank, moved_to_front
+from stillwright.operators.greedy import exclusive_matches, greedy_clusters, pinned
+from stillwright.operators.identities import identities, listed, representatives
+from stillwright.operators.matching import best_centroid, near_hashes
+from stillwright.operators.ranking import author_numbers, cast_size, global_rank, moved_to_front
 from stillwright.plans.registry import query, table
 
 UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 CLUSTERS_SQL = f"""
-WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, {UNIT} AS e FROM embeddings),
-s(i, vec_id, cid, sums) AS (
-  SELECT 0::BIGINT, -1::BIGINT, -1::BIGINT, []::DOUBLE[][]
+WITH RECURSIVE v AS (SELECT label::BIGINT AS video, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, {UNIT} AS e FROM embeddings),
+s(video, i, vec_id, cid, sums) AS (
+  SELECT DISTINCT video, 0::BIGINT, -1::BIGINT, -1::BIGINT, []::DOUBLE[][] FROM v
   UNION ALL
-  SELECT v.i, v.vec_id, c.cid, CASE WHEN c.cid = len(s.sums) THEN list_append(s.sums, v.e)
+  SELECT v.video, v.i, v.vec_id, c.cid, CASE WHEN c.cid = len(s.sums) THEN list_append(s.sums, v.e)
          ELSE list_transform(s.sums, lambda t, k: CASE WHEN k - 1 = c.cid THEN list_transform(t, lambda x, j: x + v.e[j]) ELSE t END) END
-  FROM s JOIN v ON v.i = s.i + 1,
+  FROM s JOIN v ON v.video = s.video AND v.i = s.i + 1,
   LATERAL (SELECT list_transform(s.sums, lambda t: list_dot_product(t, v.e) / greatest(sqrt(list_dot_product(t, t)), 1e-12)) AS sims) q,
-  LATERAL (SELECT CASE WHEN len(q.sims) > 0 AND list_max(q.sims) >= 0.30 THEN list_position(q.sims, list_max(q.sims)) - 1 ELSE len(s.sums) END AS cid) c
-)"""
+  LATERAL (SELECT CASE WHEN len(q.sims) > 0 AND list_max(q.sims) >= 0.20 THEN list_position(q.sims, list_max(q.sims)) - 1 ELSE len(s.sums) END AS cid) c
+),
+m AS (SELECT s.video, s.cid, e.event_type, e.value, e.event_id, floor(epoch(e.ts))::BIGINT AS sec FROM s JOIN events e ON e.event_id = s.vec_id WHERE s.i > 0),
+t AS (SELECT video, cid::BIGINT AS cid, count(*)::BIGINT AS n, round(avg(value), 6) AS w_avg, round(sum(value), 6) AS score, coalesce(floor(quantile_cont(value, 0.5) FILTER (value > 0)), 0)::BIGINT AS age,
+      min(sec)::BIGINT AS first_sec, max(sec)::BIGINT AS last_sec FROM m GROUP BY video, cid),
+k AS (SELECT video, cid, event_type, row_number() OVER (PARTITION BY video, cid ORDER BY count(*) DESC, event_type) AS r FROM m GROUP BY video, cid, event_type),
+id AS (SELECT t.*, k.event_type AS sex, (row_number() OVER (PARTITION BY t.video ORDER BY score DESC, t.cid) - 1)::BIGINT AS rank FROM t JOIN k ON k.video = t.video AND k.cid = t.cid AND k.r = 1)"""
+
+
+def members(spark, sf_dir):
+    """Clusters of the vectors of each work (label), with the events of the same ids as attributes."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("video"), "vec_id", "embedding")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "event_type", "value", seconds_of(F.col("ts")).alias("sec"))
+    return greedy_clusters(vectors, "video", "vec_id", "embedding", 0.20).join(events, "vec_id").withColumn("cid", F.col("cid").cast("bigint"))
 
 
-def clusters(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("bigint").alias("video"), "vec_id", "embedding")
-    return greedy_clusters(vectors, "video", "vec_id", "embedding", 0.30)
+@query(CLUSTERS_SQL + " SELECT * FROM id")
+def identity_table(spark, sf_dir):
+    """Identities of each work: size, mean, sum, median, mode, span and rank."""
+    return identities(members(spark, sf_dir), "video", "cid", "value", "sec", "event_type", "value")
 
 
-@query(f"""{CLUSTERS_SQL}
-, m AS (SELECT s.cid, e.event_type, e.value, floor(epoch(e.ts))::BIGINT AS sec FROM s JOIN events e ON e.event_id = s.vec_id WHERE s.i > 0),
-t AS (SELECT cid, count(*)::BIGINT AS n, round(avg(value), 6) AS w_avg, round(sum(value), 6) AS score, floor(quantile_cont(value, 0.5))::BIGINT AS age,
-      min(sec)::BIGINT AS first_sec, max(sec)::BIGINT AS last_sec FROM m GROUP BY cid),
-k AS (SELECT cid, event_type, row_number() OVER (PARTITION BY cid ORDER BY count(*) DESC, event_type) AS r FROM m GROUP BY cid, event_type)
-SELECT t.cid::BIGINT AS cid, n, w_avg, score, age, k.event_type AS kind, first_sec, last_sec, (row_number() OVER (ORDER BY score DESC, t.cid) - 1)::BIGINT AS rank
-FROM t JOIN k ON k.cid = t.cid AND k.r = 1""")
-def identity_table(spark, sf_dir):
-    """Clusters of vectors with the attributes of their events: size, mean, sum, median, mode, span and rank."""
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "event_type", "value", seconds_of(F.col("ts")).alias("sec"))
-    m = clusters(spark, sf_dir).join(events, "vec_id")
-    kinds = m.groupBy("cid", "event_type").count().groupBy("cid").agg(F.min(F.struct((-F.col("count")).alias("n"), "event_type")).alias("k")).select("cid", F.col("k.event_type").alias("kind"))
-    t = m.groupBy("cid").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("w_avg"), F.round(F.sum("value"), 6).alias("score"), F.floor(F.percentile("value", 0.5)).cast("bigint").alias("age"),
-        F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"),
-    )
-    return global_rank(t.join(kinds, "cid"), [F.desc("score"), F.col("cid")]).withColumn("cid", F.col("cid").cast("bigint"))
+@query(CLUSTERS_SQL + """, r AS (SELECT video, cid, event_id, row_number() OVER (PARTITION BY video, cid ORDER BY round(0.9::DOUBLE * (0.5::DOUBLE + value / 100) * least(value / 250, 1), 9) DESC, event_id) AS z FROM m),
+l AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY rank) AS z FROM id WHERE n >= 3)
+SELECT l.video, l.cid, l.n, l.sex, l.age, l.rank, first_sec // 60 AS first_min, last_sec // 60 AS last_min, r.event_id AS face FROM l JOIN r ON r.video = l.video AND r.cid = l.cid AND r.z = 1 WHERE l.z <= 10""")
+def face_table(spark, sf_dir):
+    """The table of identities that is printed: those of three members and more, ten of a work, each with a face."""
+    found = members(spark, sf_dir)
+    faces = found.select("video", "cid", F.col("vec_id").alias("face"), F.col("vec_id").alias("pos"), F.lit(0.9).alias("det"), (F.col("value") / 100).alias("w"), F.col("value").alias("sharp"))
+    table_ = listed(identities(found, "video", "cid", "value", "sec", "event_type", "value"), "video", least=3)
+    return table_.join(representatives(faces, ["video", "cid"], "face", "pos"), ["video", "cid"]).select("video", "cid", "n", "sex", "age", "rank", "first_min", "last_min", "face")
 
 
 @query(f"""WITH c AS (SELECT vec_id AS cid, {UNIT} AS v FROM embeddings WHERE vec_id < 10), i AS (SELECT vec_id, {UNIT} AS e FROM embeddings WHERE vec_id >= 10),
@@ -75,6 +82,33 @@ BUCKETS_SQL = """WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_qua
 b AS (SELECT *, CASE WHEN w >= 0.12 AND det >= 0.6::DOUBLE AND sharp >= 100 AND yaw <= 25 AND roll <= 20 AND pitch <= 22 AND lip_gap >= 0.15::DOUBLE AND inside THEN 'strict' WHEN w >= 0.06 AND det >= 0.45::DOUBLE AND sharp >= 40 AND yaw <= 70 THEN 'loose' ELSE 'rejected' END AS bucket FROM o)"""
 
 
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x1, l_quantity + l_tax * 50 + 1 AS x2, l_discount * 10 AS y1, l_discount * 20 + 30 AS y2, [l_tax * 300 - 12, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount * 100 END] AS pose, l_extendedprice / 200 AS sharp, l_discount * 8 AS mouth, 1.0::DOUBLE - l_discount AS det FROM lineitem),
+p AS (SELECT *, (x2 - x1) / 60 AS w, abs(pose[1]) AS yaw, abs(coalesce(pose[2], 0)) AS pitch, least(sharp / 250, 1) AS crisp, greatest(0, 1 - greatest(0, mouth - 0.4::DOUBLE) / 0.4::DOUBLE) AS shut FROM o), q AS (SELECT *, greatest(0, 1 - yaw / 25) AS straight FROM p)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, round(w, 9) AS w, x1 > 0.9::DOUBLE AND y1 > 0.75::DOUBLE AND x2 < 60 * (1 - 0.015::DOUBLE) AND y2 < 50 * (1 - 0.015::DOUBLE) AS inside, round(yaw, 9) AS yaw, round(pitch, 9) AS pitch, 0.0::DOUBLE AS roll,
+round(crisp, 9) AS crisp, round(straight, 9) AS straight, round(shut, 9) AS shut, round(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * CASE WHEN l_linenumber <= 2 THEN 1.6::DOUBLE ELSE 1 END, 6) AS face,
+round(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + straight) * (0.55::DOUBLE + 0.45::DOUBLE * shut), 6) AS solo, round(det * least(w / 0.25::DOUBLE, 1) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + 0.4::DOUBLE * straight), 6) AS grp FROM q""")
+def face_features(spark, sf_dir):
+    """Derived columns of faces: width, margin, pose angles, crispness, straightness, mouth and the three qualities."""
+    c = F.col
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", c("l_quantity").alias("x1"), (c("l_quantity") + c("l_tax") * 50 + 1).alias("x2"), (c("l_discount") * 10).alias("y1"), (c("l_discount") * 20 + 30).alias("y2"),
+        F.array(c("l_tax") * 300 - 12, F.when(c("l_linenumber") != 1, c("l_discount") * 100)).alias("pose"), (c("l_extendedprice") / 200).alias("sharp"), (c("l_discount") * 8).alias("mouth"), (F.lit(1.0) - c("l_discount")).alias("det"),
+    )
+    p = li.withColumn("w", buckets.relative_width(c("x1"), c("x2"), F.lit(60))).withColumn("yaw", buckets.angle(c("pose"), 0)).withColumn("pitch", buckets.angle(c("pose"), 1)).withColumn("roll", buckets.angle(c("pose"), 2))
+    nine = lambda x, name: F.round(x, 9).alias(name)
+    return p.select(
+        "l_orderkey", "l_linenumber", "l_partkey", nine(c("w"), "w"), buckets.inside(c("x1"), c("y1"), c("x2"), c("y2"), F.lit(60), F.lit(50)).alias("inside"), nine(c("yaw"), "yaw"), nine(c("pitch"), "pitch"), "roll",
+        nine(buckets.crispness(c("sharp")), "crisp"), nine(buckets.straightness(c("yaw")), "straight"), nine(buckets.closed(c("mouth")), "shut"), F.round(buckets.face_score(c("det"), c("w"), c("sharp"), c("l_linenumber") <= 2), 6).alias("face"),
+        F.round(buckets.solo_quality(c("det"), c("w"), c("sharp"), c("yaw"), c("mouth")), 6).alias("solo"), F.round(buckets.group_quality(c("det"), c("w"), c("sharp"), c("yaw")), 6).alias("grp"),
+    )
+
+
+@query(f"SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(list_dot_product(e, list_reverse(e)), 6) AS turned FROM (SELECT vec_id, {UNIT} AS e FROM embeddings)")
+def vector_norms(spark, sf_dir):
+    """Length of each vector, and its product with itself turned round."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.round(dot(F.col("embedding"), F.reverse("embedding")), 6).alias("turned"))
+
+
 @query(BUCKETS_SQL + """ SELECT l_returnflag, count(*) FILTER (bucket = 'strict')::BIGINT AS strict, count(*) FILTER (bucket = 'loose')::BIGINT AS loose, count(*) FILTER (bucket = 'rejected')::BIGINT AS rejected,
 count(*) FILTER (bucket = 'rejected' AND sharp < 40)::BIGINT AS blurred, count(*) FILTER (bucket = 'loose' AND lip_gap >= 0.15::DOUBLE AND (pitch > 22 OR yaw > 25))::BIGINT AS turned, count(*) FILTER (bucket = 'loose' AND lip_gap < 0.15::DOUBLE)::BIGINT AS teeth FROM b GROUP BY l_returnflag""")
 def bucket_tally(spark, sf_dir):
@@ -122,19 +156,16 @@ SELECT pos::BIGINT AS pos, wanted::BIGINT AS wanted, CASE WHEN n = 1 THEN s_supp
 def pin_by_position(spark, sf_dir):
     """Pins name places of the original ranking; places out of range or taken are reported."""
     ranked = global_rank(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), F.col("s_suppkey")])
-    pins = spark.createDataFrame([(0, 3), (1, 0), (2, 7), (3, 3), (4, 100000)], "pos bigint, wanted bigint")
-    first = pins.groupBy("wanted").agg(F.min("pos").alias("_first"))
-    j = F.broadcast(pins.join(first, "wanted")).join(ranked, F.col("wanted") == F.col("rank"), "left")
-    status = F.when(F.col("s_suppkey").isNull(), "out of range").when(F.col("pos") > F.col("_first"), "taken").otherwise("matched")
-    return j.select("pos", "wanted", F.when(status == "matched", F.col("s_suppkey")).alias("s_suppkey"), status.alias("status"))
+    return pinned(spark.createDataFrame([(0, 3), (1, 0), (2, 7), (3, 3), (4, 100000)], "pos bigint, wanted bigint"), ranked, "s_suppkey")
 
 
-@query("""WITH m(pos) AS (VALUES (4), (1), (9)), p(pos) AS (VALUES (1), (6)), u AS (SELECT pos FROM m UNION SELECT pos FROM p)
-SELECT pos::BIGINT AS pos, row_number() OVER (ORDER BY pos)::BIGINT AS number FROM u""")
+@query("""WITH u AS (SELECT o_custkey, o_orderkey AS pos FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_custkey, pos, row_number() OVER (PARTITION BY o_custkey ORDER BY pos)::BIGINT AS number FROM u""")
 def author_order_number(spark, sf_dir):
-    """Files are numbered by the author's order over matched and pinned roles together: a table of roles."""
-    matched, pinned = spark.createDataFrame([(4,), (1,), (9,)], "pos bigint"), spark.createDataFrame([(1,), (6,)], "pos bigint")
-    return global_rank(matched.union(pinned).distinct(), [F.col("pos")], "number").withColumn("number", F.col("number") + 1)
+    """Files of a work are numbered by the author's order over matched and pinned roles together."""
+    orders = table(spark, sf_dir, "orders")
+    roles = lambda only: orders.where(only).select("o_custkey", F.col("o_orderkey").alias("pos"))
+    return author_numbers(roles("o_orderstatus = 'F'"), roles("o_orderpriority = '1-URGENT'"), "o_custkey", "pos")
 
 
 @query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer), k(c_custkey, tier, pos) AS (VALUES (5, 0, 0), (2, 0, 1), (90, 1, 0))
@@ -149,36 +180,31 @@ def reorder_front(spark, sf_dir):
 SPECS = [(0, "BUILDING", 24), (1, "BUILDING", 24), (2, "MACHINERY", 60), (3, "FURNITURE", 95), (4, "NONE", 30), (5, "BUILDING", 24)]
 
 
-@query("""WITH RECURSIVE c AS (SELECT c_custkey AS cid, c_mktsegment AS sex, floor((c_acctbal + 1000) / 120)::BIGINT AS age, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer WHERE c_custkey % 7 = 0 AND c_custkey < 700),
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey::BIGINT AS work, c_custkey AS cid, c_mktsegment AS sex, floor((c_acctbal + 1000) / 120)::BIGINT AS age, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')),
 s(pos, sex, age) AS (VALUES (0, 'BUILDING', 24), (1, 'BUILDING', 24), (2, 'MACHINERY', 60), (3, 'FURNITURE', 95), (4, 'NONE', 30), (5, 'BUILDING', 24)),
-t(pos, taken, cid, status) AS (SELECT -1, []::BIGINT[], NULL::BIGINT, ''
-  UNION ALL SELECT s.pos, CASE WHEN b.cid IS NULL THEN t.taken ELSE list_append(t.taken, b.cid) END, b.cid, coalesce(b.status, 'missing')
-  FROM t JOIN s ON s.pos = t.pos + 1 LEFT JOIN LATERAL (SELECT c.cid, CASE WHEN abs(c.age - s.age) <= 10 THEN 'matched' ELSE 'fallback' END AS status FROM c WHERE c.sex = s.sex AND NOT list_contains(t.taken, c.cid)
+t(work, pos, taken, cid, status) AS (SELECT n_nationkey::BIGINT, -1, []::BIGINT[], NULL::BIGINT, '' FROM nation
+  UNION ALL SELECT t.work, s.pos, CASE WHEN b.cid IS NULL THEN t.taken ELSE list_append(t.taken, b.cid) END, b.cid, coalesce(b.status, 'missing')
+  FROM t JOIN s ON s.pos = t.pos + 1 LEFT JOIN LATERAL (SELECT c.cid, CASE WHEN abs(c.age - s.age) <= 10 THEN 'matched' ELSE 'fallback' END AS status FROM c WHERE c.work = t.work AND c.sex = s.sex AND NOT list_contains(t.taken, c.cid)
     ORDER BY abs(c.age - s.age) > 10, CASE WHEN abs(c.age - s.age) <= 10 THEN abs(c.age - s.age) // 5 ELSE 0 END, c.rank LIMIT 1) b ON true)
-SELECT pos::BIGINT AS pos, cid, status FROM t WHERE pos >= 0""")
+SELECT work, pos::BIGINT AS pos, cid, status FROM t WHERE pos >= 0""")
 def role_match_tiered(spark, sf_dir):
-    """Role descriptions take identities without replacement: same sex, age tiers of five years, then rank."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0 and c_custkey < 700")
-    pool = c.select(F.col("c_custkey").alias("cid"), F.col("c_mktsegment").alias("sex"), F.floor((F.col("c_acctbal") + 1000) / 120).cast("int").alias("age"), "c_acctbal")
-    pool = global_rank(pool, [F.desc("c_acctbal"), F.col("cid")]).drop("c_acctbal")
-    return exclusive_matches(spark.createDataFrame(SPECS, "pos int, sex string, age int"), pool).withColumn("pos", F.col("pos").cast("bigint"))
+    """In each nation role descriptions take customers without replacement: same segment, tiers of five years,
+    then rank; those that other roles use already are no candidates."""
+    used = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_custkey").alias("cid")).distinct()
+    free = table(spark, sf_dir, "customer").join(used, F.col("c_custkey") == F.col("cid"), "left_anti")
+    best = Window.partitionBy("work").orderBy(F.desc("c_acctbal"), "cid")
+    pool = free.select(F.col("c_nationkey").cast("bigint").alias("work"), F.col("c_custkey").alias("cid"), F.col("c_mktsegment").alias("sex"), F.floor((F.col("c_acctbal") + 1000) / 120).cast("int").alias("age"), "c_acctbal")
+    pool = pool.withColumn("rank", F.row_number().over(best) - 1)
+    specs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("work")).join(F.broadcast(spark.createDataFrame(SPECS, "pos int, sex string, age int")), how="cross")  # six rows
+    return exclusive_matches(specs, pool).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(f"""WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(b, lambda x, i: CASE WHEN x THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END))::UBIGINT AS h FROM h)
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) < 20""")
+SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) < 16""")
 def hash_near_pairs(spark, sf_dir):
-    """Pairs whose sign hashes differ in fewer than 20 of 64 bits.
-
-    Twenty bands of 3 or 4 bits: two hashes with fewer than 20 differing bits agree on at least one band,
-    so the join on bands loses none; a pair counts in its first common band.
-    """
+    """Pairs whose sign hashes differ in fewer than 16 of 64 bits."""
     h = table(spark, sf_dir, "embeddings").select("vec_id", sign_hash(F.col("embedding")).alias("h"))
-    cuts = [64 * i // 20 for i in range(21)]
-    band = lambda col, i: F.call_function("shiftrightunsigned", F.col(col), F.lit(cuts[i])).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    bands = h.select("vec_id", "h", F.posexplode(F.array(*[band("h", i) for i in range(20)])).alias("i", "v"))
-    pairs = bands.select(F.col("vec_id").alias("a"), F.col("h").alias("ha"), "i", "v").join(bands.select(F.col("vec_id").alias("b"), F.col("h").alias("hb"), "i", "v"), ["i", "v"]).where("a < b")
-    first = F.array_position(F.array(*[band("ha", i) == band("hb", i) for i in range(20)]), F.lit(True)) - 1
-    return pairs.withColumn("distance", hamming(F.col("ha"), F.col("hb")).cast("bigint")).where((F.col("distance") < 20) & (first == F.col("i"))).select("a", "b", "distance")
+    return near_hashes(h, "vec_id", "h", 16)
 
 
 @query(r"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents), k AS (SELECT word FROM w WHERE regexp_full_match(word, '[A-Za-zÀ-ÖØ-öø-ÿ]+'))

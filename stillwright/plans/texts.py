@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stillwright.functions import text as t
-from stillwright.operators.matching import by_prefix
+from stillwright.operators.matching import by_prefix, preferred
 from stillwright.plans.registry import query, table
 from stillwright.sources.annotations import changed, queue
 
@@ -15,8 +15,8 @@ SELECT d.doc_id, r.best FROM documents d LEFT JOIN r ON r.source = d.source AND
 def pair_left_precedence(spark, sf_dir):
     """Every document with the preferred labelled one of its source; the right side is one row a source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    first = docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.min(F.struct((-F.col("quality")).alias("q"), "doc_id")).alias("m")).select("source", F.col("m.doc_id").alias("best"))
-    return docs.join(first, "source", "left").select("doc_id", "best")
+    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("source", F.col("doc_id").alias("best"), "quality")
+    return preferred(docs, labelled, "source", [F.desc("quality"), F.col("best")]).select("doc_id", "best")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT page_id FROM pages)")
@@ -30,7 +30,7 @@ def missing_sub(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("""SELECT page_id, CASE WHEN url LIKE '%.txt' OR url LIKE '%.srt' THEN 0 ELSE 1 END::BIGINT AS priority FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""")
+@query("""SELECT page_id, CASE WHEN url LIKE '%.srt' OR url LIKE '%.ass' OR url LIKE '%.vtt' THEN 0 ELSE 1 END::BIGINT AS priority FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""")
 def queue_order_anti(spark, sf_dir):
     present = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
     return queue(table(spark, sf_dir, "pages"), present, "page_id", "page_id", F.col("url")).select("page_id", F.col("priority").cast("bigint").alias("priority"))
@@ -81,23 +81,35 @@ def first_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"))
 
 
-@query(FIRST_SQL + r""", c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(line, '^\s*(?:\d+\s*[.)]|[-*•])\s*', ''), '\s*\(\d+\)\s*$', '')) AS title FROM f WHERE NOT regexp_matches(line, '^\s*(?:\[.*\]\s*$|#|```)')),
-d AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS r FROM c WHERE title <> '')
-SELECT doc_id, title, length(title)::BIGINT AS n, CASE WHEN length(title) > 100 THEN 'too_long' WHEN length(title) > 70 THEN 'cut' WHEN length(title) > 60 THEN 'long' ELSE 'ok' END AS class, CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END AS preview FROM d WHERE r = 1""")
+NOISE_SQL = r"""'(?i)^\s*(?:\[[^\]]*\]\s*$|```|#{1,6}\s|(?:CHỌN|Vì sao|Rủi ro|Á quân)\s*:)'"""
+TITLES_SQL = FIRST_SQL + r""", c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(line, '^\s*(?:\d+[.)]|[-*•👉])\s*', ''), '\s*[(\[]\s*\d+\s*[)\]]\s*$', '')) AS title FROM f WHERE NOT regexp_matches(line, """ + NOISE_SQL + """)),
+d AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS r FROM c WHERE title <> ''),
+l AS (SELECT doc_id, title, length(title)::BIGINT AS n, CASE WHEN length(title) > 100 THEN 'too_long' WHEN length(title) > 70 THEN 'cut' WHEN length(title) > 60 THEN 'long' ELSE 'ok' END AS class, CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END AS preview FROM d WHERE r = 1)"""
+
+
+@query(TITLES_SQL + " SELECT * FROM l")
 def title_lint(spark, sf_dir):
     """First lines without noise and repeats, classed by length."""
-    rows = first_lines(spark, sf_dir).where(~F.col("line").rlike(r"^\s*(?:\[.*\]\s*$|#|```)")).select("doc_id", t.clean_title(F.col("line")).alias("title")).where("title <> ''")
+    rows = first_lines(spark, sf_dir).where(~t.is_noise(F.col("line"))).select("doc_id", t.clean_title(F.col("line")).alias("title")).where("title <> ''")
     kept = rows.groupBy("title").agg(F.min("doc_id").alias("doc_id"))
     x = F.col("title")
     return kept.select("doc_id", "title", F.length(x).cast("bigint").alias("n"), t.length_class(x).alias("class"), t.preview(x).alias("preview"))
 
 
-@query(FIRST_SQL + r""" SELECT doc_id, length(line)::BIGINT AS chars, len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> ''))::BIGINT AS words, (length(line) - length(replace(line, ',', '')))::BIGINT AS commas, length(string_split(line, ',')[1])::BIGINT AS first_clause,
-(length(line) BETWEEN 91 AND 100 AND len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) BETWEEN 21 AND 25) AS fits FROM f""")
+@query(TITLES_SQL + " SELECT count(*)::BIGINT AS titles, count(*) FILTER (class = 'ok')::BIGINT AS good, count(*) FILTER (class = 'too_long')::BIGINT AS too_long FROM l")
+def title_report(spark, sf_dir):
+    """The counts below the list of titles."""
+    return title_lint(spark, sf_dir).agg(F.count(F.lit(1)).alias("titles"), F.count_if(F.col("class") == "ok").alias("good"), F.count_if(F.col("class") == "too_long").alias("too_long"))
+
+
+@query(FIRST_SQL + r""", w AS (SELECT doc_id, line, length(line) AS chars, len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) AS words, length(line) - length(replace(line, ',', '')) AS commas, length(trim(string_split(line, ',')[1])) AS clause FROM f)
+SELECT doc_id, chars::BIGINT AS chars, words::BIGINT AS words, commas::BIGINT AS commas, clause::BIGINT AS first_clause, array_to_string(list_filter([CASE WHEN chars NOT BETWEEN 91 AND 100 THEN 'length' END, CASE WHEN words NOT BETWEEN 21 AND 25 THEN 'words' END, CASE WHEN commas <> 1 THEN 'commas' END, CASE WHEN clause NOT BETWEEN 30 AND 45 THEN 'clause' END,
+CASE WHEN NOT regexp_matches(line, '(?i)^[^,]*,\s*(?:Nào Ngờ|Ai Ngờ|Không Ngờ)') THEN 'turn' END, CASE WHEN NOT regexp_matches(line, '(?i)Khiến') THEN 'consequence' END, CASE WHEN regexp_matches(line, '(?i)Và Cái Kết') THEN 'banned' END], lambda x: x IS NOT NULL), ',') AS faults FROM w""")
 def title_shape(spark, sf_dir):
+    """Measures of first lines, and what they lack of the shape of a title."""
     x = F.col("line")
-    rows = first_lines(spark, sf_dir)
-    return rows.select("doc_id", F.length(x).cast("bigint").alias("chars"), t.word_count(x).cast("bigint").alias("words"), F.regexp_count(x, F.lit(",")).cast("bigint").alias("commas"), F.length(F.split(x, ",")[0]).cast("bigint").alias("first_clause"), (F.length(x).between(91, 100) & t.word_count(x).between(21, 25)).alias("fits"))
+    clause = F.length(t.trimmed(F.split(x, ",")[0])).cast("bigint")
+    return first_lines(spark, sf_dir).select("doc_id", F.length(x).cast("bigint").alias("chars"), t.word_count(x).cast("bigint").alias("words"), F.regexp_count(x, F.lit(",")).cast("bigint").alias("commas"), clause.alias("first_clause"), F.array_join(t.title_faults(x), ",").alias("faults"))
 
 
 @query("SELECT source, count(*)::BIGINT AS n, count(*) FILTER (contains(text, 'the'))::BIGINT AS k_the, count(*) FILTER (contains(text, 'License'))::BIGINT AS k_license, round(count(*) FILTER (contains(text, '@')) / count(*), 6) AS share_mail FROM documents GROUP BY source")
@@ -125,3 +137,16 @@ def few_shot(spark, sf_dir):
     """Approved lines of all other works."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("line"))
     return d.where((F.col("source") != "src1") & ~F.col("line").rlike(r"^\s*#") & (t.trimmed(F.col("line")) != "")).select("doc_id", "source", t.trimmed(F.col("line")).alias("example"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN '- `canh_chung_' || user_id || '.jpg` — ảnh chung, chỉ để tham khảo cách họ đứng cạnh nhau và tỉ lệ to nhỏ giữa các nhân vật'
+WHEN event_type = 'click' THEN '- `chinh_' || user_id % 3 || '_' || CASE WHEN event_id % 2 = 0 THEN 'A' ELSE '' END || '_9m01.jpg` — NHÂN VẬT CHÍNH ' || user_id % 3 || CASE WHEN event_id % 2 = 0 THEN ', tên trong phim: A' ELSE '' END || CASE WHEN user_id % 3 = 1 THEN '  **<- cả phim xoay quanh người này, bắt buộc có trong khung**' ELSE '' END
+WHEN event_type = 'purchase' THEN '- `vat_' || user_id || '_Ho_1m00.jpg` — con vật / vật thể trung tâm ' || user_id || ': Ho. Giữ đúng loài, màu, cỡ như trong ảnh' END AS line FROM events""")
+def image_list(spark, sf_dir):
+    """Lines of the list of reference images, from file names."""
+    c = F.col
+    text = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    user, mod = c("user_id").cast("string"), (c("user_id") % 3).cast("string")
+    name = F.when(c("event_type") == "view", text("canh_chung_", user, ".jpg")).when(c("event_type") == "click", text("chinh_", mod, "_", F.when(c("event_id") % 2 == 0, "A").otherwise(""), "_9m01.jpg"))
+    name = name.when(c("event_type") == "purchase", text("vat_", user, "_Ho_1m00.jpg")).otherwise("chinh_1.jpg")
+    return table(spark, sf_dir, "events").select("event_id", t.listed_image(text("out/", name)).alias("line"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwright.functions.text import folded_name
 from stillwright.functions.timing import minutes_mark
+from stillwright.operators.ranking import checkpointed
 
 
 def write_cache(df: DataFrame, path: str, key: str) -> None:
@@ -27,3 +30,22 @@ def manifest(picks: DataFrame, role: Column, number: Column, label: Column, sec:
 
 def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
     df.select(key, text).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a cache holds; an empty table where none has been written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def scan_changed(inventory: DataFrame, scan: Callable[[DataFrame], DataFrame], cache: str, records: str) -> DataFrame:
+    """Scan the files that differ from the record of finished scans, write the result to the cache by stem, and
+    only then the record (stem, bytes): a scan that fails is done again. The files that were scanned."""
+    spark = inventory.sparkSession
+    todo = changed_sources(inventory.select("stem", "path", "bytes"), read_cache(spark, records, "bytes bigint, stem string"))
+    todo = checkpointed(todo)
+    if not todo.isEmpty():
+        write_cache(scan(todo), cache, "stem")
+        write_cache(todo.select("stem", "bytes"), records, "stem")
+    return todo

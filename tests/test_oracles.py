@@ -34,44 +34,32 @@ def test_matches_sql(spark, duck, name):
     assert _rows(df.columns, df.collect()) == _rows(columns, got.fetchall())
 
 
-def test_coverage_keeps_every_role_that_occurs(spark):
-    events = {r["event_id"]: r for r in QUERIES["nms_time"](spark, DATA).sparkSession.read.parquet(f"{DATA}/events.parquet").collect()}
-    by_user = {}
-    for r in QUERIES["coverage_topn"](spark, DATA).collect():
-        by_user.setdefault(r["user_id"], []).append(events[r["event_id"]])
-    for user, picks in by_user.items():
-        assert len(picks) <= 5 and {p["user_id"] for p in picks} == {user}
-
-
-def _covered(events):
-    """Five picks by value, an hour apart; then the last spare gives way to the best event of a missing role."""
+def _covered(events, roles):
+    """Five picks by value, an hour apart; then for each missing role the last pick gives way, if another fits."""
     events = sorted(events, key=lambda e: (-e[3], e[0]))
     apart = lambda e, picks: all(abs(e[2] - p[2]) >= 3600 for p in picks)
     picks = []
     for e in events:
         if len(picks) < 5 and apart(e, picks):
             picks.append(e)
-    for role in sorted({e[1] for e in events}):
-        have = [p[1] for p in picks]
-        if role in have:
-            continue
-        for i in reversed(range(len(picks))):
-            rest = picks[:i] + picks[i + 1 :]
-            found = [e for e in events if e[1] == role and apart(e, rest)] if have.count(have[i]) > 1 else []
+    for role in roles:
+        if role not in [p[1] for p in picks]:
+            found = [e for e in events if e[1] == role and e not in picks and apart(e, picks[:-1])]
             if found:
-                picks[i] = found[0]
-                break
-    return picks
+                picks = [*picks[:-1], found[0]]
+    return sorted(picks, key=lambda e: (-e[3], e[0]))
 
 
 def test_coverage_repairs_keep_the_gap(spark, tmp_path):
+    from stillwright.plans.frames import ROLES
+
     rnd, rows = random.Random(4), []
     rows += [(k, 1, "click", k * 7200, 10.0 - k) for k in range(5)] + [(10, 1, "view", 600, 4.0), (11, 1, "view", 90000, 3.0)]
     for user in range(2, 60):
         rows += [(100 * user + k, user, "click" if k < 20 else rnd.choice(["view", "error", "purchase"]), rnd.randrange(40000), round(rnd.random() + (k < 20), 2)) for k in range(26)]
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, sec bigint, value double")
     df.selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(sec) ts", "value").write.parquet(f"{tmp_path}/events.parquet")
-    want = {(u, i, p[0]) for u in {r[1] for r in rows} for i, p in enumerate(_covered([(r[0], r[2], r[3], r[4]) for r in rows if r[1] == u]))}
+    want = {(u, i, p[0]) for u in {r[1] for r in rows} for i, p in enumerate(_covered([(r[0], r[2], r[3], r[4]) for r in rows if r[1] == u], ROLES))}
     got = [(r["user_id"], r["idx"], r["event_id"]) for r in QUERIES["coverage_topn"](spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)
     assert (1, 4, 11) in want
