@@ -43,15 +43,43 @@ def fitted(text: Column, widths: Column, box_w: Column, box_h: Column, start: in
     return F.coalesce(F.get(F.filter(sizes, fits), F.lit(0)), least)
 
 
-def sharpness(rows: Column) -> Column:
-    """Variance of the Laplacian of a grey crop (array of rows), edges mirrored; 0.0 for fewer than 8 rows or columns."""
-    h, w = F.size(rows), F.size(rows[0])
+def resized(rows: Column, size: int) -> Column:
+    """A grey crop (array of rows) as a square of `size`, linear between the centres of its cells, halves up."""
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def axis(n: Column) -> Column:
+        def place(i: Column) -> Column:
+            at = (i + 0.5) * n / size - 0.5
+            low = F.floor(at).cast("int")
+            inner = (low >= 0) & (low < n - 1)
+            low_ = F.greatest(F.lit(0), F.least(low, n - 1))
+            return F.struct(low_.alias("a"), F.when(inner, low_ + 1).otherwise(low_).alias("b"), F.when(inner, at - low).otherwise(0.0).alias("f"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), place)
+
+    def lines_(ys: Column, xs: Column) -> Column:
+        cell = lambda y, x: F.get(F.get(rows, y), x).cast("double")
+        line = lambda y, x: cell(y, x["a"]) * (1 - x["f"]) + cell(y, x["b"]) * x["f"]
+        return F.transform(ys, lambda y: F.transform(xs, lambda x: F.round(line(y["a"], x) * (1 - y["f"]) + line(y["b"], x) * y["f"])))
+
+    return once(F.struct(axis(F.size(rows)).alias("y"), axis(F.size(rows[0])).alias("x")), lambda p: lines_(p["y"], p["x"]))
+
+
+def sharpness(rows: Column, size: int | None = None) -> Column:
+    """Variance of the Laplacian of a grey crop (array of rows), edges mirrored, of the crop as a square of
+    `size` if that is given; 0.0 for fewer than 8 rows or columns."""
+    small = rows.isNull() | (F.size(rows) < 8) | (F.size(rows[0]) < 8)
     mirror = lambda i, n: F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
-    at = lambda y, x: F.get(F.get(rows, mirror(y, h)), mirror(x, w)).cast("double")
-    second = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.transform(F.sequence(F.lit(0), w - 1), lambda x: at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x))))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
-    spread = F.transform(F.array(second), lambda v: total(F.transform(v, lambda x: x * x)) / F.size(v) - F.pow(total(v) / F.size(v), F.lit(2.0)))[0]
-    return F.when(rows.isNull() | (h < 8) | (w < 8), F.lit(0.0)).otherwise(spread)
+
+    def spread(grid: Column) -> Column:
+        h, w = F.size(grid), F.size(grid[0])
+        at = lambda y, x: F.get(F.get(grid, mirror(y, h)), mirror(x, w)).cast("double")
+        second = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.transform(F.sequence(F.lit(0), w - 1), lambda x: at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x))))
+        return F.transform(F.array(second), lambda v: total(F.transform(v, lambda x: x * x)) / F.size(v) - F.pow(total(v) / F.size(v), F.lit(2.0)))[0]
+
+    grid = rows if size is None else resized(rows, size)
+    return F.when(small, F.lit(0.0)).otherwise(F.transform(F.array(grid), spread)[0])
 
 
 def on_white(value: Column, alpha: Column) -> Column:

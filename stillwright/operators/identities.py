@@ -36,3 +36,8 @@ def listed(table: DataFrame, work: str, least: int = 8, most: int = 10) -> DataF
     kept = table.where(F.col("n") >= least).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).drop("_n")
     minutes = lambda c: F.floor(F.col(c) / 60).cast("bigint")
     return kept.withColumn("first_min", minutes("first_sec")).withColumn("last_min", minutes("last_sec"))
+
+
+def with_ranks(faces: DataFrame, table: DataFrame, work: str) -> DataFrame:
+    """Faces (work, cid, ...) with the rank of their identity; null for faces without one."""
+    return faces.join(table.select(work, "cid", "rank"), [work, "cid"], "left")

@@ -103,6 +103,12 @@ def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str,
     return fold(rows, [video], order, Accepted, step, f"{video} long, role string, idx int, {frame} long, q double")
 
 
+def without_replaced(stills: DataFrame, extras: DataFrame, doc: str) -> DataFrame:
+    """stills without the group stills of works whose author has chosen some by hand (extras of kind 'chung')."""
+    chosen = extras.where("kind = 'chung'").select(F.col("doc").alias(doc)).distinct().withColumn("_chosen", F.lit(True))
+    return stills.join(chosen, doc, "left").where(F.col("_chosen").isNull() | (F.col("role") != "group")).drop("_chosen")
+
+
 def moment_stills(frames: DataFrame, moments: DataFrame, video: str, frame: str, n: int, gap: float, around: float = AROUND) -> DataFrame:
     """video, frame, moment: of the first n moments (video, moment, at, in order of moment) the best frame within
     `around` seconds each, then the best others until there are n; moment is null for these.

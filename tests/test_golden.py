@@ -10,7 +10,7 @@ from stillwright.functions import text as t
 from stillwright.functions import layout, timing, vectors
 from stillwright.operators import buckets, frames, selection
 from stillwright.operators.greedy import exclusive_matches, greedy_clusters, suppressed
-from stillwright.operators.identities import identities, listed, representatives
+from stillwright.operators.identities import identities, listed, representatives, with_ranks
 from stillwright.operators.matching import band_join, best_centroid, by_prefix, near_hashes, nearest
 from stillwright.operators.ranking import cast_size, global_rank, numbered_extras
 from stillwright.sources import annotations as a
@@ -397,6 +397,15 @@ def _plain_moments(frames, moments, n, gap, around):
     return {(f["frame"], number) for f, number in picked}
 
 
+def test_group_stills_give_way_to_those_chosen_by_hand(spark):
+    stills = spark.createDataFrame([("a", "group", 1), ("a", "solo", 1), ("b", "group", 1)], "doc string, role string, idx int")
+    extras = spark.createDataFrame([("a", "chung"), ("b", "vat")], "doc string, kind string")
+    assert {(r["doc"], r["role"]) for r in selection.without_replaced(stills, extras, "doc").collect()} == {("a", "solo"), ("b", "group")}
+    faces = spark.createDataFrame([(1, 0), (1, 5), (1, None)], "v int, cid int")
+    ranks = with_ranks(faces, spark.createDataFrame([(1, 0, 3)], "v int, cid int, rank int"), "v")
+    assert {(r["cid"], r["rank"]) for r in ranks.collect()} == {(0, 3), (5, None), (None, None)} and {one(spark, selection.known_rank(F.lit(x).cast("int"))) for x in (3, None)} == {3, 99}
+
+
 def test_moment_stills_equal_plain_loops(spark):
     rnd = random.Random(3)
     frames = {v: [dict(frame=100 * v + k, sec=rnd.randrange(2000), score=round(rnd.random(), 3), duo=rnd.random() < 0.3, hash=rnd.getrandbits(60) if rnd.random() < 0.8 else 5) for k in range(rnd.randrange(1, 40))] for v in range(20)}
@@ -481,6 +490,16 @@ def test_pixel_arithmetic(spark):
     rows = spark.createDataFrame([(g.tolist(),), (g[:7].tolist(),), (None,)], "r array<array<double>>")
     got = [r["x"] for r in rows.select(layout.sharpness(F.col("r")).alias("x")).collect()]
     assert got[0] == pytest.approx(lap.var()) and got[1:] == [0.0, 0.0]
+    wide = one(spark, layout.resized(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in g.tolist()]), 16))
+
+    def cell(y, x, size=16):
+        at = lambda i, n: min(max((i + 0.5) * n / size - 0.5, 0), n - 1)
+        v, u = at(y, 9), at(x, 11)
+        i, j = min(int(v), 7), min(int(u), 9)
+        return sum(g[i + a, j + b] * (v - i if a else 1 - v + i) * (u - j if b else 1 - u + j) for a in (0, 1) for b in (0, 1))
+
+    assert all(abs(wide[y][x] - cell(y, x)) <= 0.5 + 1e-9 for y in range(16) for x in range(16)) and len(wide) == len(wide[0]) == 16
+    assert one(spark, layout.sharpness(F.array(*[F.array(*[F.lit(7.0)] * 9)] * 9), 128)) == 0.0
     assert [one(spark, layout.on_white(F.lit(v), F.lit(a))) for v, a in ((10, 255), (10, 0), (0, 127))] == [10, 255, 128]
     size = lambda *x: one(spark, layout.target_size(*[F.lit(v) for v in x]))
     assert tuple(size(720, 1280, 640, 4.0)) == (360, 640) and tuple(size(5, 5, 0, 0.5)) == (2, 2) and size(720, 1280, 0, 4.0) is None and size(720, 1280, 5120, 4.0) is None
