@@ -6,7 +6,9 @@ every rolling BLOCK-word window probes the index, and only the windows around a
 by their whole word sequence, which extends the hits to maximal repeats.
 
 What is exchanged are packed arrays: a task sends its hashes to each bucket as one row, each
-distinct hash once, however many of its documents hold it.
+distinct hash once a step of texts, however many of its documents hold it. What is repeated in a
+step is remembered by the task and not sent again, so a passage that a third of all documents hold
+reaches its bucket about once a task.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 INSIDE = byte_class(SPACES)
 #: Characters of text whose windows one bucket compares.
 BUCKET_CHARS = 16_000_000
+#: Hashes that a task remembers at most; beyond it it begins anew.
+REMEMBERED = 1_000_000
 PROBES = "bucket int, hashes binary, docs binary, counts binary, places binary"
 FOUND = "grp int, docs binary, counts binary, places binary"
 HITS = "doc_id long, places binary"
@@ -103,6 +107,26 @@ def _local(docs: np.ndarray, places: np.ndarray, bucket: int) -> list[tuple]:
     return [(bucket, b"", *row[2:])]
 
 
+class Remembered:
+    """Repeated hashes (with a second hash and a number each) that a task has sent already, sorted."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most = most
+        self.hashes, self.checks, self.numbers = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each is, and whether it is there."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return at, (self.hashes[at] == hashes) & (self.checks[at] == checks) if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, numbers: np.ndarray) -> None:
+        if len(hashes) + len(self.hashes) > self.most:
+            self.__init__(self.most)
+        all_ = np.concatenate([self.hashes, hashes[: self.most]])
+        _, first = np.unique(all_, return_index=True)
+        self.hashes, self.checks, self.numbers = all_[first], np.concatenate([self.checks, checks[: self.most]])[first], np.concatenate([self.numbers, numbers[: self.most]])[first]
+
+
 class Dedup:
     """The stages; window and block in words, buckets the number of groups that hashes fall into."""
 
@@ -118,6 +142,7 @@ class Dedup:
 
     def probes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rolling hashes of documents with at least one window, each once a document; aligned blocks are marked by the low bit of a place."""
+        sent = Remembered()
         for number, part in enumerate(steps(batches)):
             ids = column(part, "doc_id").to_numpy(zero_copy_only=False)
             words = Words([x.encode() for x in column(part, "text").to_pylist()], INSIDE)
@@ -138,9 +163,14 @@ class Dedup:
             times = np.diff(np.append(new, len(h)))
             marked = np.add.reduceat(mark, new)
             # known here: several documents and an aligned block among them, or very many documents
-            known = np.repeat((times > 1) & ((marked > 0) | (times > 8)), times)
+            _, again = sent.find(h[new], np.zeros(len(new), np.uint64))
+            fresh = (times > 1) & ((marked > 0) | (times > 8)) & ~again
+            # what this task has sent with a mark needs no more sending: all who hold it know that they are hit
+            kept = fresh & (marked > 0)
+            sent.add(h[new][kept], np.zeros(int(kept.sum()), np.uint64), np.zeros(int(kept.sum()), np.int64))
+            known = np.repeat(fresh | again, times)
             lead = np.zeros(len(h), bool)
-            lead[new] = True
+            lead[new[~again]] = True
             send = ~known | lead
             docs, coded = ids[owner].astype(np.int64), place * 2 + np.where(known, np.repeat(marked > 0, times), mark)
             rows = _local(docs[known], place[known] * 2, number % self.buckets)
@@ -204,7 +234,9 @@ class Dedup:
         return hashlib.sha256(b" ".join([cut[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])).hexdigest()
 
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole-sequence hashes of the windows in question, of each step only the smallest document's."""
+        """Whole-sequence hashes of the windows in question, of each step only the smallest document's, and
+        only if no earlier step of the task has sent those of a smaller one."""
+        sent = Remembered()
         for number, part in enumerate(steps(batches)):
             ids = column(part, "doc_id").to_numpy(zero_copy_only=False)
             words = Words([x.encode() for x in column(part, "text").to_pylist()], INSIDE)
@@ -218,8 +250,16 @@ class Dedup:
             order = np.lexsort((place, docs, check, h))
             h, check, docs, place = h[order], check[order], docs[order], place[order]
             new = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))
-            least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = docs > least
+            begin = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            least, most = docs[begin], docs[np.append(begin[1:], len(docs)) - 1]
+            where, there = sent.find(h[begin], check[begin])
+            if there.any():
+                least[there] = np.minimum(least[there], sent.numbers[where[there]])
+                sent.numbers[where[there]] = least[there]
+            repeated = (most > least) & ~there
+            sent.add(h[begin][repeated], check[begin][repeated], least[repeated])
+            gone = docs > least[group]
             rows = _local(docs[gone], place[gone], number % self.buckets)
             # of the smallest document every place goes, for all are removed if a smaller one turns up
             keep = np.flatnonzero(~gone)
@@ -280,7 +320,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, bucket_cha
     job = Dedup(window, block, buckets)
     known = rows.where("doc_id is not null")
     hits = materialize(job.exchanged(known, job.probes, job.hits), "hits").withColumnRenamed("places", "hits")
-    staged = materialize(rows.join(hits, "doc_id", "left").mapInArrow(job.stage, "doc_id long, n_words long, kept_sha256 string, text string, starts binary"), "staged")
+    # rows without an id have no hits: they stay out of the join, where they would meet in one task
+    nameless = rows.where("doc_id is null").withColumn("hits", F.lit(None).cast("binary"))
+    staged = materialize(known.join(hits, "doc_id", "left").unionByName(nameless).mapInArrow(job.stage, "doc_id long, n_words long, kept_sha256 string, text string, starts binary"), "staged")
     done = staged.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     pending = staged.where("text is not null").select("doc_id", "text", "starts")
     gone = materialize(job.exchanged(pending, job.windows, job.removed), "gone").withColumnRenamed("places", "hits")

@@ -165,6 +165,34 @@ def test_substring_dedup(spark, docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_passages_in_many_steps_are_sent_once_a_task(spark, monkeypatch):
+    rnd = random.Random(23)
+    passage, other = prose(rnd, 40), prose(rnd, 30)
+    rows = [(i, f"{prose(rnd, rnd.randrange(5, 20))} {passage if i % 3 else ''} {prose(rnd, 14)} {other if i % 4 == 1 else ''}") for i in rnd.sample(range(10_000), 240)]
+    rows += [(None, passage), (None, passage), (None, None)]
+    first, want = {}, {}
+    for i, t in sorted((r for r in rows if r[0] is not None)):
+        w = t.split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone[k : k + 13] = [True] * 13
+        want[i] = (sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # each batch is a step of its own
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        got = substring_dedup.remove_repeats(docs).collect()
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == want
+        assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0, 0, 0]
+        job = substring_dedup.Dedup(13, 7, 1)
+        sent = docs.where("doc_id is not null").coalesce(1).mapInArrow(job.probes, substring_dedup.PROBES).where("length(hashes) > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = {tuple(passage.split()[k : k + 7]) for k in range(34)}
+    held = collections.Counter(bytes(r["hashes"][5 * k : 5 * k + 5]) for r in sent for k in range(len(r["hashes"]) // 5))
+    assert len(sent) >= 60 and sorted(held.values())[-len(words)] <= 12  # of 160 documents in 60 steps
+
+
 def test_substring_dedup_of_rows_without_or_with_equal_ids(spark):
     text = " ".join(f"w{i}" for i in range(20))
     got = substring_dedup.remove_repeats(spark.createDataFrame([(None, text), (1, text), (1, text), (2, "a " + text)], "doc_id bigint, text string")).collect()
