@@ -151,7 +151,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-LAST = -(2**63)
+#: Rows without an id are dealt below all ids, by a hash of their text: to places from LAST on.
+LAST, PLACES = -(2**63), 2**40
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -186,9 +187,11 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Digests of every whole text and of its edited text, and how near they come; see RESULT.
 
     The next document is the one with the next smaller doc_id; the first follows the last, so a
-    single document follows itself. Null ids come last; rows of one id are ordered by their text.
+    single document follows itself. Null ids come last, in an order of text hashes; rows of one id are
+    ordered by their text, and one range holds them. An id below -2**63 + 2**40 would stand among null ones.
     Null text is empty; an empty text has no features: it is like another empty one (1) and unlike
-    any other (0). Repeated rows stay. An empty table gives an empty result.
+    any other (0). Repeated rows stay. An empty table gives an empty result. Comparing two digests takes
+    time by the product of their lengths, some 26,000 filters for 100 MB of text. Other columns are not read.
 
     The texts are shuffled once, into ranges of ids; the first row of each range is also sent to
     the range before. To the driver come two numbers a range, not the ids of documents.
@@ -196,7 +199,7 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
     ranges = 4 * n  # several to a partition, so that where they fall by hash evens out
-    rows = texts(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST)))
+    rows = texts(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST) + F.pmod(F.xxhash64("text"), F.lit(PLACES))))
     cuts = np.array(rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("c")).first()["c"] or [], np.int64)
     cuts = np.unique(cuts)
 
