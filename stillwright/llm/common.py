@@ -69,7 +69,7 @@ def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and lost
     executors cost a read instead of a recomputation. The files go with `discard`, at the latest when
     the application ends. A caller that keeps no other reference to df lets its shuffle files go, too
-    (free; small tables don't need it)."""
+    (free; what shuffles no texts or hashes doesn't need it)."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

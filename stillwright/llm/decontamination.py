@@ -79,7 +79,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     seeded = _seeded(rows.select("text_hash", words(F.col("text")).alias("words")), "text_hash", dict.fromkeys(by_mask))
     hits = seeded.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
     hits = hits.groupBy("text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
-    hits = materialize(hits, "alignments")
+    hits = materialize(hits, "alignments", free=False)
     hit = hits.select("text_hash").distinct()
     read = rows.join(F.broadcast(hit) if hit.count() <= BROADCAST_TEXTS else hit, "text_hash", "left_semi").dropDuplicates(["text_hash"])
     read = read.select("text_hash", words(F.col("text")).alias("mine"))
@@ -111,7 +111,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Seeds leave the documents' rows without their words, and each alignment is counted before it is
     shuffled, so a passage that many documents share is no hot key: rows are keyed by their text.
     """
-    found = materialize(contaminated_texts(docs, benchmark, window, equal, broadcast_seeds), "contaminated")
+    found = materialize(contaminated_texts(docs, benchmark, window, equal, broadcast_seeds), "contaminated", free=False)
     n = found.count()
     rows = texts(docs).where("doc_id is not null").select("doc_id", text_hash(F.col("text")).alias("text_hash"))
     return rows.join(F.broadcast(found) if n <= BROADCAST_TEXTS else found, "text_hash").groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("item_words", "matched", "window_matched")])

@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     spark = docs.sparkSession
     floor = least_prefix(threshold, trees, depth, 1 - (1 - recall) / 10)
     rows = texts(docs).withColumn("text_hash", text_hash(F.col("text")))
-    nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth), "doc_id long, text_hash long, node long, check long, n_shingles long, paths array<long>"), "signatures")
+    nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth), "doc_id long, text_hash long, node long, check long, n_shingles long, paths array<long>"), "signatures", free=False)
     # one node for each distinct set
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     sets = nodes.groupBy("node", "check").agg(least.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.max("n_shingles").alias("n_shingles")).drop("check")
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
         edges, _ = _met(forest, sets, prefix, depth, threshold, place)
     groups = components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = materialize(groups.join(sizes, "root").join(sets.select("node", "copies", "least"), "node"), "members")
+    members = materialize(groups.join(sizes, "root").join(sets.select("node", "copies", "least"), "node"), "members", free=False)
     discard(forest)
     # texts of the members: only rows of the ids that name them are read for their words
     ids = members.select("least.doc_id").where("doc_id is not null").distinct()

@@ -321,7 +321,7 @@ def pack(docs: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 1, sh
     Only longer documents are cut. Other columns are not read. To the driver comes the histogram
     (at most max_tokens rows); to the tasks goes the plan, whose size depends on the parameters only.
     """
-    parts = materialize(pieces(docs, path, max_tokens, end_id), "pieces")
+    parts = materialize(pieces(docs, path, max_tokens, end_id), "pieces", free=False)
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     plan = best_plan(histogram, max_tokens, shapes).slots()
 

@@ -127,7 +127,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if known > fit_rows:  # a bound on the hash first, so that few more rows than are taken come together
         share = min(1.0, 1.1 * fit_rows / known + 1000 / known)
         y = y.where(F.col("h") <= F.lit(min(int((share - 0.5) * 2**64), 2**63 - 1))).orderBy("h", "doc_id").limit(fit_rows)
-    rows = materialize(stats.join(y, "doc_id").repartition(FIT_TASKS, "doc_id"), "labelled")
+    rows = materialize(stats.join(y, "doc_id").repartition(FIT_TASKS, "doc_id"), "labelled", free=False)
     moments = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
     if not moments:
         return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)))
@@ -187,6 +187,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     of rows that share an id teaches all their texts; an empty table gives an empty result; without
     labels every score is 0.5. text_hash (xxhash64) names the text. Other columns are not read.
     """
-    stats = materialize(with_statistics(docs), "statistics")
+    stats = materialize(with_statistics(docs), "statistics", free=False)
     model = fit(stats, labels.where(~held_out()))
     return scored(stats, model).select("doc_id", "text_hash", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -38,7 +38,7 @@ def directory(docs: DataFrame, limit_bytes: int) -> DataFrame:
             cells = cells.join(large.select(F.col("shard").alias("top")), F.substring("h", 1, depth) == F.col("top"), "left_semi")
         depths = F.explode(F.sequence(F.lit(depth + 1), F.lit(end)))
         sums = cells.withColumn("d", depths).groupBy(F.expr("substring(h, 1, d)").alias("shard")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-        sums = materialize(sums, "sums")
+        sums = materialize(sums, "sums", free=False)
         over = sums.where(F.col("shard_bytes") > limit_bytes)
         # split: all that come from an oversized prefix; the first bit below the old ones comes from one in any case
         parents = over.select(F.col("shard").alias("parent"))
@@ -56,7 +56,7 @@ def shards(docs: DataFrame, limit_bytes: int) -> DataFrame:
     an empty result. Other columns are not read. The directory has a row for each shard; documents
     join it on the prefix lengths that occur.
     """
-    found = materialize(directory(docs, limit_bytes), "directory").withColumn("depth", F.length("shard"))
+    found = materialize(directory(docs, limit_bytes), "directory", free=False).withColumn("depth", F.length("shard"))
     depths = [r["depth"] for r in found.select("depth").distinct().orderBy("depth").collect()]  # BITS + 1 numbers at most
     rows = texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), hash_bits(F.coalesce("doc_id", F.lit(-1))).alias("h"))
     keyed = rows.withColumn("shard", F.explode(F.array(*[F.substring("h", 1, d) for d in depths] or [F.lit("")])))
