@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import BROADCAST_HASHES, materialize, table, text_hash, without_texts
+from stillwright.llm.common import BROADCAST_HASHES, discard, materialize, table, text_hash, without_texts
 from stillwright.llm.decontamination import contaminated_texts
 from stillwright.llm.jaccard_join import near_duplicates
 from stillwright.llm.packing import pack
@@ -72,10 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what the one before has written: the result of the last one for sf_dir's documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each on what the one before has written, which is deleted when the next has been written:
+    the result of the last one for sf_dir's documents."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name)
+            if written is not None:
+                discard(written)
+            written = docs
     return docs
