@@ -51,11 +51,7 @@ class Digests:
         at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(windows) - windows), windows)
         level = np.full(len(raw), LEVELS + 1, np.int64)
         level[at] = self._levels(raw)[at]
-        short = windows <= SHORT
-        found = [self._popular(level, at[mine[owner]], owner[mine[owner]], np.where(mine, windows, 0), span) for mine, span in ((short, SHORT_NEIGHBOURS), (~short, NEIGHBOURS))]
-        chosen, who = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(chosen, kind="stable")
-        chosen, who = chosen[order], who[order]
+        chosen, who = self._popular(level, at, owner, windows)
         data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, WIDTH)[chosen]).view(np.uint64)
         h = mix((mix(data) * constants(WIDTH // 8, 7)).sum(axis=1, dtype=np.uint64))
         self.counts = np.bincount(who, minlength=len(block))
@@ -92,21 +88,23 @@ class Digests:
         return out
 
     @staticmethod
-    def _popular(level: np.ndarray, at: np.ndarray, owner: np.ndarray, windows: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    def _popular(level: np.ndarray, at: np.ndarray, owner: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows that are the rarest (then first) of enough neighbourhoods, and their owners."""
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         least = level << 40 | np.arange(len(level))
-        span = 1
-        while span < neighbours:
-            step = min(span, neighbours - span)
-            least[:-step] = np.minimum(least[:-step], least[step:])
-            span += step
+        short, span = windows <= SHORT, 1
+        found = np.empty(len(at), np.int64)
+        for size, mine in ((SHORT_NEIGHBOURS, short), (NEIGHBOURS, ~short)):
+            while span < size:
+                step = min(span, size - span)
+                least[:-step] = np.minimum(least[:-step], least[step:])
+                span += step
+            of = mine[owner]
+            found[of] = least[at[of]]
         # a text has at least one neighbourhood, and none reaches beyond its last window
         number = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
-        many = np.maximum(windows - neighbours + 1, np.minimum(windows, 1))
+        many = np.maximum(windows - np.where(short, SHORT_NEIGHBOURS, NEIGHBOURS) + 1, np.minimum(windows, 1))
         starts = number < np.repeat(many, windows)
-        best, who = least[at[starts]] & ((1 << 40) - 1), owner[starts]
+        best, who = found[starts] & ((1 << 40) - 1), owner[starts]
         new = np.flatnonzero(np.diff(best, prepend=-1))
         times = np.diff(np.append(new, len(best)))
         best, who = best[new], who[new]
