@@ -52,3 +52,26 @@ c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
 k AS (SELECT a AS doc_id, count(*) AS links FROM l GROUP BY a),
 q AS (SELECT doc_id, hash(list_sort(list(s))) AS z FROM sh GROUP BY doc_id), m AS (SELECT t.doc_id, count(*) OVER (PARTITION BY z) - 1 AS copies FROM t LEFT JOIN q USING (doc_id))
 SELECT doc_id, class_id::BIGINT AS class_id, coalesce(links, 0)::BIGINT AS n_links, copies::BIGINT AS n_copies FROM c LEFT JOIN k USING (doc_id) JOIN m USING (doc_id)"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+COLLOCATIONS = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+c AS (SELECT lang, row, unnest(x) AS piece, unnest(range(0, len(x))) AS no FROM (SELECT lang, row, string_split_regex(text, '[.,;:!?\x0A-\x0D]') AS x FROM t)),
+w AS (SELECT lang, row, no, unnest(x) AS w, unnest(range(0, len(x))) AS pos FROM (SELECT lang, row, no, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda v: v <> '') AS x FROM c)),
+g AS (SELECT lang, w, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM w WINDOW x AS (PARTITION BY row, no ORDER BY pos)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, [w] AS ws, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10 UNION ALL SELECT lang, [w, w2], count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, [w, w2, w3], count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+k AS (SELECT f.lang, f.ws, f.f AS a, unnest(range(1, len(f.ws))) AS cut FROM f WHERE len(f.ws) > 1),
+s AS (SELECT k.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN f l ON l.lang = k.lang AND l.ws = k.ws[:cut] JOIN f r ON r.lang = k.lang AND r.ws = k.ws[cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+d AS (SELECT lang, x AS ws, max(f) AS f FROM (SELECT lang, f, unnest([ws[:2], ws[2:]]) AS x FROM f WHERE len(ws) = 3) GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN d ON d.lang = b.lang AND d.ws = b.ws WHERE d.f IS NULL OR 100 * d.f < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM o JOIN n USING (lang) QUALIFY rank <= 2000"""
