@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import column, materialize, shuffle_partitions, steps, texts
+from stillwright.llm.common import BROADCAST_HASHES, column, materialize, shuffle_partitions, steps, text_hash, texts
 from stillwright.llm.wordhash import Words, byte_class, mix
 
 #: What separates words.
@@ -34,7 +34,8 @@ BUCKET_CHARS = 16_000_000
 REMEMBERED = 1_000_000
 PROBES = "bucket int, hashes binary, docs binary, counts binary, places binary"
 FOUND = "grp int, docs binary, counts binary, places binary"
-HITS = "doc_id long, places binary"
+HITS = "doc_id long, tag long, places binary"
+STAGED = "doc_id long, tag long, n_words long, kept_sha256 string, text string, starts binary"
 
 
 def _grouped(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,25 +44,35 @@ def _grouped(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[at], np.diff(np.append(at, len(owner)))
 
 
-def _packed(bucket: np.ndarray, hashes: list[np.ndarray], widths: list[int], docs: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+def _packed(bucket: np.ndarray, hashes: list[np.ndarray], widths: list[int], owner: np.ndarray, names: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
     """One row for each bucket: of each hash its low bytes, the documents with their counts, the places.
 
-    docs must be sorted; places are transposed, so that their high bytes compress.
+    names has a row (doc_id, tag) for each document; owner, its places in names, must be sorted; places are
+    transposed, so that their high bytes compress.
     """
     order = np.argsort(bucket, kind="stable")
-    bucket, docs, places = bucket[order], docs[order], places[order].astype("<u4")
+    bucket, owner, places = bucket[order], owner[order], places[order].astype("<u4")
     low = np.concatenate([h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w] for h, w in zip(hashes, widths, strict=True)], axis=1)
     ids, counts = _grouped(bucket)
     at = 0
     for b, n in zip(ids.tolist(), counts.tolist(), strict=True):
         part = slice(at, at + n)
-        new = np.flatnonzero(np.append(True, docs[part][1:] != docs[part][:-1]))
-        yield b, low[part].tobytes(), docs[part][new].astype("<i8").tobytes(), np.diff(np.append(new, n)).astype("<u4").tobytes(), places[part].view(np.uint8).reshape(-1, 4).T.tobytes()
+        new = np.flatnonzero(np.append(True, owner[part][1:] != owner[part][:-1]))
+        yield b, low[part].tobytes(), names[owner[part][new]].astype("<i8").tobytes(), np.diff(np.append(new, n)).astype("<u4").tobytes(), places[part].view(np.uint8).reshape(-1, 4).T.tobytes()
         at += n
 
 
-def _unpacked(rows: pd.DataFrame, widths: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes, documents and places of all rows of a bucket."""
+def _named(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents of all rows, (doc_id, tag) each, and of every place the number of its document and the place."""
+    if not len(rows):
+        return np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+    names = np.frombuffer(b"".join(rows["docs"]), "<i8").reshape(-1, 2)
+    own = np.repeat(np.arange(len(names)), np.frombuffer(b"".join(rows["counts"]), "<u4"))
+    return names, own, np.concatenate([np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for x in rows["places"]])
+
+
+def _unpacked(rows: pd.DataFrame, widths: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents, and the number of its document and the place of each hash, of all rows of a bucket."""
     low = np.frombuffer(b"".join(rows["hashes"]), np.uint8).reshape(-1, sum(widths))
     hashes, at = [], 0
     for w in widths:
@@ -69,28 +80,36 @@ def _unpacked(rows: pd.DataFrame, widths: list[int]) -> tuple[list[np.ndarray],
         full[:, :w] = low[:, at : at + w]
         hashes.append(full.view("<u8").reshape(-1))
         at += w
-    docs = np.repeat(np.frombuffer(b"".join(rows["docs"]), "<i8"), np.frombuffer(b"".join(rows["counts"]), "<u4"))
-    places = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for x in rows["places"]]
-    return hashes, docs, np.concatenate(places) if places else np.empty(0, "<u4")
+    return hashes, *_named(rows)
+
+
+def _by_document(names: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The order that brings the places of a document together."""
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names[:, 1], names[:, 0]))] = np.arange(len(names))
+    return np.argsort(rank[own], kind="stable")
 
 
-def _by_group(docs: np.ndarray, places: np.ndarray, groups: int) -> pd.DataFrame:
-    """What a bucket has found, one row for each group of documents."""
-    order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order]
-    grp = (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    rows = list(_packed(grp, [np.zeros(len(docs), np.uint64)], [0], docs, places)) if len(docs) else []
+def _by_group(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: int) -> pd.DataFrame:
+    """What a bucket has found (names, numbers of documents, places), one row for each group of documents."""
+    names = np.concatenate([x[0] for x in found])
+    own = np.concatenate([x[1] + sum(len(y[0]) for y in found[:i]) for i, x in enumerate(found)])
+    places = np.concatenate([x[2] for x in found])
+    order = _by_document(names, own)
+    own, places = own[order], places[order]
+    grp = (mix((names[own, 0] ^ names[own, 1]).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    rows = list(_packed(grp, [np.zeros(len(own), np.uint64)], [0], own, names, places)) if len(own) else []
     return pd.DataFrame([(g, *rest) for g, _, *rest in rows], columns=["grp", "docs", "counts", "places"])
 
 
 def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     """One row for each document of a group: all places that any bucket has found."""
-    docs, places = _docs_places(rows)
-    order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order].astype("<u4")
-    new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-    ends = np.append(new[1:], len(docs))
-    return pd.DataFrame({"doc_id": docs[new], "places": [places[a:b].tobytes() for a, b in zip(new.tolist(), ends.tolist(), strict=True)]})
+    names, own, places = _named(rows)
+    order = _by_document(names, own)
+    names, places = names[own[order]], places[order].astype("<u4")
+    new = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1)))
+    ends = np.append(new[1:], len(names))
+    return pd.DataFrame({"doc_id": names[new, 0], "tag": names[new, 1], "places": [places[a:b].tobytes() for a, b in zip(new.tolist(), ends.tolist(), strict=True)]})
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -98,15 +117,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PROBES.split(", ")])
 
 
-def _local(docs: np.ndarray, places: np.ndarray, bucket: int) -> list[tuple]:
+def _local(owner: np.ndarray, names: np.ndarray, places: np.ndarray, bucket: int) -> list[tuple]:
     """A row of hits that need no other task; it has no hashes."""
-    if not len(docs):
+    if not len(owner):
         return []
-    order = np.argsort(docs, kind="stable")
-    (row,) = _packed(np.zeros(len(docs), np.int64), [np.zeros(len(docs), np.uint64)], [0], docs[order], places[order])
+    order = np.argsort(owner, kind="stable")
+    (row,) = _packed(np.zeros(len(owner), np.int64), [np.zeros(len(owner), np.uint64)], [0], owner[order], names, places[order])
     return [(bucket, b"", *row[2:])]
 
 
+def _names(part: pa.RecordBatch) -> np.ndarray:
+    """(doc_id, tag) of each row; without tags all are 0."""
+    ids = column(part, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.stack([ids, column(part, "tag").to_numpy() if "tag" in part.schema.names else np.zeros(len(ids), np.int64)], axis=1)
+
+
 class Remembered:
     """Repeated hashes (with a second hash and a number each) that a task has sent already, sorted."""
 
@@ -144,7 +169,7 @@ class Dedup:
         """Rolling hashes of documents with at least one window, each once a document; aligned blocks are marked by the low bit of a place."""
         sent = Remembered()
         for number, part in enumerate(steps(batches)):
-            ids = column(part, "doc_id").to_numpy(zero_copy_only=False)
+            names = _names(part)
             words = Words([x.encode() for x in column(part, "text").to_pylist()], INSIDE)
             at, h = words.windows(self.block)
             owner = words.owner()[at]
@@ -172,18 +197,17 @@ class Dedup:
             lead = np.zeros(len(h), bool)
             lead[new[~again]] = True
             send = ~known | lead
-            docs, coded = ids[owner].astype(np.int64), place * 2 + np.where(known, np.repeat(marked > 0, times), mark)
-            rows = _local(docs[known], place[known] * 2, number % self.buckets)
+            coded = place * 2 + np.where(known, np.repeat(marked > 0, times), mark)
+            rows = _local(owner[known], names, place[known] * 2, number % self.buckets)
             order = np.flatnonzero(send)
-            order = order[np.argsort(docs[order], kind="stable")]
+            order = order[np.argsort(owner[order], kind="stable")]
             bucket = ((h[order] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
-            yield _batch(rows + list(_packed(bucket, [h[order]], [5], docs[order], coded[order])))
+            yield _batch(rows + list(_packed(bucket, [h[order]], [5], owner[order], names, coded[order])))
 
     def hits(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Places whose block hash is that of an aligned block elsewhere, or of one that others probe."""
         local = rows["hashes"].str.len() == 0
-        docs, places = _docs_places(rows[local])
-        (h,), own, coded = _unpacked(rows[~local], [5])
+        (h,), names, own, coded = _unpacked(rows[~local], [5])
         order = np.argsort(h, kind="stable")
         h, own, coded = h[order], own[order], coded[order]
         new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
@@ -191,7 +215,8 @@ class Dedup:
         mark = (coded & 1).astype(np.int64)
         marked = np.repeat(np.add.reduceat(mark, new), times) if len(h) else mark
         hit = (marked - mark > 0) | (mark > 0) & (np.repeat(times, times) > 1)
-        return _by_group(np.concatenate([docs, own[hit]]), np.concatenate([places, coded[hit]]) >> 1, self.buckets)
+        known, mine, places = _named(rows[local])
+        return _by_group([(known, mine, places >> 1), (names, own[hit], coded[hit] >> 1)], self.buckets)
 
     def stage(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without hits are done; the others go on with the windows around their hits."""
@@ -201,17 +226,17 @@ class Dedup:
             _, h = words.windows(self.block)
             rows = []
             begin = 0
-            for i, (doc, found) in enumerate(zip(column(part, "doc_id").to_pylist(), column(part, "hits").to_pylist(), strict=True)):
+            for i, (doc, tag, found) in enumerate(zip(*(column(part, c).to_pylist() for c in ("doc_id", "tag", "hits")), strict=True)):
                 n = int(words.counts[i])
                 mine = h[begin : begin + max(n - self.block + 1, 0)]
                 begin += len(mine)
                 starts = self._around(mine, n, found or b"")
                 if len(starts):
-                    rows.append((doc, n, None, block[i].decode(), starts.astype("<u4").tobytes()))
+                    rows.append((doc, tag, n, None, block[i].decode(), starts.astype("<u4").tobytes()))
                 else:
-                    rows.append((doc, n, self._digest(words, i, None), None, None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "kept_sha256", "text", "starts"])
+                    rows.append((doc, tag, n, self._digest(words, i, None), None, None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in STAGED.split(", ")])
 
     def _around(self, hashes: np.ndarray, n: int, found: bytes) -> np.ndarray:
         """First words of the windows that contain a block like one of those found."""
@@ -238,7 +263,7 @@ class Dedup:
         only if no earlier step of the task has sent those of a smaller one."""
         sent = Remembered()
         for number, part in enumerate(steps(batches)):
-            ids = column(part, "doc_id").to_numpy(zero_copy_only=False)
+            names = _names(part)
             words = Words([x.encode() for x in column(part, "text").to_pylist()], INSIDE)
             at, h = words.windows(self.window)
             _, check = words.windows(self.window, seed=1)
@@ -246,9 +271,9 @@ class Dedup:
             owner = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
             place = np.concatenate(starts)
             pick = np.searchsorted(at, place + words.bounds[owner])
-            h, check, docs = h[pick], check[pick] & np.uint64(0xFFFFFFFF), ids[owner].astype(np.int64)
+            h, check, docs = h[pick], check[pick] & np.uint64(0xFFFFFFFF), names[owner, 0]
             order = np.lexsort((place, docs, check, h))
-            h, check, docs, place = h[order], check[order], docs[order], place[order]
+            h, check, docs, owner, place = h[order], check[order], docs[order], owner[order], place[order]
             new = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))
             begin = np.flatnonzero(new)
             group = np.cumsum(new) - 1
@@ -260,23 +285,23 @@ class Dedup:
             repeated = (most > least) & ~there
             sent.add(h[begin][repeated], check[begin][repeated], least[repeated])
             gone = docs > least[group]
-            rows = _local(docs[gone], place[gone], number % self.buckets)
+            rows = _local(owner[gone], names, place[gone], number % self.buckets)
             # of the smallest document every place goes, for all are removed if a smaller one turns up
             keep = np.flatnonzero(~gone)
-            keep = keep[np.argsort(docs[keep], kind="stable")]
+            keep = keep[np.argsort(owner[keep], kind="stable")]
             bucket = ((h[keep] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
-            yield _batch(rows + list(_packed(bucket, [h[keep], check[keep]], [8, 4], docs[keep], place[keep])))
+            yield _batch(rows + list(_packed(bucket, [h[keep], check[keep]], [8, 4], owner[keep], names, place[keep])))
 
     def removed(self, rows: pd.DataFrame) -> pd.DataFrame:
         """First words of the windows that a smaller document also has."""
         local = rows["hashes"].str.len() == 0
-        docs, places = _docs_places(rows[local])
-        (h, check), own, at = _unpacked(rows[~local], [8, 4])
-        order = np.lexsort((own, check, h))
+        (h, check), names, own, at = _unpacked(rows[~local], [8, 4])
+        order = np.lexsort((names[own, 0], check, h))
         h, check, own, at = h[order], check[order], own[order], at[order]
+        docs = names[own, 0]
         new = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])) if len(h) else np.empty(0, bool)
-        gone = own > own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else new
-        return _by_group(np.concatenate([docs, own[gone]]), np.concatenate([places, at[gone]]), self.buckets)
+        gone = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else new
+        return _by_group([_named(rows[local]), (names, own[gone], at[gone])], self.buckets)
 
     def finish(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -295,12 +320,17 @@ class Dedup:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _docs_places(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and places of rows without hashes."""
-    if not len(rows):
-        return np.empty(0, np.int64), np.empty(0, "<u4")
-    docs = np.repeat(np.frombuffer(b"".join(rows["docs"]), "<i8"), np.frombuffer(b"".join(rows["counts"]), "<u4"))
-    return docs, np.concatenate([np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for x in rows["places"]])
+def tagged(rows: DataFrame) -> DataFrame:
+    """The rows with a tag that tells apart different texts of one doc_id: a hash of the text for ids that have
+    several, 0 for all others. Found by two combinable aggregates on hashes."""
+    named = rows.select("doc_id", text_hash(F.col("text")).alias("h"))
+    shared = named.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("doc_id", F.lit(True).alias("shared"))
+    shared = materialize(shared, "shared", free=False)
+    n = shared.count()
+    if not n:
+        return rows.withColumn("tag", F.lit(0).cast("long"))
+    rows = rows.join(F.broadcast(shared) if n <= BROADCAST_HASHES else shared, "doc_id", "left")
+    return rows.select("doc_id", "text", F.when(F.col("shared"), text_hash(F.col("text")).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")).alias("tag"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -310,21 +340,21 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, bucket_cha
     Words are runs of anything but ASCII white space, unchanged. Null and empty texts have no words
     (the digest is that of the empty text); texts shorter than a window lose nothing. A null
     doc_id is smaller than none and greater than none: its text stays whole and removes nothing. Rows
-    of one doc_id don't remove from each other. An empty table gives an empty result. Other columns
-    are not read.
+    of one doc_id don't remove from each other, whether their texts are equal or not; each loses its own words only.
+    An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = texts(docs)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(chars // bucket_chars) + 1)
     job = Dedup(window, block, buckets)
-    known = rows.where("doc_id is not null")
+    known = tagged(rows.where("doc_id is not null"))
     hits = materialize(job.exchanged(known, job.probes, job.hits), "hits").withColumnRenamed("places", "hits")
     # rows without an id have no hits: they stay out of the join, where they would meet in one task
-    nameless = rows.where("doc_id is null").withColumn("hits", F.lit(None).cast("binary"))
-    staged = materialize(known.join(hits, "doc_id", "left").unionByName(nameless).mapInArrow(job.stage, "doc_id long, n_words long, kept_sha256 string, text string, starts binary"), "staged")
+    nameless = rows.where("doc_id is null").withColumns({"tag": F.lit(0).cast("long"), "hits": F.lit(None).cast("binary")})
+    staged = materialize(known.join(hits, ["doc_id", "tag"], "left").unionByName(nameless).mapInArrow(job.stage, STAGED), "staged")
     done = staged.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    pending = staged.where("text is not null").select("doc_id", "text", "starts")
+    pending = staged.where("text is not null").select("doc_id", "tag", "text", "starts")
     gone = materialize(job.exchanged(pending, job.windows, job.removed), "gone").withColumnRenamed("places", "hits")
-    rest = pending.drop("starts").join(gone, "doc_id", "left").mapInArrow(job.finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rest = pending.drop("starts").join(gone, ["doc_id", "tag"], "left").mapInArrow(job.finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return done.unionByName(rest)

@@ -201,6 +201,43 @@ def test_substring_dedup_of_rows_without_or_with_equal_ids(spark):
         substring_dedup.Dedup(12, 7, 1)
 
 
+def _kept_by_row(rows):
+    """Of each row what it loses: windows that start in a row with a smaller id."""
+    first = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = (t or "").split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for i, t in rows:
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if i is not None and first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        yield i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_rows_that_share_an_id_lose_their_own_words_only(spark, batch):
+    rnd = random.Random(31)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 30), ("b", 40), ("c", 25)))
+    for rows in ([(1, a), (2, a), (2, b)], [(1, a), (2, b), (2, a)], [(1, b), (2, a), (2, b), (2, c), (2, a), (3, f"{c} x {b}"), (3, a)]):
+        assert _removed(spark, rows, batch, 1) == sorted(_kept_by_row(rows), key=repr)
+    parts = [" ".join(f"p{k}_{i}" for i in range(rnd.choice([13, 20, 50]))) for k in range(12)]
+    rows = [(rnd.randrange(12), " ".join([prose(rnd, rnd.randrange(20)), *rnd.sample(parts, rnd.randrange(4)), prose(rnd, rnd.randrange(20))])) for _ in range(150)] + [(3, None), (3, ""), (None, a), (None, b)]
+    for parts_ in (1, 4):
+        assert _removed(spark, rows, batch, parts_) == sorted(_kept_by_row(rows), key=repr)
+
+
+def _removed(spark, rows, batch, parts):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).repartition(parts)
+        return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # 10 Jaccard join
 
 
