@@ -29,8 +29,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def text_hash(text: Column) -> Column:
-    """What names a text where decisions on texts are carried back to rows; null is empty."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    """What names a text where decisions on texts are carried back to rows, in 128 bits; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 #: Hashes that go to every task at most.

@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     Two rows are linked if the Jaccard similarity of their sets of `shingle` words is at least `threshold`.
     class_id: the least doc_id that a chain of links reaches. n_links: linked rows, equal ones among them
     (n_copies of those). first: whether the row has the id and the text that stand for its class, the least
-    id (none comes last) and then the least text_hash (xxhash64 of the text).
+    id (none comes last) and then the least text_hash (128 bits that name the text).
 
     Texts of fewer words are one shingle; texts without words, null ones too, are equal to each other.
     Rows are judged by their texts alone: repeated rows are copies of each other, rows of one id with
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     spark = docs.sparkSession
     floor = least_prefix(threshold, trees, depth, 1 - (1 - recall) / 10)
     rows = texts(docs).withColumn("text_hash", text_hash(F.col("text")))
-    nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth), "doc_id long, text_hash long, node long, check long, n_shingles long, paths array<long>"), "signatures", free=False)
+    nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth), "doc_id long, text_hash binary, node long, check long, n_shingles long, paths array<long>"), "signatures", free=False)
     # one node for each distinct set
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     sets = nodes.groupBy("node", "check").agg(least.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.max("n_shingles").alias("n_shingles")).drop("check")

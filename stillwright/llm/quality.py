@@ -69,7 +69,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             x = [statistics(t) for t in column(part, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "text_hash"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "text_hash", "x"])
 
-    return texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, x array<double>")
+    return texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(run, "doc_id long, text_hash binary, x array<double>")
 
 
 def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "score": model.score(_matrix(pdf["x"]))})
 
-    return stats.mapInPandas(run, "doc_id long, text_hash long, score double")
+    return stats.mapInPandas(run, "doc_id long, text_hash binary, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -185,7 +185,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     Held-out ids teach nothing. Null text is empty; empty texts are scored by all-zero statistics. A
     null doc_id is scored and not held out; repeated rows stay, and equal texts have equal scores; a label
     of rows that share an id teaches all their texts; an empty table gives an empty result; without
-    labels every score is 0.5. text_hash (xxhash64) names the text. Other columns are not read.
+    labels every score is 0.5. text_hash (128 bits) names the text. Other columns are not read.
     """
     stats = materialize(with_statistics(docs), "statistics", free=False)
     model = fit(stats, labels.where(~held_out()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwright.llm.common import BROADCAST_HASHES, column, materialize, shuffle_partitions, steps, text_hash, texts
+from stillwright.llm.common import BROADCAST_HASHES, column, materialize, shuffle_partitions, steps, texts
 from stillwright.llm.wordhash import Words, byte_class, mix
 
 #: What separates words.
@@ -323,14 +323,14 @@ class Dedup:
 def tagged(rows: DataFrame) -> DataFrame:
     """The rows with a tag that tells apart different texts of one doc_id: a hash of the text for ids that have
     several, 0 for all others. Found by two combinable aggregates on hashes."""
-    named = rows.select("doc_id", text_hash(F.col("text")).alias("h"))
+    named = rows.select("doc_id", F.xxhash64("text").alias("h"))
     shared = named.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("doc_id", F.lit(True).alias("shared"))
     shared = materialize(shared, "shared", free=False)
     n = shared.count()
     if not n:
         return rows.withColumn("tag", F.lit(0).cast("long"))
     rows = rows.join(F.broadcast(shared) if n <= BROADCAST_HASHES else shared, "doc_id", "left")
-    return rows.select("doc_id", "text", F.when(F.col("shared"), text_hash(F.col("text")).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")).alias("tag"))
+    return rows.select("doc_id", "text", F.when(F.col("shared"), F.xxhash64("text").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")).alias("tag"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, bucket_chars: int = BUCKET_CHARS) -> DataFrame:

@@ -377,6 +377,19 @@ def _aligned(doc, item, window=13, equal=10):
     return (len(i), max(m for m, _ in found), max(b for _, b in found)) if found else None
 
 
+def test_every_benchmark_row_counts(spark):
+    """Rows that share an item_id, rows without one, and short items of common words."""
+    long = " ".join(f"q{i}" for i in range(13))
+    bench = spark.createDataFrame([(5, "a a"), (5, long), (None, "zeta eta theta iota"), (6, "the"), (7, None), (7, "the the"), (8, long), (8, long)], "item_id bigint, text string")
+    docs = {1: f"x {long} y", 2: "Zeta, eta theta -- iota", 3: "the cat and the dog and the the bird " * 50, 4: "nothing", 5: "a b a"}
+    for most in (1_000_000, 0):
+        got = decontamination.contaminations(frame(spark, list(docs.items())), bench, broadcast_seeds=most).collect()
+        assert sorted(((r["doc_id"], r["item_id"], r["item_words"], r["matched"]) for r in got), key=repr) == sorted([(1, 5, 13, 13), (1, 8, 13, 13), (2, None, 4, 4), (3, 6, 1, 1), (3, 7, 2, 2)], key=repr)
+    # a common word as an item is one alignment a text, wherever it stands
+    hits = decontamination.contaminated_texts(frame(spark, list(docs.items())), bench)
+    assert hits.where("item_words = 1").count() == 1
+
+
 def test_contaminations_equal_all_alignments(spark):
     rnd = random.Random(8)
     items = {n: " ".join(f"i{n}x{k % 9}" for k in range(n)) for n in range(1, 15)} | {40: " ".join(f"p{k}" for k in range(40))}
