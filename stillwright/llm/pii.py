@@ -104,26 +104,23 @@ def _cards(value: Column, key: str) -> Column:
     so that a short number beside a card is no part of it, then the longest runs of what is left. Each new
     card stands between < and >, which no kind of value has."""
 
-    def step(acc: Column, k: Column, groups: Column) -> Column:
-        sizes = F.concat(F.array_join(F.transform(F.slice(groups, k, 5), lambda g: F.length(g).cast("string")), "-"), F.lit("-"))
-        digits = lambda n: F.array_join(F.slice(groups, k, n), "")
-        one = F.get(groups, k - 1)
-        used = F.when(F.length(one).between(13, 19) & _valid_card(one), 1)
+    def length(groups: Column, i: Column) -> Column:
+        """Groups that a card from group i on has, as a letter; A for none."""
+        sizes = F.concat(F.array_join(F.transform(F.slice(groups, i + 1, 5), lambda g: F.length(g).cast("string")), "-"), F.lit("-"))
+        digits = lambda n: F.array_join(F.slice(groups, i + 1, n), "")
+        one = F.get(groups, i)
+        used = F.when(F.length(one).between(13, 19) & _valid_card(one), "B")
         for shape in SHAPES:
             n = shape.count("-") + 1
-            used = used.when(sizes.startswith(shape + "-") & _valid_card(digits(n)), n)
-        return F.when(k < acc["next"], acc).otherwise(bound(used.otherwise(0), lambda n: F.struct((k + F.greatest(n, F.lit(1))).alias("next"), F.when(n > 0, F.concat(acc["found"], F.array(F.struct(k.alias("k"), n.alias("n"))))).otherwise(acc["found"]).alias("found"))))
+            used = used.when(sizes.startswith(shape + "-") & _valid_card(digits(n)), "ABCDEF"[n])
+        return used.otherwise("A")
 
     def marked(groups: Column) -> Column:
-        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<k:int,n:int>>").alias("found"))
-        found = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, lambda acc, k: step(acc, k, groups))["found"]
+        # a letter before each group, then one pass from the left that takes a card's groups together: in time by length
         separators = F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))
-
-        def text(found: Column) -> Column:
-            begins, ends = (lambda k: F.exists(found, lambda f: f["k"] == k)), (lambda k: F.exists(found, lambda f: f["k"] + f["n"] - 1 == k))
-            return F.array_join(F.transform(groups, lambda g, i: F.concat(F.when(begins(i + 1), "<").otherwise(""), g, F.when(ends(i + 1), ">").otherwise(""), F.coalesce(F.get(separators, i), F.lit("")))), "")
-
-        return bound(found, text)
+        lettered = bound(separators, lambda s: F.array_join(F.transform(groups, lambda g, i: F.concat(length(groups, i), g, F.coalesce(F.get(s, i), F.lit("")))), ""))
+        cards = "|".join(rf"{c}\d++" + rf"(?:[ -][A-F]\d++){{{n}}}" * (n > 0) for n, c in enumerate("BCDEF"))
+        return F.regexp_replace(F.regexp_replace(lettered, f"({cards})", "<$1>"), "[A-F]", "")
 
     def renamed(text: Column) -> Column:
         each = rf"<[^>]*>|(?<!\d){CARD}"
