@@ -10,6 +10,7 @@ siblings that score or are made like it and the headline before it, without what
 from __future__ import annotations
 
 import html as entities
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,12 +42,15 @@ SHARES, OF_NAMED, OF_COMMENTS = (1, 1 / 2, 1 / 6, 1 / 9), 0.2, 0.02
 #: Points of an element that says it is the article; characters that may stand between a headline and it.
 SAYS_SO, BEFORE = 25.0, 300
 
-TOKEN = regex.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*+>(?:.*?</(?P=raw)\s*+>|.*)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+#: Where markup begins: a comment, an element of raw text, a declaration, or a tag's name; `rest` is what nothing ends.
+HEAD = regex.compile(
+    r"<!--(?:.*?-->|(?P<rest>.*))|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*+>(?:.*?</(?P=raw)\s*+>|(?P<rest>.*))|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)",
     regex.S | regex.I,
 )
+ATTRS = regex.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", regex.S)
 NAMES = regex.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
-HIDDEN = regex.compile(r"\shidden(?:\s|=|$)|\bstyle\s*=[^>]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)", regex.I)
+HIDDEN = regex.compile(r"\shidden(?:\s|=|$)", regex.I)
+STYLE, UNSEEN = regex.compile(r"\bstyle\s*+=", regex.I), regex.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", regex.I)
 PARTS = regex.compile(r"[^a-z]+")
 
 
@@ -55,9 +59,68 @@ def _names(words: list[str]) -> set[str]:
     return {w for k, w in enumerate(words) if not (k and words[k - 1] in STATES_BEFORE or k + 1 < len(words) and words[k + 1] in STATES_AFTER)}
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether attributes hide their element."""
+    if HIDDEN.search(" " + attrs):
+        return True
+    styles = ((part, STYLE.search(part)) for part in attrs.split(">"))
+    return any(m and UNSEEN.search(part, m.end()) for part, m in styles)
+
+
+class Closings:
+    """Where tags end, for a page with one that doesn't: found once for all quotes, from the right."""
+
+    def __init__(self, source: str, begin: int) -> None:
+        self.marks = [m.start() for m in regex.finditer("[>\"']", source, pos=begin)]
+        self.ends = [-1] * len(self.marks)
+        last: dict[str, int] = {}
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = source[self.marks[i]]
+            if c == ">":
+                self.ends[i] = self.marks[i]
+            else:  # what follows the quote of the same kind
+                k = last.get(c, len(self.marks)) + 1
+                self.ends[i] = self.ends[k] if k < len(self.marks) else -1
+                last[c] = i
+
+    def of(self, at: int) -> int:
+        """The end of the tag whose attributes begin at `at`; -1 for none."""
+        i = bisect_left(self.marks, at)
+        return self.ends[i] if i < len(self.marks) else -1
+
+
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """begin, end, tag, whether it is an end tag, attributes of all markup; tag is empty for what is no element. Text lies between."""
+    last = source.rfind(">") + 1  # markup ends with it; behind it an unended comment is all there can be
+    at, closings = 0, None
+    while at < last:
+        m = HEAD.search(source, at, last)
+        if not m:
+            break
+        at = m.end()
+        if m["rest"] is not None:
+            yield m.start(), len(source), "", False, ""
+            return
+        if not m["tag"]:
+            yield m.start(), at, "", False, ""
+            continue
+        if closings is None and (found := ATTRS.match(source, at)):
+            end = found.end() - 1
+        else:  # a quote that nothing ends: from here on ends are looked up
+            closings = closings or Closings(source, at)
+            end = closings.of(at)
+        if end < 0:
+            at = m.start() + 1  # no tag: text
+            continue
+        yield m.start(), end + 1, m["tag"].lower(), bool(m["end"]), source[at:end]
+        at = end + 1
+    if (at := source.find("<!--", at)) >= 0:
+        yield at, len(source), "", False, ""
+
+
 def _weight(tag: str, attrs: str, in_article: bool) -> tuple[float, str]:
     """What a text counts for in an element: 0 where it never does, 1 where it is nothing but text; and the class."""
-    if tag in DROPPED or attrs and tag not in ("html", "body") and HIDDEN.search(" " + attrs):
+    if tag in DROPPED or attrs and tag not in ("html", "body") and _hidden(attrs):
         return 0.0, ""
     weight = OF_NAMED if tag in NAMED and not (tag == "header" and in_article) else 1.0
     if tag in ("html", "body", "main") or not attrs:
@@ -90,12 +153,12 @@ class Tree:
         self._stack, self._blocks = [0], [0]
         self._open: dict[str, list[int]] = {}  # places in the stack, by tag; of all but inline ones
         at = 0
-        for m in TOKEN.finditer(source):
-            if at < m.start():
-                self.runs.append((self._stack[-1], source[at : m.start()]))
-            at = m.end()
-            if m["tag"]:
-                (self._end if m["end"] else self._begin)(m["tag"].lower(), m["attrs"])
+        for begin, end, tag, ends, attrs in tokens(source):
+            if at < begin:
+                self.runs.append((self._stack[-1], source[at:begin]))
+            at = end
+            if tag:
+                (self._end if ends else self._begin)(tag, attrs)
         if at < len(source):
             self.runs.append((self._stack[-1], source[at:]))
         self._close(1)
