@@ -96,6 +96,10 @@ class Shingles:
             out[full] = np.add.reduceat(mix(self.values * constants(1, seed)[0]), self.bounds[full])
         return mix(out + self.counts.astype(np.uint64))
 
+    def named(self, bits: int) -> np.ndarray:
+        """The hash that names each set, of so many bits."""
+        return (self.sums(1) >> np.uint64(64 - bits)).view(np.int64)
+
     def paths(self, trees: int, depth: int) -> np.ndarray:
         """For each set its path in each tree: a byte of each of `depth` minhashes, the first in the highest place."""
         full = np.flatnonzero(self.counts)
@@ -107,30 +111,39 @@ class Shingles:
         return out
 
 
-def _nodes(size: int, trees: int, depth: int):
+def _nodes(size: int, trees: int, depth: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             s = Shingles(column(part, "text").to_pylist(), size)
             paths = s.paths(trees, depth).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(s.counts) + 1, dtype=np.int32) * trees), pa.array(paths.reshape(-1)))
-            columns = {"doc_id": column(part, "doc_id"), "text_hash": column(part, "text_hash"), "node": pa.array(s.sums(1).view(np.int64)), "check": pa.array(s.sums(2).view(np.int64)), "n_shingles": pa.array(s.counts.astype(np.int64)), "paths": flat}
+            columns = {"doc_id": column(part, "doc_id"), "text_hash": column(part, "text_hash"), "node": pa.array(s.named(bits)), "check": pa.array(s.sums(2).view(np.int64)), "n_shingles": pa.array(s.counts.astype(np.int64)), "paths": flat}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def _shingled(size: int):
+def _shingled(size: int, bits: int):
     """Nodes of texts with their sets as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, most=250_000):
             s = Shingles(column(part, "text").to_pylist(), size)
             sets = [s.values[a:b].tobytes() for a, b in zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.sums(1).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.named(bits)), pa.array(s.sums(2).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "check", "shingles"])
 
     return run
 
 
+def _apart_by_check(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Rows (node, check) with other nodes where different sets share one; how many of these there are grows with
+    the square of the sets over 2**64, some tens for 10**10 sets."""
+    if shared is None:
+        return rows
+    rows = rows.join(F.broadcast(shared.withColumn("_shared", F.lit(True))), "node", "left")
+    return rows.withColumn("node", F.when(F.col("_shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("_shared")
+
+
 def _matched(depth: int, floor: int):
     """Rows (tree, path, node) of a sorted range that share `floor` levels or more with a neighbour, and how
     many they share (deep). The first and last rows of a range have neighbours elsewhere and stay."""
@@ -279,7 +292,7 @@ def _met(forest: DataFrame, sets: DataFrame, prefix: int, depth: int, threshold:
     return found.where("level < 0").select("a", "b"), met
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, place: int = PLACE, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, place: int = PLACE, broadcast_members: int = BROADCAST_MEMBERS, node_bits: int = 64) -> DataFrame:
     """doc_id, text_hash, class_id, n_links, n_copies, first of every row.
 
     Two rows are linked if the Jaccard similarity of their sets of `shingle` words is at least `threshold`.
@@ -290,13 +303,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     Texts of fewer words are one shingle; texts without words, null ones too, are equal to each other.
     Rows are judged by their texts alone: repeated rows are copies of each other, rows of one id with
     different texts may be in different classes, and rows without an id have links like all others; a
-    class of such rows only has no class_id. An empty table gives an empty result. Other columns are not read.
+    class of such rows only has no class_id. node_bits: bits of the hash that names a set; a second hash tells apart sets that share it. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     floor = least_prefix(threshold, trees, depth, 1 - (1 - recall) / 10)
     rows = texts(docs).withColumn("text_hash", text_hash(F.col("text")))
-    nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth), "doc_id long, text_hash binary, node long, check long, n_shingles long, paths array<long>"), "signatures", free=False)
-    # one node for each distinct set
+    nodes = materialize(rows.mapInArrow(_nodes(shingle, trees, depth, node_bits), "doc_id long, text_hash binary, node long, check long, n_shingles long, paths array<long>"), "signatures", free=False)
+    # one node for each distinct set: sets that share a node by chance get names of both hashes
+    shared = materialize(nodes.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("node"), "shared", free=False)
+    shared = shared if shared.count() else None
+    nodes = _apart_by_check(nodes, shared)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     sets = nodes.groupBy("node", "check").agg(least.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.max("n_shingles").alias("n_shingles")).drop("check")
     sets = materialize(sets, "sets")
@@ -320,7 +336,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     if nameless:
         read = read.unionByName(rows.where("doc_id is null"))
     placed = _dealt(members.select("node", "root", "n", "copies"), "root", F.col("n"), block, shuffle_partitions(spark)).drop("n")
-    shingled = read.select("text").mapInArrow(_shingled(shingle), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    shingled = read.select("text").mapInArrow(_shingled(shingle, node_bits), "node long, check long, shingles binary")
+    shingled = _apart_by_check(shingled, shared).groupBy("node").agg(F.first("shingles").alias("shingles"))
     found = placed.join(shingled, "node").groupBy("cell").applyInPandas(_verify(threshold), "node long, links long, root long")
     found = materialize(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -32,6 +32,9 @@ ENDS_P = frozenset("address article aside blockquote center details dir div dl f
 #: Words in class and id that name what is not the article; the second set counts outside an article only.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended paywall sidebar".split())
 OUTER = frozenset("header footer nav navbar navigation menu breadcrumb breadcrumbs masthead toolbar login search pagination pager copyright widget tags".split())
+#: Words that are topics as well ('social-impact'), and words that only say how an element is laid out.
+TOPICS = frozenset("alert notice notices share sharing social related reply replies respond sponsor signup subscription".split())
+LAYOUT = frozenset("box block bar area wrap wrapper container inner outer list item items row col column section panel module content body left right top bottom main links icons buttons button form text small large".split())
 COMMENT = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: After the first and before the second a word is no name but a state of the element.
 STATES_BEFORE, STATES_AFTER = frozenset("has have no not with without hide show open".split()), frozenset("open closed enabled disabled on off".split())
@@ -59,6 +62,13 @@ def _names(words: list[str]) -> set[str]:
     return {w for k, w in enumerate(words) if not (k and words[k - 1] in STATES_BEFORE or k + 1 < len(words) and words[k + 1] in STATES_AFTER)}
 
 
+def _named(words: list[str], in_article: bool) -> set[str]:
+    """The names in one word of a class or id; in an article a topic with an unknown word beside it names nothing."""
+    found = _names(words)
+    names = found & (BOILERPLATE | OUTER)
+    return set() if in_article and names <= TOPICS and found - names - LAYOUT - {""} else found
+
+
 def _hidden(attrs: str) -> bool:
     """Whether attributes hide their element."""
     if HIDDEN.search(" " + attrs):
@@ -134,7 +144,7 @@ def _weight(tag: str, attrs: str, in_article: bool) -> tuple[float, str]:
             continue
         if name == "class":
             kind = value
-        words = set().union(*(_names(PARTS.split(x)) for x in value.split()))
+        words = set().union(*(_named(PARTS.split(x), in_article) for x in value.split()))
         if COMMENT.intersection(words):
             weight = OF_COMMENTS
         elif tag != "article" and (BOILERPLATE.intersection(words) or not in_article and OUTER.intersection(words)):
@@ -220,11 +230,13 @@ class Tree:
             n = self.parents[n]
         return out
 
-    def gone(self, best: int) -> list[bool]:
-        """Elements that are never text, or named otherwise, with all in them; those that hold `best` are not."""
+    def gone(self, best: int, headers: list[float] | None = None) -> list[bool]:
+        """Elements that are never text, or named otherwise, with all in them; those that hold `best` are not, nor
+        headers whose number in `headers` (characters of links), if it is given, is 0."""
         spared, out = set(self.above(best)), []
         for n, weight in enumerate(self.own):
-            out.append(n > 0 and (out[self.parents[n]] or weight < 1 and n not in spared))
+            own = weight < 1 and n not in spared and not (headers is not None and weight > 0 and self.tags[n] == "header" and not headers[n])
+            out.append(n > 0 and (out[self.parents[n]] or own))
         return out
 
 
@@ -253,14 +265,19 @@ def _scores(tree: Tree, block: list[int], kept: list[tuple[int, int, str]]) -> t
     return [p * (1 - linked[n] / size[n]) if size[n] and block[n] == n else -1.0 for n, p in enumerate(points)], size, linked
 
 
-def _headline(tree: Tree, best: int, gone: list[bool], kept: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The h1 shortly before a container that does not begin with a heading itself and has no h1."""
+def _headline(tree: Tree, best: int, gone: list[bool], kept: list[tuple[int, int, str]], linked: list[float]) -> list[tuple[int, int]]:
+    """The h1 shortly before a container that does not begin with a heading itself and has no h1. In a header
+    it counts where the header has no link: the headline's own, not the site's."""
     inside = [b for n, b, text in kept if best <= n < tree.ends[best] and not gone[n] and not text.isspace()]
     if not inside or tree.tags[inside[0]] in HEADINGS or "h1" in tree.tags[best : tree.ends[best]]:
         return []
-    heads = [n for n in range(best) if tree.tags[n] == "h1" and not gone[n] and tree.ends[n] <= best]
+    lost = tree.gone(best, headers=linked)
+    heads = [n for n in range(best) if tree.tags[n] == "h1" and not lost[n] and tree.ends[n] <= best]
     between = sum(len(text) for n, b, text in kept if heads and tree.ends[heads[-1]] <= n < best and not gone[n])
-    return [(heads[-1], tree.ends[heads[-1]])] if heads and between <= BEFORE else []
+    if not heads or between > BEFORE:
+        return []
+    gone[heads[-1] : tree.ends[heads[-1]]] = lost[heads[-1] : tree.ends[heads[-1]]]
+    return [(heads[-1], tree.ends[heads[-1]])]
 
 
 def main_text(source: str) -> str:
@@ -275,7 +292,10 @@ def main_text(source: str) -> str:
     if tree.article[best] >= 0:
         best = tree.article[best]
     gone = tree.gone(best)
-    spans = [(best, tree.ends[best]), *_headline(tree, best, gone, kept)]
+    spans = [(best, tree.ends[best]), *_headline(tree, best, gone, kept, linked)]
+    # a wrapper of nothing but the best container stands for it among its siblings
+    while best and tree.parents[best] and tree.tags[tree.parents[best]] != "body" and size[tree.parents[best]] == size[best] and tree.weights[tree.parents[best]] == tree.weights[best]:
+        best, score[tree.parents[best]] = tree.parents[best], max(score[best], score[tree.parents[best]])
     if best:
         enough = max(10.0, 0.2 * score[best])
         up = tree.parents[best]
@@ -283,7 +303,7 @@ def main_text(source: str) -> str:
         while n < tree.ends[up]:  # children of the parent
             if n != best and size[n] and not gone[n]:
                 density = linked[n] / size[n]
-                alike = tree.tags[n] == tree.tags[best] and tree.kinds[n] == tree.kinds[best] and (tree.tags[n] == "section" or tree.kinds[n] != "")
+                alike = tree.tags[n] == tree.tags[best] and tree.kinds[n] == tree.kinds[best] and (tree.tags[n] == "section" or tree.kinds[n] != "" or size[n] >= 0.3 * size[best])
                 if score[n] >= enough or alike and density < 0.25 or tree.tags[n] == "p" and (size[n] >= 80 and density < 0.25 or size[n] < 80 and density == 0):
                     spans.append((n, tree.ends[n]))
             n = tree.ends[n]

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -346,6 +347,15 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_sets_that_share_a_hash_stay_apart(spark):
+    """With a node hash of 5 bits most sets share their node; the second hash tells them apart."""
+    rnd = random.Random(17)
+    rows = [(i, prose(rnd, 30)) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:20]] + [(200 + i, t + " end") for i, t in rows[10:30]]
+    want, got = (sorted(map(tuple, jaccard_join.near_duplicates(frame(spark, rows), node_bits=bits).select("doc_id", "class_id", "n_links", "n_copies").collect())) for bits in (64, 5))
+    assert got == want and sum(r[2] > 0 for r in want) >= 40
+
+
 # 7 decontamination
 
 
@@ -450,6 +460,14 @@ def test_pseudonyms(spark, empty):
     assert pii.pseudonymise(frame(spark, rows[:1]), "other").first()["text"] != got[0]["text"]
 
 
+def test_long_runs_of_numbers_take_time_by_length(spark):
+    began = time.time()
+    text = "12 34 " * 20_000 + "4111 1111 1111 1111 05"
+    row = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "k").first()
+    assert len(row["text"]) == len(text) and "4111 1111 1111 1111" not in row["text"] and row["text"].endswith(" 05")
+    assert time.time() - began < 90
+
+
 def test_cards_beside_short_numbers_and_phones_without_a_country(spark):
     cards = ["4417744280351547", "4417 7442 8035 1547", "4417-7442-8035-1547", "3782 822463 10005", "4222222222222"]
     phones = ["(017) 555-7713", "017-555-7713", "017 555 7713", "017.555.7713", "1-017-555-7713", "+1 (017) 555-7713"]
@@ -784,6 +802,39 @@ def test_main_text_takes_time_by_length():
         assert seconds(unit * 40_000) < 12 * max(seconds(unit * 8_000), 0.05)
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<script ", '<p title="', "<p '", "<p style=a>", "<!-- ", "<aaa", "<script></script ", "&amp"])
+def test_broken_markup_takes_time_by_length(unit):
+    article = "<article><p>" + "Some prose, with commas, here. " * 20 + "</p></article>"
+    began = time.time()
+    assert main_text.main_text(article + unit * (1_000_000 // len(unit))).startswith("Some prose, with commas, here.")
+    main_text.main_text(unit * (1_000_000 // len(unit)) + article)
+    assert time.time() - began < 30
+
+
+def test_tokens_of_any_markup_equal_one_pattern():
+    """Tokens against one pattern for all markup, which tries the rest of the page at each open quote."""
+    whole = re.compile(
+        r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+        re.S | re.I,
+    )
+    rnd = random.Random(1)
+    parts = ["<a ", "<p>", "</p>", "<!--", "-->", "<script ", "<script>", "</script>", "</script ", ">", "'", '"', 'title="', "x", "<", " ", "/", "<!doctype", "<textarea>", "<b", "a='", "</A>"]
+    for _ in range(5000):
+        page = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        assert list(main_text.tokens(page)) == [(t.start(), t.end(), (t["tag"] or "").lower(), bool(t["end"]), t["attrs"] or "") for t in whole.finditer(page)], page
+
+
+def test_headlines_in_headers_equal_sections_and_topics():
+    prose = "A sentence with some words, and a comma, and more of it to read. " * 4
+    assert main_text.main_text(f"<body><header><h1>Headline</h1></header><div><p>{prose}</p><p>{prose}</p></div></body>").startswith("Headline A sentence")
+    assert "Site" not in main_text.main_text(f"<body><header><h1>Site</h1><a href='/'>home</a></header><div><p>{prose}</p><p>{prose}</p></div></body>")
+    sections = "".join(f"<div><div><p>{k} {prose}</p></div></div>" for k in ("one", "two", "three"))
+    text = main_text.main_text(f"<body><nav><a href='/'>home</a></nav><div>{sections}</div></body>")
+    assert all(k in text for k in ("one A", "two A", "three A")) and "home" not in text
+    text = main_text.main_text(f"<article><p>{prose}</p><section id='social-impact'><p>Impact {prose}</p></section><div class='social-share'>Share this</div><div class='alert'>Beware</div></article>")
+    assert "Impact A" in text and "Share" not in text and "Beware" not in text
+
+
 def test_pages_with_repeats_long_ones_and_clashing_columns(spark):
     long = "<div>" + f"<p>{PARA}</p>" * 20_000 + "</div>"
     rows = [(1, "u", f"<p>{PARA}</p>"), (1, "u", f"<p>{PARA}</p>"), (2, None, long), (None, "v", "<p>x</p>")]
