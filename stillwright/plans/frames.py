@@ -191,8 +191,8 @@ x(video, i, frame, who, q, n, done, hashes) AS (SELECT DISTINCT video, 0::BIGINT
 UNION ALL SELECT e.video, e.i, CASE WHEN ok THEN e.frame END, e.who, e.q, CASE WHEN ok AND e.who < 0 THEN n + 1 ELSE n END, CASE WHEN ok AND e.who >= 0 THEN e.who ELSE done END, CASE WHEN ok THEN list_append(hashes, e.hash) ELSE hashes END
 FROM x JOIN e ON e.video = x.video AND e.i = x.i + 1, LATERAL (SELECT (e.who < 0 OR done <> e.who) AND len(list_filter(hashes, lambda h: bit_count(xor(h, e.hash)) < 12)) = 0 AS ok) y)
 SELECT video, CASE WHEN who < 0 THEN 'group' ELSE 'solo' END AS role, (CASE WHEN who < 0 THEN n ELSE who + 1 END)::BIGINT AS idx, frame, round(q, 3) AS q FROM x WHERE frame IS NOT NULL""")
-def thumbnail_set(spark, sf_dir):
-    """The stills that a thumbnail needs: up to two of all main roles, near the first moment if there are such, and
+def work_stills(spark, sf_dir):
+    """The stills of a work: up to two of all main roles, near the first moment if there are such, and
     one of each role, like the first group still and unlike all others."""
     frame, face = _faces(spark, sf_dir)
     scored = selection.scored_frames(face, ["video", "frame"], 2, 3).join(frame, ["video", "frame"])
