@@ -73,16 +73,29 @@ def tally(faces: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+#: What a face without the attribute counts as. A face whose width, detection or yaw is unknown has no quality.
+NO_SHARP, NO_MOUTH = 0.0, 0.5
+
+
+def _at_most(x: Column, bound: float) -> Column:
+    """The lesser of the two; null stays null, which least and greatest pass over."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(bound)))
+
+
+def _at_least(x: Column, bound: float) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(bound)))
+
+
 def crispness(sharp: Column) -> Column:
-    return F.least(sharp / 250.0, F.lit(1.0))
+    return F.least(F.coalesce(sharp, F.lit(NO_SHARP)) / 250.0, F.lit(1.0))
 
 
 def straightness(yaw: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1.0 - yaw / 25.0)
+    return _at_least(1.0 - yaw / 25.0, 0.0)
 
 
 def closed(mouth: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1.0 - F.greatest(F.lit(0.0), mouth - 0.40) / 0.40)
+    return F.greatest(F.lit(0.0), 1.0 - F.greatest(F.lit(0.0), F.coalesce(mouth, F.lit(NO_MOUTH)) - 0.40) / 0.40)
 
 
 def face_score(det: Column, w: Column, sharp: Column, wanted: Column) -> Column:
@@ -94,4 +107,4 @@ def solo_quality(det: Column, w: Column, sharp: Column, yaw: Column, mouth: Colu
 
 
 def group_quality(det: Column, w: Column, sharp: Column, yaw: Column) -> Column:
-    return det * F.least(w / 0.25, F.lit(1.0)) * (0.4 + crispness(sharp)) * (0.6 + 0.4 * straightness(yaw))
+    return det * _at_most(w / 0.25, 1.0) * (0.4 + crispness(sharp)) * (0.6 + 0.4 * straightness(yaw))

@@ -1,7 +1,8 @@
 """Order-dependent selection: greedy clustering, non-maximum suppression, exclusive matching.
 
 Each group is a sorted run of rows inside a partition, folded as it streams by: a task holds what
-has been chosen so far, never a whole group.
+has been chosen so far, never a whole group. Clusters take a block of a run at a time, and a time gap
+alone splits a group into chains of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwright.operators.ranking import carried
+
 
 def _columns(batch: pa.RecordBatch) -> list:
     """Values of each column; arrays of numbers as the rows of a matrix where all are equally long."""
@@ -51,16 +54,77 @@ def _arrow(result: str) -> pa.Schema:
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in result.split(", ")])
 
 
-class _Clusters:
+#: Vectors that are compared with frozen centroids together, at least and at most; how many of a block must be sure for
+#: it to be worth its while; what rounding may change.
+LEAST_BLOCK, MOST_BLOCK, WORTH, ROUNDING = 8, 1024, 12, 1e-9
+
+
+class Clusters:
     """Sums and unit centroids of the clusters so far, in one growing matrix."""
 
     def __init__(self) -> None:
-        self.n = 0
-        self.sums = self.units = None
+        self.n = self.steps = self.alone = 0
+        self.pause = 1
+        self.block = LEAST_BLOCK
+        self.sums = self.units = self.norms = None
+
+    def place_all(self, v: np.ndarray, threshold: float) -> np.ndarray:
+        """The clusters of rows in order, as `place` gives them one by one.
+
+        A block of rows is compared with the centroids as they are. A vector of length a moves the direction of
+        a sum of length s by 2 a / s at most, so as long as the best similarity stays first and on its side of the
+        threshold by more than all that the rows before it in the block can have moved, the row goes where it goes
+        one by one. The first row for which that isn't sure is placed by itself, and the rest compared anew.
+        """
+        out, at = np.empty(len(v), np.int64), 0
+        lengths = np.linalg.norm(v, axis=1)
+        while at < len(v):
+            if self.alone:  # blocks have been short: one by one for a while
+                out[at] = self.place(v[at], threshold)
+                self.alone, at = self.alone - 1, at + 1
+                continue
+            sure = self._sure(v[at : at + self.block], lengths[at : at + self.block], threshold)
+            for c in np.unique(sure).tolist():
+                mine = v[at : at + len(sure)][sure == c]
+                self._set(c, np.cumsum(np.vstack([self.sums[c], mine]), axis=0)[-1])
+            out[at : at + len(sure)] = sure
+            at += len(sure)
+            if len(sure) == self.block:
+                self.block = min(2 * self.block, MOST_BLOCK)
+            elif at < len(v):
+                out[at] = self.place(v[at], threshold)
+                self.block = max(LEAST_BLOCK, min(self.block, 2 * len(sure)))
+                self.pause = 1 if len(sure) >= WORTH else min(2 * self.pause, MOST_BLOCK)
+                self.alone = self.pause - 1
+                at += 1
+        return out
+
+    def _sure(self, v: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
+        """The clusters of the first rows of a block, as far as they are sure."""
+        self.steps += 1
+        if not self.n:
+            return np.empty(0, np.int64)
+        near = v @ self.units[: self.n].T
+        rows = np.arange(len(v))
+        best = near.argmax(axis=1)
+        top = near[rows, best]
+        # how far each row moves the direction of its own cluster at most, and all rows before one
+        left = self.norms[best] - np.cumsum(lengths)
+        moved = np.zeros((len(v), self.n))
+        moved[rows[1:], best[:-1]] = (2 * lengths / np.where(left > 0, left, 1e-12))[:-1]
+        drift = np.cumsum(moved, axis=0, out=moved)
+        drift *= lengths[:, None]
+        rounding = ROUNDING * np.maximum(lengths, 1)
+        least = top - drift[rows, best] - rounding
+        near += drift
+        near[rows, best] = -np.inf
+        sure = (least > near.max(axis=1) + rounding) & (least >= threshold)
+        return best[: len(v) if sure.all() else int(sure.argmin())]
 
     def place(self, v: np.ndarray, threshold: float) -> int:
+        self.steps += 1
         if self.sums is None:
-            self.sums, self.units = np.zeros((16, len(v))), np.zeros((16, len(v)))
+            self.sums, self.units, self.norms = np.zeros((16, len(v))), np.zeros((16, len(v))), np.zeros(16)
         if self.n:
             near = self.units[: self.n] @ v
             best = int(near.argmax())  # the first of equals
@@ -68,24 +132,38 @@ class _Clusters:
                 self._set(best, self.sums[best] + v)
                 return best
         if self.n == len(self.sums):
-            self.sums, self.units = (np.vstack([x, np.zeros_like(x)]) for x in (self.sums, self.units))
+            self.sums, self.units, self.norms = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.units, self.norms))
         self.n += 1
         self._set(self.n - 1, v)
         return self.n - 1
 
     def _set(self, i: int, total: np.ndarray) -> None:
         self.sums[i] = total
-        self.units[i] = total / max(float(np.linalg.norm(total)), 1e-12)
+        self.norms[i] = float(np.linalg.norm(total))
+        self.units[i] = total / max(self.norms[i], 1e-12)
 
 
 def greedy_clusters(df: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
     """group, order, cid: each vector, in order, joins the best centroid at or above the threshold or opens the next cluster."""
 
-    def step(state: _Clusters, row: dict) -> list[tuple]:
-        return [(row[group], row[order], state.place(np.array(row[vector], float), threshold))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            keys, vectors = batch.column(0).to_pylist(), batch.column(2)
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            cids = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if state is None or keys[a] != key:
+                    key, state = keys[a], Clusters()
+                rows = vectors.slice(a, b - a)
+                cids.append(state.place_all(rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b - a, -1), threshold))
+            if cids:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(cids), pa.int32())], names=[group, order, "cid"])
 
     narrow = df.select(F.col(group).cast("long").alias(group), F.col(order).cast("long").alias(order), vector)
-    return fold(narrow, [group], [F.col(order)], _Clusters, step, f"{group} long, {order} long, cid int")
+    return narrow.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"{group} long, {order} long, cid int")
 
 
 class Accepted:
@@ -111,7 +189,12 @@ class Accepted:
 
 def suppressed(df: DataFrame, group: str, item: str, score: str, sec: str, gap: float, bits: str | None = None, distance: int = 12, most: int | None = None) -> DataFrame:
     """group, item, pick of the items that are accepted: best score first (then least item), at least `gap`
-    seconds and, with hashes, `distance` bits from all accepted ones. gap 0 turns the time test off."""
+    seconds and, with hashes, `distance` bits from all accepted ones. gap 0 turns the time test off.
+
+    Without hashes and a limit, items that `gap` seconds or more part from the ones before them begin a chain of their
+    own: nothing of one chain bears on another, so chains are folded apart and a large group is split.
+    """
+    apart = bits is None and most is None and gap > 0
 
     def step(state: Accepted, row: dict) -> list[tuple]:
         code = row[bits] if bits else None
@@ -121,7 +204,31 @@ def suppressed(df: DataFrame, group: str, item: str, score: str, sec: str, gap:
         return [(row[group], row[item], state.n - 1)]
 
     narrow = df.select(F.col(group).cast("long").alias(group), F.col(item).cast("long").alias(item), score, sec, *([bits] if bits else []))
-    return fold(narrow, [group], [F.desc(score), F.col(item)], Accepted, step, f"{group} long, {item} long, pick int")
+    if not apart:
+        return fold(narrow, [group], [F.desc(score), F.col(item)], Accepted, step, f"{group} long, {item} long, pick int")
+
+    def first(state: Accepted, row: dict) -> list[tuple]:
+        return [(row[group], row[item], row[score]) for _ in step(state, row)]
+
+    kept = fold(with_chains(narrow, group, sec, gap), [group, "_chain"], [F.desc(score), F.col(item)], Accepted, first, f"{group} long, {item} long, _score double")
+    order = Window.partitionBy(group).orderBy(F.desc("_score"), item)
+    return kept.select(group, item, (F.row_number().over(order) - 1).cast("int").alias("pick"))
+
+
+def with_chains(df: DataFrame, group: str, sec: str, gap: float) -> DataFrame:
+    """df with _chain, the beginning of the chain that a row belongs to: neighbours in time of a chain are less than
+    `gap` apart, chains are not. Rows without a time are one chain.
+
+    Rows of a slot of `gap` seconds are one chain; a slot goes on with the one before it, whose last row is read by an
+    equi-join, or begins a chain. What beginning each slot has is carried over ranges of slots, so a group is split.
+    """
+    slot = F.floor(F.col(sec) / gap)
+    slots = df.where(F.col(sec).isNotNull()).groupBy(group, slot.alias("_slot")).agg(F.min(sec).alias("_lo"), F.max(sec).alias("_hi"))
+    before = slots.select(F.col(group).alias("_g"), (F.col("_slot") + 1).alias("_s"), F.col("_hi").alias("_before"))
+    begun = slots.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slot") == F.col("_s")), "left")
+    begins = F.when(F.col("_before").isNull() | (F.col("_lo") - F.col("_before") >= gap), F.col("_slot"))
+    chained = carried(begun.select(group, "_slot", begins.alias("_chain")), [group], ["_slot"], "_chain").select(F.col(group).alias("_g"), "_slot", "_chain")
+    return df.withColumn("_at", slot).join(chained, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_at") == F.col("_slot")), "left").drop("_g", "_slot", "_at")
 
 
 def exclusive_matches(specs: DataFrame, candidates: DataFrame, tolerance: int = 10, tier: int = 5, used: DataFrame | None = None) -> DataFrame:

@@ -15,12 +15,18 @@ def identities(members: DataFrame, work: str, cid: str, width: str, sec: str, se
     equals the first by alphabet, '?' for none. age: the median of those above 0, truncated; 0 for none.
     """
     sexes = members.where(F.col(sex).isNotNull()).groupBy(work, cid, sex).count().groupBy(work, cid).agg(F.min(F.struct((-F.col("count")).alias("n"), sex)).alias("_k")).select(work, cid, F.col(f"_k.{sex}").alias("sex"))
-    known = F.when(F.col(age) > 0, F.col(age))
+    # the median by two combinable sums: how often each age occurs, then the ages at the two middle places
+    by_age = members.where(F.col(age) > 0).groupBy(work, cid, age).agg(F.count(F.lit(1)).alias("_c"))
+    upto, all_ = Window.partitionBy(work, cid).orderBy(age), Window.partitionBy(work, cid)
+    middle = by_age.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(all_)).groupBy(work, cid)
+    place = lambda k: F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - k) / 2), F.col(age)))
+    ages = middle.agg(F.floor((place(1) + place(0)) / 2).cast("bigint").alias("age"))
     rows = members.groupBy(work, cid).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(width), 6).alias("w_avg"), F.round(F.sum(width), 6).alias("score"),
-        F.coalesce(F.floor(F.percentile(known, 0.5)), F.lit(0)).cast("bigint").alias("age"), F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"),
+        F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"),
     )
     best = Window.partitionBy(work).orderBy(F.desc("score"), cid)  # a work has tens of identities, not members
+    rows = rows.join(ages, [work, cid], "left").withColumn("age", F.coalesce("age", F.lit(0).cast("bigint")))
     return rows.join(sexes, [work, cid], "left").withColumn("sex", F.coalesce("sex", F.lit("?"))).withColumn("rank", (F.row_number().over(best) - 1).cast("bigint"))
 
 

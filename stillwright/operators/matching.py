@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwright.functions.vectors import hamming
-from stillwright.operators.ranking import checkpointed
+from stillwright.operators.ranking import carried
 
 #: Bytes of centroids that go to every task at most, and that a block has beyond it; items of a chunk.
 BROADCAST_BYTES, CHUNK = 32_000_000, 20_000
@@ -25,39 +25,22 @@ def band_join(left: DataFrame, right: DataFrame, left_sec: str, right_sec: str,
     return pairs.where(F.abs(F.col(left_sec) - F.col(right_sec)) <= width).drop("_bucket")
 
 
-def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str, item_sec: str, width: int, widen: int = 16) -> DataFrame:
-    """pin, item, distance: the item nearest in time, the least item of equals.
+def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str, item_sec: str, group: list[str] | None = None) -> DataFrame:
+    """pin, item, distance: the item nearest in time (in the same group, if groups are given), the least item of equals.
 
-    A band join of `width` seconds; pins without an item there try again with a band `widen` times as
-    wide, against the first and last item of each bucket of `width` only: an item nearest to a pin more
-    than `width` away is one of them. Every step is an equi-join, and there are as many as the
-    logarithm of the span.
+    One pass over the union of both in order of time: each instant of a pin has the last item at or before it and
+    the first one at or after it. Items of an instant are one row, pins of an instant too, before anything is
+    sorted. Pins without a time, and without any item in their group, give no row. A fixed number of jobs.
     """
-    def best(pairs: DataFrame) -> DataFrame:
-        far = F.abs(F.col(item_sec) - F.col(pin_sec))
-        return pairs.groupBy(pin).agg(F.min(F.struct(far.alias("distance"), F.col(item).alias(item))).alias("m")).select(pin, "m." + item, "m.distance")
-
-    items = items.select(item, item_sec)
-    found = checkpointed(best(band_join(items, pins, item_sec, pin_sec, width)))
-    left = pins.join(found.select(pin), pin, "left_anti")
-    ends = None
-    while not left.isEmpty():
-        if ends is None:
-            lo, hi = items.agg(F.min(item_sec), F.max(item_sec)).first()
-            if lo is None:
-                break
-            a, b = left.agg(F.min(pin_sec), F.max(pin_sec)).first()
-            span = max(hi, b) - min(lo, a)
-            sides = [F.min(F.struct((sign * F.col(item_sec)).alias("s"), item)).alias("m") for sign in (1, -1)]
-            by = items.groupBy(F.floor(F.col(item_sec) / width).alias("_b"))
-            first, last = (by.agg(side).select(F.col("m." + item), (sign * F.col("m.s")).alias(item_sec)) for side, sign in zip(sides, (1, -1), strict=True))
-            ends = checkpointed(first.unionByName(last))
-        if width >= span:  # what is left has no time
-            break
-        width = min(width * widen, span)
-        found = checkpointed(found.unionByName(best(band_join(ends, left, item_sec, pin_sec, width))))
-        left = pins.join(found.select(pin), pin, "left_anti")
-    return found
+    group = group or []
+    times = items.where(F.col(item_sec).isNotNull()).groupBy(*group, F.col(item_sec).alias("_t")).agg(F.min(item).alias("_item"))
+    asked = pins.where(F.col(pin_sec).isNotNull()).select(*group, F.col(pin_sec).alias("_t")).distinct()
+    both = times.withColumn("_held", F.struct(F.col("_t").alias("at"), F.col("_item").alias("item"))).withColumn("_pin", F.lit(0)).drop("_item")
+    both = both.unionByName(asked.withColumn("_held", F.lit(None).cast(both.schema["_held"].dataType)).withColumn("_pin", F.lit(1)))
+    filled = carried(both, group, ["_t", "_pin"], "_held", "_next").where("_pin = 1")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("_t")).alias("distance"), F.col(f"{c}.item").alias(item)))
+    best = filled.select(*group, "_t", F.least(near("_held"), near("_next")).alias("_m")).where("_m is not null")
+    return pins.withColumn("_t", F.col(pin_sec)).join(best, [*group, "_t"]).select(*group, pin, f"_m.{item}", "_m.distance")
 
 
 def _nearest_of(vectors: np.ndarray, cids: np.ndarray, matrix: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

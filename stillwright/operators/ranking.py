@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,32 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_id", "_in", "_before")
 
 
+def carried(rows: DataFrame, group: list[str], order: list[str], value: str, back: str | None = None) -> DataFrame:
+    """rows with `value` filled by the last one at or before each row of its group in the order and, if `back` is
+    given, with a column of that name: the first one at or after it. Nulls are what is filled.
+
+    Rows are range-partitioned by group and order, so a large group is split; windows run within a group's
+    part of a partition. A group has what it carries over from one partition to the next in one row each, and
+    only groups that cross an edge have any. A fixed number of jobs.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = checkpointed(rows.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    known = F.when(F.col(value).isNotNull(), F.struct(*order, value))
+    edges = placed.groupBy("_part", *group).agg(F.min(known).alias("_first"), F.max(known).alias("_last"))
+    each = Window.partitionBy(*group)
+    # groups that are in several partitions: two rows a partition at most
+    edges = edges.withColumn("_n", F.count(F.lit(1)).over(each)).where("_n > 1")
+    before, after = (Window.partitionBy(*group).orderBy("_part").rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+    edges = edges.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.last(f"_last.{value}", True).over(before).alias("_before"), F.first(f"_first.{value}", True).over(after).alias("_after"))
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    out = placed.withColumn("_back", F.first(value, True).over(inside.rowsBetween(0, Window.unboundedFollowing))) if back else placed
+    out = out.withColumn(value, F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_part") == F.col("_p"))
+    out = out.join(F.broadcast(edges), same, "left")
+    out = out.withColumn(value, F.coalesce(value, "_before"))
+    return (out.withColumn(back, F.coalesce("_back", "_after")) if back else out).drop("_part", "_p", *[f"_g{i}" for i in range(len(group))], "_before", "_after", "_back")
+
+
 def moved_to_front(ranked: DataFrame, picks: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """new_rank: picks (key, tier, pos) come first by tier and position, the rest keep their order."""
     few = picks.count() <= BROADCAST_PICKS

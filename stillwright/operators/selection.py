@@ -137,35 +137,51 @@ def moment_stills(frames: DataFrame, moments: DataFrame, video: str, frame: str,
     return fold(rows, [video], [F.col("phase"), F.col("moment"), F.col("late"), F.desc("score"), F.col(frame)], Accepted, step, f"{video} long, {frame} long, moment long")
 
 
-def covering(frames: DataFrame, video: str, frame: str, role: str, roles: list[str], n: int, gap: float) -> DataFrame:
-    """video, idx, frame: n frames by score that keep `gap` seconds; then for each of `roles` that is missing, in
-    order, the last one gives way to the best frame that has the role and keeps the gap from the others.
+def role_mask(roles: Column) -> Column:
+    """A set of roles 0 to 62 (an array) as the bits of a number."""
+    return F.aggregate(roles, F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), r.cast("int"))))
 
-    The greedy part streams. All but the last pick stay, so the best frame of each role is one join of
+
+def has_role(mask: Column, role: Column) -> Column:
+    return F.call_function("shiftright", mask, role).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def covering(frames: DataFrame, video: str, frame: str, mask: str, n_roles: int, n: int, gap: float, code: str | None = None, distance: int = DISTANCE) -> DataFrame:
+    """video, idx, frame: n frames by score that keep `gap` seconds and, with hashes (code), `distance` bits; then for
+    each of the roles below n_roles that no pick has, in order, the last one gives way to the best frame that has the
+    role and keeps both from the others. A frame has a set of roles (mask, see `role_mask`).
+
+    The greedy part streams. All but the last pick stay, so the best frame of each missing role is one join of
     them, n - 1 for a video, with the frames, and a minimum: nobody holds a video's frames.
     """
     def step(state: Accepted, row: dict) -> list[tuple]:
-        if state.n >= n or not state.fits(row["sec"], gap):
+        if state.n >= n or not state.fits(row["sec"], gap, row["_code"], distance):
             return []
-        state.add(row["sec"])
-        return [(row[video], state.n, row[frame], row["sec"], row[role], row["score"])]
+        state.add(row["sec"], row["_code"])
+        return [(row[video], state.n, row[frame], row["sec"], row["_mask"], row["_code"], row["score"])]
 
-    narrow = frames.select(F.col(video).cast("long").alias(video), F.col(frame).cast("long").alias(frame), "sec", "score", role)
-    picks = fold(narrow, [video], [F.desc("score"), F.col(frame)], Accepted, step, f"{video} long, place int, {frame} long, sec long, {role} string, score double")
-    pick = F.struct("place", F.col(frame).alias("frame"), "sec", F.col(role).alias("role"), "score")
+    hashes = F.col(code).cast("long") if code else F.lit(None).cast("long")
+    narrow = frames.select(F.col(video).cast("long").alias(video), F.col(frame).cast("long").alias(frame), "sec", "score", F.col(mask).cast("long").alias("_mask"), hashes.alias("_code"))
+    picks = fold(narrow, [video], [F.desc("score"), F.col(frame)], Accepted, step, f"{video} long, place int, {frame} long, sec long, mask long, code long, score double")
+    pick = F.struct("place", F.col(frame).alias("frame"), "sec", "mask", "code", "score")
     held = picks.groupBy(video).agg(F.array_sort(F.collect_list(pick)).alias("picks"))
-    held = checkpointed(held.select(video, F.slice("picks", F.lit(1), F.size("picks") - 1).alias("rest"), F.element_at("picks", -1).alias("last")))
-    fits = F.forall("rest", lambda p: (F.abs(p["sec"] - F.col("sec")) >= gap) & (p["role"] != F.col(role)))
-    found = narrow.where(F.col(role).isin(roles)).join(held.select(video, "rest"), video).where(fits).groupBy(video, role).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(frame).alias("frame"))).alias("m"))
-    found = found.groupBy(video).agg(F.map_from_entries(F.collect_list(F.struct(role, "m"))).alias("found"))
-
-    def given(last: Column, wanted: Column) -> Column:
-        new = F.try_element_at("found", wanted)
-        return F.when((last["role"] == wanted) | new.isNull(), last).otherwise(F.struct(wanted.alias("role"), new["s"].alias("s"), new["frame"].alias("frame")))
-
-    start = F.struct(F.col("last.role").alias("role"), (-F.col("last.score")).alias("s"), F.col("last.frame").alias("frame"))
-    last = F.aggregate(F.array(*[F.lit(r) for r in roles]), start, given)
-    of = lambda p: F.struct(p["s"].alias("s"), p["frame"].alias("frame"))
+    held = held.select(video, F.slice("picks", F.lit(1), F.size("picks") - 1).alias("rest"), F.element_at("picks", -1).alias("last"))
+    held = checkpointed(held.withColumn("covered", F.aggregate("rest", F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(p["mask"]))))
+    every = (1 << n_roles) - 1
+    # videos whose other picks leave a role out, and frames that have such a role
+    lacking = held.where(F.col("covered").bitwiseAND(every) != every).select(video, "rest", "covered")
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(n_roles - 1)), lambda r: has_role(F.col("_mask"), r) & ~has_role(F.col("covered"), r))
+    apart = lambda p: (F.abs(p["sec"] - F.col("sec")) >= gap) & F.coalesce(F.bit_count(p["code"].bitwiseXOR(F.col("_code"))) >= distance, F.lit(True))
+    found = narrow.join(lacking, video).where(F.forall("rest", apart)).withColumn("role", F.explode(wanted))
+    found = found.groupBy(video, "role").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(frame).alias("frame"), F.col("_mask").alias("mask"))).alias("m"))
+    found = found.groupBy(video).agg(F.map_from_entries(F.collect_list(F.struct("role", "m"))).alias("found"))
+
+    def given(last: Column, role: Column) -> Column:
+        new = F.try_element_at("found", role)
+        return F.when(has_role(last["mask"].bitwiseOR(F.col("covered")), role) | new.isNull(), last).otherwise(new)
+
+    start = F.struct((-F.col("last.score")).alias("s"), F.col("last.frame").alias("frame"), F.col("last.mask").alias("mask"))
+    last = F.aggregate(F.sequence(F.lit(0), F.lit(n_roles - 1)), start, given)
     both = held.join(found, video, "left").select(video, "rest", last.alias("last"))
-    all_ = F.concat(F.transform("rest", lambda p: F.struct((-p["score"]).alias("s"), p["frame"].alias("frame"))), F.array(of(F.col("last"))))
+    all_ = F.concat(F.transform("rest", lambda p: F.struct((-p["score"]).alias("s"), p["frame"].alias("frame"))), F.array(F.struct(F.col("last.s").alias("s"), F.col("last.frame").alias("frame"))))
     return both.select(video, F.posexplode(F.array_sort(all_)).alias("idx", "p")).select(video, "idx", F.col("p.frame").alias(frame))

@@ -85,7 +85,7 @@ def nearest_pin(spark, sf_dir):
     """The event nearest to each of 200 instants, and whether it is more than three seconds away."""
     e = events(spark, sf_dir)
     pins = e.agg(F.min("sec").alias("lo")).select(F.explode(F.sequence(F.lit(0), F.lit(199))).alias("pin"), "lo").select(F.col("pin").cast("bigint").alias("pin"), (F.col("lo") + F.col("pin") * 12611).alias("at"))
-    return nearest(pins, e.select("event_id", "sec"), "pin", "at", "event_id", "sec", 600).withColumn("far", F.col("distance") > 3)
+    return nearest(pins, e.select("event_id", "sec"), "pin", "at", "event_id", "sec").withColumn("far", F.col("distance") > 3)
 
 
 MOMENTS_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value AS score, {SEC} AS sec, event_id * 2654435761 AS hash, event_id % 3 = 0 AS duo FROM events),
@@ -135,8 +135,9 @@ x AS (SELECT user_id, unnest(picks) AS p FROM c WHERE k = 5)
 SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY p.value DESC, p.event_id) - 1)::BIGINT AS idx, p.event_id AS event_id FROM x""")
 def coverage_topn(spark, sf_dir):
     """Five stills of each user by greedy selection, an hour apart; for each role that is missing the last one gives way."""
-    e = events(spark, sf_dir).select("user_id", "event_id", "event_type", "sec", F.col("value").alias("score"))
-    return selection.covering(e, "user_id", "event_id", "event_type", list(ROLES), 5, 3600).withColumn("idx", F.col("idx").cast("bigint"))
+    role = selection.role_mask(F.array(F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("event_type")) - 1))
+    e = events(spark, sf_dir).select("user_id", "event_id", role.alias("mask"), "sec", F.col("value").alias("score"))
+    return selection.covering(e, "user_id", "event_id", "mask", len(ROLES), 5, 3600).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 FACES_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS video, o_orderkey AS frame, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS sec, o_orderkey * 2654435761 AS hash FROM orders),
@@ -170,6 +171,23 @@ def frame_roles(spark, sf_dir):
     return out.select("video", "frame", "score", F.array_join("roles", ",").alias("roles"), "n_faces", "n_main", "group_score")
 
 
+@query(FACES_SQL + """,
+e AS (SELECT s.video, s.frame, s.score, o.sec, o.hash, list_sum([0::HUGEINT] || list_transform(coalesce(s.roles, []), lambda r: (1::BIGINT << r::BIGINT)::HUGEINT))::BIGINT AS mask, row_number() OVER (PARTITION BY s.video ORDER BY s.score DESC, s.frame) AS i FROM s JOIN o USING (video, frame)),
+x(video, i, picks) AS (SELECT DISTINCT video, 0::BIGINT, []::STRUCT(frame BIGINT, sec BIGINT, hash BIGINT, mask BIGINT, score DOUBLE)[] FROM e
+UNION ALL SELECT e.video, e.i, CASE WHEN len(picks) < 4 AND len(list_filter(picks, lambda p: abs(p.sec - e.sec) < 90 OR bit_count(xor(p.hash, e.hash)) < 12)) = 0 THEN list_append(picks, {'frame': e.frame, 'sec': e.sec, 'hash': e.hash, 'mask': e.mask, 'score': e.score}) ELSE picks END FROM x JOIN e ON e.video = x.video AND e.i = x.i + 1),
+c(video, k, picks) AS (SELECT video, -1, picks FROM x WHERE (video, i) IN (SELECT video, max(i) FROM e GROUP BY video)
+UNION ALL SELECT c.video, c.k + 1, CASE WHEN b.frame IS NULL OR len(list_filter(picks, lambda p: p.mask & (1::BIGINT << (c.k + 1)::BIGINT) <> 0)) > 0 THEN picks ELSE list_append(picks[:len(picks) - 1], {'frame': b.frame, 'sec': b.sec, 'hash': b.hash, 'mask': b.mask, 'score': b.score}) END
+FROM c LEFT JOIN LATERAL (SELECT e.frame, e.sec, e.hash, e.mask, e.score FROM e WHERE e.video = c.video AND e.mask & (1::BIGINT << (c.k + 1)::BIGINT) <> 0 AND NOT list_contains(list_transform(c.picks, lambda p: p.frame), e.frame)
+  AND len(list_filter(c.picks[:len(c.picks) - 1], lambda p: abs(p.sec - e.sec) < 90 OR bit_count(xor(p.hash, e.hash)) < 12)) = 0 ORDER BY e.score DESC, e.frame LIMIT 1) b ON true WHERE c.k < 2),
+y AS (SELECT video, unnest(picks) AS p FROM c WHERE k = 2)
+SELECT video, (row_number() OVER (PARTITION BY video ORDER BY p.score DESC, p.frame) - 1)::BIGINT AS idx, p.frame AS frame FROM y""")
+def coverage_sets(spark, sf_dir):
+    """Four stills of each work, 90 days and 12 bits apart, that show as many of its three roles as a last pick can add; a frame shows a set of roles."""
+    frame, face = _faces(spark, sf_dir)
+    scored = selection.scored_frames(face, ["video", "frame"], 2, 3).join(frame, ["video", "frame"]).withColumn("mask", selection.role_mask(F.col("roles")))
+    return selection.covering(scored, "video", "frame", "mask", 3, 4, 90, "hash").withColumn("idx", F.col("idx").cast("bigint"))
+
+
 @query(FACES_SQL + " SELECT video, count(*) FILTER (grp > 0)::BIGINT AS n_group, max(n_main)::BIGINT AS most_main FROM s GROUP BY video")
 def group_counts(spark, sf_dir):
     """How many frames of a work show all main roles, and how many of them a frame shows at most."""

@@ -82,17 +82,17 @@ BUCKETS_SQL = """WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_qua
 b AS (SELECT *, CASE WHEN w >= 0.12 AND det >= 0.6::DOUBLE AND sharp >= 100 AND yaw <= 25 AND roll <= 20 AND pitch <= 22 AND lip_gap >= 0.15::DOUBLE AND inside THEN 'strict' WHEN w >= 0.06 AND det >= 0.45::DOUBLE AND sharp >= 40 AND yaw <= 70 THEN 'loose' ELSE 'rejected' END AS bucket FROM o)"""
 
 
-@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x1, l_quantity + l_tax * 50 + 1 AS x2, l_discount * 10 AS y1, l_discount * 20 + 30 AS y2, [l_tax * 300 - 12, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount * 100 END] AS pose, l_extendedprice / 200 AS sharp, l_discount * 8 AS mouth, 1.0::DOUBLE - l_discount AS det FROM lineitem),
-p AS (SELECT *, (x2 - x1) / 60 AS w, abs(pose[1]) AS yaw, abs(coalesce(pose[2], 0)) AS pitch, least(sharp / 250, 1) AS crisp, greatest(0, 1 - greatest(0, mouth - 0.4::DOUBLE) / 0.4::DOUBLE) AS shut FROM o), q AS (SELECT *, greatest(0, 1 - yaw / 25) AS straight FROM p)
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x1, CASE WHEN l_linenumber <> 7 THEN l_quantity + l_tax * 50 + 1 END AS x2, l_discount * 10 AS y1, l_discount * 20 + 30 AS y2, [l_tax * 300 - 12, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount * 100 END] AS pose, CASE WHEN l_linenumber <> 3 THEN l_extendedprice / 200 END AS sharp, CASE WHEN l_linenumber <> 4 THEN l_discount * 8 END AS mouth, 1.0::DOUBLE - l_discount AS det FROM lineitem),
+p AS (SELECT *, (x2 - x1) / 60 AS w, abs(pose[1]) AS yaw, abs(coalesce(pose[2], 0)) AS pitch, least(coalesce(sharp, 0) / 250, 1) AS crisp, greatest(0, 1 - greatest(0, coalesce(mouth, 0.5::DOUBLE) - 0.4::DOUBLE) / 0.4::DOUBLE) AS shut FROM o), q AS (SELECT *, greatest(0, 1 - yaw / 25) AS straight FROM p)
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, round(w, 9) AS w, x1 > 0.9::DOUBLE AND y1 > 0.75::DOUBLE AND x2 < 60 * (1 - 0.015::DOUBLE) AND y2 < 50 * (1 - 0.015::DOUBLE) AS inside, round(yaw, 9) AS yaw, round(pitch, 9) AS pitch, 0.0::DOUBLE AS roll,
 round(crisp, 9) AS crisp, round(straight, 9) AS straight, round(shut, 9) AS shut, round(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * CASE WHEN l_linenumber <= 2 THEN 1.6::DOUBLE ELSE 1 END, 6) AS face,
-round(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + straight) * (0.55::DOUBLE + 0.45::DOUBLE * shut), 6) AS solo, round(det * least(w / 0.25::DOUBLE, 1) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + 0.4::DOUBLE * straight), 6) AS grp FROM q""")
+round(det * (0.5::DOUBLE + w) * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + straight) * (0.55::DOUBLE + 0.45::DOUBLE * shut), 6) AS solo, round(det * CASE WHEN w IS NOT NULL THEN least(w / 0.25::DOUBLE, 1) END * (0.4::DOUBLE + crisp) * (0.6::DOUBLE + 0.4::DOUBLE * straight), 6) AS grp FROM q""")
 def face_features(spark, sf_dir):
     """Derived columns of faces: width, margin, pose angles, crispness, straightness, mouth and the three qualities."""
     c = F.col
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", c("l_quantity").alias("x1"), (c("l_quantity") + c("l_tax") * 50 + 1).alias("x2"), (c("l_discount") * 10).alias("y1"), (c("l_discount") * 20 + 30).alias("y2"),
-        F.array(c("l_tax") * 300 - 12, F.when(c("l_linenumber") != 1, c("l_discount") * 100)).alias("pose"), (c("l_extendedprice") / 200).alias("sharp"), (c("l_discount") * 8).alias("mouth"), (F.lit(1.0) - c("l_discount")).alias("det"),
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", c("l_quantity").alias("x1"), F.when(c("l_linenumber") != 7, c("l_quantity") + c("l_tax") * 50 + 1).alias("x2"), (c("l_discount") * 10).alias("y1"), (c("l_discount") * 20 + 30).alias("y2"),
+        F.array(c("l_tax") * 300 - 12, F.when(c("l_linenumber") != 1, c("l_discount") * 100)).alias("pose"), F.when(c("l_linenumber") != 3, c("l_extendedprice") / 200).alias("sharp"), F.when(c("l_linenumber") != 4, c("l_discount") * 8).alias("mouth"), (F.lit(1.0) - c("l_discount")).alias("det"),
     )
     p = li.withColumn("w", buckets.relative_width(c("x1"), c("x2"), F.lit(60))).withColumn("yaw", buckets.angle(c("pose"), 0)).withColumn("pitch", buckets.angle(c("pose"), 1)).withColumn("roll", buckets.angle(c("pose"), 2))
     nine = lambda x, name: F.round(x, 9).alias(name)
