@@ -24,7 +24,7 @@ from stillwright.llm.wordhash import constants, mix
 
 #: Bytes of text that a step counts together, bits of a bitmap (a frequent run takes 16, up to 32 MB in all),
 #: bits of one of its rows, bytes of a table of frequent runs that goes to every task.
-STEP_BYTES, LEAST_BITS, MOST_BITS, ROW_BITS, BROADCAST_BYTES = 4_000_000, 20, 28, 20, 16_000_000
+STEP_BYTES, LEAST_BITS, MOST_BITS, ROW_BITS, BROADCAST_BYTES = 2_000_000, 20, 28, 20, 16_000_000
 #: What ends a piece, what ends a word.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 COUNTS = "lang string, phrase string, n long"
@@ -49,7 +49,7 @@ class Tokens:
         words = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
         coded = words.dictionary_encode()
         self.ids, self.vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        self.piece = np.cumsum(kind == 2)[starts]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
         self.lang = lang
 
     def hashes(self) -> np.ndarray:
