@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,35 @@ def axis_weights(images: DataFrame, key: str, n: str, tile: Column, overlap: int
 def blended(cells: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """keys, value: the weighted mean of overlapping cells, clipped to a byte, halves to even."""
     return cells.groupBy(*keys).agg(F.bround(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.sum(F.col(value) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1e-6)))), 0).cast("int").alias(value))
+
+
+def merged_tiles(tiles: DataFrame, key: str, tile: int, overlap: int = 32) -> DataFrame:
+    """key, y, values (bytes as an array) of every row of the images that tiles (key, h, w, y, x, values) make up.
+
+    values of a tile: its tile * tile cells by rows. Where tiles overlap their cells are averaged by weights that rise
+    linearly from a tile's edges, clipped to a byte, halves to even. A tile is cut into the rows that no tile
+    below shares and those that one does; pieces meet by strips of tile - overlap rows, so a task holds a strip
+    of an image, never a row for a cell and never an image. Weights are whole numbers (the scale cancels), so sums
+    are exact for whole values. Null values of a tile count as 0; a tile given twice counts twice; an image of which
+    no tile covers a cell has 0 there.
+    """
+    step = tile - overlap
+    ramp = np.minimum(overlap + 1, np.minimum(np.arange(1, tile + 1), np.arange(tile, 0, -1))).astype(float)
+    piece = lambda at, rows, first: F.struct((F.floor(F.col("y") / step) + at).cast("int").alias("strip"), F.lit(first).alias("first"), F.slice("values", first * tile + 1, rows * tile).alias("cells"))
+    cut = tiles.select(key, "h", "w", "y", "x", F.explode(F.array(piece(0, step, 0), piece(1, overlap, step))).alias("p")).select(key, "h", "w", "x", "p.*")
+
+    def merge(names: tuple, rows: pa.Table) -> pa.Table:
+        h, w = rows["h"][0].as_py(), rows["w"][0].as_py()
+        strip = names[1].as_py()
+        total, weight = (np.zeros((step, w)) for _ in range(2))
+        for x, first, cells in zip(rows["x"].to_pylist(), rows["first"].to_pylist(), rows["cells"], strict=True):
+            own = np.nan_to_num(cells.values.to_numpy(zero_copy_only=False).astype(float)).reshape(-1, tile)[:, : max(w - x, 0)]
+            mine = ramp[first : first + len(own), None] * ramp[None, : own.shape[1]]
+            total[: len(own), x : x + own.shape[1]] += own * mine
+            weight[: len(own), x : x + own.shape[1]] += mine
+        lines = np.rint(np.clip(total / np.maximum(weight, 1e-6), 0, 255)).astype(np.int32)[: max(h - strip * step, 0)]
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * w), pa.array(lines.reshape(-1)))
+        return pa.table([pa.array([names[0].as_py()] * len(lines), pa.int64()), pa.array(strip * step + np.arange(len(lines)), pa.int64()), values], names=[key, "y", "values"])
+
+    narrow = cut.withColumn(key, F.col(key).cast("long"))
+    return narrow.groupBy(key, "strip").applyInArrow(merge, f"{key} long, y long, values array<int>")

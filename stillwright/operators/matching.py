@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwright.functions.vectors import hamming
-from stillwright.operators.ranking import carried
+from stillwright.operators.ranking import carried, checkpointed
 
 #: Bytes of centroids that go to every task at most, and that a block has beyond it; items of a chunk.
 BROADCAST_BYTES, CHUNK = 32_000_000, 20_000
+#: Crowded values of hash parts that go to every task at most.
+BROADCAST_PARTS = 100_000
+#: Values of a part that one hash asks for at most.
+MOST_KEYS = 50_000
 
 
 def band_join(left: DataFrame, right: DataFrame, left_sec: str, right_sec: str, width: int) -> DataFrame:
@@ -111,22 +116,90 @@ def preferred(left: DataFrame, right: DataFrame, key: str, order: list) -> DataF
     return left.join(first, key, "left")
 
 
-def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int = 4) -> DataFrame:
+def hash_parts(distance: int, parts: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, radius) of parts such that two hashes of `bits` bits that differ in fewer than `distance` of them
+    differ within the radius in one part at least: radii and one for each part add up to `distance`."""
+    out, low = [], 0
+    for k in range(parts):
+        width = bits // parts + (k < bits % parts)
+        out.append((low, width, distance // parts + (k < distance % parts) - 1))
+        low += width
+    return [p for p in out if p[2] >= 0]
+
+
+def parts_for(distance: int, n: int, bits: int = 64) -> int:
+    """How many parts make the least work for n hashes: keys that are asked for, and hashes that have one of them by chance."""
+
+    def cost(parts: int) -> float:
+        keys = [sum(comb(w, k) for k in range(r + 1)) for _, w, r in hash_parts(distance, parts, bits)]
+        if max(keys) > MOST_KEYS:
+            return float("inf")
+        return n * sum(keys) + n * n * sum(k / 2**w for k, (_, w, _) in zip(keys, hash_parts(distance, parts, bits), strict=True))
+
+    return min(range(2, min(distance, bits // 4) + 1), key=cost) if distance > 1 else 1
+
+
+def _masked(code: Column, low: int, width: int) -> Column:
+    return F.call_function("shiftrightunsigned", code, F.lit(low)).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _flipped(k: int, value: Column, flips: list[int]) -> Column:
+    """struct(i, v) of part k for each way to flip bits of its value."""
+    return F.transform(F.from_json(F.lit(str(flips)), "array<bigint>"), lambda x: F.struct(F.lit(k).alias("i"), value.bitwiseXOR(x).alias("v")))
+
+
+def _beside(code: Column, low: int, width: int) -> Column:
+    """The bits beside a part, as a number of their own."""
+    below = code.bitwiseAND(F.lit((1 << low) - 1))
+    return F.call_function("shiftrightunsigned", code, F.lit(low + width)).bitwiseOR(F.call_function("shiftleft", below, F.lit(64 - low - width))) if low + width < 64 else below
+
+
+def _keys(rows: DataFrame, code: str, parts: list[tuple[int, int, int]], near: bool, names: tuple[str, str]) -> DataFrame:
+    """rows with the number and the value of each part; near: also all values within the part's radius."""
+    i, v = names
+    each = []
+    for k, (low, width, radius) in enumerate(parts):
+        flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)] if near else [0]
+        each.append(_flipped(k, _masked(F.col(code), low, width), flips))
+    return rows.withColumn("_e", F.explode(F.concat(*each))).withColumn(i, F.col("_e.i")).withColumn(v, F.col("_e.v")).drop("_e")
+
+
+def _first_part(a: str, b: str, parts: list[tuple[int, int, int]]) -> Column:
+    """The first part in which two hashes are within the radius."""
+    near = [hamming(_masked(F.col(a), low, width), _masked(F.col(b), low, width)) <= radius for low, width, radius in parts]
+    return F.array_position(F.array(*near), F.lit(True)) - 1
+
+
+def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int | None = None, hot: int = 10_000) -> DataFrame:
     """a, b, distance of the pairs of 64-bit hashes that differ in fewer than `distance` bits, a < b.
 
-    Of two such hashes one of `parts` equal parts differs in at most (distance - 1) div parts bits. So each
-    hash is indexed by its parts, and one side of the join asks for all values that near: with 4 parts of 16
-    bits and less than 16 bits of distance 697 each, which 1 in 94 other hashes have by chance. A pair counts in its
-    first such part. What comes out is as many rows as there are near pairs, which grows with the square of near-equal hashes.
+    Equal hashes are compared once and joined back by their keys. Different ones are indexed by parts: of two near
+    hashes one part differs within its radius (`hash_parts`), so one side asks for all values that near. How many parts
+    is what makes the least work for the number of hashes: with 12 bits 3 parts for many hashes, 4918 values each, which one
+    in 500 others has by chance. A value of a part that more than `hot` hashes share (they are counted) is asked
+    for by a second index on the other bits, exact in the same way. Rows without a hash have no pair. What comes
+    out is as many rows as there are near pairs, which grows with the square of near-equal hashes.
     """
-    width = 64 // parts
-    flips = [0]
-    for k in range(1, (distance - 1) // parts + 1):
-        flips += [sum(1 << i for i in bits) for bits in combinations(range(width), k)]
-    part = lambda c, i: F.call_function("shiftrightunsigned", c, F.lit(width * i)).bitwiseAND(F.lit((1 << width) - 1))
-    parted = rows.select(F.col(key).alias("k"), F.col(code).alias("h"), F.posexplode(F.array(*[part(F.col(code), i) for i in range(parts)])).alias("i", "v"))
-    asked = parted.select(F.col("k").alias("a"), F.col("h").alias("ha"), "i", F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
-    pairs = asked.join(parted.select(F.col("k").alias("b"), F.col("h").alias("hb"), "i", "v"), ["i", "v"]).where("a < b")
-    near = [hamming(part(F.col("ha"), i), part(F.col("hb"), i)) <= (distance - 1) // parts for i in range(parts)]
-    first = F.array_position(F.array(*near), F.lit(True)) - 1
-    return pairs.withColumn("distance", hamming(F.col("ha"), F.col("hb")).cast("bigint")).where((F.col("distance") < distance) & (first == F.col("i"))).select("a", "b", "distance")
+    members = rows.where(F.col(code).isNotNull()).select(F.col(key).alias("k"), F.col(code).cast("long").alias("h"))
+    codes = checkpointed(members.select("h").distinct())
+    first = hash_parts(distance, parts or parts_for(distance, codes.count()))
+    index = _keys(codes.withColumnRenamed("h", "hb"), "hb", first, False, ("i", "v"))
+    large = index.groupBy("i", "v").count().where(F.col("count") > hot).select("i", "v", F.lit(True).alias("_hot"))
+    large = checkpointed(large)
+    n = large.count()
+    asked = _keys(codes.withColumnRenamed("h", "ha"), "ha", first, True, ("i", "v"))
+    if n:
+        few = F.broadcast(large) if n <= BROADCAST_PARTS else large
+        index, asked = index.join(few, ["i", "v"], "left"), asked.join(few, ["i", "v"], "left")
+    cold = (lambda df: df.where("_hot is null").drop("_hot")) if n else (lambda df: df)
+    apart = (F.col("ha") < F.col("hb")) & (hamming(F.col("ha"), F.col("hb")) < distance)
+    found = cold(asked).join(cold(index), ["i", "v"]).where(apart & (_first_part("ha", "hb", first) == F.col("i"))).select("ha", "hb")
+    for k, (low, width, _) in enumerate(first if n else []):
+        second = hash_parts(distance, 3, 64 - width)
+        mine, theirs = (df.where(F.col("_hot") & (F.col("i") == k)).drop("_hot").withColumn(name, _beside(F.col(c), low, width)) for df, name, c in ((asked, "ra", "ha"), (index, "rb", "hb")))
+        pairs = _keys(mine, "ra", second, True, ("j", "u")).join(_keys(theirs, "rb", second, False, ("j", "u")), ["i", "v", "j", "u"])
+        found = found.unionByName(pairs.where(apart & (_first_part("ha", "hb", first) == k) & (_first_part("ra", "rb", second) == F.col("j"))).select("ha", "hb"))
+    left, right = members.select(F.col("k").alias("x"), F.col("h").alias("ha")), members.select(F.col("k").alias("y"), F.col("h").alias("hb"))
+    near = found.join(left, "ha").join(right, "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("bigint").alias("distance"))
+    equal = left.join(right, F.col("ha") == F.col("hb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    return near.unionByName(equal) if distance > 0 else near

@@ -274,3 +274,19 @@ SELECT h, (s + i)::BIGINT AS at, round(sum(least(1.0::DOUBLE, (i + 1) / 33.0::DO
 def overlap_weights(spark, sf_dir):
     heights = images(spark, sf_dir).select(F.col("h").cast("bigint").alias("h")).distinct().withColumn("n", F.col("h").cast("int"))
     return frames.axis_weights(heights, "h", "n", F.lit(256)).select("h", F.col("at").cast("bigint").alias("at"), F.round("weight", 6).alias("weight"))
+
+
+@query("""WITH i AS (SELECT s_suppkey AS k, 250 + s_nationkey * 2 AS h, 270 + s_suppkey % 7 * 20 AS w FROM supplier), t AS (SELECT *, unnest(CASE WHEN h > 256 THEN [0, 224] ELSE [0] END) AS ty FROM i), u AS (SELECT *, unnest([0, 224]) AS tx FROM t),
+r AS (SELECT k, h, w, ty, tx, i, ty + i AS y, least(33, i + 1, 256 - i) AS wy FROM u, range(0, 256) a(i) WHERE ty + i < h),
+c AS (SELECT k, y, tx + j AS x, wy * least(33, j + 1, 256 - j) AS m, (k * 7 + ty * 3 + tx * 5 + i * 13 + j * 17) % 301 - 20 AS v FROM r, range(0, 256) b(j) WHERE tx + j < w),
+p AS (SELECT k, y, x, round_even(least(255, greatest(0, sum(v * m)::DOUBLE / sum(m)::DOUBLE)), 0)::BIGINT AS v FROM c GROUP BY k, y, x)
+SELECT k, y::BIGINT AS y, count(*)::BIGINT AS n, sum(v)::BIGINT AS total, sum(v * (x + 1))::BIGINT AS mixed FROM p GROUP BY k, y""")
+def tile_merge(spark, sf_dir):
+    """Images of suppliers from overlapping tiles of 256 x 256 cells that differ from tile to tile, as sums over each row."""
+    c = F.col
+    i = table(spark, sf_dir, "supplier").select(c("s_suppkey").cast("bigint").alias("k"), (c("s_nationkey") * 2 + 250).cast("int").alias("h"), (c("s_suppkey") % 7 * 20 + 270).cast("int").alias("w"))
+    tiles = frames.tile_coords(i, "k", "h", "w", F.lit(256)).join(i, "k")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(256 * 256 - 1)), lambda n: ((c("k") * 7 + c("y") * 3 + c("x") * 5 + F.floor(n / 256) * 13 + n % 256 * 17) % 301 - 20).cast("int"))
+    merged = frames.merged_tiles(tiles.withColumn("values", cells), "k", 256)
+    summed = lambda f: F.aggregate(F.transform("values", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return merged.select("k", "y", F.size("values").cast("bigint").alias("n"), summed(lambda v: v.cast("bigint")).alias("total"), summed(lambda v, x: v.cast("bigint") * (x + 1)).alias("mixed"))

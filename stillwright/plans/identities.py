@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stillwright.functions.text import folded_name
 from stillwright.functions.timing import seconds_of
-from stillwright.functions.vectors import dot, hamming, norm, sign_hash
+from stillwright.functions.vectors import difference_hash, dot, hamming, norm, sign_hash
 from stillwright.operators import buckets
 from stillwright.operators.greedy import exclusive_matches, greedy_clusters, pinned
 from stillwright.operators.identities import identities, listed, representatives
@@ -207,6 +207,16 @@ def hash_near_pairs(spark, sf_dir):
     return near_hashes(h, "vec_id", "h", 16)
 
 
+@query(f"""WITH g AS (SELECT vec_id, {UNIT} AS e FROM embeddings), c AS (SELECT vec_id, unnest(range(0, 64)) AS i, e || e AS e FROM g),
+h AS (SELECT vec_id, sum(CASE WHEN e[i // 8 * 9 + i % 8 + 2] > e[i // 8 * 9 + i % 8 + 1] THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT AS h FROM c GROUP BY vec_id)
+SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) < 18""")
+def grid_near_pairs(spark, sf_dir):
+    """Pairs of grids of 8 x 9 values whose difference hashes differ in fewer than 18 of 64 bits."""
+    e = F.concat("embedding", "embedding")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice(e, y * 9 + 1, 9))
+    return near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", difference_hash(grid).alias("h")), "vec_id", "h", 18)
+
+
 @query(r"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents), k AS (SELECT word FROM w WHERE regexp_full_match(word, '[A-Za-zÀ-ÖØ-öø-ÿ]+'))
 SELECT word, replace(upper(substr(strip_accents(word), 1, 1)), 'ẞ', 'SS') || substr(strip_accents(word), 2) AS folded FROM k""")
 def accent_fold(spark, sf_dir):
