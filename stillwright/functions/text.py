@@ -95,7 +95,7 @@ def composed(x: Column) -> Column:
 
     @F.pandas_udf("string")
     def nfc(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+        return x.map(lambda s: s if s.isascii() else unicodedata.normalize("NFC", s), na_action="ignore")
 
     return nfc(x)
 
