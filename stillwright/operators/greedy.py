@@ -248,7 +248,8 @@ def exclusive_matches(specs: DataFrame, candidates: DataFrame, tolerance: int =
     pairs = asked.join(candidates.select("work", "sex", "cid", F.col("age").alias("_age"), "rank"), ["work", "sex"])
     pairs = pairs.select("work", "pos", "_k", far.alias("far"), F.when(far, 0).otherwise(F.floor(years / tier)).cast("int").alias("tier"), "rank", "cid")
     best = Window.partitionBy("work", "pos").orderBy("far", "tier", "rank", "cid")
-    pool = pairs.withColumn("_n", F.row_number().over(best)).where("_n <= _k")
+    most = specs.groupBy("work").count().agg(F.max("count")).first()[0] or 0  # a number, which is applied before the shuffle
+    pool = pairs.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= most) & (F.col("_n") <= F.col("_k")))
     pool = pool.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("pos", "far", "tier", "rank", "cid"))).alias("pool"))
     cast = specs.groupBy("work").agg(F.array_sort(F.collect_list("pos")).alias("asked"))
 

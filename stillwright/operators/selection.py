@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stillwright.functions.vectors import dot
 from stillwright.operators import buckets
-from stillwright.operators.frames import anchors, solo_score
+from stillwright.operators.frames import solo_score
 from stillwright.operators.greedy import Accepted, fold
 from stillwright.operators.ranking import checkpointed
 
@@ -55,16 +55,19 @@ def frames_with_group(frames: DataFrame, video: str) -> DataFrame:
     return frames.groupBy(video).agg(F.count_if(F.col("group_score") > 0).alias("n_group"), F.max("n_main").alias("most_main"))
 
 
-def group_stills(frames: DataFrame, moments: DataFrame, video: str, frame: str) -> DataFrame:
-    """video, frame, hash, place of up to GROUPS frames: those that show all main roles, the best group score
-    first, near the first moment (video, at) if any is; without such frames the one with most main roles."""
-    near = F.coalesce(F.abs(F.col("sec") - F.col("at")) <= AROUND, F.lit(False))
-    rows = frames.join(moments.select(video, "at"), video, "left").withColumn("all", F.col("group_score") > 0).withColumn("near", near & F.col("all"))
-    best = rows.groupBy(video).agg(F.max("all").alias("any_all"), F.max("near").alias("any_near"), F.max("n_main").alias("most"))
-    fits = F.when(F.col("any_all"), F.col("all") & (F.col("near") == F.col("any_near"))).otherwise(F.col("n_main") == F.col("most"))
-    order = Window.partitionBy(video).orderBy(F.when(F.col("any_all"), -F.col("group_score")), F.desc("score"), F.col(frame))
-    ranked = rows.join(best, video).where(fits).withColumn("place", F.row_number().over(order)).where(F.col("place") <= GROUPS)
-    return ranked.where(F.col("any_all") | (F.col("place") == 1)).select(video, frame, "sec", "hash", "place", F.col("group_score").alias("q"))
+def with_group_places(frames: DataFrame, moments: DataFrame, video: str, frame: str) -> DataFrame:
+    """frames with place: 1 to GROUPS for the group stills of each video, null for all others. These are frames that
+    show all main roles, the best group score first, near the first moment (video, at) if any is; without such frames
+    the one with most main roles. All is said by windows over a video, so frames move once."""
+    c, all_ = F.col, Window.partitionBy(video)
+    rows = frames.join(moments.select(video, "at"), video, "left").withColumn("_all", c("group_score") > 0)
+    rows = rows.withColumn("_near", c("_all") & F.coalesce(F.abs(c("sec") - c("at")) <= AROUND, F.lit(False)))
+    rows = rows.withColumn("_any", F.max("_all").over(all_)).withColumn("_any_near", F.max("_near").over(all_)).withColumn("_most", F.max("n_main").over(all_))
+    rows = rows.withColumn("_fits", F.when(c("_any"), c("_all") & (c("_near") == c("_any_near"))).otherwise(c("n_main") == c("_most")))
+    order = all_.orderBy(F.desc("_fits"), F.when(c("_any"), -c("group_score")), F.desc("score"), c(frame))
+    rows = rows.withColumn("_n", F.row_number().over(order))
+    place = F.when(c("_fits") & (c("_n") <= F.when(c("_any"), GROUPS).otherwise(1)), c("_n"))
+    return rows.withColumn("place", place).drop("at", "_all", "_near", "_any", "_any_near", "_most", "_fits", "_n")
 
 
 def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str, frame: str, cast_size: int, n_roles: int) -> DataFrame:
@@ -74,19 +77,20 @@ def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str,
     all stills before it by DISTANCE bits; its quality is raised where nobody else is in the frame, and weighed by
     its likeness to the role's widest face in the first group still, if there is one. The choice for a role
     depends on those before it, so a video is one sorted run.
+
+    Faces of roles are put into their frame's row, so all that follows is about frames of a video: they move by
+    video once, for the windows and for the run.
     """
-    groups = group_stills(frames, moments, video, frame)
-    first = groups.where("place = 1").select(video, F.col(frame).alias("_first"))
-    shown = faces.join(first, (faces[video] == first[video]) & (faces[frame] == first["_first"]), "left_semi").where((known_rank(F.col("rank")) < cast_size))
-    widest = anchors(shown.withColumn("_key", F.struct(video, "rank")), "_key", "w", "pos", "emb").select(F.col(f"_key.{video}").alias(video), F.col("_key.rank").alias("rank"), F.col("emb").alias("anchor"))
-    solo = frames.join(first, video).where(F.col(frame) != F.col("_first")).select(video, frame, "sec", "hash", "score", "n_faces", F.explode("solos").alias("s")).select("*", "s.rank", F.col("s.q").alias("solo")).drop("s")
-    solo = solo.join(widest, [video, "rank"], "left")
-    like = faces.where("strict").select(video, frame, "rank", "emb").join(widest, [video, "rank"]).groupBy(video, frame, "rank").agg(F.max(dot(F.col("emb"), F.col("anchor"))).alias("sim"))
-    solo = solo.join(like, [video, frame, "rank"], "left")
-    sim = F.when(F.col("anchor").isNotNull(), F.coalesce("sim", F.lit(0.0)))
-    solo = solo.withColumn("q", F.round(solo_score(F.col("solo"), F.col("n_faces") == 1, sim), 9))
-    columns = lambda df, who: df.select(F.col(video).cast("long").alias(video), F.col(frame).cast("long").alias(frame), who.cast("int").alias("who"), "hash", "q", "score")
-    rows = columns(groups.withColumn("score", -F.col("place").cast("double")), F.lit(-1)).unionByName(columns(solo, F.col("rank")))
+    c = F.col
+    held = faces.where(c("rank") < n_roles).groupBy(video, frame).agg(F.collect_list(F.struct("rank", "strict", "w", (-c("pos")).alias("p"), "emb")).alias("_faces"))
+    rows = with_group_places(frames.join(held, [video, frame], "left"), moments, video, frame)
+    first = F.first(F.when(c("place") == 1, F.struct(c(frame).alias("frame"), c("_faces").alias("faces"))), True).over(Window.partitionBy(video))
+    widest = lambda r: F.array_max(F.transform(F.filter("_first.faces", lambda f: f["rank"] == r), lambda f: F.struct(f["w"].alias("w"), f["p"].alias("p"), f["emb"].alias("emb"))))["emb"]
+    rows = rows.withColumn("_first", first).withColumn("_anchors", F.array(*[widest(r) for r in range(cast_size)]) if cast_size else F.lit(None).cast("array<array<double>>"))
+    # one table of both: a frame's own row if it is a group still, and a row for each role it could be the solo still of
+    both = rows.withColumn("_group", F.when(c("place").isNotNull(), F.array(F.struct(F.lit(-1).alias("who"), c("group_score").alias("q"), (-c("place")).cast("double").alias("score")))).otherwise(F.array()))
+    solos = F.when(c(frame) != c("_first.frame"), F.transform("solos", lambda s: F.struct(s["rank"].cast("int").alias("who"), F.round(_solo_quality(s, cast_size), 9).alias("q"), c("score").cast("double").alias("score"))))
+    rows = both.withColumn("_e", F.explode(F.concat("_group", F.coalesce(solos, F.array())))).select(c(video).cast("long").alias(video), c(frame).cast("long").alias(frame), "_e.who", "hash", "_e.q", "_e.score")
 
     def step(state: Accepted, row: dict) -> list[tuple]:
         if row["who"] >= 0 and getattr(state, "done", None) == row["who"] or not state.fits(0, 0, row["hash"], DISTANCE):
@@ -103,6 +107,13 @@ def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str,
     return fold(rows, [video], order, Accepted, step, f"{video} long, role string, idx int, {frame} long, q double")
 
 
+def _solo_quality(solo: Column, cast_size: int) -> Column:
+    """Quality of a role's face in a frame (_faces, _anchors, n_faces), weighed by its likeness to the role's anchor."""
+    anchor = F.when(solo["rank"] < cast_size, F.get("_anchors", solo["rank"]))
+    like = F.array_max(F.transform(F.filter("_faces", lambda f: f["strict"] & (f["rank"] == solo["rank"])), lambda f: dot(f["emb"], anchor)))
+    return solo_score(solo["q"], F.col("n_faces") == 1, F.when(anchor.isNotNull(), F.coalesce(like, F.lit(0.0))))
+
+
 def without_replaced(stills: DataFrame, extras: DataFrame, doc: str) -> DataFrame:
     """stills without the group stills of works whose author has chosen some by hand (extras of kind 'chung')."""
     chosen = extras.where("kind = 'chung'").select(F.col("doc").alias(doc)).distinct().withColumn("_chosen", F.lit(True))
