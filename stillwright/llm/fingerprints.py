@@ -30,6 +30,8 @@ TYPICAL, LEAST = 3.2, 1.2
 #: Bits and hashes of a filter, and the features it takes.
 BITS, HASHES, FILL = 2048, 5, 160
 LEVELS = 1000
+#: Neighbourhoods of a slice; texts of more bytes are digested by slices.
+SLICE = 1_000_000
 
 
 def neighbours(windows: int) -> int:
@@ -40,29 +42,70 @@ def neighbours(windows: int) -> int:
 class Digests:
     """Bloom filters of a block of byte strings; filters[bounds[i]:bounds[i + 1]] are of the i-th."""
 
-    def __init__(self, block: list[bytes]) -> None:
+    def __init__(self, block: list[bytes], slice_bytes: int = SLICE) -> None:
         padded = [x.ljust(WIDTH, b"\0") if x else x for x in block]
+        # long texts by slices, all others together
+        long = [i for i, x in enumerate(padded) if len(x) > slice_bytes]
+        found = [self._together([b"" if len(x) > slice_bytes else x for x in padded])] + [self._sliced(padded[i], slice_bytes, i) for i in long]
+        h, who = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        if long:
+            order = np.argsort(who, kind="stable")
+            h, who = h[order], who[order]
+        self.counts = np.bincount(who, minlength=len(block))
+        filters = -(-self.counts // FILL)
+        self.bounds = np.cumsum([0, *filters])
+        place = np.arange(len(who)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        row = self.bounds[who] + place // FILL
+        bits = np.zeros(int(self.bounds[-1]) * BITS, bool)
+        for k in range(HASHES):
+            bits[row * BITS + ((h >> np.uint64(11 * k)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+        self.filters = np.packbits(bits).reshape(-1, BITS // 8)
+
+    def _together(self, padded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the features of a block, in order, and the texts they are of."""
         gap = b"\0" * NEIGHBOURS
         raw = np.frombuffer(gap.join(padded) + gap + b"\0" * WIDTH, np.uint8)
         lens = np.array([len(x) for x in padded], np.int64)
         begins = np.cumsum(lens + NEIGHBOURS) - lens - NEIGHBOURS
         windows = np.maximum(lens - WIDTH + 1, 0)
-        owner = np.repeat(np.arange(len(block)), windows)
+        owner = np.repeat(np.arange(len(padded)), windows)
         at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(windows) - windows), windows)
         level = np.full(len(raw), LEVELS + 1, np.int64)
         level[at] = self._levels(raw)[at]
         chosen, who = self._popular(level, at, owner, windows)
+        return self._hashed(raw, chosen), who
+
+    @staticmethod
+    def _hashed(raw: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at the chosen places."""
         data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, WIDTH)[chosen]).view(np.uint64)
-        h = mix((mix(data) * constants(WIDTH // 8, 7)).sum(axis=1, dtype=np.uint64))
-        self.counts = np.bincount(who, minlength=len(block))
-        filters = -(-self.counts // FILL)
-        self.bounds = np.cumsum([0, *filters])
-        place = np.arange(len(who)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
-        row = self.bounds[who] + place // FILL
-        bits = np.zeros(int(self.bounds[-1]) * BITS, bool)
-        for k in range(HASHES):
-            bits[row * BITS + ((h >> np.uint64(11 * k)) & np.uint64(BITS - 1)).astype(np.int64)] = True
-        self.filters = np.packbits(bits).reshape(-1, BITS // 8)
+        return mix((mix(data) * constants(WIDTH // 8, 7)).sum(axis=1, dtype=np.uint64))
+
+    def _sliced(self, text: bytes, size: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one text of more than SHORT windows, by slices of so many neighbourhoods: each has the bytes that
+        its last neighbourhood reaches, and a choice that crosses an edge is counted over both slices."""
+        raw = np.frombuffer(text, np.uint8)
+        starts = len(raw) - WIDTH + 1 - NEIGHBOURS + 1
+        bests, counts = [], []
+        for begin in range(0, starts, size):
+            mine = raw[begin : min(begin + size, starts) + NEIGHBOURS - 1 + WIDTH - 1]
+            least = self._levels(mine)[: len(mine) - WIDTH + 1] << 40 | np.arange(len(mine) - WIDTH + 1)
+            span = 1
+            while span < NEIGHBOURS:
+                step = min(span, NEIGHBOURS - span)
+                least[:-step] = np.minimum(least[:-step], least[step:])
+                span += step
+            best = (least[: len(least) - NEIGHBOURS + 1] & ((1 << 40) - 1)) + begin
+            new = np.flatnonzero(np.diff(best, prepend=-1))
+            bests.append(best[new])
+            counts.append(np.diff(np.append(new, len(best))))
+        best, times = np.concatenate(bests), np.concatenate(counts)
+        new = np.flatnonzero(np.diff(best, prepend=-1))
+        best, times = best[new], np.add.reduceat(times, new)
+        keep = times >= min(POPULAR, starts)
+        best = best[keep] if keep.any() else best
+        h = np.concatenate([self._hashed(raw, best[k : k + size]) for k in range(0, len(best), size)])
+        return h, np.full(len(h), number)
 
     @staticmethod
     def _levels(raw: np.ndarray) -> np.ndarray:
@@ -188,7 +231,8 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     single document follows itself. Null ids come last, in an order of text hashes; rows of one id are
     ordered by their text, and one range holds them. An id below -2**63 + 2**40 would stand among null ones.
     Null text is empty; an empty text has no features: it is like another empty one (1) and unlike
-    any other (0). Repeated rows stay. An empty table gives an empty result. Comparing two digests takes
+    any other (0). Repeated rows stay. An empty table gives an empty result. Texts of more than SLICE bytes are digested by
+    slices, so besides a few copies of a text memory is that of a slice. Comparing two digests takes
     time by the product of their lengths, some 26,000 filters for 100 MB of text. Other columns are not read.
 
     The texts are shuffled once, into ranges of ids; the first row of each range is also sent to

@@ -356,6 +356,14 @@ def test_sets_that_share_a_hash_stay_apart(spark):
     assert got == want and sum(r[2] > 0 for r in want) >= 40
 
 
+@pytest.mark.parametrize("size", [250, 1000, 1777])
+def test_digests_by_slices_equal_whole_ones(size):
+    rnd = random.Random(size)
+    block = [prose(rnd, n).encode() for n in (0, 3, 40, 300, 900, 2500)] + [b"a" * 5000, b"ab" * 1500 + prose(rnd, 700).encode() + b"z" * 999, "日本語のテキスト、".encode() * 200, bytes(rnd.randrange(256) for _ in range(6000))]
+    whole, sliced = fingerprints.Digests(block, 10**9), fingerprints.Digests(block, size)
+    assert [whole.text(i) for i in range(len(block))] == [sliced.text(i) for i in range(len(block))]
+
+
 # 7 decontamination
 
 
