@@ -49,6 +49,38 @@ def fold(df: DataFrame, keys: list[str], order: list, new_state: Callable, step:
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k) for k in keys], *order).mapInArrow(run, result)
 
 
+def fold_runs(df: DataFrame, keys: list[str], order: list, new_state: Callable, place: Callable, result: str) -> DataFrame:
+    """place(state, run) -> columns of the result, over the runs of each group in the given order: a run is the part of a
+    record batch that belongs to a group, so a group's rows come in runs of up to a batch."""
+    schema = _arrow(result)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = [0, *(np.flatnonzero(_changes([batch.column(batch.schema.get_field_index(k)) for k in keys])) + 1).tolist(), batch.num_rows]
+            found = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(a, b - a)
+                mine = tuple(part.column(part.schema.get_field_index(k))[0].as_py() for k in keys)
+                if state is None or mine != key:
+                    key, state = mine, new_state()
+                found.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(place(state, part), schema, strict=True)], schema=schema))
+            yield from pa.Table.from_batches(found, schema).combine_chunks().to_batches()
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*[F.col(k) for k in keys], *order).mapInArrow(run, result)
+
+
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row's values differ from those of the row before; nulls are equal to each other."""
+    out = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        out |= codes[1:] != codes[:-1]
+    return out
+
+
 def _arrow(result: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in result.split(", ")])
@@ -57,6 +89,8 @@ def _arrow(result: str) -> pa.Schema:
 #: Vectors that are compared with frozen centroids together, at least and at most; how many of a block must be sure for
 #: it to be worth its while; what rounding may change.
 LEAST_BLOCK, MOST_BLOCK, WORTH, ROUNDING = 8, 1024, 12, 1e-9
+#: Rows that are compared with all accepted ones together.
+BLOCK = 256
 
 
 class Clusters:
@@ -146,24 +180,12 @@ class Clusters:
 def greedy_clusters(df: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
     """group, order, cid: each vector, in order, joins the best centroid at or above the threshold or opens the next cluster."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        for batch in batches:
-            keys, vectors = batch.column(0).to_pylist(), batch.column(2)
-            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            cids = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if state is None or keys[a] != key:
-                    key, state = keys[a], Clusters()
-                rows = vectors.slice(a, b - a)
-                cids.append(state.place_all(rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b - a, -1), threshold))
-            if cids:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(cids), pa.int32())], names=[group, order, "cid"])
+    def place(state: Clusters, run: pa.RecordBatch) -> list:
+        v = run.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(run.num_rows, -1)
+        return [run.column(0), run.column(1), state.place_all(v, threshold)]
 
     narrow = df.select(F.col(group).cast("long").alias(group), F.col(order).cast("long").alias(order), vector)
-    return narrow.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"{group} long, {order} long, cid int")
+    return fold_runs(narrow, [group], [F.col(order)], Clusters, place, f"{group} long, {order} long, cid int")
 
 
 class Accepted:
@@ -186,33 +208,68 @@ class Accepted:
         self.hashes[self.n] = (code or 0) % 2**64
         self.n += 1
 
+    def take_all(self, secs: np.ndarray, gap: float, codes: np.ndarray | None, distance: int, most: int | None) -> np.ndarray:
+        """The places of rows, in order, that are accepted, as `fits` and `add` accept them one by one.
+
+        A block of rows is compared with all that is accepted at once; only rows that pass are looked at one
+        by one, against what the block itself has added.
+        """
+        out: list[int] = []
+        for begin in range(0, len(secs), BLOCK):
+            at, own = secs[begin : begin + BLOCK], None if codes is None else codes[begin : begin + BLOCK]
+            free = np.ones(len(at), bool)
+            if self.n and gap > 0:
+                held = np.array(self.secs)
+                near = np.searchsorted(held, at)
+                for k in (near - 1, near):
+                    there = (k >= 0) & (k < self.n)
+                    free &= ~(there & (np.abs(held[np.clip(k, 0, self.n - 1)] - at) < gap))
+            if self.n and own is not None:
+                for k in range(0, self.n, BLOCK):
+                    free &= ~(np.bitwise_count(own[:, None] ^ self.hashes[None, k : min(k + BLOCK, self.n)]) < distance).any(axis=1)
+            before = self.n
+            for i in np.flatnonzero(free).tolist():
+                if most is not None and self.n >= most:
+                    return np.array(out, np.int64)
+                if gap > 0 and self.n > before:
+                    k = bisect_left(self.secs, at[i])
+                    if any(abs(s - at[i]) < gap for s in self.secs[max(k - 1, 0) : k + 1]):
+                        continue
+                if own is not None and self.n > before and (np.bitwise_count(self.hashes[before : self.n] ^ own[i]) < distance).any():
+                    continue
+                self.add(float(at[i]), None if own is None else int(own[i]))
+                out.append(begin + i)
+        return np.array(out, np.int64)
+
 
 def suppressed(df: DataFrame, group: str, item: str, score: str, sec: str, gap: float, bits: str | None = None, distance: int = 12, most: int | None = None) -> DataFrame:
     """group, item, pick of the items that are accepted: best score first (then least item), at least `gap`
-    seconds and, with hashes, `distance` bits from all accepted ones. gap 0 turns the time test off.
+    seconds and, with hashes, `distance` bits from all accepted ones. gap 0 turns the time test off. Rows
+    without a time, or without a hash where hashes are given, take no part; those without a score come last.
 
     Without hashes and a limit, items that `gap` seconds or more part from the ones before them begin a chain of their
     own: nothing of one chain bears on another, so chains are folded apart and a large group is split.
     """
     apart = bits is None and most is None and gap > 0
 
-    def step(state: Accepted, row: dict) -> list[tuple]:
-        code = row[bits] if bits else None
-        if most is not None and state.n >= most or not state.fits(row[sec], gap, code, distance):
-            return []
-        state.add(row[sec], code)
-        return [(row[group], row[item], state.n - 1)]
+    def taken(state: Accepted, run: pa.RecordBatch) -> pa.RecordBatch:
+        """The accepted rows of a run."""
+        secs = run.column(3).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        codes = run.column(4).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64) if bits else None
+        return run.take(pa.array(state.take_all(secs, gap, codes, distance, most)))
 
-    narrow = df.select(F.col(group).cast("long").alias(group), F.col(item).cast("long").alias(item), score, sec, *([bits] if bits else []))
+    rows = df.select(F.col(group).cast("long").alias(group), F.col(item).cast("long").alias(item), F.col(score).cast("double").alias("_score"), sec, *([bits] if bits else [])).dropna(subset=[sec, *([bits] if bits else [])])
+    order = [F.desc("_score"), F.col(item)]
     if not apart:
-        return fold(narrow, [group], [F.desc(score), F.col(item)], Accepted, step, f"{group} long, {item} long, pick int")
 
-    def first(state: Accepted, row: dict) -> list[tuple]:
-        return [(row[group], row[item], row[score]) for _ in step(state, row)]
+        def numbered(state: Accepted, run: pa.RecordBatch) -> list:
+            before = state.n
+            kept = taken(state, run)
+            return [kept.column(0), kept.column(1), np.arange(before, state.n, dtype=np.int32)]
 
-    kept = fold(with_chains(narrow, group, sec, gap), [group, "_chain"], [F.desc(score), F.col(item)], Accepted, first, f"{group} long, {item} long, _score double")
-    order = Window.partitionBy(group).orderBy(F.desc("_score"), item)
-    return kept.select(group, item, (F.row_number().over(order) - 1).cast("int").alias("pick"))
+        return fold_runs(rows, [group], order, Accepted, numbered, f"{group} long, {item} long, pick int")
+    kept = fold_runs(with_chains(rows, group, sec, gap), [group, "_chain"], order, Accepted, lambda state, run: taken(state, run).columns[:3], f"{group} long, {item} long, _score double")
+    return kept.select(group, item, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("int").alias("pick"))
 
 
 def with_chains(df: DataFrame, group: str, sec: str, gap: float) -> DataFrame:

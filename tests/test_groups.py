@@ -71,6 +71,25 @@ def test_chains_split_a_user_without_changing_the_picks(spark, gap):
         assert chains.where("u = 0").repartition(4, "u", "_chain").select(F.spark_partition_id()).distinct().count() > 1
 
 
+@pytest.mark.parametrize("gap, distance, most, batch", [(0, 20, None, "10000"), (30, 20, None, "10000"), (30, 14, 9, "61"), (400, 2, None, "300")])
+def test_blocks_of_candidates_are_taken_like_one_by_one(spark, gap, distance, most, batch):
+    rnd = random.Random(gap + distance)
+    codes = [rnd.getrandbits(64) for _ in range(30)]
+    rows = [(u, 1000 * (u or 9) + i, round(rnd.random(), 2), rnd.randrange(4000), rnd.choice(codes) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(12)))) for u in (0, 1, 2, None) for i in range(700)]
+    signed = [(*r[:4], r[4] - 2**64 if r[4] >= 2**63 else r[4]) for r in rows] + [(0, -1, 9.0, None, 1), (0, -2, 9.0, 5, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = suppressed(spark.createDataFrame(signed, "u bigint, i bigint, s double, sec bigint, h bigint"), "u", "i", "s", "sec", gap, "h", distance, most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in (0, 1, 2, None):
+        picks = []
+        for _, i, _, sec, code in sorted((r for r in rows if r[0] == u), key=lambda r: (-r[2], r[1])):
+            if (most is None or len(picks) < most) and all((gap == 0 or abs(sec - s) >= gap) and (code ^ c).bit_count() >= distance for _, s, c in picks):
+                picks.append((i, sec, code))
+        assert [i for _, i in sorted((r["pick"], r["i"]) for r in got if r["u"] == u)] == [p[0] for p in picks], u
+
+
 def test_values_are_carried_over_partitions(spark):
     rnd = random.Random(9)
     rows = [(g, t, rnd.randrange(100) if rnd.random() < 0.02 else None) for g in ("a", "b", None) for t in range(1500 if g == "a" else 40)]
