@@ -30,12 +30,13 @@ def band_join(left: DataFrame, right: DataFrame, left_sec: str, right_sec: str,
     return pairs.where(F.abs(F.col(left_sec) - F.col(right_sec)) <= width).drop("_bucket")
 
 
-def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str, item_sec: str, group: list[str] | None = None) -> DataFrame:
+def nearest(pins: DataFrame, items: DataFrame, pin: str, pin_sec: str, item: str, item_sec: str, width: int | None = None, group: list[str] | None = None) -> DataFrame:
     """pin, item, distance: the item nearest in time (in the same group, if groups are given), the least item of equals.
 
     One pass over the union of both in order of time: each instant of a pin has the last item at or before it and
     the first one at or after it. Items of an instant are one row, pins of an instant too, before anything is
-    sorted. Pins without a time, and without any item in their group, give no row. A fixed number of jobs.
+    sorted. Pins without a time, and without any item in their group, give no row. A fixed number of jobs. width is
+    what callers of the band search gave; one pass needs none.
     """
     group = group or []
     times = items.where(F.col(item_sec).isNotNull()).groupBy(*group, F.col(item_sec).alias("_t")).agg(F.min(item).alias("_item"))

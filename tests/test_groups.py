@@ -106,7 +106,7 @@ def test_nearest_of_a_group_equals_a_scan(spark):
     rnd = random.Random(12)
     items = [(i, rnd.choice("ab"), rnd.randrange(2000)) for i in range(300)] + [(900, "a", None)]
     pins = [(i, rnd.choice("abc"), rnd.randrange(-500, 2500)) for i in range(200)] + [(999, "a", None)]
-    got = {r["p"]: (r["i"], r["distance"]) for r in nearest(spark.createDataFrame(pins, "p int, g string, at int"), spark.createDataFrame(items, "i int, g string, s int"), "p", "at", "i", "s", ["g"]).collect()}
+    got = {r["p"]: (r["i"], r["distance"]) for r in nearest(spark.createDataFrame(pins, "p int, g string, at int"), spark.createDataFrame(items, "i int, g string, s int"), "p", "at", "i", "s", group=["g"]).collect()}
     want = {p: min((abs(s - at), i) for i, k, s in items if k == g and s is not None)[::-1] for p, g, at in pins if at is not None and g != "c"}
     assert got == want
 
