@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 BROADCAST_PICKS = 100_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names, or in one of our own where none is set and
-    all tasks run on this machine (tests)."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, or one of our own where none is set and all tasks run
+    on this machine (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -279,3 +279,36 @@ def scans_in_sequence(spark, sf_dir):
 @query("SELECT doc_id, minutes || 'm' || lpad((sec % 60)::VARCHAR, 2, '0') AS mark FROM (SELECT doc_id, n_chars AS sec, n_chars // 60 AS minutes FROM documents)")
 def minute_marks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", minutes_mark(F.col("n_chars")).alias("mark"))
+
+
+@query("SELECT o_orderkey % 7 AS part, o_orderkey, o_custkey + CASE WHEN o_orderkey % 7 IN (2, 5) THEN 1000000 ELSE 0 END AS v FROM orders WHERE o_orderkey % 7 <> 5 OR o_orderkey % 2 = 0")
+def cache_round_trip(spark, sf_dir):
+    """A cache that is written by partition, two partitions of it anew, and read back."""
+    path = sinks.scratch(spark, "cache")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("part"), "o_orderkey", F.col("o_custkey").alias("v"))
+    sinks.write_cache(rows, path, "part")
+    sinks.write_cache(rows.where("part = 2 or part = 5 and o_orderkey % 2 = 0").withColumn("v", F.col("v") + 1000000), path, "part")
+    return sinks.read_cache(spark, path, "o_orderkey bigint, v bigint, part bigint").select("part", "o_orderkey", "v")
+
+
+@query("SELECT n_nationkey AS k, n_nationkey % 3 = 0 AS again, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS scans FROM nation")
+def scanned_once(spark, sf_dir):
+    """Files that are scanned, then again only where their size has changed; the record is written after a scan."""
+    cache, records = sinks.scratch(spark, "scans"), sinks.scratch(spark, "records")
+    named = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("stem"), F.lit("p").alias("path"))
+    done = []
+    for k in range(3):  # the third time nothing is left to do
+        now = named.withColumn("bytes", F.when(F.lit(k > 0) & (F.col("n_nationkey") % 3 == 0), 11).otherwise(10).cast("bigint"))
+        done.append(sinks.scan_changed(now, lambda todo: todo.select("stem", F.col("bytes").alias("found")), cache, records).select("stem"))
+    counts = a.in_sequence(*done).groupBy("stem").agg(F.count(F.lit(1)).cast("int").alias("scans"))
+    return named.join(counts, "stem").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 3 == 0).alias("again"), "scans")
+
+
+@query("SELECT 'nation_' || n_nationkey AS doc, n_name || chr(10) || 'second ' || n_regionkey AS text FROM nation")
+def written_texts(spark, sf_dir):
+    """Texts that are written by key and read back as whole files."""
+    path = sinks.scratch(spark, "texts")
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("key"), F.concat("n_name", F.lit("\nsecond "), F.col("n_regionkey").cast("string")).alias("text"))
+    sinks.write_texts(n, path, "key", "text")
+    rows = spark.read.text(path, wholetext=True).select("key", "value")
+    return rows.select(F.col("key").alias("doc"), F.regexp_replace("value", r"\n$", "").alias("text"))

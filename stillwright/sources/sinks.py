@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,15 @@ from pyspark.sql import functions as F
 
 from stillwright.functions.text import folded_name
 from stillwright.functions.timing import minutes_mark
-from stillwright.operators.ranking import checkpointed
+from stillwright.operators.ranking import checkpointed, shared_folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def write_cache(df: DataFrame, path: str, key: str) -> None:
