@@ -25,6 +25,8 @@ from stillwright.llm.wordhash import constants, mix
 #: Bytes of text that a step counts together, bits of a bitmap (a frequent run takes 16, up to 32 MB in all),
 #: bits of one of its rows, bytes of a table of frequent runs that goes to every task.
 STEP_BYTES, LEAST_BITS, MOST_BITS, ROW_BITS, BROADCAST_BYTES = 2_000_000, 20, 28, 20, 16_000_000
+#: Shares of a language whose candidates are ranked for themselves first.
+SHARES = 32
 #: What ends a piece, what ends a word.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 COUNTS = "lang string, phrase string, n long"
@@ -198,6 +200,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     parts = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> concat_ws(' ', slice(words, i, m)))))")
     longer = candidates.where("k > 2").select("lang", F.explode(parts).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = lowest.join(F.broadcast(longer) if few else longer, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {inside} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # a language's first ones are among the first of each of its shares: no task ranks a whole language
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    shared = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    shared = shared.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= first).drop("share", "rank")
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return ranked.join(F.broadcast(sizes) if few else sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
