@@ -85,9 +85,8 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def chunks(anchors: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Anchors in chunks of about `size`, each a few packed rows with the ids and scores of its positives, and how many chunks there are."""
-    n = max(1, -(-anchors.count() // size))
+def chunks(anchors: DataFrame, n: int) -> DataFrame:
+    """Anchors in n chunks, each a few packed rows with the ids and scores of its positives."""
 
     def pack(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
@@ -102,18 +101,18 @@ def chunks(anchors: DataFrame, size: int) -> tuple[DataFrame, int]:
         return out.add_column(0, "chunk", pa.array([int(number[0])] * len(made), pa.int32()))
 
     keyed = anchors.withColumn("chunk", F.expr(f"cast(pmod(xxhash64(vec_id, key), {n}) as int)"))
-    return keyed.groupBy("chunk").applyInArrow(pack, f"chunk int, {ANCHORS}"), n
+    return keyed.groupBy("chunk").applyInArrow(pack, f"chunk int, {ANCHORS}")
 
 
 def together(blocks_: DataFrame, anchors: DataFrame, chunk_rows: int, broadcast_bytes: int) -> DataFrame:
-    """Every block beside every chunk. A few chunks (their bytes are counted) go to every task; more meet
-    the blocks by number and a share of the blocks, so that a chunk is no hot key."""
-    chunked, n = chunks(anchors, chunk_rows)
-    chunked = materialize(chunked, "chunks", free=False)
+    """Every block beside every chunk. A few chunks (what they can have in bytes is known from the anchors' number and
+    lengths) go to every task; more meet the blocks by number and a share of the blocks, so that a chunk is no hot key."""
+    rows, components, held = anchors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.coalesce(F.max(F.size("positives")), F.lit(0))).first()
+    n = max(1, -(-rows // chunk_rows))
+    chunked = chunks(anchors, n)
     chunked = chunked.select("chunk", *(F.col(x.split()[0]).alias(f"a_{x.split()[0]}") for x in ANCHORS.split(", ")))
     every = blocks_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    size = chunked.agg(F.sum(F.length("a_ids") * 5 + F.length("a_vectors"))).first()[0] or 0
-    if size <= broadcast_bytes:
+    if 8 * (components + rows * (3 + 2 * (held + 1))) <= broadcast_bytes:
         return every.join(F.broadcast(chunked), "chunk")
     shares = max(1, -(-4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
     every = every.withColumn("share", F.expr(f"cast(pmod(xxhash64(ids), {shares}) as int)"))
