@@ -61,11 +61,14 @@ def carried(rows: DataFrame, group: list[str], order: list[str], value: str, bac
     each = Window.partitionBy(*group)
     # groups that are in several partitions: two rows a partition at most
     edges = edges.withColumn("_n", F.count(F.lit(1)).over(each)).where("_n > 1")
-    before, after = (Window.partitionBy(*group).orderBy("_part").rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
-    edges = edges.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.last(f"_last.{value}", True).over(before).alias("_before"), F.first(f"_first.{value}", True).over(after).alias("_after"))
-    inside = Window.partitionBy("_part", *group).orderBy(*order)
-    out = placed.withColumn("_back", F.first(value, True).over(inside.rowsBetween(0, Window.unboundedFollowing))) if back else placed
-    out = out.withColumn(value, F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # frames that grow from the start of a sorted run are sums; those that shrink to its end are read anew for each row, so
+    # what follows is what comes before in the opposite order
+    before, after = (Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1) for by in (F.asc("_part"), F.desc("_part")))
+    edges = edges.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.last(f"_last.{value}", True).over(before).alias("_before"), F.last(f"_first.{value}", True).over(after).alias("_after"))
+    inside = Window.partitionBy("_part", *group)
+    upto = lambda by: F.last(value, True).over(inside.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.withColumn("_back", upto([F.desc(c) for c in order])) if back else placed
+    out = out.withColumn(value, upto(order))
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_part") == F.col("_p"))
     out = out.join(F.broadcast(edges), same, "left")
     out = out.withColumn(value, F.coalesce(value, "_before"))

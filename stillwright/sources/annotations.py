@@ -104,8 +104,8 @@ def role_specs(rows: DataFrame, pattern: str = CAST, ids: bool = True) -> tuple[
     label = F.when(F.col("kind") == "desc", part(DESCRIBED, 3)).when(F.col("kind") == "pin", part(NUMBERED, 2)).when(F.col("kind") == "time", part(TIMED_ROLE, 2))
     sex = F.when(F.col("kind") == "desc", F.when(F.lower(part(DESCRIBED, 1)).isin("nam", "m"), "M").otherwise("F"))
     parsed = each.withColumn("kind", kind).select("doc", "line_no", "pos", trimmed(e).alias("entry"), "kind", sex.alias("sex"), n.alias("n"), F.nullif(label, F.lit("")).alias("label"))
-    won = parsed.where("kind is not null").groupBy("doc").agg(F.min("line_no").alias("_won"))
-    parsed = parsed.join(won, "doc", "left")
+    won = F.min(F.when(F.col("kind").isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc"))
+    parsed = parsed.withColumn("_won", won)
     mine = parsed.where("kind is not null and line_no = _won")
     again = F.row_number().over(Window.partitionBy("doc", "kind", "n").orderBy("pos")) > 1
     mine = mine.withColumn("_again", (F.col("kind") == "id") & again).where("not _again")
