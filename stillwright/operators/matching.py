@@ -182,6 +182,10 @@ def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int
     out is as many rows as there are near pairs, which grows with the square of near-equal hashes.
     """
     members = rows.where(F.col(code).isNotNull()).select(F.col(key).alias("k"), F.col(code).cast("long").alias("h"))
+    left, right = members.select(F.col("k").alias("x"), F.col("h").alias("ha")), members.select(F.col("k").alias("y"), F.col("h").alias("hb"))
+    equal = left.join(right, F.col("ha") == F.col("hb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    if distance < 2:  # equal ones only, or none
+        return equal.where(F.lit(distance == 1))
     codes = checkpointed(members.select("h").distinct())
     first = hash_parts(distance, parts or parts_for(distance, codes.count()))
     index = _keys(codes.withColumnRenamed("h", "hb"), "hb", first, False, ("i", "v"))
@@ -200,7 +204,5 @@ def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int
         mine, theirs = (df.where(F.col("_hot") & (F.col("i") == k)).drop("_hot").withColumn(name, _beside(F.col(c), low, width)) for df, name, c in ((asked, "ra", "ha"), (index, "rb", "hb")))
         pairs = _keys(mine, "ra", second, True, ("j", "u")).join(_keys(theirs, "rb", second, False, ("j", "u")), ["i", "v", "j", "u"])
         found = found.unionByName(pairs.where(apart & (_first_part("ha", "hb", first) == k) & (_first_part("ra", "rb", second) == F.col("j"))).select("ha", "hb"))
-    left, right = members.select(F.col("k").alias("x"), F.col("h").alias("ha")), members.select(F.col("k").alias("y"), F.col("h").alias("hb"))
     near = found.join(left, "ha").join(right, "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("bigint").alias("distance"))
-    equal = left.join(right, F.col("ha") == F.col("hb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
-    return near.unionByName(equal) if distance > 0 else near
+    return near.unionByName(equal)

@@ -157,6 +157,8 @@ def test_near_hashes_with_crowded_parts(spark, parts, hot):
     want = {(i, j, (codes[i] ^ codes[j]).bit_count()) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() < 12}
     got = near_hashes(spark.createDataFrame([*enumerate(signed), (999, None)], "k bigint, h bigint"), "k", "h", 12, parts, hot).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 40
+    df = spark.createDataFrame([*enumerate(signed)], "k bigint, h bigint")
+    assert near_hashes(df, "k", "h", 0).count() == 0 and {tuple(r) for r in near_hashes(df, "k", "h", 1).collect()} == {t for t in want if t[2] == 0}
 
 
 def test_parts_of_hashes_cover_the_distance():
