@@ -9,6 +9,7 @@ longer phrases are then looked up in these tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ SHARES = 32
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 COUNTS = "lang string, phrase string, n long"
 
+_end = re.compile(b"[" + re.escape(ENDS) + b"]").search
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _kind = np.zeros(256, np.uint8)
@@ -84,6 +86,18 @@ class Tokens:
         return joined.cast(pa.binary()).view(pa.string())
 
 
+def parts(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes, cut where a piece ends; a longer piece stays whole."""
+    begin = 0
+    while len(text) - begin > size:
+        m = _end(text, begin + size)
+        if not m:
+            break
+        yield text[begin : m.end()]
+        begin = m.end()
+    yield text[begin:] if begin else text
+
+
 def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode())
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
@@ -145,14 +159,17 @@ def counted(rows: DataFrame, k: int, least: int, frequent: Bitmap | None) -> Dat
             owner = langs.indices.to_numpy()
             block = column(part, "text").cast(pa.binary())
             for i, lang in enumerate(langs.dictionary.to_pylist()):
-                tokens = Tokens(block.filter(pa.array(owner == i)).to_pylist(), lang)
-                if len(tokens.ids) < k:
-                    continue
-                columns, times = tokens.runs(k, known.value if known else None)
-                found, n = tokens.phrases(columns), pa.array(times, pa.int64())
-                if k == 1:
-                    found, n = pa.concat_arrays([found, pa.array([""])]), pa.concat_arrays([n, pa.array([len(tokens.ids)], pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), found, n], names=["lang", "phrase", "n"])
+                own = block.filter(pa.array(owner == i)).to_pylist()
+                # a text beyond a step is a step of its own, and is counted by parts
+                for many in ([x] for x in parts(own[0], STEP_BYTES)) if len(own) == 1 else [own]:
+                    tokens = Tokens(many, lang)
+                    if len(tokens.ids) < k:
+                        continue
+                    columns, times = tokens.runs(k, known.value if known else None)
+                    found, n = tokens.phrases(columns), pa.array(times, pa.int64())
+                    if k == 1:
+                        found, n = pa.concat_arrays([found, pa.array([""])]), pa.concat_arrays([n, pa.array([len(tokens.ids)], pa.int64())])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), found, n], names=["lang", "phrase", "n"])
 
     return rows.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
@@ -176,7 +193,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
 
     A null text is empty and gives nothing, a null lang is `und` (one language with rows that say so); every row counts, repeated
     ones each time; the id is not read. Numbers are exact: products have 38 digits, enough for a below 10**15. A text
-    is a step of its own where it is longer than a step. An empty table gives an empty result. Other columns are not read.
+    longer than a step is counted by parts that end where pieces do. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text")).where("text is not null and text != ''")
     levels, frequent = None, None

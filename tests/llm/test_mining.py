@@ -190,6 +190,18 @@ def test_collocations(spark, monkeypatch, limits):
     assert collocations.collocations(df.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 10_000])
+def test_parts_of_long_texts_end_with_pieces(size):
+    rnd = random.Random(size)
+    for _ in range(200):
+        text = "".join(rnd.choice(["word", "é", " ", ".", ";\n", "\t", "x" * 30]) for _ in range(rnd.randrange(60))).encode()
+        cut = list(collocations.parts(text, size))
+        assert b"".join(cut) == text and all(x[-1:] in b".;\n" for x in cut[:-1])
+        whole, many = ([w for x in xs for p in re.split(b"[.;\n]", x) if (w := tuple(p.split()))] for xs in ([text], cut))
+        assert whole == many
+    assert max(map(len, collocations.parts(b"ab cd. " * 5000, 700))) <= 707
+
+
 def test_runs_of_many_words_are_numbered_in_steps():
     """Where numbers of runs pass 64 bits, the first words' number stands for them."""
     rnd = random.Random(2)
