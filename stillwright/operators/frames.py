@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,7 +76,7 @@ def blended(cells: DataFrame, keys: list[str], value: str, weight: str) -> DataF
     return cells.groupBy(*keys).agg(F.bround(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.sum(F.col(value) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1e-6)))), 0).cast("int").alias(value))
 
 
-def merged_tiles(tiles: DataFrame, key: str, tile: int, overlap: int = 32) -> DataFrame:
+def merged_tiles(tiles: DataFrame, key: str, tile: int, overlap: int = 32, cells: Callable | None = None, lines: tuple[str, Callable] | None = None) -> DataFrame:
     """key, y, values (bytes as an array) of every row of the images that tiles (key, h, w, y, x, values) make up.
 
     values of a tile: its tile * tile cells by rows. Where tiles overlap their cells are averaged by weights that rise
@@ -83,24 +85,49 @@ def merged_tiles(tiles: DataFrame, key: str, tile: int, overlap: int = 32) -> Da
     of an image, never a row for a cell and never an image. Weights are whole numbers (the scale cancels), so sums
     are exact for whole values. Null values of a tile count as 0; a tile given twice counts twice; an image of which
     no tile covers a cell has 0 there.
+
+    cells(key, y, x, first, rows, columns), a matrix of a tile's first columns in `rows` rows from `first` on, takes the place
+    of values: cells are then made where their strip is merged, and only the tiles' places are shuffled. lines (schema,
+    function of a strip's matrix to columns) takes the place of the array, so that only what is asked of a row leaves the task.
     """
     step = tile - overlap
     ramp = np.minimum(overlap + 1, np.minimum(np.arange(1, tile + 1), np.arange(tile, 0, -1))).astype(float)
-    piece = lambda at, rows, first: F.struct((F.floor(F.col("y") / step) + at).cast("int").alias("strip"), F.lit(first).alias("first"), F.slice("values", first * tile + 1, rows * tile).alias("cells"))
-    cut = tiles.select(key, "h", "w", "y", "x", F.explode(F.array(piece(0, step, 0), piece(1, overlap, step))).alias("p")).select(key, "h", "w", "x", "p.*")
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    result, of_lines = lines or ("values array<int>", _as_arrays)
+    names_of = [key, "y", *(x.split()[0] for x in result.split(", "))]
+
+    def piece(at: int, rows: int, first: int) -> Column:
+        strip = (F.floor(F.col("y") / step) + at).cast("int")
+        own = [] if cells else [F.slice("values", first * tile + 1, rows * tile).alias("cells")]
+        return F.struct(strip.alias("strip"), F.lit(first).alias("first"), F.lit(rows).alias("rows"), *own)
+
+    cut = tiles.select(key, "h", "w", "y", "x", F.explode(F.array(piece(0, step, 0), piece(1, overlap, step))).alias("p")).select(F.col(key).cast("long").alias(key), "h", "w", "y", "x", "p.*")
 
     def merge(names: tuple, rows: pa.Table) -> pa.Table:
+        k, strip = names[0].as_py(), names[1].as_py()
         h, w = rows["h"][0].as_py(), rows["w"][0].as_py()
-        strip = names[1].as_py()
-        total, weight = (np.zeros((step, w)) for _ in range(2))
-        for x, first, cells in zip(rows["x"].to_pylist(), rows["first"].to_pylist(), rows["cells"], strict=True):
-            own = np.nan_to_num(cells.values.to_numpy(zero_copy_only=False).astype(float)).reshape(-1, tile)[:, : max(w - x, 0)]
-            mine = ramp[first : first + len(own), None] * ramp[None, : own.shape[1]]
-            total[: len(own), x : x + own.shape[1]] += own * mine
-            weight[: len(own), x : x + own.shape[1]] += mine
-        lines = np.rint(np.clip(total / np.maximum(weight, 1e-6), 0, 255)).astype(np.int32)[: max(h - strip * step, 0)]
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * w), pa.array(lines.reshape(-1)))
-        return pa.table([pa.array([names[0].as_py()] * len(lines), pa.int64()), pa.array(strip * step + np.arange(len(lines)), pa.int64()), values], names=[key, "y", "values"])
-
-    narrow = cut.withColumn(key, F.col(key).cast("long"))
-    return narrow.groupBy(key, "strip").applyInArrow(merge, f"{key} long, y long, values array<int>")
+        high = min(step, h - strip * step)
+        total, weight = (np.zeros((high, w)) for _ in range(2))
+        for i, (y, x, first, n) in enumerate(zip(*(rows[c].to_pylist() for c in ("y", "x", "first", "rows")), strict=True)):
+            n, wide = min(n, high), min(tile, w - x)
+            if wide <= 0:
+                continue
+            if cells:
+                own = cells(k, y, x, first, n, wide)
+            else:
+                own = np.nan_to_num(rows["cells"][i].values.to_numpy(zero_copy_only=False).astype(float)).reshape(-1, tile)[:n, :wide]
+            mine = ramp[first : first + len(own), None] * ramp[None, :wide]
+            total[: len(own), x : x + wide] += own * mine
+            weight[: len(own), x : x + wide] += mine
+        merged = np.rint(np.clip(total / np.maximum(weight, 1e-6), 0, 255)).astype(np.int32)
+        columns = [pa.array(np.full(high, k), pa.int64()), pa.array(strip * step + np.arange(high), pa.int64()), *map(pa.array, of_lines(merged))]
+        return pa.table(columns, names=names_of)
+
+    # dealt to a fixed number of tasks: the rows of places are few bytes for the work that they stand for
+    placed = cut.where(F.col("strip") * step < F.col("h")).repartition(parts, key, "strip")
+    return placed.groupBy(key, "strip").applyInArrow(merge, f"{key} long, y long, {result}")
+
+
+def _as_arrays(lines: np.ndarray) -> list[pa.Array]:
+    """The rows of a matrix as one column of arrays."""
+    return [pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * lines.shape[1]), pa.array(lines.reshape(-1)))]
