@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwright.functions.numbers import rounded
 from stillwright.operators import buckets
 
 
@@ -22,7 +23,7 @@ def identities(members: DataFrame, work: str, cid: str, width: str, sec: str, se
     place = lambda k: F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - k) / 2), F.col(age)))
     ages = middle.agg(F.floor((place(1) + place(0)) / 2).cast("bigint").alias("age"))
     rows = members.groupBy(work, cid).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(width), 6).alias("w_avg"), F.round(F.sum(width), 6).alias("score"),
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(width), 6).alias("w_avg"), rounded(F.sum(width), 6).alias("score"),
         F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"),
     )
     best = Window.partitionBy(work).orderBy(F.desc("score"), cid)  # a work has tens of identities, not members
@@ -33,7 +34,7 @@ def identities(members: DataFrame, work: str, cid: str, width: str, sec: str, se
 def representatives(faces: DataFrame, keys: list[str], face: str, pos: str) -> DataFrame:
     """keys, face: of each identity the face that is detected, large and sharp; the first of equals."""
     worth = F.col("det") * (0.5 + F.col("w")) * buckets.crispness(F.col("sharp"))
-    return faces.groupBy(*keys).agg(F.max_by(face, F.struct(F.round(worth, 9), (-F.col(pos)).alias("p"))).alias(face))
+    return faces.groupBy(*keys).agg(F.max_by(face, F.struct(rounded(worth, 9), (-F.col(pos)).alias("p"))).alias(face))
 
 
 def listed(table: DataFrame, work: str, least: int = 8, most: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwright.functions.numbers import rounded
 from stillwright.functions.vectors import dot
 from stillwright.operators import buckets
 from stillwright.operators.frames import solo_score
@@ -44,10 +45,10 @@ def scored_frames(faces: DataFrame, keys: list[str], cast_size: int, n_roles: in
     main = c("rank") < cast_size
     found = roles.groupBy(*keys).agg(
         F.max("face").alias("best"), F.array_sort(F.collect_list(F.when(c("rank") < n_roles, c("rank")))).alias("roles"), F.sum("n").alias("n_faces"), F.count_if(main).alias("n_main"),
-        F.when((F.count_if(main & c("q").isNotNull()) == cast_size) & F.lit(cast_size > 0), F.round(F.min(F.when(main, c("q"))), 9)).otherwise(F.lit(0.0)).alias("group_score"),
-        F.array_sort(F.collect_list(F.when((c("rank") < n_roles) & (c("solo") > 0), F.struct("rank", F.round("solo", 9).alias("q"))))).alias("solos"),
+        F.when((F.count_if(main & c("q").isNotNull()) == cast_size) & F.lit(cast_size > 0), rounded(F.min(F.when(main, c("q"))), 9)).otherwise(F.lit(0.0)).alias("group_score"),
+        F.array_sort(F.collect_list(F.when((c("rank") < n_roles) & (c("solo") > 0), F.struct("rank", rounded("solo", 9).alias("q"))))).alias("solos"),
     ).where("best is not null")
-    return found.withColumn("score", F.round(c("best") * (1 + F.greatest(F.lit(0), c("n_main") - 1)), 9)).drop("best")
+    return found.withColumn("score", rounded(c("best") * (1 + F.greatest(F.lit(0), c("n_main") - 1)), 9)).drop("best")
 
 
 def frames_with_group(frames: DataFrame, video: str) -> DataFrame:
@@ -89,7 +90,7 @@ def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str,
     rows = rows.withColumn("_first", first).withColumn("_anchors", F.array(*[widest(r) for r in range(cast_size)]) if cast_size else F.lit(None).cast("array<array<double>>"))
     # one table of both: a frame's own row if it is a group still, and a row for each role it could be the solo still of
     both = rows.withColumn("_group", F.when(c("place").isNotNull(), F.array(F.struct(F.lit(-1).alias("who"), c("group_score").alias("q"), (-c("place")).cast("double").alias("score")))).otherwise(F.array()))
-    solos = F.when(c(frame) != c("_first.frame"), F.transform("solos", lambda s: F.struct(s["rank"].cast("int").alias("who"), F.round(_solo_quality(s, cast_size), 9).alias("q"), c("score").cast("double").alias("score"))))
+    solos = F.when(c(frame) != c("_first.frame"), F.transform("solos", lambda s: F.struct(s["rank"].cast("int").alias("who"), rounded(_solo_quality(s, cast_size), 9).alias("q"), c("score").cast("double").alias("score"))))
     rows = both.withColumn("_e", F.explode(F.concat("_group", F.coalesce(solos, F.array())))).select(c(video).cast("long").alias(video), c(frame).cast("long").alias(frame), "_e.who", "hash", "_e.q", "_e.score")
 
     def step(state: Accepted, row: dict) -> list[tuple]:

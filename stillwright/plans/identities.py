@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stillwright.functions.numbers import rounded
 from stillwright.functions.text import folded_name
 from stillwright.functions.timing import seconds_of
 from stillwright.functions.vectors import difference_hash, dot, hamming, norm, sign_hash
@@ -66,7 +67,7 @@ def assign_to_centroid(spark, sf_dir):
     """Each vector to the most similar of ten centroids, if similar enough."""
     vectors = table(spark, sf_dir, "embeddings")
     first = vectors.where("vec_id < 10").select(F.col("vec_id").alias("cid"), F.col("embedding").cast("array<double>").alias("centroid"))
-    return best_centroid(vectors.where("vec_id >= 10"), first, "vec_id", "embedding", 0.2).withColumn("sim", F.round("sim", 6))
+    return best_centroid(vectors.where("vec_id >= 10"), first, "vec_id", "embedding", 0.2).withColumn("sim", rounded("sim", 6))
 
 
 def observations(spark, sf_dir):
@@ -95,18 +96,18 @@ def face_features(spark, sf_dir):
         F.array(c("l_tax") * 300 - 12, F.when(c("l_linenumber") != 1, c("l_discount") * 100)).alias("pose"), F.when(c("l_linenumber") != 3, c("l_extendedprice") / 200).alias("sharp"), F.when(c("l_linenumber") != 4, c("l_discount") * 8).alias("mouth"), (F.lit(1.0) - c("l_discount")).alias("det"),
     )
     p = li.withColumn("w", buckets.relative_width(c("x1"), c("x2"), F.lit(60))).withColumn("yaw", buckets.angle(c("pose"), 0)).withColumn("pitch", buckets.angle(c("pose"), 1)).withColumn("roll", buckets.angle(c("pose"), 2))
-    nine = lambda x, name: F.round(x, 9).alias(name)
+    nine = lambda x, name: rounded(x, 9).alias(name)
     return p.select(
         "l_orderkey", "l_linenumber", "l_partkey", nine(c("w"), "w"), buckets.inside(c("x1"), c("y1"), c("x2"), c("y2"), F.lit(60), F.lit(50)).alias("inside"), nine(c("yaw"), "yaw"), nine(c("pitch"), "pitch"), "roll",
-        nine(buckets.crispness(c("sharp")), "crisp"), nine(buckets.straightness(c("yaw")), "straight"), nine(buckets.closed(c("mouth")), "shut"), F.round(buckets.face_score(c("det"), c("w"), c("sharp"), c("l_linenumber") <= 2), 6).alias("face"),
-        F.round(buckets.solo_quality(c("det"), c("w"), c("sharp"), c("yaw"), c("mouth")), 6).alias("solo"), F.round(buckets.group_quality(c("det"), c("w"), c("sharp"), c("yaw")), 6).alias("grp"),
+        nine(buckets.crispness(c("sharp")), "crisp"), nine(buckets.straightness(c("yaw")), "straight"), nine(buckets.closed(c("mouth")), "shut"), rounded(buckets.face_score(c("det"), c("w"), c("sharp"), c("l_linenumber") <= 2), 6).alias("face"),
+        rounded(buckets.solo_quality(c("det"), c("w"), c("sharp"), c("yaw"), c("mouth")), 6).alias("solo"), rounded(buckets.group_quality(c("det"), c("w"), c("sharp"), c("yaw")), 6).alias("grp"),
     )
 
 
 @query(f"SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(list_dot_product(e, list_reverse(e)), 6) AS turned FROM (SELECT vec_id, {UNIT} AS e FROM embeddings)")
 def vector_norms(spark, sf_dir):
     """Length of each vector, and its product with itself turned round."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.round(dot(F.col("embedding"), F.reverse("embedding")), 6).alias("turned"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(norm(F.col("embedding")), 6).alias("norm"), rounded(dot(F.col("embedding"), F.reverse("embedding")), 6).alias("turned"))
 
 
 @query(BUCKETS_SQL + """ SELECT l_returnflag, count(*) FILTER (bucket = 'strict')::BIGINT AS strict, count(*) FILTER (bucket = 'loose')::BIGINT AS loose, count(*) FILTER (bucket = 'rejected')::BIGINT AS rejected,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stillwright.functions import layout, vectors
 from stillwright.functions import text as t
+from stillwright.functions.numbers import rounded
 from stillwright.functions.timing import backoff, frame_rate, hms, minutes_mark
 from stillwright.operators.ranking import numbered_extras
 from stillwright.plans.registry import query, table
@@ -145,7 +146,7 @@ def keyframe_times(spark, sf_dir):
 
     rate = frame_rate(F.element_at(F.array(*[F.lit(r) for r in RATES]), (F.col("k") % len(RATES) + 1).cast("int")))
     found = a.keyframes(files(spark, sf_dir).where("suffix = '.jpg'"), rate)
-    return global_rank(found, [F.col("frame_no"), F.col("k")], "place").select("k", (F.col("place") + 1).alias("place"), F.round("sec", 6).alias("sec"))
+    return global_rank(found, [F.col("frame_no"), F.col("k")], "place").select("k", (F.col("place") + 1).alias("place"), rounded("sec", 6).alias("sec"))
 
 
 @query(FILES_SQL + """, n AS (SELECT DISTINCT stem || ext AS name FROM g WHERE bytes > 20 AND k % 2 = 0) SELECT k FROM g WHERE su IN ('.mp4', '.mkv', '.srt', '.ass') AND stem || ext NOT IN (SELECT name FROM n)""")
@@ -248,7 +249,7 @@ SELECT vec_id, round(var_pop(around - 4 * x), 6) AS sharpness FROM n GROUP BY ve
 def crop_sharpness(spark, sf_dir):
     """Variance of the Laplacian of vectors as crops of 8 x 8 cells."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("embedding", y * 8 + 1, 8))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(layout.sharpness(rows), 6).alias("sharpness"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(layout.sharpness(rows), 6).alias("sharpness"))
 
 
 @query("""WITH p AS (SELECT vec_id, list_transform(range(0, CASE WHEN vec_id % 5 = 0 THEN 60 ELSE 72 END), lambda i: embedding[i % 64 + 1]::DOUBLE) AS ys, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE 2.5::DOUBLE END AS w FROM embeddings)
@@ -258,7 +259,7 @@ def landmark_ratios(spark, sf_dir):
     n = F.when(F.col("vec_id") % 5 == 0, 59).otherwise(71)
     points = F.transform(F.sequence(F.lit(0), n), lambda i: F.array(i.cast("double"), F.get("embedding", i % 64).cast("double")))
     p = table(spark, sf_dir, "embeddings").select("vec_id", points.alias("p"), F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(2.5).alias("w"))
-    return p.select("vec_id", F.round(vectors.lip_gap(F.col("p"), F.col("w")), 9).alias("lip_gap"), F.round(vectors.mouth_open(F.col("p"), F.col("w")), 9).alias("mouth"))
+    return p.select("vec_id", rounded(vectors.lip_gap(F.col("p"), F.col("w")), 9).alias("lip_gap"), rounded(vectors.mouth_open(F.col("p"), F.col("w")), 9).alias("mouth"))
 
 
 @query("""WITH s AS (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE event_id % 3 = 0 GROUP BY user_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stillwright.functions import text as t
+from stillwright.functions.numbers import rounded
 from stillwright.operators.matching import by_prefix, preferred
 from stillwright.plans.registry import query, table
 from stillwright.sources.annotations import changed, queue
@@ -116,7 +117,7 @@ def title_shape(spark, sf_dir):
 def keyword_share(spark, sf_dir):
     x = F.col("text")
     n = F.count(F.lit(1))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(n.alias("n"), F.count_if(x.contains("the")).alias("k_the"), F.count_if(x.contains("License")).alias("k_license"), F.round(F.count_if(x.contains("@")) / n, 6).alias("share_mail"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(n.alias("n"), F.count_if(x.contains("the")).alias("k_the"), F.count_if(x.contains("License")).alias("k_license"), rounded(F.count_if(x.contains("@")) / n, 6).alias("share_mail"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS role, CASE WHEN event_id % 5 <> 0 THEN user_id END::BIGINT AS number, CASE WHEN event_id % 5 <> 0 THEN 'n_' || event_id END AS label FROM events""")

@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stillwright.functions.numbers import rounded
 from stillwright.operators import selection
 from stillwright.operators.frames import merged_tiles, tile_coords
 from stillwright.operators.greedy import Clusters, greedy_clusters, suppressed, with_chains
@@ -201,3 +204,17 @@ def test_merged_tiles_make_cells_where_they_merge(spark):
     made = merged_tiles(tiles, "k", 64, 16, cells=cells, lines=("n long, total long", lambda v: [np.full(len(v), v.shape[1]), v.astype(np.int64).sum(axis=1)]))
     assert {(r["k"], r["y"]): (r["n"], r["total"]) for r in made.collect()} == want
     assert "array<" not in made._jdf.queryExecution().executedPlan().toString() and "values" not in made.columns
+
+
+def test_rounded_as_sql_rounds(spark):
+    """Doubles next to halves of the tenth decimal, of scores and of their negatives, at nine and three decimals."""
+    rnd = np.random.default_rng(9)
+    half = (rnd.integers(0, 2 * 10**9, 4000) * 10 + 5) / 1e10
+    values = np.concatenate([half, np.nextafter(half, 0), np.nextafter(half, 9), -half, half * 1.6, [0.0, 1.0005, 0.4999, 2.5e-10]]).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*values, None])], "i int, x double").select("i", "x", rounded("x", 9).alias("a"), rounded(F.col("x"), 3).alias("b"), F.round("x", 9).alias("text"))
+    got = df.orderBy("i").collect()
+    con = duckdb.connect()
+    con.register("v", pa.table({"i": range(len(got)), "x": pa.array([r["x"] for r in got], pa.float64())}))
+    want = con.sql("SELECT round(x, 9) AS a, round(x, 3) AS b FROM v ORDER BY i").fetchall()
+    assert [(r["a"], r["b"]) for r in got] == want
+    assert any(r["text"] != a for r, (a, _) in zip(got, want, strict=True))
