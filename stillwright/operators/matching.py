@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -21,6 +22,9 @@ BROADCAST_BYTES, CHUNK = 32_000_000, 20_000
 BROADCAST_PARTS = 100_000
 #: Values of a part that one hash asks for at most.
 MOST_KEYS = 50_000
+#: Rows of one hash that are a share of it; hashes of a block at most, and at least where there are few; strips and columns
+#: that are compared together; how many comparisons in blocks cost what one row of an index does.
+SHARE, BLOCK_CODES, LEAST_BLOCK, STRIP, WIDE, IN_BLOCK = 1024, 32_768, 1024, 64, 2048, 100
 
 
 def band_join(left: DataFrame, right: DataFrame, left_sec: str, right_sec: str, width: int) -> DataFrame:
@@ -131,13 +135,19 @@ def hash_parts(distance: int, parts: int, bits: int = 64) -> list[tuple[int, int
 def parts_for(distance: int, n: int, bits: int = 64) -> int:
     """How many parts make the least work for n hashes: keys that are asked for, and hashes that have one of them by chance."""
 
-    def cost(parts: int) -> float:
-        keys = [sum(comb(w, k) for k in range(r + 1)) for _, w, r in hash_parts(distance, parts, bits)]
-        if max(keys) > MOST_KEYS:
-            return float("inf")
-        return n * sum(keys) + n * n * sum(k / 2**w for k, (_, w, _) in zip(keys, hash_parts(distance, parts, bits), strict=True))
+    return min(range(2, min(distance, bits // 4) + 1), key=lambda parts: _work(distance, parts, n, bits)) if distance > 1 else 1
 
-    return min(range(2, min(distance, bits // 4) + 1), key=cost) if distance > 1 else 1
+
+def _work(distance: int, parts: int, n: int, bits: int) -> float:
+    keys = [sum(comb(w, k) for k in range(r + 1)) for _, w, r in hash_parts(distance, parts, bits)]
+    if max(keys) > MOST_KEYS:
+        return float("inf")
+    return n * sum(keys) + n * n * sum(k / 2**w for k, (_, w, _) in zip(keys, hash_parts(distance, parts, bits), strict=True))
+
+
+def index_cost(distance: int, n: int, bits: int = 64) -> float:
+    """Rows that an index with the best number of parts asks for and compares."""
+    return _work(distance, parts_for(distance, n, bits), n, bits)
 
 
 def _masked(code: Column, low: int, width: int) -> Column:
@@ -174,20 +184,100 @@ def _first_part(a: str, b: str, parts: list[tuple[int, int, int]]) -> Column:
 def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int | None = None, hot: int = 10_000) -> DataFrame:
     """a, b, distance of the pairs of 64-bit hashes that differ in fewer than `distance` bits, a < b.
 
-    Equal hashes are compared once and joined back by their keys. Different ones are indexed by parts: of two near
-    hashes one part differs within its radius (`hash_parts`), so one side asks for all values that near. How many parts
-    is what makes the least work for the number of hashes: with 12 bits 3 parts for many hashes, 4918 values each, which one
-    in 500 others has by chance. A value of a part that more than `hot` hashes share (they are counted) is asked
-    for by a second index on the other bits, exact in the same way. Rows without a hash have no pair. What comes
-    out is as many rows as there are near pairs, which grows with the square of near-equal hashes.
+    Equal hashes are compared once and joined back by their keys. Different ones are compared by blocks, or indexed by parts
+    (`by_parts`), whatever is less work for their number: a comparison in a block is some hundred times cheaper than
+    one in a join, and a wide distance lets a large share of all pairs through any index. `parts` asks for the index.
+    Rows without a hash have no pair. What comes out is as many rows as there are near pairs, which grows
+    with the square of near-equal hashes; rows of a hash that many share are dealt to many tasks.
     """
     members = rows.where(F.col(code).isNotNull()).select(F.col(key).alias("k"), F.col(code).cast("long").alias("h"))
-    left, right = members.select(F.col("k").alias("x"), F.col("h").alias("ha")), members.select(F.col("k").alias("y"), F.col("h").alias("hb"))
-    equal = left.join(right, F.col("ha") == F.col("hb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
+    counted = checkpointed(members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("n")))
+    codes, large = counted.select("h"), counted.where("n > 1")
+    n, n_large = counted.agg(F.count(F.lit(1)), F.count_if(F.col("n") > 1)).first()
+
+    def shared(df: DataFrame, h: str, name: str) -> DataFrame:
+        """df with the number of shares of its hash; what has more than one is a table of its own."""
+        if not n_large:
+            return df.withColumn(name, F.lit(1))
+        more = large.select(F.col("h").alias(h), F.col("n").alias(name))
+        return df.join(F.broadcast(more) if n_large <= BROADCAST_PARTS else more, h, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    shares = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    share = lambda name: F.pmod(F.xxhash64("k"), F.col(name)).cast("int")
+
+    def side(k: str, h: str, s: str) -> DataFrame:
+        """Members with their share of the rows of their hash."""
+        return shared(members.select("k", F.col("h").alias(h)), h, "_n").select(F.col("k").alias(k), h, share("_n").alias(s), "_n")
+
+    left, right = side("x", "ha", "sa"), side("y", "hb", "sb")
+    both = left.withColumn("sb", shares("_n")).drop("_n").join(right.withColumn("sa", shares("_n")).withColumnRenamed("hb", "ha").drop("_n"), ["ha", "sa", "sb"])
+    equal = both.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
     if distance < 2:  # equal ones only, or none
         return equal.where(F.lit(distance == 1))
-    codes = checkpointed(members.select("h").distinct())
-    first = hash_parts(distance, parts or parts_for(distance, codes.count()))
+    if parts is None and n * n / 2 < IN_BLOCK * index_cost(distance, n):
+        found = by_blocks(codes, distance, n)
+    else:
+        found = by_parts(codes, distance, parts or parts_for(distance, n), hot)
+    dealt = shared(shared(found, "ha", "na"), "hb", "nb").withColumn("sa", shares("na")).withColumn("sb", shares("nb"))
+    pairs = dealt.join(left.drop("_n"), ["ha", "sa"]).join(right.drop("_n"), ["hb", "sb"])
+    near = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("bigint").alias("distance"))
+    return near.unionByName(equal)
+
+
+def by_blocks(codes: DataFrame, distance: int, n: int, block: int = BLOCK_CODES) -> DataFrame:
+    """ha, hb of the n distinct hashes (h) that differ in fewer than `distance` bits, ha < hb: every block of hashes meets
+    every other one, and itself, in a task, as arrays. Work grows with the square of the hashes, evenly dealt; a
+    task has some blocks and the pairs of a strip of one of them."""
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-n // block), min(math.isqrt(8 * tasks), -(-n // LEAST_BLOCK)), 1)
+    dealt = codes.withColumn("_b", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list("h").alias("hs"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = dealt.withColumn("_o", other).select(F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "hs")
+
+    def compare(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, None
+        for batch in part:
+            for r in range(batch.num_rows):
+                mine = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
+                codes = batch.column(2)[r].values.to_numpy()
+                if mine[0] == mine[1]:
+                    yield from _near_pairs(codes, codes, distance, True)
+                elif mine == key:
+                    yield from _near_pairs(first, codes, distance, False)
+                    key, first = None, None
+                else:
+                    key, first = mine, codes
+
+    spread = met.repartition(max(min(tasks, blocks * blocks), blocks * blocks // 64), "i", "j").sortWithinPartitions("i", "j")
+    return spread.mapInArrow(compare, "ha long, hb long")
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of hashes of two blocks, the lesser first, by strips of the first block; of a block with itself each pair once."""
+    theirs = b.view(np.uint64)
+    for begin in range(0, len(a), STRIP):
+        mine = a[begin : begin + STRIP].view(np.uint64)[:, None]
+        low = begin if same else 0
+        got = []
+        for at in range(low, len(b), WIDE):
+            part = theirs[None, at : at + WIDE]
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(mine ^ part) < distance), part.shape[1])
+            i, j = i + begin, j + at
+            got.append((i[j > i], j[j > i]) if same else (i, j))
+        x, y = a[np.concatenate([i for i, _ in got])], b[np.concatenate([j for _, j in got])]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["ha", "hb"])
+
+
+def by_parts(codes: DataFrame, distance: int, parts: int, hot: int) -> DataFrame:
+    """ha, hb of the distinct hashes (h) that differ in fewer than `distance` bits, ha < hb, by an index on parts.
+
+    Of two near hashes one part differs within its radius (`hash_parts`), so one side asks for all values that near. How
+    many parts is what makes the least work for the number of hashes: with 12 bits 3 parts for many hashes, 4918 values
+    each, which one in 500 others has by chance. A value of a part that more than `hot` hashes share (they are
+    counted) is asked for by a second index on the other bits, exact in the same way.
+    """
+    first = hash_parts(distance, parts)
     index = _keys(codes.withColumnRenamed("h", "hb"), "hb", first, False, ("i", "v"))
     large = index.groupBy("i", "v").count().where(F.col("count") > hot).select("i", "v", F.lit(True).alias("_hot"))
     large = checkpointed(large)
@@ -204,5 +294,4 @@ def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int
         mine, theirs = (df.where(F.col("_hot") & (F.col("i") == k)).drop("_hot").withColumn(name, _beside(F.col(c), low, width)) for df, name, c in ((asked, "ra", "ha"), (index, "rb", "hb")))
         pairs = _keys(mine, "ra", second, True, ("j", "u")).join(_keys(theirs, "rb", second, False, ("j", "u")), ["i", "v", "j", "u"])
         found = found.unionByName(pairs.where(apart & (_first_part("ha", "hb", first) == k) & (_first_part("ra", "rb", second) == F.col("j"))).select("ha", "hb"))
-    near = found.join(left, "ha").join(right, "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("bigint").alias("distance"))
-    return near.unionByName(equal)
+    return found

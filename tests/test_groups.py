@@ -218,3 +218,36 @@ def test_rounded_as_sql_rounds(spark):
     want = con.sql("SELECT round(x, 9) AS a, round(x, 3) AS b FROM v ORDER BY i").fetchall()
     assert [(r["a"], r["b"]) for r in got] == want
     assert any(r["text"] != a for r, (a, _) in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("distance", [16, 18])
+def test_near_hashes_by_blocks(spark, monkeypatch, distance):
+    """Wide distances are compared by blocks: all pairs, those of several blocks and of crowded hashes too."""
+    from stillwright.operators import matching
+
+    rnd = np.random.default_rng(4)
+    hashes = rnd.integers(0, 2**64, 300, dtype=np.uint64)
+    hashes = np.concatenate([hashes, hashes[:200] ^ (np.uint64(1) << rnd.integers(0, 64, 200, dtype=np.uint64)), np.repeat(hashes[:3], 40)])
+    for i in range(12):
+        hashes[300:350] ^= np.uint64(1) << rnd.integers(0, 64, 50, dtype=np.uint64)
+    apart = np.bitwise_count(hashes[:, None] ^ hashes[None, :])
+    want = {(a, b, int(apart[a, b])) for a, b in np.argwhere(apart < distance).tolist() if a < b}
+    df = spark.createDataFrame([*enumerate(hashes.view(np.int64).tolist()), (999, None)], "k bigint, h bigint")
+    monkeypatch.setattr(matching, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(matching, "SHARE", 7)
+    monkeypatch.setattr(matching, "by_parts", None)  # no index for these
+    got = near_hashes(df, "k", "h", distance).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    monkeypatch.setattr(matching, "BROADCAST_PARTS", 1)
+    assert {tuple(r) for r in near_hashes(df, "k", "h", distance).collect()} == want
+
+
+def test_rows_of_one_hash_are_dealt_to_tasks(spark):
+    """All pairs of 5,000 rows of one hash come from several tasks."""
+    df = spark.range(5000).select(F.col("id").alias("k"), F.lit(77).cast("long").alias("h"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = near_hashes(df, "k", "h", 1).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in found) == 5000 * 4999 // 2 and max(r["count"] for r in found) < 5000 * 4999 // 2
