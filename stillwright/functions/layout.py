@@ -5,42 +5,93 @@ Glyph widths are a map from characters to widths at size 1, so that layout needs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _once(value: Column, use: Callable) -> Column:
+    """use(value) with value computed once: an expression that is used twice is written out and computed twice."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _glyphs(text: Column, widths: Column, other: float) -> Column:
+    """Width at size 1 of each character of a text; characters without an entry take `other`."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(widths, c), F.lit(other)))
+
+
+def _sum(start: Column, glyphs: Column) -> Column:
+    return F.aggregate(glyphs, start, lambda a, w: a + w)
+
+
 def text_width(text: Column, widths: Column, size: Column, other: float = 0.6) -> Column:
     """Width of a text at a size; characters without an entry take `other`."""
-    glyphs = F.filter(F.split(text, ""), lambda c: c != "")
-    return size * F.aggregate(glyphs, F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(widths, c), F.lit(other)))
+    return size * _sum(F.lit(0.0), _glyphs(text, widths, other))
 
 
-def wrapped(text: Column, widths: Column, size: Column, most: Column) -> Column:
-    """Lines of a text: as many words as fit, and a break after the comma that ends a part of the first line."""
+def _words(text: Column, widths: Column, other: float = 0.6) -> Column:
+    """Words of a text with the widths of their characters."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.struct(w.alias("text"), _glyphs(w, widths, other).alias("glyphs")))
 
+
+def _broken(words: Column, space: Column, size: Column, most: Column) -> Column:
+    """struct(lines, wide): the lines of words at a size, and whether one of them is wider than `most`.
+
+    The width of a line is carried along at size 1 and grows by the characters of each word, in the order in which the
+    whole line would be summed, so it is the same number, and a text costs its characters once a size.
+    """
     def add(acc: Column, word: Column) -> Column:
-        longer = F.when(acc["cur"] == "", word).otherwise(F.concat(acc["cur"], F.lit(" "), word))
-        fits = (acc["cur"] == "") | (text_width(longer, widths, size) <= most)
-        lines = F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["cur"])))
-        cur = F.when(fits, longer).otherwise(word)
-        ends = (F.size(lines) == 0) & cur.endswith(",")
-        return F.struct(F.when(ends, F.array(cur)).otherwise(lines).alias("lines"), F.when(ends, F.lit("")).otherwise(cur).alias("cur"))
+        def place(at: Column) -> Column:
+            fits = (acc["cur"] == "") | (size * at["longer"] <= most)
+            cur = F.when(acc["cur"] == "", word["text"]).when(fits, F.concat(acc["cur"], F.lit(" "), word["text"])).otherwise(word["text"])
+            width = F.when(fits, at["longer"]).otherwise(_sum(F.lit(0.0), word["glyphs"]))
+            lines = F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["cur"])))
+            wide = F.when(fits, acc["wide"]).otherwise(acc["wide"] | (size * acc["width"] > most))
+            return _once(F.struct(cur.alias("cur"), width.alias("width"), lines.alias("lines"), wide.alias("wide")), close)
+
+        longer = _sum(F.when(acc["cur"] == "", F.lit(0.0)).otherwise(acc["width"] + space), word["glyphs"])
+        return _once(F.struct(longer.alias("longer")), place)
 
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur"))
-    return F.aggregate(words, start, add, lambda a: F.when(a["cur"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["cur"]))))
+    def close(new: Column) -> Column:
+        """A break after the comma that ends a part of the first line."""
+        ends = (F.size(new["lines"]) == 0) & new["cur"].endswith(",")
+        return F.when(ends, F.struct(F.lit("").alias("cur"), F.lit(0.0).alias("width"), F.array(new["cur"]).alias("lines"), (new["wide"] | (size * new["width"] > most)).alias("wide"))).otherwise(new)
+
+    def end(acc: Column) -> Column:
+        open_ = acc["cur"] != ""
+        lines = F.when(open_, F.concat(acc["lines"], F.array(acc["cur"]))).otherwise(acc["lines"])
+        return F.struct(lines.alias("lines"), (acc["wide"] | (open_ & (size * acc["width"] > most))).alias("wide"))
+
+    start = F.struct(F.lit("").alias("cur"), F.lit(0.0).alias("width"), F.array().cast("array<string>").alias("lines"), F.lit(False).alias("wide"))
+    return F.aggregate(words, start, add, end)
+
+
+def _space(widths: Column, other: float = 0.6) -> Column:
+    return F.coalesce(F.try_element_at(widths, F.lit(" ")), F.lit(other))
+
+
+def wrapped(text: Column, widths: Column, size: Column, most: Column) -> Column:
+    """Lines of a text: as many words as fit, and a break after the comma that ends a part of the first line."""
+    return _once(_words(text, widths), lambda words: _broken(words, _space(widths), size, most)["lines"])
 
 
 def fitted(text: Column, widths: Column, box_w: Column, box_h: Column, start: int, floor: int = 20, step: int = 2) -> Column:
     """struct(size, lines, line_height) of the largest size, from `start` down by `step`, whose lines fit the box;
-    the floor size, its lines and 24 where none does."""
-    def at(size: Column) -> Column:
-        return F.struct(size.cast("int").alias("size"), wrapped(text, widths, size, box_w).alias("lines"), F.floor(size * 1.18).cast("int").alias("line_height"))
-
-    sizes = F.transform(F.sequence(F.lit(start), F.lit(floor - 1), F.lit(-step)), at)
-    fits = lambda s: (F.size(s["lines"]) * s["line_height"] <= box_h) & F.forall(s["lines"], lambda x: text_width(x, widths, s["size"]) <= box_w)
-    least = F.struct(F.lit(floor).alias("size"), wrapped(text, widths, F.lit(floor), box_w).alias("lines"), F.lit(24).alias("line_height"))
-    return F.coalesce(F.get(F.filter(sizes, fits), F.lit(0)), least)
+    the floor size, its lines and 24 where none does. Sizes below the first that fits are not laid out."""
+    def layout(words: Column) -> Column:
+        def at(size: int) -> Column:
+            def judged(found: Column) -> Column:
+                height = F.floor(F.lit(size) * 1.18).cast("int")
+                return F.when((F.size(found["lines"]) * height <= box_h) & ~found["wide"], F.struct(F.lit(size).alias("size"), found["lines"].alias("lines"), height.alias("line_height")))
+
+            return _once(_broken(words, _space(widths), F.lit(size), box_w), judged)
+
+        least = F.struct(F.lit(floor).alias("size"), _broken(words, _space(widths), F.lit(floor), box_w)["lines"].alias("lines"), F.lit(24).alias("line_height"))
+        return F.coalesce(*[at(size) for size in range(start, floor - 1, -step)], least)
+
+    return _once(_words(text, widths), layout)
 
 
 def resized(rows: Column, size: int) -> Column:

@@ -222,7 +222,8 @@ def title_layout(spark, sf_dir):
     """The largest size at which a title fits its box, the lines it breaks into, and their height."""
     title = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("  ")), F.when(F.col("p_size") % 3 == 0, ", ").otherwise(" "), F.col("p_type"))
     widths = F.create_map(*[F.lit(x) for kv in GLYPHS.items() for x in kv])
-    out = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), layout.fitted(title, widths, F.lit(217.3), F.lit(90), 30).alias("f"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type").repartition("p_partkey")  # a small file is one split, and layout is work
+    out = part.select(F.col("p_partkey").alias("k"), layout.fitted(title, widths, F.lit(217.3), F.lit(90), 30).alias("f"))
     return out.select("k", F.col("f.size").cast("bigint").alias("size"), F.array_join("f.lines", "|").alias("lines"), F.col("f.line_height").cast("bigint").alias("line_height"))
 
 

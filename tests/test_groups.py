@@ -251,3 +251,14 @@ def test_rows_of_one_hash_are_dealt_to_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["count"] for r in found) == 5000 * 4999 // 2 and max(r["count"] for r in found) < 5000 * 4999 // 2
+
+
+def test_a_fitted_text_is_split_once(spark):
+    """Layout goes through the characters of a text once a size: it is not split again for each word, line and size."""
+    from stillwright.functions import layout
+
+    widths = F.create_map(*[F.lit(x) for kv in {"a": 0.53, "i": 0.27, " ": 0.29}.items() for x in kv])
+    df = spark.createDataFrame([("a iii, aa",), ("",), (", a" * 9,), ("i" * 40,)], "t string").select(layout.fitted(F.col("t"), widths, F.lit(60.0), F.lit(70), 24).alias("f"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    got = [(r["f"]["size"], r["f"]["lines"], r["f"]["line_height"]) for r in df.collect()]
+    assert got == [(24, ["a iii,", "aa"], 28), (24, [], 28), (20, [",", "a, a,", "a, a,", "a, a,", "a, a,", "a"], 24), (20, ["i" * 40], 24)]
