@@ -19,6 +19,9 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,22 @@ HELD_BACK, SHORT, FITS = 0.01, 0.01, 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int"
 
 
+class Recent:
+    """Values of keys that were asked for lately: when the newer of two parts holds half of `most`, the older goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that have no value yet; all others are in `new` now."""
+        if len(self.new) > self.most // 2:
+            self.old, self.new = self.new, {}
+        keys = keys - self.new.keys()
+        held = keys & self.old.keys()
+        self.new.update((k, self.old[k]) for k in held)
+        return keys - held
+
+
 class WordIds:
     """Token ids of texts for a tokenizer whose pre-tokens never reach across white space.
 
@@ -58,29 +77,42 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bpe, self.memory = Tokenizer.from_file(path), ArrayBPE(path), memory
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.bpe = Tokenizer.from_file(path), ArrayBPE(path)
+        self.known, self.parts = Recent(memory), Recent(memory // 2)
 
     def _learn(self, words: set[str]) -> None:
-        simple = [w for w in words if self.plain.fullmatch(w) and "<|" not in w]
+        # letters alone, or before one other sign, need no search
+        letters = [w for w in words if w.isalpha() and w.isascii()]
+        rest = words.difference(letters)
+        ended = [w for w in rest if w.isascii() and w[:-1].isalpha() and not w[-1].isalnum()]
+        rest.difference_update(ended)
+        simple = [w for w in rest if self.plain.fullmatch(w) and "<|" not in w]
+        low, heads, tails = list(map(str.lower, letters)), [w[:-1].lower() for w in ended], [w[-1] for w in ended]
         parts = [self.pattern.findall(w.lower()) for w in simple]
-        distinct = list({p for ps in parts for p in ps})
-        ids = dict(zip(distinct, self.bpe.encode([p.encode() for p in distinct]), strict=True))
-        self.known.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(simple, parts, strict=True))
-        if others := list(words.difference(simple)):
+        fresh = list(self.parts.missing({*low, *heads, *tails, *chain.from_iterable(parts)}))
+        self.parts.new.update(zip(fresh, self.bpe.encode([p.encode() for p in fresh]), strict=True))
+        of, new = self.parts.new.__getitem__, self.known.new
+        new.update(zip(letters, map(of, low), strict=True))
+        new.update(zip(ended, map(add, map(of, heads), map(of, tails)), strict=True))
+        new.update((w, b"".join(map(of, ps))) for w, ps in zip(simple, parts, strict=True))
+        if others := list(rest.difference(simple)):
             found = self.tokenizer.encode_batch(others, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found, strict=True))
+            new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found, strict=True))
 
     def encode(self, block: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [[w for w in self.space.split(t) if w] if self.odd.search(t) else t.split() for t in block]
-        if len(self.known) > self.memory:
-            self.known.clear()
-        self._learn(set().union(*split) - self.known.keys())
-        get = self.known.__getitem__
+        self._learn(self.known.missing(set().union(*split)))
+        get = self.known.new.__getitem__
         return (b"".join(map(get, words)) for words in split)
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str, memory: int) -> WordIds:
+    """What a worker keeps from task to task."""
+    return WordIds(path, memory)
+
+
 def pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int, memory: int = MEMORY) -> DataFrame:
     """Pieces of each document's ids plus end_id: doc_id, piece, start, length, ids_crc32, task."""
     end = np.array([end_id], "<u4").tobytes()
@@ -88,7 +120,7 @@ def pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int, memory: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, words, most = TaskContext.get().partitionId(), WordIds(path, memory), 4 * max_tokens
+        task, words, most = TaskContext.get().partitionId(), word_ids(path, memory), 4 * max_tokens
         for part in steps(batches):
             rows: list[tuple] = []
             for doc, ids in zip(column(part, "doc_id").to_pylist(), words.encode(column(part, "text").to_pylist()), strict=True):

@@ -1015,3 +1015,17 @@ def test_pipeline_of_odd_tables_against_plain_python(spark, tmp_path, monkeypatc
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_word_ids_merge_a_part_once(monkeypatch):
+    """Parts that other words had are not merged again, ids are the library's, and the memory stays within its bound."""
+    words, merged = packing.WordIds(WORDS, 100), []
+    encode = words.bpe.encode
+    monkeypatch.setattr(words.bpe, "encode", lambda parts: merged.extend(parts) or encode(parts))
+    lines = ["House house, HOUSE! (house) don't don", "house; Don't x2 don. naïve naïve, a<|b '' 's"]
+    for line in lines:
+        assert list(words.encode([line])) == [np.array(words.tokenizer.encode(line, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(merged) == len(set(merged)) and b"house" in merged
+    for i in range(300):
+        list(words.encode([f"w{i} house"]))
+    assert len(words.known.new) + len(words.known.old) <= 110 and merged.count(b"house") <= 1
