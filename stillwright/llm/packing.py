@@ -84,7 +84,7 @@ class WordIds:
         # letters alone, or before one other sign, need no search
         letters = [w for w in words if w.isalpha() and w.isascii()]
         rest = words.difference(letters)
-        ended = [w for w in rest if w.isascii() and w[:-1].isalpha() and not w[-1].isalnum()]
+        ended = [w for w in rest if w.isascii() and w[:-1].isalpha() and not w[-1].isalnum() and "!" <= w[-1] <= "~"]
         rest.difference_update(ended)
         simple = [w for w in rest if self.plain.fullmatch(w) and "<|" not in w]
         low, heads, tails = list(map(str.lower, letters)), [w[:-1].lower() for w in ended], [w[-1] for w in ended]

@@ -1022,7 +1022,7 @@ def test_word_ids_merge_a_part_once(monkeypatch):
     words, merged = packing.WordIds(WORDS, 100), []
     encode = words.bpe.encode
     monkeypatch.setattr(words.bpe, "encode", lambda parts: merged.extend(parts) or encode(parts))
-    lines = ["House house, HOUSE! (house) don't don", "house; Don't x2 don. naïve naïve, a<|b '' 's"]
+    lines = ["House house, HOUSE! (house) don't don", "house; Don't x2 don. naïve naïve, a<|b '' 's", "house\x00 don\x7f a\x01b"]
     for line in lines:
         assert list(words.encode([line])) == [np.array(words.tokenizer.encode(line, add_special_tokens=False).ids, "<u4").tobytes()]
     assert len(merged) == len(set(merged)) and b"house" in merged
