@@ -184,16 +184,19 @@ def _first_part(a: str, b: str, parts: list[tuple[int, int, int]]) -> Column:
 def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int | None = None, hot: int = 10_000) -> DataFrame:
     """a, b, distance of the pairs of 64-bit hashes that differ in fewer than `distance` bits, a < b.
 
-    Equal hashes are compared once and joined back by their keys. Different ones are compared by blocks, or indexed by parts
-    (`by_parts`), whatever is less work for their number: a comparison in a block is some hundred times cheaper than
-    one in a join, and a wide distance lets a large share of all pairs through any index. `parts` asks for the index.
-    Rows without a hash have no pair. What comes out is as many rows as there are near pairs, which grows
-    with the square of near-equal hashes; rows of a hash that many share are dealt to many tasks.
+    Equal hashes are compared once. Different ones are compared by blocks, or indexed by parts (`by_parts`), whatever is less
+    work for their number: a comparison in a block is some hundred times cheaper than one in a join, and a wide distance
+    lets a large share of all pairs through any index. `parts` asks for the index. Blocks know the key of a hash that one row has, so
+    such pairs leave their task as they are; keys of the rows that share a hash are joined to them, and no join can send
+    the pairs to every task. Rows without a hash have no pair, nor has a row with others of its key. What comes out is as
+    many rows as there are near pairs, which grows with the square of near-equal hashes; rows of a hash that many share are dealt to
+    many tasks.
     """
     members = rows.where(F.col(code).isNotNull()).select(F.col(key).alias("k"), F.col(code).cast("long").alias("h"))
-    counted = checkpointed(members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("n")))
-    codes, large = counted.select("h"), counted.where("n > 1")
-    n, n_large = counted.agg(F.count(F.lit(1)), F.count_if(F.col("n") > 1)).first()
+    count = F.count(F.lit(1))
+    counted = checkpointed(members.groupBy("h").agg(F.ceil(count / SHARE).cast("int").alias("n"), count.alias("m"), F.when(count == 1, F.min("k")).alias("k")))
+    n, n_large, n_many, n_several = counted.agg(count, F.count_if(F.col("n") > 1), F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m"))), F.lit(0)), F.count_if(F.col("m") > 1)).first()
+    large = counted.where("n > 1").select("h", "n")
 
     def shared(df: DataFrame, h: str, name: str) -> DataFrame:
         """df with the number of shares of its hash; what has more than one is a table of its own."""
@@ -205,32 +208,40 @@ def near_hashes(rows: DataFrame, key: str, code: str, distance: int, parts: int
     shares = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     share = lambda name: F.pmod(F.xxhash64("k"), F.col(name)).cast("int")
 
-    def side(k: str, h: str, s: str) -> DataFrame:
-        """Members with their share of the rows of their hash."""
-        return shared(members.select("k", F.col("h").alias(h)), h, "_n").select(F.col("k").alias(k), h, share("_n").alias(s), "_n")
+    def side(of: DataFrame, k: str, h: str, s: str) -> DataFrame:
+        """Rows with their share of the rows of their hash."""
+        return shared(of.select("k", F.col("h").alias(h)), h, "_n").select(F.col("k").alias(k), h, share("_n").alias(s), "_n")
 
-    left, right = side("x", "ha", "sa"), side("y", "hb", "sb")
+    # rows that share their hash with others
+    several = counted.where("m > 1").select("h")
+    many = members.join(F.broadcast(several) if n_several <= BROADCAST_PARTS else several, "h", "left_semi")
+    left, right = side(many, "x", "ha", "sa"), side(many, "y", "hb", "sb")
     both = left.withColumn("sb", shares("_n")).drop("_n").join(right.withColumn("sa", shares("_n")).withColumnRenamed("hb", "ha").drop("_n"), ["ha", "sa", "sb"])
     equal = both.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("distance"))
     if distance < 2:  # equal ones only, or none
         return equal.where(F.lit(distance == 1))
     if parts is None and n * n / 2 < IN_BLOCK * index_cost(distance, n):
-        found = by_blocks(codes, distance, n)
+        found, asked, few = by_blocks(counted.select("h", "k"), distance, n), many, n_many <= BROADCAST_PARTS and not n_large
     else:
-        found = by_parts(codes, distance, parts or parts_for(distance, n), hot)
-    dealt = shared(shared(found, "ha", "na"), "hb", "nb").withColumn("sa", shares("na")).withColumn("sb", shares("nb"))
-    pairs = dealt.join(left.drop("_n"), ["ha", "sa"]).join(right.drop("_n"), ["hb", "sb"])
-    near = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("bigint").alias("distance"))
-    return near.unionByName(equal)
+        none = F.lit(None).cast(members.schema["k"].dataType)
+        found, asked, few = by_parts(counted.select("h"), distance, parts or parts_for(distance, n), hot).select("ha", "hb", none.alias("x"), none.alias("y")), members, False
+    if n_many or asked is members:
+        dealt = shared(shared(found, "ha", "na"), "hb", "nb").withColumn("sa", shares("na")).withColumn("sb", shares("nb"))
+        for k, h, s in (("x", "ha", "sa"), ("y", "hb", "sb")):
+            own = side(asked, "_k", h, s).drop("_n")
+            dealt = dealt.join(F.broadcast(own) if few else own, [h, s], "left").withColumn(k, F.coalesce(k, "_k")).drop("_k")
+        found = dealt
+    near = found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("bigint").alias("distance"))
+    return near.unionByName(equal) if n_many else near
 
 
 def by_blocks(codes: DataFrame, distance: int, n: int, block: int = BLOCK_CODES) -> DataFrame:
-    """ha, hb of the n distinct hashes (h) that differ in fewer than `distance` bits, ha < hb: every block of hashes meets
-    every other one, and itself, in a task, as arrays. Work grows with the square of the hashes, evenly dealt; a
-    task has some blocks and the pairs of a strip of one of them."""
+    """ha, hb, x, y: pairs of the n distinct hashes (h) that differ in fewer than `distance` bits, each once, with their keys (k):
+    every block of hashes meets every other one, and itself, in a task, as arrays. Work grows with the square of the
+    hashes, evenly dealt; a task has some blocks and the pairs of a strip of one of them."""
     tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-n // block), min(math.isqrt(8 * tasks), -(-n // LEAST_BLOCK)), 1)
-    dealt = codes.withColumn("_b", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list("h").alias("hs"))
+    dealt = codes.withColumn("_b", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("h", "k")).alias("hs"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     met = dealt.withColumn("_o", other).select(F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "hs")
 
@@ -239,7 +250,8 @@ def by_blocks(codes: DataFrame, distance: int, n: int, block: int = BLOCK_CODES)
         for batch in part:
             for r in range(batch.num_rows):
                 mine = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
-                codes = batch.column(2)[r].values.to_numpy()
+                rows = batch.column(2)[r].values
+                codes = (rows.field("h").to_numpy(), rows.field("k"))
                 if mine[0] == mine[1]:
                     yield from _near_pairs(codes, codes, distance, True)
                 elif mine == key:
@@ -248,12 +260,14 @@ def by_blocks(codes: DataFrame, distance: int, n: int, block: int = BLOCK_CODES)
                 else:
                     key, first = mine, codes
 
+    kind = codes.schema["k"].dataType.simpleString()
     spread = met.repartition(max(min(tasks, blocks * blocks), blocks * blocks // 64), "i", "j").sortWithinPartitions("i", "j")
-    return spread.mapInArrow(compare, "ha long, hb long")
+    return spread.mapInArrow(compare, f"ha long, hb long, x {kind}, y {kind}")
 
 
-def _near_pairs(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of hashes of two blocks, the lesser first, by strips of the first block; of a block with itself each pair once."""
+def _near_pairs(left: tuple[np.ndarray, pa.Array], right: tuple[np.ndarray, pa.Array], distance: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of hashes of two blocks and their keys, by strips of the first block; of a block with itself each pair once."""
+    (a, x), (b, y) = left, right
     theirs = b.view(np.uint64)
     for begin in range(0, len(a), STRIP):
         mine = a[begin : begin + STRIP].view(np.uint64)[:, None]
@@ -264,9 +278,9 @@ def _near_pairs(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iter
             i, j = np.divmod(np.flatnonzero(np.bitwise_count(mine ^ part) < distance), part.shape[1])
             i, j = i + begin, j + at
             got.append((i[j > i], j[j > i]) if same else (i, j))
-        x, y = a[np.concatenate([i for i, _ in got])], b[np.concatenate([j for _, j in got])]
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["ha", "hb"])
+        i, j = (np.concatenate(side) for side in zip(*got, strict=True))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), x.take(pa.array(i)), y.take(pa.array(j))], names=["ha", "hb", "x", "y"])
 
 
 def by_parts(codes: DataFrame, distance: int, parts: int, hot: int) -> DataFrame:

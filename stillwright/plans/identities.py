@@ -201,11 +201,11 @@ def role_match_tiered(spark, sf_dir):
 
 
 @query(f"""WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(b, lambda x, i: CASE WHEN x THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END))::UBIGINT AS h FROM h)
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) < 16""")
+SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) < 20""")
 def hash_near_pairs(spark, sf_dir):
-    """Pairs whose sign hashes differ in fewer than 16 of 64 bits."""
+    """Pairs whose sign hashes differ in fewer than 20 of 64 bits."""
     h = table(spark, sf_dir, "embeddings").select("vec_id", sign_hash(F.col("embedding")).alias("h"))
-    return near_hashes(h, "vec_id", "h", 16)
+    return near_hashes(h, "vec_id", "h", 20)
 
 
 @query(f"""WITH g AS (SELECT vec_id, {UNIT} AS e FROM embeddings), c AS (SELECT vec_id, unnest(range(0, 64)) AS i, e || e AS e FROM g),

@@ -242,6 +242,35 @@ def test_near_hashes_by_blocks(spark, monkeypatch, distance):
     assert {tuple(r) for r in near_hashes(df, "k", "h", distance).collect()} == want
 
 
+def test_sign_hashes_within_twenty_bits(spark, tmp_path):
+    """hash_near_pairs has the pairs of 16 to 19 bits, and those of rows that share a hash or an id."""
+    from stillwright.catalog import QUERIES
+
+    rng = np.random.default_rng(8)
+    vectors = []
+    for b in rng.choice([-1.0, 1.0], (20, 64)):
+        for k in (0, 0, 5, 15, 16, 19, 20):
+            v = b.copy()
+            v[rng.choice(64, k, replace=False)] *= -1
+            vectors.append(v)
+    ids = list(range(len(vectors)))
+    ids[9], ids[12] = ids[3], None
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, vectors, strict=True)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    apart = [[int((u != v).sum()) for v in vectors] for u in vectors]
+    both = [(i, j) for i in range(len(ids)) for j in range(len(ids)) if None not in (ids[i], ids[j]) and ids[i] < ids[j]]
+    want = sorted((ids[i], ids[j], apart[i][j]) for i, j in both if apart[i][j] < 20)
+    assert sorted(tuple(r) for r in QUERIES["hash_near_pairs"](spark, str(tmp_path)).collect()) == want
+    assert {0, 15, 16, 19} <= {d for _, _, d in want}
+
+
+def test_pairs_of_single_hashes_need_no_join(spark):
+    """Blocks know the keys of hashes that one row has: near pairs are neither shuffled nor sent anywhere."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([*enumerate(rng.integers(-(2**63), 2**63, 500).tolist())], "k bigint, h bigint")
+    found = near_hashes(df, "k", "h", 24)
+    assert found.count() > 0 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_of_one_hash_are_dealt_to_tasks(spark):
     """All pairs of 5,000 rows of one hash come from several tasks."""
     df = spark.range(5000).select(F.col("id").alias("k"), F.lit(77).cast("long").alias("h"))
