@@ -87,10 +87,11 @@ def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str,
     rows = with_group_places(frames.join(held, [video, frame], "left"), moments, video, frame)
     first = F.first(F.when(c("place") == 1, F.struct(c(frame).alias("frame"), c("_faces").alias("faces"))), True).over(Window.partitionBy(video))
     widest = lambda r: F.array_max(F.transform(F.filter("_first.faces", lambda f: f["rank"] == r), lambda f: F.struct(f["w"].alias("w"), f["p"].alias("p"), f["emb"].alias("emb"))))["emb"]
-    rows = rows.withColumn("_first", first).withColumn("_anchors", F.array(*[widest(r) for r in range(cast_size)]) if cast_size else F.lit(None).cast("array<array<double>>"))
+    main = F.array_distinct(F.transform(F.filter("_first.faces", lambda f: f["rank"] < cast_size), lambda f: f["rank"]))
+    rows = rows.withColumn("_first", first).withColumn("_anchors", F.map_from_entries(F.transform(main, lambda r: F.struct(r.alias("rank"), widest(r).alias("emb")))))
     # one table of both: a frame's own row if it is a group still, and a row for each role it could be the solo still of
     both = rows.withColumn("_group", F.when(c("place").isNotNull(), F.array(F.struct(F.lit(-1).alias("who"), c("group_score").alias("q"), (-c("place")).cast("double").alias("score")))).otherwise(F.array()))
-    solos = F.when(c(frame) != c("_first.frame"), F.transform("solos", lambda s: F.struct(s["rank"].cast("int").alias("who"), rounded(_solo_quality(s, cast_size), 9).alias("q"), c("score").cast("double").alias("score"))))
+    solos = F.when(c(frame) != c("_first.frame"), F.transform("solos", lambda s: F.struct(s["rank"].cast("int").alias("who"), rounded(_solo_quality(s), 9).alias("q"), c("score").cast("double").alias("score"))))
     rows = both.withColumn("_e", F.explode(F.concat("_group", F.coalesce(solos, F.array())))).select(c(video).cast("long").alias(video), c(frame).cast("long").alias(frame), "_e.who", "hash", "_e.q", "_e.score")
 
     def step(state: Accepted, row: dict) -> list[tuple]:
@@ -108,9 +109,9 @@ def stills(faces: DataFrame, frames: DataFrame, moments: DataFrame, video: str,
     return fold(rows, [video], order, Accepted, step, f"{video} long, role string, idx int, {frame} long, q double")
 
 
-def _solo_quality(solo: Column, cast_size: int) -> Column:
+def _solo_quality(solo: Column) -> Column:
     """Quality of a role's face in a frame (_faces, _anchors, n_faces), weighed by its likeness to the role's anchor."""
-    anchor = F.when(solo["rank"] < cast_size, F.get("_anchors", solo["rank"]))
+    anchor = F.try_element_at("_anchors", solo["rank"])
     like = F.array_max(F.transform(F.filter("_faces", lambda f: f["strict"] & (f["rank"] == solo["rank"])), lambda f: dot(f["emb"], anchor)))
     return solo_score(solo["q"], F.col("n_faces") == 1, F.when(anchor.isNotNull(), F.coalesce(like, F.lit(0.0))))
 

@@ -65,20 +65,26 @@ def test_coverage_repairs_keep_the_gap(spark, tmp_path):
     assert (1, 4, 11) in want
 
 
-def test_work_stills_of_unknown_prices_and_empty_lines(spark, tmp_path):
-    """Lines without a price, and lines of nothing, whose embedding is no number: as the SQL has them."""
+def _stills_of(spark, tmp_path, lines):
+    """work_stills and its SQL on the smallest tables with other columns of lines."""
     con = duckdb.connect()
-    gone = "CASE WHEN (l_partkey + l_linenumber) % 11 = 0 THEN 0 ELSE {0} END AS {0}"
-    columns = {
-        "orders": "o_orderkey AS o_orderkey",
-        "lineitem": ", ".join(["CASE WHEN l_partkey % 5 <> 0 THEN l_extendedprice END AS l_extendedprice", *(gone.format(c) for c in ("l_quantity", "l_tax", "l_discount"))]),
-    }
-    for name, changed in columns.items():
+    for name, changed in (("orders", "o_orderkey AS o_orderkey"), ("lineitem", lines)):
         con.execute(f"COPY (SELECT * REPLACE ({changed}) FROM '{DATA}/{name}.parquet') TO '{tmp_path}/{name}.parquet'")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     want = con.execute(ORACLES["work_stills"])
     df = QUERIES["work_stills"](spark, str(tmp_path))
-    names = [d[0] for d in want.description]
-    found = _rows(df.columns, df.collect())
-    assert repr(found) == repr(_rows(names, want.fetchall()))  # nan is not equal to itself
+    return _rows(df.columns, df.collect()), _rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_work_stills_of_unknown_prices_and_empty_lines(spark, tmp_path):
+    """Lines without a price, and lines of nothing, whose embedding is no number: as the SQL has them."""
+    gone = [f"CASE WHEN (l_partkey + l_linenumber) % 11 = 0 THEN 0 ELSE {c} END AS {c}" for c in ("l_quantity", "l_tax", "l_discount")]
+    found, want = _stills_of(spark, tmp_path, ", ".join(["CASE WHEN l_partkey % 5 <> 0 THEN l_extendedprice END AS l_extendedprice", *gone]))
+    assert repr(found) == repr(want)  # nan is not equal to itself
     assert any(x != x for row in found for x in row)
+
+
+def test_work_stills_of_line_numbers_below_one(spark, tmp_path):
+    """Every rank below the main roles' number has an anchor, one below 0 too."""
+    found, want = _stills_of(spark, tmp_path, "CASE WHEN l_partkey % 3 = 0 THEN 1 - l_linenumber ELSE l_linenumber END AS l_linenumber")
+    assert found == want and found
